@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MARK, CALL, CUT = "▁", 1 << 20, 1 << 16  # characters in one call to the library, and in one piece of a long text
 
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, chec
                 yield pa.RecordBatch.from_arrays(cols, [*names, "n_tokens", "ids_sha256", "round_trip", *["ids"] * keep_ids])
 
     schema = StructType([*docs.schema.fields]).add("n_tokens", "long").add("ids_sha256", "string").add("round_trip", "boolean")
-    return docs.mapInArrow(run, schema.add("ids", "array<int>") if keep_ids else schema)
+    return docs.mapInArrow(run, schema.add("ids", ArrayType(IntegerType())) if keep_ids else schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
