@@ -10,9 +10,11 @@ comparing only where their anchors are equal:
    hash costs two lookups.
 2. Anchors found once are done. Blocks found twice or more are repeated whole: their common extension covers the
    block. In groups where blocks differ (ends of shared passages), one of each block is opened.
-3. The suffixes that start in opened blocks are compared by the hash of their first `length` bytes under two
-   independent polynomials (the second verifies the first: both collide by chance once in 2 ** 126 pairs), merged
-   by Spark's sorted shuffle with pre-aggregation; those that two of them share are repeated.
+3. Opened blocks travel to their anchor. There the suffixes that start in them are merge-sorted by the polynomial
+   hashes of their first `length` bytes, and neighbours with equal hashes are compared byte by byte.
+   Where more than CROWD different blocks share an anchor, their suffixes travel one by one instead, keyed by two
+   independent polynomials (the second verifies the first: both collide by chance once in 2 ** 126 pairs), and
+   are merged by Spark's shuffle with pre-aggregation: no anchor is one task's work.
 4. Runs are united for each document and its bytes cut.
 
 No key gathers rows: a passage in a third of all documents is one pre-aggregated row for each block, and joins on
@@ -33,7 +35,7 @@ from pyspark.sql.types import StructType
 
 from .common import drop_table, materialize
 
-LENGTH, GRAM, PIECE = 200, 64, 1 << 20
+LENGTH, GRAM, PIECE, CROWD = 200, 64, 1 << 20, 512
 POS = np.uint64((1 << 22) - 1)
 #: Odd multipliers of the two polynomials, and the tables that turn bytes into coefficients.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -131,7 +133,7 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, th, runs: array of (first, end), byte ranges to remove, of every text that has any."""
     source = keyed(docs)
 
@@ -154,43 +156,110 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = shared.where("differ").join(counts.where("c > 1").select("anchor", "block"), ["anchor", "block"]).select("doc_id", "th", "first", "n")
     whole = alike.unionByName(twice).select("doc_id", "th", "first", (F.col("first") + F.col("n") - 1 + length).alias("end"))
 
-    # The second part of the key is the block's number; it keeps rows of opened suffixes short.
-    opened = settle(counts.select("one.*", (F.col("c") > 1).alias("done")).withColumn("block_no", F.monotonically_increasing_id()), "suffix-opened")
-    wanted = opened.groupBy("doc_id", "th").agg(F.collect_list(F.struct("block_no", "first", "n")).alias("blocks"))
+    crowded = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where(F.col("blocks") > crowd).select("anchor", F.lit(True).alias("hot"))
+    opened = counts.join(crowded, "anchor", "left").select("one.*", "anchor", F.col("hot").isNotNull().alias("hot"), (F.col("c") > 1).alias("done"))
+    opened = settle(opened.withColumn("block_no", F.monotonically_increasing_id()), "suffix-opened")
+    wanted = opened.groupBy("doc_id", "th").agg(F.collect_list(F.struct("block_no", "first", "n", "anchor", "hot")).alias("blocks"))
 
     def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = set()
-            for key, text, blocks in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), b.column(3), strict=True):
-                if key in seen:  # rows that repeat; their blocks are opened once
-                    continue
-                seen.add(key)
-                data, no, off, one, two = np.frombuffer(text.as_py().encode(), np.uint8), [], [], [], []
+            rows: list[tuple] = []
+            for text, blocks in zip(b.column(2), b.column(3), strict=True):
+                data = text.as_py().encode()
                 for x in blocks.as_py():
                     part = data[x["first"] : x["first"] + x["n"] - 1 + length]
+                    if not x["hot"]:
+                        rows.append((x["block_no"], x["anchor"], part, None, None, None))
+                        continue
                     i = np.arange(x["n"])
-                    no.append(np.full(x["n"], x["block_no"]))
-                    off.append(i)
-                    one.append(Prefixes(part, 0).of(i, i + length))
-                    two.append(Prefixes(part, 1).of(i, i + length))
-                if no:
-                    cols = [np.concatenate(c) for c in (no, off, one, two)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].view(np.int64)), pa.array(cols[3].view(np.int64))], ["block_no", "off", "one", "two"])
-
-    suffixes = settle(source.join(wanted, ["doc_id", "th"]).mapInArrow(open_blocks, "block_no long, off int, one long, two long"), "suffix-suffixes")
-    # Repeated rows of one key may open a block twice in different batches: count blocks, not rows.
-    met = suffixes.groupBy("one", "two").agg(F.min(F.struct("block_no", "off")).alias("a"), F.max(F.struct("block_no", "off")).alias("b")).where("a != b").select("one", "two")
-    again = suffixes.join(met, ["one", "two"]).groupBy("block_no").agg(F.sort_array(F.collect_set("off")).alias("offs"))
-    breaks = lambda o: F.filter(F.transform(o, lambda x, i: F.when(F.coalesce(F.get(o, i - 1) + 1 != x, F.lit(True)), x)), lambda x: x.isNotNull())
-    lasts = lambda o: F.filter(F.transform(o, lambda x, i: F.when(F.coalesce(F.get(o, i + 1) - 1 != x, F.lit(True)), x)), lambda x: x.isNotNull())
-    runs = again.select("block_no", F.explode(F.arrays_zip(F.element_at(F.transform(F.array("offs"), breaks), 1).alias("s"), F.element_at(F.transform(F.array("offs"), lasts), 1).alias("e"))).alias("r"))
-    ends = opened.where("not done").join(runs, "block_no").select("doc_id", "th", (F.col("first") + F.col("r.s")).alias("first"), (F.col("first") + F.col("r.e") + length).alias("end"))
-    out = settle(whole.unionByName(ends).distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("runs")), "suffix-runs")
-    for t in (shared, counts, opened, suffixes):
+                    one, two = (Prefixes(np.frombuffer(part, np.uint8), k).of(i, i + length).view(np.int64).tolist() for k in (0, 1))
+                    rows += [(x["block_no"], None, None, k, one[k], two[k]) for k in range(x["n"])]
+                if len(rows) > 20_000:
+                    yield table_of(rows)
+                    rows = []
+            yield table_of(rows)
+
+    sent = settle(source.join(wanted, ["doc_id", "th"]).mapInArrow(open_blocks, OPENED), "suffix-sent")
+    cold = sent.where("data is not null").select("anchor", "block_no", "data").repartition("anchor").sortWithinPartitions("anchor", "block_no")
+    near = cold.mapInArrow(lambda batches: compared(batches, length), "block_no long, s int, e int")
+    # A row that repeats may have sent a suffix twice; two different suffixes must meet.
+    hot = sent.where("data is null").select("block_no", "off", "one", "two")
+    own = F.xxhash64("block_no", "off")
+    met = hot.groupBy("one", "two").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a != b").select("one", "two")
+    far = hot.join(met, ["one", "two"]).select("block_no", F.col("off").alias("s"), F.col("off").alias("e")).distinct()
+    ends = opened.where("not done").join(near.unionByName(far), "block_no").select("doc_id", "th", (F.col("first") + F.col("s")).alias("first"), (F.col("first") + F.col("e") + length).alias("end"))
+    out = settle(whole.unionByName(ends).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("runs")), "suffix-runs")
+    for t in (shared, counts, opened, sent):
         drop_table(t)
     return out
 
 
+OPENED = "block_no long, anchor long, data binary, off int, one long, two long"
+
+
+def table_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block_no", "anchor", "data", "off", "one", "two"])
+
+
+def repeated_starts(anchor: np.ndarray, blocks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first and last start of each run of starts whose `length` bytes also start elsewhere in a block of its anchor).
+
+    Suffixes are merge-sorted by the hashes of their first `length` bytes; neighbours with equal hashes are then
+    compared byte by byte, and if a pair differs, which takes a collision, all are told apart by their bytes.
+    """
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    begin = np.cumsum([0, *map(len, blocks)])
+    n = np.diff(begin) - (length - 1)
+    of = np.repeat(np.arange(len(blocks)), n)
+    off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = begin[of] + off
+    one, two = (Prefixes(data, k).of(at, at + length) for k in (0, 1))
+    key = mixed(one ^ (anchor[of].view(np.uint64) * np.uint64(BASES[1])))
+    order = np.argsort(key, kind="stable")
+    x, y = order[:-1], order[1:]
+    same = (key[x] == key[y]) & (one[x] == one[y]) & (two[x] == two[y]) & (anchor[of[x]] == anchor[of[y]])
+    x, y = x[same], y[same]
+    again, reach, differ = np.zeros(len(of), bool), np.arange(length), False
+    for i in range(0, len(x), 8192):
+        differ = differ or bool((data[at[x[i : i + 8192], None] + reach] != data[at[y[i : i + 8192], None] + reach]).any())
+    if differ:
+        seen: dict[tuple, int] = {}
+        for k, (b, p) in enumerate(zip(of.tolist(), off.tolist(), strict=True)):
+            first = seen.setdefault((int(anchor[b]), blocks[b][p : p + length]), k)
+            again[k] = first != k
+            again[first] |= first != k
+    else:
+        again[x] = again[y] = True
+    starts = again & ~np.append(False, again[:-1] & (of[1:] == of[:-1]))
+    ends = again & ~np.append(again[1:] & (of[1:] == of[:-1]), False)
+    return of[starts], off[starts], off[ends]
+
+
+def compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated starts by block, from blocks (anchor, block_no, data) sorted by anchor."""
+    anchor, number, blocks = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def work(upto: int) -> pa.RecordBatch:
+        new = np.append(True, number[1:upto] != number[: upto - 1])  # rows that repeat sent a block twice
+        chosen = np.flatnonzero(new)
+        b, s, e = repeated_starts(anchor[chosen], [blocks[k] for k in chosen], length)
+        return pa.RecordBatch.from_arrays([pa.array(number[chosen][b]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["block_no", "s", "e"])
+
+    for whole in batches:
+        for i in range(0, whole.num_rows, 2000):
+            b = whole.slice(i, 2000)
+            anchor, number = np.append(anchor, b.column(0).to_numpy()), np.append(number, b.column(1).to_numpy())
+            blocks += b.column(2).to_pylist()
+            last = int(np.searchsorted(anchor, anchor[-1]))  # that anchor may go on
+            if last:
+                yield work(last)
+                anchor, number, blocks = anchor[last:], number[last:], blocks[last:]
+    if blocks:
+        yield work(len(blocks))
+
+
 def cut(data: bytes, runs: list[dict] | None) -> tuple[bytes, int]:
     """(what is left of data, number of maximal removed runs)."""
     kept, at, n = [], 0, 0
