@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import drop_table, materialize
+from .common import drop_table, let, materialize
 
 LENGTH, GRAM, PIECE, CROWD = 200, 64, 1 << 20, 512
 POS = np.uint64((1 << 22) - 1)
@@ -186,7 +186,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     hot = sent.where("data is null").select("block_no", "off", "one", "two")
     own = F.xxhash64("block_no", "off")
     met = hot.groupBy("one", "two").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a != b").select("one", "two")
-    far = hot.join(met, ["one", "two"]).select("block_no", F.col("off").alias("s"), F.col("off").alias("e")).distinct()
+    offs = hot.join(met, ["one", "two"]).groupBy("block_no").agg(F.sort_array(F.collect_set("off")).alias("o"))  # no more than a block has starts
+    far = offs.select("block_no", F.explode(let(F.col("o"), neighbours)).alias("r")).select("block_no", "r.s", "r.e")
     ends = opened.where("not done").join(near.unionByName(far), "block_no").select("doc_id", "th", (F.col("first") + F.col("s")).alias("first"), (F.col("first") + F.col("e") + length).alias("end"))
     out = settle(whole.unionByName(ends).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("runs")), "suffix-runs")
     for t in (shared, counts, opened, sent):
@@ -194,6 +195,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     return out
 
 
+def neighbours(o: Column) -> Column:
+    """Runs (s, e) of consecutive numbers in a sorted array."""
+    begins = F.filter(o, lambda x, i: ~F.coalesce(F.get(o, i - 1) == x - 1, F.lit(False)))
+    ends = F.filter(o, lambda x, i: ~F.coalesce(F.get(o, i + 1) == x + 1, F.lit(False)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("s"), b.alias("e")))
+
+
 OPENED = "block_no long, anchor long, data binary, off int, one long, two long"
 
 
