@@ -1,4 +1,5 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
