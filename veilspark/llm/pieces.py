@@ -156,7 +156,7 @@ def parity(path: str, texts: list[str]) -> list[int]:
 
 
 def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, check: bool = False) -> DataFrame:
-    """All columns of docs (text among them), then n_tokens, ids_sha256 (of the ids as decimals joined by commas),
+    """All columns of docs (text among them), then n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers),
     round_trip (the ids decode to the text) and, with keep_ids, ids.
 
     Null texts are empty: no ids, and round_trip holds. A text that the normaliser changes doesn't decode to
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, chec
                 texts = [t or "" for t in b.column(at).to_pylist()]
                 ids = pieces.encode(texts)
                 back = [a == t for a, t in zip(pieces.decode(ids), texts, strict=True)]
-                cols = [*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]), pa.array(back, pa.bool_())]
+                cols = [*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), pa.array(back, pa.bool_())]
                 if keep_ids:
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
