@@ -4,7 +4,7 @@ The model file is parsed as protobuf: pieces, scores and types, the normaliser's
 the model's kind. The tokenizer is rebuilt from them: for a unigram model from the scores, for a BPE model from
 merges that every way of cutting a piece in two gives, ranked by score. Spaces become the metaspace marker.
 No piece has a marker after another character, so text may be cut before each run of markers: that bounds what
-one call holds for very long texts. parity() compares with the sentencepiece library.
+one call holds for very long texts, and lets segments that repeat be encoded once. parity() compares with the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MARK, CALL, CUT = "▁", 1 << 20, 1 << 16  # characters in one call to the library, and in one piece of a long text
+REMEMBER = 300_000  # segments that a worker remembers; it then starts afresh
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -104,6 +106,7 @@ class Pieces:
         self.library.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
         self.library.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.charsmap = normalizers.Precompiled(spec.charsmap) if spec.charsmap else None
+        self.segment, self.known = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), {}
         self.cut = re.compile(f"(?<=[^{MARK}])(?={MARK})")
         self.inner = any(MARK in p.lstrip(MARK) for p, _, kind in spec.pieces if kind in (1, 4))  # then text can't be cut
 
@@ -122,29 +125,41 @@ class Pieces:
             at = m.start()
         yield text[at:]
 
+    def learn(self, segments: list[str]) -> None:
+        """Encodes, and decodes again, segments not met before: one multithreaded call for about CALL characters."""
+        if len(self.known) > REMEMBER:
+            self.known = {}
+        new = list(dict.fromkeys(x for x in segments if x not in self.known))
+        sizes, begin = np.cumsum([len(x) for x in new]), 0
+        while begin < len(new):
+            end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + CALL, "right")))
+            part = new[begin:end]
+            ids = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
+            self.known.update(zip(part, zip(ids, self.library.decode_batch(ids, skip_special_tokens=False), strict=True), strict=True))
+            begin = end
+
+    def encode_both(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """(ids of each text, what they decode to). Segments that repeat, as words do, are encoded and decoded once.
+
+        The pre-tokenizer cuts a text into the same segments, so a text's ids are its segments' ids in a row; a
+        segment holds whole characters, so its bytes never wait for another's.
+        """
+        cut = [[x for p in self.parts(t) for x in (self.segment.findall(p) if not self.inner else [p])] for t in texts]
+        self.learn(list(chain.from_iterable(cut)))
+        both = [[self.known[x] for x in c] for c in cut]
+        ids = [np.fromiter(chain.from_iterable(x[0] for x in b), np.int32) for b in both]
+        return ids, [self.unmarked("".join([x[1] for x in b])) for b in both]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        held, size = [], 0
-
-        def flush() -> None:
-            for (k, _), e in zip(held, self.library.encode_batch([p for _, p in held], add_special_tokens=False), strict=True):
-                out[k].append(np.array(e.ids, np.int32))
-            held.clear()
-
-        for k, t in enumerate(texts):
-            for p in self.parts(t):
-                held.append((k, p))
-                size += len(p)
-                if size >= CALL:
-                    flush()
-                    size = 0
-        flush()
-        return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
+        return self.encode_both(texts)[0]
+
+    def unmarked(self, text: str) -> str:
+        return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of the ids, without the blank that encoding put in front."""
         texts = self.library.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-        return [t[1:] if self.spec.dummy_prefix and t.startswith(" ") else t for t in texts]
+        return [self.unmarked(t) for t in texts]
 
 
 def parity(path: str, texts: list[str]) -> list[int]:
@@ -172,8 +187,8 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, chec
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
                 texts = [t or "" for t in b.column(at).to_pylist()]
-                ids = pieces.encode(texts)
-                back = [a == t for a, t in zip(pieces.decode(ids), texts, strict=True)]
+                ids, decoded = pieces.encode_both(texts)
+                back = [a == t for a, t in zip(decoded, texts, strict=True)]
                 cols = [*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), pa.array(back, pa.bool_())]
                 if keep_ids:
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
