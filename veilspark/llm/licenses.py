@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, materialize
+from .common import alnum_words, let, materialize
 
 # Phrases of the contract and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -48,7 +48,7 @@ TEMPLATES = [
     ("zlib", "this software is provided as is without any express or implied warranty", "provided as is without any express or implied warranty"),
 ]
 # Words too frequent in any text to tell that a notice may be near.
-FREQUENT = {"a", "all", "and", "any", "as", "by", "free", "in", "into", "is", "of", "or", "public", "the", "to", "use", "version", "want", "with", "without", "you"}
+FREQUENT = {"0", "1", "2", "3", "4", "general", "a", "all", "and", "any", "as", "by", "free", "in", "into", "is", "of", "or", "public", "the", "to", "use", "version", "want", "with", "without", "you"}
 RAREST, SHARE = 4, 0.5
 
 
@@ -89,7 +89,14 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     placed = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("word"))), lambda s: s["word"].isin(vocabulary))
     words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", alnum_words(F.coalesce("text", F.lit(""))).alias("w"))
     none = F.array().cast("array<struct<pos:int,word:string>>")
-    hits = words.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", F.lit(gates(templates))), placed(F.col("w"))).otherwise(none).alias("hits"))
+    # All that counts is near a gate word: no notice or phrase is longer than `reach` words, and each holds one.
+    gate, reach = gates(templates), max(len(split(t)) for _, t, _ in templates)
+
+    def near(h: Column) -> Column:
+        close = lambda at: F.filter(h, lambda x: F.exists(at, lambda p: F.abs(p - x["pos"]) <= reach))
+        return let(F.transform(F.filter(h, lambda x: x["word"].isin(gate)), lambda x: x["pos"]), close)
+
+    hits = words.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", F.lit(gate)), let(placed(F.col("w")), near)).otherwise(none).alias("hits"))
     table = materialize(hits, "licenses")  # one small row per document; read below for phrases and for templates
 
     def stands(phrase: str) -> Column:
