@@ -83,3 +83,51 @@ def test_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() >= 0
+
+
+CHECKED = [
+    ("CryptoRecognizer", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN3"),
+    ("CryptoRecognizer", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLz"),
+    ("CryptoRecognizer", "bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq", "bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdp"),
+    ("ItFiscalCodeRecognizer", "RSSMRA80A01H501U", "RSSMRA80A01H501A"),
+    ("ItVatCodeRecognizer", "00743110157", "00743110158"),
+    ("DeHealthInsuranceRecognizer", "A123456780", "A123456781"),
+    ("DeSocialSecurityRecognizer", "15070649C103", "15070649C104"),
+    ("KrBrnRecognizer", "124-81-00998", "124-81-00997"),
+    ("SgUenRecognizer", "53125226D", "53125226A"),
+    ("SePersonnummerRecognizer", "811218-9876", "811218-9875"),
+    ("MedicalLicenseRecognizer", "BB1388568", "BB1388567"),
+    ("InGstinRecognizer", "27AAPFU0939F1ZV", "99AAPFU0939F1ZV"),
+    ("ZaDriverLicenseRecognizer", "12345678AB", "123456789012"),
+    ("ZaCompanyRegistrationRecognizer", "2010/123456/07", "2099/123456/07"),
+    ("UkVehicleRegistrationRecognizer", "AB51 CDE", "AB45 CDE"),
+    ("KrDriverLicenseRecognizer", "11-20-123456-78", "27-20-123456-78"),
+    ("ZaIdNumberRecognizer", "8001015009087", "8013015009085"),
+]
+
+
+def test_national_checks(spark):
+    from veilspark.operators.recognizers import GENERIC, NATIONAL
+
+    by_name = {r.name: r for r in [*GENERIC, *NATIONAL]}
+    texts = [(n, t, want) for n, good, bad in CHECKED for t, want in ((good, True), (bad, False)) if t]
+    row = spark.createDataFrame([tuple(t for _, t, _ in texts)], ", ".join(f"c{i} string" for i in range(len(texts)))).select(*[by_name[n].validate(F.col(f"c{i}")).alias(f"r{i}") for i, (n, _, _) in enumerate(texts)]).first()
+    assert [(n, t, got) for (n, t, _), got in zip(texts, row, strict=True)] == texts
+
+
+def test_address_of_a_coin(spark):
+    assert [s[:4] for s in spans(spark, "pay 1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2 now", entities=["CRYPTO"])] == [("CRYPTO", 4, 38, 1.0)]
+    assert spans(spark, "pay 1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN3 now", entities=["CRYPTO"]) == []
+
+
+def test_every_pattern_compiles(spark):
+    from veilspark.operators.recognizers import NATIONAL
+    from veilspark.operators.scan import FLAGS
+
+    spark.createDataFrame([("a 1 ä",)], "text string").select(*[F.rlike(F.col("text"), F.lit(FLAGS + p)) for r in NATIONAL for p, _ in r.patterns]).collect()
+
+
+def test_labelled_numbers(spark):
+    reg = Registry(all_of_them=True)
+    found = spans(spark, "Rx #: 12345678 and claim no. CLM-1234567", registry=reg, entities=["US_PRESCRIPTION_NUMBER", "US_CLAIM_NUMBER"])
+    assert {s[:3] for s in found} == {("US_PRESCRIPTION_NUMBER", 6, 14), ("US_CLAIM_NUMBER", 29, 40)}

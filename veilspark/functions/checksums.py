@@ -69,3 +69,61 @@ def verhoeff(text: Column) -> Column:
     at = lambda table, i, j: F.element_at(F.element_at(F.lit(table), i + 1), j + 1)
     placed = F.transform(F.reverse(digits(text)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     return F.aggregate(placed, F.lit(0), lambda c, e: at(VERHOEFF_D, c, at(VERHOEFF_P, e["i"] % 8, e["x"]))) == 0
+
+
+def cross_sums(text: Column, weights: list[int]) -> Column:
+    """Sum over the first digits of tens plus units of digit times weight; null where there are fewer digits than weights."""
+    d = digits(text)
+    products = F.zip_with(F.slice(d, 1, len(weights)), F.lit(weights), lambda a, w: F.floor(a * w / 10).cast("int") + a * w % 10)
+    return F.when(F.size(d) >= len(weights), total(products))
+
+
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+ADDRESS_BYTES = 25
+
+
+def base58check(text: Column) -> Column:
+    """A 25-byte address in base 58, whose last four bytes begin the twofold SHA-256 of the others.
+
+    The number is held as 25 bytes, lowest first; each letter multiplies it by 58 and adds its value.
+    """
+    ranks = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(BASE58), c) - 1)
+
+    def append(number: Column, rank: Column) -> Column:
+        def carry(a: Column, byte: Column) -> Column:
+            v = byte * 58 + a["over"]
+            return F.struct(F.floor(v / 256).cast("int").alias("over"), F.concat(a["out"], F.array(v % 256)).alias("out"))
+
+        start = F.struct(rank.cast("int").alias("over"), F.array().cast("array<int>").alias("out"))
+        done = lambda a: F.struct(a["out"].alias("bytes"), (number["fits"] & (a["over"] == 0)).alias("fits"))
+        return F.aggregate(number["bytes"], start, carry, done)
+
+    zero = F.struct(F.array_repeat(F.lit(0), ADDRESS_BYTES).alias("bytes"), F.lit(True).alias("fits"))
+    result = lambda n: F.struct(F.array_join(F.transform(F.reverse(n["bytes"]), lambda b: F.lpad(F.hex(b), 2, "0")), "").alias("hexes"), n["fits"].alias("fits"))
+    number = F.aggregate(ranks, zero, append, result)
+
+    def verdict(n: Column) -> Column:
+        body, check = F.substring(n["hexes"], 1, 42), F.substring(n["hexes"], 43, 8)
+        twofold = F.upper(F.substring(F.sha2(F.unhex(F.sha2(F.unhex(body), 256)), 256), 1, 8))
+        zeros = F.length(F.regexp_extract(n["hexes"], "^((?:00)*)", 1)) == 2 * F.length(F.regexp_extract(text, "^(1*)", 1))
+        return n["fits"] & zeros & (twofold == check)
+
+    return F.when(text.rlike(f"^[{BASE58}]+$"), F.element_at(F.transform(F.array(number), verdict), 1)).otherwise(False)
+
+
+def bech32(text: Column) -> Column:
+    """A lower-case address that begins with bc1, whose BCH checksum is that of Bech32 (1) or Bech32m."""
+    # The generator's coefficients and the two checksums.
+    generator, good = [0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3], [1, 0x2BC830A3]
+    data = F.transform(F.filter(F.split(F.substring(text, 4, 90), ""), lambda c: c != ""), lambda c: F.instr(F.lit(BECH32), c) - 1)
+
+    def step(a: Column, v: Column) -> Column:
+        top = F.shiftright(a, 25)
+        out = F.shiftleft(a.bitwiseAND(F.lit(0x1FFFFFF).cast("long")), 5).bitwiseXOR(v.cast("long"))
+        for i, g in enumerate(generator):
+            out = out.bitwiseXOR(F.shiftright(top, i).bitwiseAND(F.lit(1).cast("long")) * F.lit(g).cast("long"))
+        return out
+
+    prefix = [3, 3, 0, 2, 3]  # "bc": the letters' high bits, 0, their low bits
+    return F.when(text.rlike(f"^bc1[{BECH32}]{{7,}}$"), F.aggregate(F.concat(F.lit(prefix), data), F.lit(1).cast("long"), step).isin(good)).otherwise(False)

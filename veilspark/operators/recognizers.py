@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import checksums as C
+from .countries import CRYPTO, MORE, kr_resident, national, za_id
 from .scan import Recognizer, deny_list
 
 R = Recognizer
@@ -98,6 +99,7 @@ def finnish(t: Column) -> Column:
 
 # Patterns, scores and context words, which results depend on.
 GENERIC = [
+    CRYPTO,
     R("CreditCardRecognizer", "CREDIT_CARD", ((r"\b(?!1\d{12}(?!\d))((4\d{3})|(5[0-5]\d{2})|(6\d{3})|(1\d{3})|(3\d{3}))[- ]?(\d{3,4})[- ]?(\d{3,4})[- ]?(\d{3,5})\b", 0.3),), ("credit", "card", "visa", "mastercard", "cc ", "amex", "discover", "jcb", "diners", "maestro", "instapayment"), C.luhn),
     R("DateRecognizer", "DATE_TIME", (
         (rf"\b({MONTH_}/{DAY_}/(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({DAY_}/{MONTH_}/(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b(\d{{4}}/{MONTH_}/{DAY_})\b", 0.6),
@@ -115,16 +117,12 @@ GENERIC = [
 ]
 
 
-def national(name: str, entity: str, country: str, patterns, context=(), validate=None, invalidate=None, languages=("en",), enabled=False) -> Recognizer:
-    return R(name, entity, tuple(patterns), tuple(context), validate, invalidate, languages, country, enabled)
-
-
 NATIONAL = [
     national("UsSsnRecognizer", "US_SSN", "us", [(r"\b([0-9]{5})-([0-9]{4})\b", 0.05), (r"\b([0-9]{3})-([0-9]{6})\b", 0.05), (r"\b(([0-9]{3})-([0-9]{2})-([0-9]{4}))\b", 0.05), (r"\b[0-9]{9}\b", 0.05), (r"\b([0-9]{3})[- .]([0-9]{2})[- .]([0-9]{4})\b", 0.5)], ["social", "security", "ssn", "ssns", "ssid"], None, ssn_bad, enabled=True),
     national("UsItinRecognizer", "US_ITIN", "us", [(r"\b9\d{2}(5\d|6[0-5]|7\d|8[0-8]|9([0-2]|[4-9]))\d{4}\b", 0.3), (r"\b9\d{2}[- ](5\d|6[0-5]|7\d|8[0-8]|9([0-2]|[4-9]))[- ]\d{4}\b", 0.5)], ["individual", "taxpayer", "itin", "tax", "payer", "taxid", "tin"], enabled=True),
     national("UsPassportRecognizer", "US_PASSPORT", "us", [(r"(\b[0-9]{9}\b)", 0.05), (r"(\b[A-Z][0-9]{8}\b)", 0.1)], ["us", "united", "states", "passport", "passport#", "travel", "document"], enabled=True),
     national("UsBankRecognizer", "US_BANK_NUMBER", "us", [(r"\b[0-9]{8,17}\b", 0.05)], ["check", "account", "account#", "acct", "bank", "save", "debit"], enabled=True),
-    national("AbaRoutingRecognizer", "ABA_ROUTING_NUMBER", "us", [(r"\b[0123678]\d{8}\b", 0.05), (r"\b[0123678]\d{3}-\d{4}-\d\b", 0.3)], ["aba", "routing", "abarouting", "association", "bankrouting"], aba, enabled=True),
+    national("AbaRoutingRecognizer", "ABA_ROUTING_NUMBER", "us", [(r"\b[0123678]\d{8}\b", 0.05), (r"\b[0123678]\d{3}-\d{4}-\d\b", 0.3)], ["aba", "routing", "abarouting", "association", "bankrouting"], aba),
     national("UsNpiRecognizer", "US_NPI", "us", [(r"\b[12]\d{9}\b", 0.1), (r"\b[12]\d{3}[ -]\d{3}[ -]\d{3}\b", 0.4)], ["npi", "national provider", "provider"], None, npi),
     national("NhsRecognizer", "UK_NHS", "uk", [(r"\b([0-9]{3})[- ]?([0-9]{3})[- ]?([0-9]{4})\b", 0.5)], ["national health service", "nhs", "health services authority", "health authority"], nhs, enabled=True),
     national("UkNinoRecognizer", "UK_NINO", "uk", [(r"\b(?!bg|gb|nk|kn|nt|tn|zz|BG|GB|NK|KN|NT|TN|ZZ)([a-ceghj-pr-tw-zA-CEGHJ-PR-TW-Z]{1}[a-ceghj-npr-tw-zA-CEGHJ-NPR-TW-Z]{1}) ?([0-9]{2}) ?([0-9]{2}) ?([0-9]{2}) ?([a-dA-D]{1})\b", 0.5)], ["national insurance", "ni number", "nino"]),
@@ -144,20 +142,21 @@ NATIONAL = [
     national("InPanRecognizer", "IN_PAN", "in", [(r"\b([A-Za-z]{3}[AaBbCcFfGgHhJjLlPpTt]{1}[A-Za-z]{1}[0-9]{4}[A-Za-z]{1})\b", 0.5), (r"\b([A-Za-z]{5}[0-9]{4}[A-Za-z]{1})\b", 0.1)], ["permanent account number", "pan"]),
     national("InPassportRecognizer", "IN_PASSPORT", "in", [(r"\b[A-Z][1-9]\d\s?\d{4}[1-9]\b", 0.1)], ["passport", "indian passport"]),
     national("InVoterRecognizer", "IN_VOTER", "in", [(r"\b([A-Za-z]{1}[ABCDGHJKMNPRSYabcdghjkmnprsy]{1}[A-Za-z]{1}([0-9]){7})\b", 0.4), (r"\b([A-Za-z]){3}([0-9]){7}\b", 0.3)], ["voter", "epic"]),
-    national("ItPassportRecognizer", "IT_PASSPORT", "it", [(r"(?i)\b[A-Z]{2}\d{7}\b", 0.01)], ["passaporto"], languages=("it",)),
-    national("KrRrnRecognizer", "KR_RRN", "kr", [(r"(?<!\d)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(-?)[1-4]\d{6}(?!\d)", 0.5)], ["rrn", "주민등록번호"], languages=("ko", "kr")),
+    national("ItPassportRecognizer", "IT_PASSPORT", "it", [(r"(?i)\b[A-Z]{2}\d{7}\b", 0.01)], ["passaporto"], languages=("it",), enabled=True),
+    national("KrRrnRecognizer", "KR_RRN", "kr", [(r"(?<!\d)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(-?)[1-4]\d{6}(?!\d)", 0.5)], ["rrn", "주민등록번호"], lambda t: kr_resident(t, 11), languages=("ko", "kr")),
     national("NgVehicleRegistrationRecognizer", "NG_VEHICLE_REGISTRATION", "ng", [(r"\b[A-Z]{3}[- ]?\d{3}[A-Z]{2}\b", 0.5)], ["plate", "vehicle"]),
     national("NgNinRecognizer", "NG_NIN", "ng", [(r"\b\d{11}\b", 0.01)], ["nin", "nimc"], C.verhoeff),
-    national("PlPeselRecognizer", "PL_PESEL", "pl", [(r"[0-9]{2}([02468][1-9]|[13579][012])(0[1-9]|1[0-9]|2[0-9]|3[01])[0-9]{5}", 0.4)], ["pesel"], pesel, languages=("pl",)),
+    national("PlPeselRecognizer", "PL_PESEL", "pl", [(r"[0-9]{2}([02468][1-9]|[13579][012])(0[1-9]|1[0-9]|2[0-9]|3[01])[0-9]{5}", 0.4)], ["pesel"], pesel, languages=("pl",), enabled=True),
     national("PhUmidRecognizer", "PH_UMID", "ph", [(r"\b\d{4}-\d{7}-\d\b", 0.5), (r"\b\d{12}\b", 0.3)], ["umid", "crn"]),
     national("SgFinRecognizer", "SG_NRIC_FIN", "sg", [(r"(?i)(\b[A-Z][0-9]{7}[A-Z]\b)", 0.3), (r"(?i)(\b[STFGM][0-9]{7}[A-Z]\b)", 0.5)], ["fin", "nric"]),
-    national("EsNifRecognizer", "ES_NIF", "es", [(r"\b[0-9]?[0-9]{7}[-]?[A-Z]\b", 0.5)], ["documento nacional de identidad", "dni", "nif"], nif, languages=("es",)),
-    national("EsNieRecognizer", "ES_NIE", "es", [(r"\b[X-Z]?[0-9]?[0-9]{7}[-]?[A-Z]\b", 0.5)], ["nie"], nie, languages=("es",)),
+    national("EsNifRecognizer", "ES_NIF", "es", [(r"\b[0-9]?[0-9]{7}[-]?[A-Z]\b", 0.5)], ["documento nacional de identidad", "dni", "nif"], nif, languages=("es",), enabled=True),
+    national("EsNieRecognizer", "ES_NIE", "es", [(r"\b[X-Z]?[0-9]?[0-9]{7}[-]?[A-Z]\b", 0.5)], ["nie"], nie, languages=("es",), enabled=True),
     national("SeOrganisationsnummerRecognizer", "SE_ORGANISATIONSNUMMER", "se", [(r"\b\d{6}[-]?\d{4}\b", 0.6)], ["organisationsnummer"], C.luhn, languages=("sv",)),
     national("ThTninRecognizer", "TH_TNIN", "th", [(r"\b[1-9](?:[134][0-9]|2[0-7]|5[0-8]|[67][01234567]|[89][0123456])\d{10}\b", 0.5)], ["thai national id"], thai, languages=("th",)),
     national("TrNationalIdRecognizer", "TR_NATIONAL_ID", "tr", [(r"\b[1-9][0-9]{10}\b", 0.3)], ["tckn", "kimlik"], tckn, languages=("tr",)),
-    national("ZaIdNumberRecognizer", "ZA_ID_NUMBER", "za", [(r"\b\d{10}[0-2][89]\d\b", 0.2)], ["id number", "identity"], C.luhn),
+    national("ZaIdNumberRecognizer", "ZA_ID_NUMBER", "za", [(r"\b\d{10}[0-2][89]\d\b", 0.2)], ["id number", "identity"], za_id),
     national("ZaPassportRecognizer", "ZA_PASSPORT", "za", [(r"\b[ADMT]\d{8}\b", 0.2)], ["passport"]),
+    *MORE,
 ]
 
 

@@ -78,13 +78,17 @@ def scan(text: Column, use: list[Recognizer], flags: str = FLAGS) -> Column:
         return F.flatten(F.transform(able, one))
 
     def checked(s: Column) -> Column:
-        score, found = s["score"], surface(text, s)
-        for r in use:
-            mine = s["recognizer"] == r.name
-            if r.validate is not None:
-                score = F.when(mine, F.when(r.validate(found), 1.0).when(r.validate(found).isNull(), s["score"]).otherwise(0.0)).otherwise(score)
-            if r.invalidate is not None:
-                score = F.when(mine & r.invalidate(found), 0.0).otherwise(score)
+        def verdict(found: Column) -> Column:
+            score = s["score"]
+            for r in use:
+                mine = s["recognizer"] == r.name
+                if r.validate is not None:  # true is 1, false 0, null keeps the score
+                    score = F.when(mine, F.coalesce(r.validate(found).cast("double"), s["score"])).otherwise(score)
+                if r.invalidate is not None:
+                    score = F.when(mine & r.invalidate(found), 0.0).otherwise(score)
+            return score
+
+        score = let(surface(text, s), verdict)
         return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), score.cast("double").alias("score"), s["recognizer"].alias("recognizer"))
 
     parts = [F.transform(let(F.array(*[F.rlike(text, F.lit(g)) for g in gates]), walk).cast(SPAN), checked).cast(SPAN)] if rows else []
