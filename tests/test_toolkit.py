@@ -59,6 +59,22 @@ def test_chunks(spark):
     assert got[0].start == 0 and got[-1].end == len(text) and all(a.end > b.start for a, b in zip(got, got[1:]))
 
 
+def test_chunks_by_brute_force(spark):
+    def slow(t, size, overlap):
+        out, at = [], 0
+        while at < len(t):
+            end = next((i for i in range(min(at + size, len(t)), len(t)) if t[i] in " \n"), len(t))
+            out.append((at, end))
+            at = len(t) if end == len(t) else next((i for i in range(end - overlap, end) if t[i] in " \n"), end)
+        return out
+
+    texts = ["", "x" * 700, "ä€😀 bc\ndefgh i " * 40, " " * 300, "word " * 200, "y" * 250 + " z"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for size, overlap in ((250, 50), (10, 3), (7, 0)):
+        got = [[tuple(c) for c in r.c] for r in df.select(chunks(F.col("t"), size, overlap).alias("c")).collect()]
+        assert got == [*[slow(t, size, overlap) for t in texts], []]
+
+
 def test_span_algebra(spark):
     rows = {r.name: r for r in catalog.QUERIES["span_algebra"](spark, DATA).collect()}
     assert rows["contained"].contained == "A:2-5:0.9 A:0-10:0.5 B:2-5:0.1"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recognizers import Registry
-from .scan import FLAGS, SPAN, Recognizer, let, places, scan, surface
+from .scan import FLAGS, SPAN, Recognizer, let, scan, surface
 from .spans import without_contained
 
 # Words that are no keywords, so neither help nor count in the window before a span.
@@ -83,21 +83,28 @@ def findings(df: DataFrame, column: str, keys: list[str], **options) -> DataFram
 
 
 def chunks(text: Column, size: int = 250, overlap: int = 50) -> Column:
-    """Array of (start, end): windows over a text; each ends at the next blank after `size` characters and the next begins `overlap` before it, moved to a blank."""
+    """Array of (start, end): windows over a text; each ends at the next blank after `size` characters and the next begins at the first blank of its last `overlap` characters, or at its end."""
     if overlap >= size:
         raise ValueError("windows overlap by less than their size")
-    blanks = F.transform(places(text, r"[ \n]"), lambda p: p["start"])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(a: Column, _: Column) -> Column:
-        n = F.length(text)
-        end = F.when(a["at"] + size >= n, n).otherwise(F.coalesce(F.array_min(F.filter(blanks, lambda b: b >= a["at"] + size)), n))
-        begin = F.coalesce(F.array_min(F.filter(blanks, lambda b: b >= end - overlap)), end)
-        nxt = F.when(end >= n, n).otherwise(F.greatest(F.least(begin + 1, end), a["at"] + 1))
-        return F.when(a["at"] >= n, a).otherwise(F.struct(nxt.alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end")))).alias("out")))
-
-    most = F.sequence(F.lit(0), F.floor(F.length(text) / (size - overlap)).cast("int") + 1)
-    return F.when(F.length(text) > 0, F.aggregate(most, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    kind = "array<struct<start:int,end:int>>"
+
+    def windows(d: Column) -> Column:
+        def blank(at: Column) -> Column:  # the first blank from there, or the text's end
+            return F.coalesce(F.nullif(F.call_function("locate", F.lit(" "), d["flat"], at + 1), F.lit(0)) - 1, d["n"])
+
+        def step(a: Column, _: Column) -> Column:
+            def add(end: Column) -> Column:
+                nxt = F.when(end >= d["n"], d["n"]).otherwise(F.least(blank(end - overlap), end))
+                return F.struct(nxt.alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end")))).alias("out"))
+
+            return F.when(a["at"] >= d["n"], a).otherwise(let(blank(F.least(a["at"] + size, d["n"])), add))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        most = F.sequence(F.lit(0), F.floor(d["n"] / (size - overlap)).cast("int") + 1)
+        return F.aggregate(most, start, step, lambda a: a["out"])
+
+    flat = F.struct(F.translate(text, "\n", " ").alias("flat"), F.length(text).alias("n"))
+    return F.when(F.length(text) > 0, let(flat, windows)).otherwise(F.array().cast(kind))
 
 
 def sanitize(text: Column, pairs: list[tuple[str, str]]) -> Column:
