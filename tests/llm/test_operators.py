@@ -143,6 +143,51 @@ def test_kneser_ney(spark):
     assert lm.score_documents(docs(spark, [])).count() == 0
 
 
+def test_kneser_ney_of_order_3(spark):
+    rng = random.Random(4)
+    made = [" ".join(rng.choices("abcdef", [9, 6, 4, 2, 1, 1], k=rng.randrange(12))) for _ in range(60)]
+    made += ["a b c " * 300 + "x", None, "", "a", "unseen", "a b unseen a b c"]
+    texts = [*enumerate(made), (None, "a"), (3, "a b"), (3, "a b")]
+    begin, uni, bi, tri = b"begin ", Counter(), Counter(), Counter()
+    for i, t in texts:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
+            w = [begin, *lm.words(t)]
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+            tri.update(zip(w, w[1:], w[2:]))
+    assert max(tri.values()) > 254
+    n, v, two, after = len(bi), len(uni), Counter({k: c for k, c in bi.items() if k[0] == begin}), Counter(b for _, b in bi)
+    two.update((b, c) for _, b, c in tri)
+    f, d, e = (lm.discounts([list(x.values()).count(k) for k in (1, 2, 3, 4)]) for x in (tri, two, after))
+    assert len({tuple(x) for x in (f, d, e)}) == 3
+
+    def step(counts, d, context, x, low):
+        mine = {k[-1]: c for k, c in counts.items() if k[:-1] == context}
+        held = sum(mine.values())
+        return (mine.get(x, 0) - d[min(mine.get(x, 0), 3)] + sum(d[min(c, 3)] for c in mine.values()) * low) / held if held else low
+
+    def p(context, x):
+        low = (after[x] - e[min(after[x], 3)]) / n + sum(e[min(c, 3)] for c in after.values()) / n / (v + 1)
+        low = step(two, d, context[-1:], x, low)
+        return step(tri, f, context, x, low) if len(context) == 2 else low
+
+    for context in ((begin,), (begin, b"a"), (b"a", b"b"), (b"c", b"unseen")):
+        assert sum(p(context, x) for x in [*uni, b"? ?"]) == pytest.approx(1)
+    known, want = {}, []
+    for i, t in texts:
+        w = [begin, *lm.words(t)]
+        for k in range(1, len(w)):
+            c = tuple(w[max(0, k - 2) : k])
+            if (c, w[k]) not in known:
+                known[c, w[k]] = math.log10(p(c, w[k]))
+        want.append((i or -1, len(w) - 1, sum(known[tuple(w[max(0, k - 2) : k]), w[k]] for k in range(1, len(w)))))
+    got = sorted((r.doc_id or -1, r.n_tokens, r.score) for r in lm.score_documents(docs(spark, texts), order=3).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a == pytest.approx(b)
+    assert lm.score_documents(docs(spark, []), order=3).count() == 0
+    assert {r.score for r in lm.score_documents(docs(spark, [(i, "a b") for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1]), order=3).collect()} == {0.0}
+
+
 def test_language_id(spark):
     words = {"en": "the of and to in that was".split(), "fr": "le la des que dans pour était".split()}
     rng = random.Random(2)

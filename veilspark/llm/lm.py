@@ -1,16 +1,21 @@
 """Scoring by an interpolated modified Kneser-Ney model.
 
-The model is a bigram model with begin and end of text. Counting runs in Spark: tasks count what they read,
+The model has order 2 or 3, with begin and end of text. Counting runs in Spark: tasks count what they read,
 pack the distinct keys of each hash bucket into one sorted array, and only those arrays are shuffled; a bucket's
 task merges its arrays and stores them, sorted, as files in the shared folder. Buckets are cut by hash, so no
 frequent word makes one heavy, and their number follows the input. Workers map the files into memory and look
 keys up by binary search; the driver holds sizes and counts of counts alone.
 
-Passes over the texts: word counts (their order gives each word its number), bigram counts, scores.
+Passes over the texts: word counts (their order gives each word its number), bigram counts (their order gives
+each bigram its place), trigram counts, scores. A trigram's key joins the places of its two bigrams, so that it
+leads to the bigram before its last word and to that after its first. At order 3 a bigram counts as often as
+different words precede it; one at the begin of a text, which nothing precedes, as often as it occurs, and a
+text's first token is scored by bigrams.
 """
 
 from __future__ import annotations
 
+import ctypes
 import mmap
 import tempfile
 from collections import Counter
@@ -23,13 +28,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, new_dir
+from .common import drop_table, filesystem, materialize, new_dir
 
-#: Bytes of text to a bucket; distinct words that a worker remembers; rows, and bigrams, that it handles at once.
-BUCKET_BYTES, REMEMBER, ROWS, HELD = 64_000_000, 400_000, 1000, 4_000_000
+#: Bytes of text to a bucket; distinct words that a worker remembers; rows, and bigrams or trigrams, that it handles at once.
+BUCKET_BYTES, REMEMBER, ROWS, HELD = 64_000_000, 400_000, 1000, 1_000_000
+#: Keys in a packed row: rows stay under half a megabyte, which the JVM's collector moves easily.
+PACKED = 40_000
+#: Smaller files are read and not mapped, as a process can hold some 65,000 maps.
+SMALL = 1 << 16
 #: A text's last token; as it holds a blank, no word equals it.
 END = b" end"
 UNKNOWN = np.int64(-1)
+#: Stands for a key with an unknown part; numbers stay below 2 ** 32 - 1, so no key equals it.
+NO_KEY = np.uint64((1 << 64) - 1)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -65,6 +76,14 @@ def mix(keys: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def give_back() -> None:
+    """Returns the memory that a finished step freed to the system; a worker lives on, idle, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def save(folder: str, name: str, *arrays: np.ndarray) -> None:
     """Each array as a file of its own; written beside and renamed, so that a task that runs again does no harm."""
     store, root = filesystem(folder)
@@ -82,13 +101,68 @@ def load(folder: str, name: str, k: int, kind) -> np.ndarray:
     path = f"{root}/{name}.{k}"
     if store.type_name == "local":
         with open(path, "rb") as f:
-            f.seek(0, 2)
-            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), kind) if f.tell() else np.zeros(0, kind)
+            if f.seek(0, 2) < SMALL:
+                f.seek(0)
+                return np.frombuffer(f.read(), kind)
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), kind)
     with tempfile.TemporaryFile() as f, store.open_input_stream(path, compression=None) as source:
         while part := source.read(1 << 24):
             f.write(part)
         f.flush()
-        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), kind) if f.tell() else np.zeros(0, kind)
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), kind) if f.tell() else np.zeros(0, kind)
+
+
+def narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in a byte each; where they are 255 or more, their places and values beside."""
+    big = np.flatnonzero(counts > 254)
+    return np.minimum(counts, 255).astype(np.uint8), big.astype(np.int64), counts[big].astype(np.uint32)
+
+
+@dataclass
+class Grams:
+    """Keys in buckets by hash, sorted in each, with narrow columns; a key's place counts through the buckets."""
+
+    folder: str
+    name: str
+    sizes: list[int]  # keys in each bucket
+
+    def __post_init__(self):
+        self.begin = np.cumsum([0, *self.sizes])
+        self.arrays: dict[tuple, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "name": self.name, "sizes": self.sizes}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def array(self, name: str, bucket: int, k: int, kind) -> np.ndarray:
+        if (name, bucket, k) not in self.arrays:
+            self.arrays[name, bucket, k] = load(self.folder, f"{name}-{bucket}", k, kind)
+        return self.arrays[name, bucket, k]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key (best in order), UNKNOWN where absent."""
+        out = np.full(len(keys), UNKNOWN)
+        for b, at in split(hashed(keys, len(self.sizes))):
+            if self.sizes[b]:
+                out[at] = found(self.array(self.name, b, 0, np.uint64), keys[at], self.begin[b])
+        return out
+
+    def column(self, places: np.ndarray, name: str = "", k: int = 1) -> np.ndarray:
+        """Values, at the places, of the narrow column that begins with the k-th file of that name; 0 where UNKNOWN."""
+        out, name = np.zeros(len(places), np.int64), name or self.name
+        for b, at in split(np.searchsorted(self.begin, places, "right") - 1):
+            if b < 0:
+                continue
+            row = places[at] - self.begin[b]
+            value = self.array(name, b, k, np.uint8)[row].astype(np.int64)
+            big = np.flatnonzero(value == 255)
+            if len(big):
+                value[big] = self.array(name, b, k + 2, np.uint32)[np.searchsorted(self.array(name, b, k + 1, np.int64), row[big])]
+            out[at] = value
+        return out
 
 
 @dataclass
@@ -146,6 +220,19 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def hashed(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
+
+
+def split(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each bucket with the places where it stands, in order."""
+    if not len(bucket):
+        return []
+    order = np.argsort(bucket.astype(np.int16) if bucket.max() < 1 << 15 else bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[at[0]]), at) for at in np.split(order, cuts)]
+
+
 def found(keys: np.ndarray, wanted: np.ndarray, begin: int = 0) -> np.ndarray:
     """Places of wanted in the sorted keys, plus begin; UNKNOWN where absent."""
     if not len(keys):
@@ -159,10 +246,11 @@ def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
-    """A row for each bucket with its keys (in order) and counts packed."""
+    """Rows for each bucket with its keys (in order) and counts packed, PACKED at most in a row."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
-    return [(int(bucket[part[0]]), pack(columns[0][part], columns[1][part])) for part in np.split(order, cuts[1:])] if len(order) else []
+    pieces = [part[i : i + PACKED] for part in np.split(order, cuts[1:]) for i in range(0, len(part), PACKED)] if len(order) else []
+    return [(int(bucket[part[0]]), pack(columns[0][part], columns[1][part])) for part in pieces]
 
 
 def count_words(texts: DataFrame, buckets: int, folder: str) -> Vocabulary:
@@ -215,10 +303,55 @@ def joined(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
 
 
-def count_bigrams(texts: DataFrame, vocabulary: Vocabulary, buckets: int, folder: str) -> tuple[list[int], DataFrame]:
-    """Stores the bigrams; (how many occur once, twice, three and four times, parts of the statistics by word)."""
-    if len(vocabulary) >= (1 << 32) - 1:
-        raise ValueError("more words than 32 bits can number")
+STATISTICS = "kind string, part int, data binary"
+
+
+def table_of(rows: list[tuple[str, int, bytes]]) -> pa.Table:
+    return pa.table({"kind": pa.array([r[0] for r in rows], pa.string()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def sizes_of(bucket: int, counts: np.ndarray) -> tuple[str, int, bytes]:
+    """How many keys a bucket has, and how many of them occur once, twice, three and four times."""
+    return ("of", bucket, np.array([len(counts), *((counts == k).sum() for k in (1, 2, 3, 4))], np.int64).tobytes())
+
+
+def ranked(before: np.ndarray, after: np.ndarray, counts: np.ndarray, begin: np.ndarray, total: bool = False) -> list[tuple[str, int, bytes]]:
+    """Statistics by number, packed by the ranges that begin holds: as context, followers seen once, twice, more often
+    (and, with total, the sum of their counts); as what comes after, how many different ones precede."""
+    rows, cuts = [], begin[1:-1]
+
+    def add(kind: str, ids: np.ndarray, n: np.ndarray) -> None:
+        rows.extend((kind, b, data) for b, data in by_bucket(np.searchsorted(cuts, ids, "right"), ids.astype(np.uint64), n))
+
+    for kind, which, chosen in (("one", before, counts == 1), ("two", before, counts == 2), ("more", before, counts > 2), ("after", after, counts > 0)):
+        add(kind, *np.unique(which[chosen], return_counts=True))
+    if total:
+        ids, at = np.unique(before, return_inverse=True)
+        add("total", ids, np.bincount(at, counts, len(ids)))
+    return rows
+
+
+def summed(group: pa.Table, kind: str, begin: int, n: int) -> np.ndarray:
+    out = np.zeros(n, np.uint32)
+    for k, data in zip(group.column("kind"), group.column("data"), strict=True):
+        if k.as_py() == kind:
+            ids, counts = unpack(data.as_py())
+            out[ids.astype(np.int64) - begin] += counts.astype(np.uint32)
+    return out
+
+
+def sizes_in(stats: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+    """(Keys in each bucket, how many keys occur once, twice, three and four times.)"""
+    sizes, occur = [0] * buckets, np.zeros(4, np.int64)
+    for r in stats.where("kind = 'of'").select("part", "data").collect():  # a row for each bucket
+        n, *of = np.frombuffer(r.data, np.int64)
+        sizes[r.part] = int(n)
+        occur += of
+    return sizes, occur.tolist()
+
+
+def count_grams(texts: DataFrame, name: str, buckets: int, folder: str, keys_of, statistics) -> DataFrame:
+    """Stores the keys that keys_of(texts) gives, and their counts; the rows of statistics(keys, counts) and of sizes_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -226,13 +359,15 @@ def count_bigrams(texts: DataFrame, vocabulary: Vocabulary, buckets: int, folder
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return packed(by_bucket((mix(keys) % np.uint64(buckets)).astype(np.int64), keys, n))
+            rows = by_bucket(hashed(keys, buckets), keys, n)
+            del keys, n
+            give_back()
+            return packed(rows)
 
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
-                before, now, _ = events(vocabulary, b.column(0).slice(i, ROWS).to_pylist())
-                held.append(joined(before, now))
-                size += len(now)
+                held.append(keys_of(b.column(0).slice(i, ROWS).to_pylist()))
+                size += len(held[-1])
                 if size > HELD:
                     yield flush()
                     size = 0
@@ -241,39 +376,80 @@ def count_bigrams(texts: DataFrame, vocabulary: Vocabulary, buckets: int, folder
 
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
         keys, counts = merged([unpack(x) for x in group.column("data").to_pylist()])
-        save(folder, f"pairs-{key[0].as_py()}", keys, counts.astype(np.uint32))
-        before, now = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cuts = vocabulary.begin[1:-1]
-        rows = [("of", -1, np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
-        # Statistics of a word: as context, followers seen once, twice, more often; as token, what it follows.
-        for kind, which, chosen in (("one", before, counts == 1), ("two", before, counts == 2), ("more", before, counts > 2), ("after", now, counts > 0)):
-            ids, n = np.unique(which[chosen], return_counts=True)
-            rows += [(kind, b, data) for b, data in by_bucket(np.searchsorted(cuts, ids, "right"), ids.astype(np.uint64), n)]
-        return pa.table({"kind": [r[0] for r in rows], "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+        save(folder, f"{name}-{key[0].as_py()}", keys, *narrow(counts))
+        rows = [sizes_of(key[0].as_py(), counts), *statistics(keys, counts)]
+        del keys, counts, group
+        give_back()
+        return table_of(rows)
 
     parts = texts.select("text").mapInArrow(run, "bucket int, data binary")
-    stats = materialize(parts.groupBy("bucket").applyInArrow(reduce, "kind string, part int, data binary"), "lm-statistics")
-    occur = np.zeros(4, np.int64)
-    for r in stats.where("kind = 'of'").select("data").collect():  # a row for each bucket
-        occur += np.frombuffer(r.data, np.int64)
-    return occur.tolist(), stats
+    return materialize(parts.groupBy("bucket").applyInArrow(reduce, STATISTICS), f"lm-{name}")
+
+
+def halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def count_bigrams(texts: DataFrame, vocabulary: Vocabulary, buckets: int, folder: str, order: int) -> tuple[Grams, list[int], DataFrame]:
+    """Stores the bigrams; (they, how many occur once, twice, three and four times, parts of the statistics by word)."""
+    if len(vocabulary) >= (1 << 32) - 1:
+        raise ValueError("more words than 32 bits can number")
+    statistics = lambda keys, counts: ranked(*halves(keys), counts, vocabulary.begin) if order == 2 else []
+    stats = count_grams(texts, "pairs", buckets, folder, lambda rows: joined(*events(vocabulary, rows)[:2]), statistics)
+    sizes, occur = sizes_in(stats, buckets)
+    return Grams(folder, "pairs", sizes), occur, stats
+
+
+def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, buckets: int, folder: str) -> tuple[Grams, list[int], DataFrame]:
+    """Stores the trigrams; (they, how many occur once, twice, three and four times, parts of the statistics by bigram)."""
+    if pairs.begin[-1] >= (1 << 32) - 1:
+        raise ValueError("more bigrams than 32 bits can number")
+
+    def keys_of(rows: list[str | None]) -> np.ndarray:
+        before, now, begin = events(vocabulary, rows)
+        keys, at = np.unique(joined(before, now), return_inverse=True)
+        place = pairs.places(keys)[at]
+        return np.delete(joined(np.roll(place, 1), place), begin)
+
+    stats = count_grams(texts, "triples", buckets, folder, keys_of, lambda keys, counts: ranked(*halves(keys), counts, pairs.begin))
+    sizes, occur = sizes_in(stats, buckets)
+    return Grams(folder, "triples", sizes), occur, stats
+
+
+def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, folder: str) -> tuple[list[int], DataFrame]:
+    """Stores, by bigram, followers seen once, twice, more often and the count at order 3; (counts of counts of the last,
+    parts of the statistics by word that come from it)."""
+
+    def reduce(key: tuple, group: pa.Table) -> pa.Table:
+        b = key[0].as_py()
+        if not pairs.sizes[b]:
+            return table_of([])
+        n, begin = pairs.sizes[b], int(pairs.begin[b])
+        seen = [x for kind in ("one", "two", "more") for x in narrow(summed(group, kind, begin, n))]
+        before, now = halves(load(folder, f"pairs-{b}", 0, np.uint64))
+        counts = summed(group, "after", begin, n).astype(np.int64)
+        first = np.flatnonzero(before == len(vocabulary))
+        counts[first] = pairs.column(first + begin)
+        save(folder, f"after-{b}", *seen, *narrow(counts))
+        rows = [sizes_of(b, counts), *ranked(before, now, counts, vocabulary.begin, True)]
+        del before, now, counts, seen, group
+        give_back()
+        return table_of(rows)
+
+    each = stats.sparkSession.range(len(pairs.sizes)).select(F.lit("none").alias("kind"), F.col("id").cast("int").alias("part"), F.lit(b"").alias("data"))
+    out = materialize(stats.where("kind <> 'of'").unionByName(each).groupBy("part").applyInArrow(reduce, STATISTICS), "lm-after")
+    return sizes_in(out, len(pairs.sizes))[1], out
 
 
 def word_statistics(stats: DataFrame, vocabulary: Vocabulary, folder: str) -> tuple[list[int], int]:
-    """Stores, by word number, followers seen once, twice, more often and predecessors; (counts of counts, and sum, of the last)."""
+    """Stores, by word number, followers seen once, twice, more often, predecessors, and at order 3 the sum of the bigrams'
+    counts; (counts of counts, and sum, of the predecessors)."""
 
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
         part = key[0].as_py()
         begin = int(vocabulary.begin[part])
         n = int(vocabulary.begin[part + 1]) - begin + (part == len(vocabulary.sizes) - 1)  # the last has the begin of text too
-        out = []
-        for kind in ("one", "two", "more", "after"):
-            total = np.zeros(n, np.uint32)
-            for k, data in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True):
-                if k == kind:
-                    ids, counts = unpack(data)
-                    total[ids.astype(np.int64) - begin] += counts
-            out.append(total)
+        out = [summed(group, kind, begin, n) for kind in ("one", "two", "more", "after", "total")]
         save(folder, f"stats-{part}", *out)
         return pa.table({"part": pa.array([part], pa.int32()), "of": pa.array([np.array([(out[3] == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()]), "total": [int(out[3].sum())], "more": [int((out[3] > 2).sum())]})
 
@@ -281,7 +457,7 @@ def word_statistics(stats: DataFrame, vocabulary: Vocabulary, folder: str) -> tu
     have = {r.part for r in rows}
     for b in range(len(vocabulary.sizes)):
         if b not in have:
-            save(folder, f"stats-{b}", *[np.zeros(vocabulary.sizes[b] + (b == len(vocabulary.sizes) - 1), np.uint32)] * 4)
+            save(folder, f"stats-{b}", *[np.zeros(vocabulary.sizes[b] + (b == len(vocabulary.sizes) - 1), np.uint32)] * 5)
     of = sum((np.frombuffer(r.of, np.int64) for r in rows), np.zeros(4, np.int64))
     return [*of.tolist(), sum(r.more for r in rows)], sum(r.total for r in rows)
 
@@ -299,15 +475,16 @@ def discounts(of: list[int]) -> np.ndarray:
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    buckets: int
+    pairs: Grams
+    triples: Grams | None  # at order 3
+    of_triples: list[int]
     of_pairs: list[int]
     of_after: list[int]
     total_after: int
 
     def mapped(self) -> Model:
-        self.pairs: dict[tuple[int, int], np.ndarray] = {}
         self.stats: dict[tuple[int, int], np.ndarray] = {}
-        self.d_pair, self.d_word = discounts(self.of_pairs), discounts(self.of_after)
+        self.d_triple, self.d_pair, self.d_word = discounts(self.of_triples), discounts(self.of_pairs), discounts(self.of_after)
         return self
 
     def statistic(self, k: int, numbers: np.ndarray) -> np.ndarray:
@@ -321,21 +498,8 @@ class Model:
             out[at] = self.stats[int(b), k][numbers[at] - v.begin[b]]
         return out
 
-    def occurrences(self, keys: np.ndarray) -> np.ndarray:
-        out, bucket = np.zeros(len(keys), np.int64), (mix(keys) % np.uint64(self.buckets)).astype(np.int64)
-        for b in range(self.buckets):
-            at = np.flatnonzero(bucket == b)
-            if not len(at):
-                continue
-            for k, kind in ((0, np.uint64), (1, np.uint32)):
-                if (b, k) not in self.pairs:
-                    self.pairs[b, k] = load(self.vocabulary.folder, f"pairs-{b}", k, kind)
-            place = found(self.pairs[b, 0], keys[at])
-            out[at] = np.where(place >= 0, self.pairs[b, 1][np.maximum(place, 0)] if len(self.pairs[b, 1]) else 0, 0)
-        return out
-
-    def log10(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each token after the one before it."""
+    def log10(self, before: np.ndarray, now: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token after the one before it, or the two; begin: where each text begins."""
         v = len(self.vocabulary)
         words, word_at = np.unique(now, return_inverse=True)
         after = self.statistic(3, words)
@@ -345,30 +509,49 @@ class Model:
         contexts, context_at = np.unique(before, return_inverse=True)
         seen = [self.statistic(k, contexts) for k in range(3)]
         mass = sum(self.d_pair[k + 1] * s for k, s in enumerate(seen))
-        if v in contexts:  # texts, so ends, are as many as begins
-            end = self.vocabulary.numbers([END])
-        held = self.vocabulary.counts(np.where(contexts == v, UNKNOWN, contexts))
-        if v in contexts:
-            held = np.where(contexts == v, self.vocabulary.counts(end)[0], held)
+        if self.triples:
+            held = self.statistic(4, contexts)
+        else:
+            held = self.vocabulary.counts(np.where(contexts == v, UNKNOWN, contexts))
+            if v in contexts:  # texts, so ends, are as many as begins
+                held = np.where(contexts == v, self.vocabulary.counts(self.vocabulary.numbers([END]))[0], held)
         gamma = np.where(held > 0, mass / np.maximum(held, 1), 1.0)[context_at]
         held = np.maximum(held, 1)[context_at]
-        keys, key_at = np.unique(joined(np.maximum(before, 0), np.maximum(now, 0)), return_inverse=True)
-        n = self.occurrences(keys)[key_at]
-        n = np.where((before < 0) | (now < 0), 0, n)
-        return np.log10((n - self.d_pair[np.minimum(n, 3)]) / held + gamma * lower)
-
-
-def train(texts: DataFrame) -> Model:
+        keys, key_at = np.unique(np.where((before < 0) | (now < 0), NO_KEY, joined(before, now)), return_inverse=True)
+        place = self.pairs.places(keys)
+        occur = self.pairs.column(place)
+        n = (self.pairs.column(place, "after", 9) if self.triples else occur)[key_at]
+        lower = (n - self.d_pair[np.minimum(n, 3)]) / held + gamma * lower
+        if not self.triples:
+            return np.log10(lower)
+        mass = sum(self.d_triple[k + 1] * self.pairs.column(place, "after", 3 * k) for k in range(3))
+        context_at = np.roll(key_at, 1)  # a token's context is the bigram that ends before it; the first of a text has none
+        held = occur[context_at]
+        held[begin] = 0
+        gamma = np.where(held > 0, mass[context_at] / np.maximum(held, 1), 1.0)
+        left, right = place[context_at], place[key_at]
+        keys, key_at = np.unique(np.where((held == 0) | (right < 0), NO_KEY, joined(left, right)), return_inverse=True)
+        n = self.triples.column(self.triples.places(keys))[key_at]
+        return np.log10((n - self.d_triple[np.minimum(n, 3)]) / np.maximum(held, 1) + gamma * lower)
+
+
+def train(texts: DataFrame, order: int = 2) -> Model:
     """A model from all rows of texts (text)."""
+    if order not in (2, 3):
+        raise ValueError("order 2 or 3")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder, buckets = new_dir(texts.sparkSession, "lm"), max(1, -(-size // BUCKET_BYTES))
     vocabulary = count_words(texts, buckets, folder)
-    of_pairs, stats = count_bigrams(texts, vocabulary, buckets, folder)
-    for b in range(buckets):  # buckets without a bigram have no file yet
-        store, root = filesystem(folder)
-        if store.get_file_info(f"{root}/pairs-{b}.0").type.name == "NotFound":
-            save(folder, f"pairs-{b}", np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-    return Model(vocabulary, buckets, of_pairs, *word_statistics(stats, vocabulary, folder))
+    if order == 2:
+        pairs, of_pairs, stats = count_bigrams(texts, vocabulary, buckets, folder, order)
+        return Model(vocabulary, pairs, None, [0] * 4, of_pairs, *word_statistics(stats, vocabulary, folder))
+    pairs, _, stats = count_bigrams(texts, vocabulary, 4 * buckets, folder, order)
+    triples, of_triples, by_pair = count_trigrams(texts, vocabulary, pairs, 8 * buckets, folder)
+    of_pairs, by_word = bigram_statistics(by_pair, vocabulary, pairs, folder)
+    out = Model(vocabulary, pairs, triples, of_triples, of_pairs, *word_statistics(by_word, vocabulary, folder))
+    for used in (stats, by_pair, by_word):
+        drop_table(used)
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -384,7 +567,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 words, at = np.unique(now, return_inverse=True)
                 c = m.vocabulary.counts(words)[at]
                 base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-                sums = [np.add.reduceat(x, begin) for x in (np.ones(len(now), np.int64), (c > 0).astype(np.int64), base, m.log10(before, now))]
+                sums = [np.add.reduceat(x, begin) for x in (np.ones(len(now), np.int64), (c > 0).astype(np.int64), base, m.log10(before, now, begin))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
@@ -394,7 +577,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """Per row of docs (doc_id, text, ...): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty: one token, the end. A null doc_id counts as the empty string for the fold. Rows that
@@ -402,5 +585,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     empty table gives an empty result. Other columns are not looked at.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model = train(rows.where(~held_out(F.col("doc_id"))).select("text"))
+    model = train(rows.where(~held_out(F.col("doc_id"))).select("text"), order)
     return score(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -26,7 +26,7 @@ def op3_license_scan(spark, sf_dir):
 def op4_kneser_ney(spark, sf_dir):
     from .lm import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_language_id(spark, sf_dir):
