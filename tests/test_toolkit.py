@@ -30,6 +30,29 @@ def test_found(spark, text, kind, start, end):
     assert (kind, start, end) in [s[:3] for s in spans(spark, text)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, want",
+    [
+        ("at 2001:db8::1 now", "IP_ADDRESS", [(3, 14, 0.6)]),
+        ("fe80::1%eth0", "IP_ADDRESS", [(0, 12, 0.6)]),
+        ("::ffff:10.0.0.1", "IP_ADDRESS", [(0, 15, 0.6)]),
+        ("64:ff9b::192.0.2.33", "IP_ADDRESS", [(0, 19, 0.6)]),
+        ("net 2001:db8::/32", "IP_ADDRESS", [(4, 17, 0.6)]),
+        ("1:2:3:4:5:6:7::", "IP_ADDRESS", [(0, 15, 0.6)]),
+        ("1:2:3:4:5::1:2:3:10.0.0.1", "IP_ADDRESS", [(17, 25, 0.6)]),
+        ("std::vector or 010.0.0.1", "IP_ADDRESS", []),
+        ("see example.com/path now", "URL", [(4, 20, 0.5)]),
+        ("bob@example.co.uk", "URL", [(4, 17, 0.5)]),
+        ("go 'https://example.com/a' on", "URL", [(3, 26, 0.6)]),
+        ('the "example.org" page', "URL", [(4, 17, 0.5)]),
+        ("at https://www.example.com", "URL", [(3, 26, 0.6)]),
+        ("no.9 or a.zzz", "URL", []),
+    ],
+)
+def test_addresses(spark, text, kind, want):
+    assert [s[1:] for s in spans(spark, text, entities=[kind])] == want
+
+
 def test_not_found(spark):
     assert not [s for s in spans(spark, "card 4012888888881882") if s[0] == "CREDIT_CARD"]
     assert spans(spark, None) == [] and spans(spark, "") == []

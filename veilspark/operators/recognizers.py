@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import checksums as C
 from .countries import CRYPTO, MORE, kr_resident, national, za_id
 from .scan import Recognizer, deny_list
+from .suffixes import SUFFIXES
 
 R = Recognizer
 V4 = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+PREFIX6 = r"(?:/(?:12[0-8]|1[01]\d|[1-9]?\d))?"
+URL = r"((www\d{0,3}[.])?[a-z0-9.\-]{1,253}[.](?:" + "|".join(SUFFIXES) + r")(?:/[^\s()<>\"']*)?)"
 MONTH = "(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)"
 DAY_, MONTH_ = "([1-9]|0[1-9]|[1-2][0-9]|3[0-1])", "([1-9]|0[1-9]|1[0-2])"
 
@@ -22,8 +25,13 @@ def email_domain(t: Column) -> Column:
     return F.regexp_extract(t, r"@(.*)$", 1).rlike(r"(?i)^[^.]+(\.[^.]+)*\.[a-z]{2,}$")
 
 
-def ipv4(t: Column) -> Column:
-    return ~(t.rlike(rf"^{V4}(\.{V4}){{3}}(/\d+)?$") & ~t.rlike(r"(^|\.)0\d") | t.contains(":"))
+def ip_bad(t: Column) -> Column:
+    """Not an address with or without prefix length: octets have no leading zeros, groups are eight, or fewer around one '::'."""
+    dotted = t.rlike(rf"(^|[:.]){V4}(\.{V4}){{3}}(/\d+)?$") & ~t.rlike(r"(^|[:.])0\d+\.|\.0\d")
+    six = F.regexp_replace(F.regexp_replace(t, r"[%/].*$", ""), r"\d+(\.\d+){3}$", "0:0")
+    groups = F.size(F.array_remove(F.split(six, ":"), ""))
+    whole = ~six.rlike(":::|::.*::|^:[^:]|[^:]:$") & F.when(six.contains("::"), groups <= 7).otherwise(groups == 8)
+    return F.when(~t.contains(":"), ~dotted).otherwise(~whole | (t.contains(".") & ~dotted))
 
 
 def mac(t: Column) -> Column:
@@ -109,10 +117,16 @@ GENERIC = [
     ), ("date", "birthday")),
     R("EmailRecognizer", "EMAIL_ADDRESS", ((r"\b((([!#$%&'*+\-/=?^_`{|}~\w])|([!#$%&'*+\-/=?^_`{|}~\w][!#$%&'*+\-/=?^_`{|}~\.\w]{0,}[!#$%&'*+\-/=?^_`{|}~\w]))[@]\w+(?:-+\w+)*(?:\.\w+(?:-+\w+)*)+)\b", 0.5),), ("email",), email_domain, gate="@"),
     R("IbanRecognizer", "IBAN_CODE", ((r"(?<![A-Z0-9])([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,6})((?:[ -]?[A-Z0-9]{4})?)((?:[ -]?[A-Z0-9]{1,3})?)(?![A-Z0-9])", 0.5),), ("iban", "bank", "transaction"), C.mod97, gate=r"[A-Za-z]{2}[0-9]{2}"),
-    R("IpRecognizer", "IP_ADDRESS", ((rf"\b{V4}\.{V4}\.{V4}\.{V4}(?:/(?:[0-2]?\d|3[0-2]))?\b", 0.6), (r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", 0.6), (r"(?<![\w:])::(?:/(?:12[0-8]|1[01]\d|[1-9]?\d))?(?![\w:])", 0.1)), ("ip", "ipv4", "ipv6"), None, ipv4, gate=r"\p{Nd}\.\p{Nd}|:[0-9A-Fa-f]*:"),
+    R("IpRecognizer", "IP_ADDRESS", (
+        (rf"(?<![\w:])::(?:ffff(?::0{{1,4}})?:)?(?:{V4}\.){{3}}{V4}{PREFIX6}\b", 0.6),
+        (rf"(?<![\w:])(?:(?:[0-9A-Fa-f]{{1,4}}:){{1,5}}:(?:[0-9A-Fa-f]{{1,4}}:){{0,4}}|(?:[0-9A-Fa-f]{{1,4}}:){{6}})(?:{V4}\.){{3}}{V4}{PREFIX6}\b", 0.6),
+        (rf"\b{V4}\.{V4}\.{V4}\.{V4}(?:/(?:[0-2]?\d|3[0-2]))?\b", 0.6),
+        (r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}|" + "|".join(rf"(?:[0-9A-Fa-f]{{1,4}}:){{1,{k}}}(?::[0-9A-Fa-f]{{1,4}}){{1,{7 - k}}}" for k in (5, 4, 3, 2)) + r"|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}|:(?::[0-9A-Fa-f]{1,4}){1,6})(?:%[0-9a-zA-Z]+)?" + PREFIX6 + r"(?![\w:]|\.\d)", 0.6),
+        (rf"(?<![\w:])::{PREFIX6}(?![\w:])", 0.1),
+    ), ("ip", "ipv4", "ipv6"), None, ip_bad, gate=r"\p{Nd}\.\p{Nd}|:[0-9A-Fa-f]*:"),
     R("MacAddressRecognizer", "MAC_ADDRESS", ((r"\b[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}\b", 0.6), (r"\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\b", 0.6)), ("mac", "mac address", "hardware address", "physical address", "ethernet"), None, mac, gate=r"[0-9A-Fa-f]{2}[:.-][0-9A-Fa-f]{2}"),
     R("PhoneRecognizer", "PHONE_NUMBER", ((r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w)", 0.4),), ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call")),
-    R("UrlRecognizer", "URL", ((r"\bhttps?://[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?::\d+)?(?:/[^\s\"'<>]*)?", 0.6), (r"(?<![@\w./:-])(?:www\.)[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[^\s\"'<>]*)?", 0.5)), ("url", "website", "link"), gate=r"://|(?i)www\."),
+    R("UrlRecognizer", "URL", (("(?:https?://)" + URL, 0.6), (URL, 0.5), (r"[\"'](https?://" + URL + r")[\"']", 0.6), (r"[\"'](" + URL + r")[\"']", 0.5)), ("url", "website", "link"), gate=r"(?i)[a-z0-9.-]\.[a-z]"),
     R("UuidRecognizer", "UUID", ((r"\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\b", 0.5),), ("uuid", "guid", "identifier"), None, uuid_bad, gate=r"[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}"),
 ]
 
