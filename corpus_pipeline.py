@@ -28,11 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest doc_id; rows without doc_id stay."""
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    """Keeps of each group of near-duplicates one row: that with the smallest doc_id, where any has one."""
+    return simhash.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

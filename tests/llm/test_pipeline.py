@@ -18,3 +18,10 @@ def test_stages(spark):
         if name == "decontaminate":
             assert decontam.digest(docs, table(spark, DATA, "benchmark")).where("contaminated").count() == 0
     assert docs.where("not round_trip").count() == 0
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcde")
+    rows = [(1, a), (1, b), (2, b), (3, a), (1, c), (None, d), (None, d), (None, c), (4, e), (4, e), (None, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (1, b), (1, c), (None, d), (4, e), (None, None)], key=str)

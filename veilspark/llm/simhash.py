@@ -47,15 +47,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and the columns named."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]]))
 
 
 def masks(trees: int = TREES) -> list[int]:
@@ -190,3 +191,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The side of fps may hold a third of its rows under one fp; adaptive execution splits such partitions.
     out = fps.join(joined, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """Of each group of near-duplicates among the rows of docs (doc_id, text, ...) one row, with all its columns.
+
+    Rows are told apart by doc_id and text, so repeated ids do no harm, and rows without doc_id link like others.
+    The row with the smallest doc_id stays (one without doc_id only if no other is there), then that with the
+    smallest text hash; of equal ones any.
+    """
+    marked = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    fps = materialize(fingerprints(marked, "_th"), "simhash-fps")
+    points = materialize(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("best")), "simhash-points")
+    found = points.join(components(links(points.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp"), "fp", "left")
+    best = found.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best._th").alias("best_th"))
+    chosen = marked.join(best, F.col("_id").eqNullSafe(F.col("best_id")) & (F.col("_th") == F.col("best_th")), "left_semi")
+    return chosen.dropDuplicates(["_id", "_th"]).select(*docs.columns)
