@@ -245,33 +245,62 @@ def test_warc(spark):
     assert warc.round_trip(df, min_bytes=2).where("record_type = 'revisit'").count() == 1
 
 
-@pytest.mark.parametrize("crowd, piece", [(512, 1 << 20), (1, 1000)])
-def test_suffix_dedup(spark, monkeypatch, crowd, piece):
-    monkeypatch.setattr(suffix, "PIECE", piece)
+def removed(texts, length=200):
+    """Per text what the contract asks for, from a count of all strings of `length` bytes."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(hashlib.md5(b[p : p + length]).digest() for b in data for p in range(len(b) - length + 1))
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            if seen[hashlib.md5(b[p : p + length]).digest()] > 1:
+                gone[p : p + length] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        yield len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("crowd, bases", [(512, None), (1, None), (512, (1, 1))])
+def test_suffix_dedup(spark, monkeypatch, crowd, bases):
+    """Few and many blocks to an anchor; with base 1 a hash is the sum of the bytes, so that very many collide."""
     whole = suffix.repeated_runs
     monkeypatch.setattr(suffix, "repeated_runs", lambda d, length=200: whole(d, length, crowd))
+    if bases:
+        monkeypatch.setattr(suffix, "random_bases", lambda: bases)
     rng = random.Random(3)
     text = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
     shared = [text(80) for _ in range(4)]
     made = [(i, text(rng.randint(0, 60)) + " ".join(rng.choice([x, x[rng.randint(0, 100) :], x[: rng.randint(150, 300)]]) for x in rng.sample(shared, 2)) + text(20)) for i in range(40)]
     made += [(900, "a" * 1000), (901, "ab" * 300), (902, None), (903, ""), (904, "x" * 199), (905, "y" * 200), (906, "y" * 200), (None, shared[0]), (907, shared[0]), (907, shared[0])]
-    seen = Counter()
-    for _, t in made:
-        b = (t or "").encode()
-        seen.update(b[p : p + 200] for p in range(len(b) - 199))
-    want = []
-    for i, t in made:
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 199):
-            if seen[b[p : p + 200]] > 1:
-                gone[p : p + 200] = True
-        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        want.append((i, len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest()))
+    made += [(908, "".join(sorted(shared[1]))), (909, shared[1][::-1]), (910, text(60000) + shared[2] + text(60000))]
+    want = [(i, *x) for (i, _), x in zip(made, removed([t for _, t in made]), strict=True)]
     assert rows(suffix.digest(docs(spark, made))) == sorted(want, key=str)
     assert suffix.digest(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_columns_with_its_own_names(spark):
+    names = ["runs", "run_id", "RUN_TH", "c0", "t", "doc_id", "text", "n_bytes", "Kept_Text"]
+    df = spark.createDataFrame([("a", 1, 2, 3, "x", 7, "y" * 300, 5, "z"), ("b", 1, 2, 3, "x", 8, "y" * 300 + "q", 5, None)], names)
+    got = suffix.dedup(df)
+    assert got.columns == [*names[:7], *suffix.NEW]
+    assert sorted((r.runs, r.c0, r.kept_text) for r in got.collect()) == [("a", 3, ""), ("b", 3, "q")]
+
+
+def test_mergesort_by_hashes():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab", k=rng.randint(0, 40))) for _ in range(300)]
+    group = np.sort(np.array([rng.randrange(7) for _ in texts]))
+    data = np.frombuffer("".join(texts).encode() + bytes(1), np.uint8)
+    reach = np.array([len(t) for t in texts])
+    begin = np.cumsum(np.append(0, reach[:-1]))
+    for bases in ((1, 1), suffix.random_bases()):
+        one, two = (suffix.Prefixes(data, b) for b in bases)
+        for step, place in ((1, begin), (-1, begin + reach)):
+            order, n = suffix.classes(data, place, reach, group, one, two, step)
+            keys = [(group[k], texts[k][::step]) for k in order]
+            assert keys == sorted(keys)
+            for (g, a), (h, b), m in zip(keys, keys[1:], n[1:], strict=False):
+                assert m == (-1 if g != h else next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))))
+
+
 ODD = ["", "  ", " a", "a  b   c", "\n\n\nx", "it's we'll I'D 's", "<|endoftext|>", "a<|endoftext|> b<|endoftext|>", "日本語 한국어 ไทย", "x y　z", "a\x1cb\x85c", "12 ½ ² Ⅷ ١٢", "🙂🙂 x🙂", "x" * 5000, " " * 3000, "a\r\nb"]
 
 

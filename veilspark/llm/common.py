@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,44 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Most rows and bytes in an Arrow batch that goes to a worker: memory is bounded however long the texts are.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def give_back() -> None:
+    """Returns the memory that a finished step freed to the system; a worker lives on, idle, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches; sets the session's limits for them, unless they are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = df.sparkSession.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(key, str(most))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with about `most` bytes of the text column, one row at least; a batch without rows as it is."""
+    begin = held = 0
+    for k, v in enumerate(batch.column(column)):
+        size = v.as_buffer().size if v.is_valid else 0
+        if held + size > most and k > begin:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    yield batch.slice(begin)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder in the shared store, for Python workers."""
     from pyarrow import fs

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import map_arrow
+
 DIMS, ORDERS, ROWS, EPOCHS, SCALE, PIECE = 1 << 15, (1, 2, 3), 1200, 3, 64.0, 1 << 16
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 LETTER = re.compile(r"[^\W\d_]")
@@ -81,7 +83,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["feature", "n"])
 
-    rows = texts.select(F.col("text").cast("string")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most DIMS + 1 rows
+    rows = map_arrow(texts.select(F.col("text").cast("string")), run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most DIMS + 1 rows
     df = np.zeros(DIMS + 1, np.int64)
     for r in rows:
         df[r.feature] = r.n

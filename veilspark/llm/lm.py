@@ -15,7 +15,6 @@ text's first token is scored by bigrams.
 
 from __future__ import annotations
 
-import ctypes
 import mmap
 import tempfile
 from collections import Counter
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, filesystem, materialize, new_dir
+from .common import drop_table, filesystem, give_back, map_arrow, materialize, new_dir
 
 #: Bytes of text to a bucket; distinct words that a worker remembers; rows, and bigrams or trigrams, that it handles at once.
 BUCKET_BYTES, REMEMBER, ROWS, HELD = 64_000_000, 400_000, 1000, 1_000_000
@@ -76,14 +75,6 @@ def mix(keys: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def give_back() -> None:
-    """Returns the memory that a finished step freed to the system; a worker lives on, idle, beside others."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def save(folder: str, name: str, *arrays: np.ndarray) -> None:
     """Each array as a file of its own; written beside and renamed, so that a task that runs again does no harm."""
     store, root = filesystem(folder)
@@ -277,7 +268,7 @@ def count_words(texts: DataFrame, buckets: int, folder: str) -> Vocabulary:
         save(folder, f"words-{key[0].as_py()}", keys, counts.astype(np.uint32))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 
-    parts = texts.select("text").mapInArrow(run, "bucket int, data binary")
+    parts = map_arrow(texts.select("text"), run, "bucket int, data binary")
     rows = parts.groupBy("bucket").applyInArrow(reduce, "bucket int, n long, total long").collect()  # a row for each BUCKET_BYTES of text
     sizes = {r.bucket: r.n for r in rows}
     for b in range(buckets):
@@ -382,7 +373,7 @@ def count_grams(texts: DataFrame, name: str, buckets: int, folder: str, keys_of,
         give_back()
         return table_of(rows)
 
-    parts = texts.select("text").mapInArrow(run, "bucket int, data binary")
+    parts = map_arrow(texts.select("text"), run, "bucket int, data binary")
     return materialize(parts.groupBy("bucket").applyInArrow(reduce, STATISTICS), f"lm-{name}")
 
 
@@ -570,7 +561,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 sums = [np.add.reduceat(x, begin) for x in (np.ones(len(now), np.int64), (c > 0).astype(np.int64), base, m.log10(before, now, begin))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(doc_id: Column) -> Column:

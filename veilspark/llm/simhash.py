@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, map_arrow, materialize
 
 BITS, SHINGLE, SEED, SHARD, TREES = 4, 4, 42, 1024, 5
 #: Any point can be the rings' vantage point; this one has 32 bits set.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]]))
+    return map_arrow(rows, run, ", ".join(["doc_id long, fp long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]]))
 
 
 def masks(trees: int = TREES) -> list[int]:
@@ -151,7 +151,7 @@ def links(points: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
             yield work(rest)
 
     spread = dealt.repartition("shard").sortWithinPartitions("shard", "near")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(spread, run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, new_dir
+from .common import filesystem, map_arrow, materialize, new_dir
 
 NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,7 +96,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         store.move(f"{name}.part", name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["path", "records"])
 
-    return records.mapInArrow(run, "path string, records long")
+    return map_arrow(records, run, "path string, records long")
 
 
 def members(stream: io.RawIOBase) -> Iterator[bytes]:
@@ -147,7 +147,7 @@ def read(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                 yield pack(rows)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return archives.select("path").mapInArrow(run, schema)
+    return map_arrow(archives.select("path"), run, schema)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
