@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import shutil
 import tempfile
 import uuid
@@ -65,6 +66,11 @@ def give_back() -> None:
         trim(0)
 
 
+def bounded_threads(most: int = 2) -> None:
+    """Limits the tokenizers library's threads in this process, each of which holds memory of its own; call before it is imported."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(most))
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run, schema) with small batches; sets the session's limits for them, unless they are smaller already."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
