@@ -9,7 +9,6 @@ batch; a text's score is a sum over its n-grams, so memory doesn't grow with its
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_arrow
+from .common import map_arrow, slices
 
 DIMS, ORDERS, ROWS, EPOCHS, SCALE, PIECE = 1 << 15, (1, 2, 3), 1200, 3, 64.0, 1 << 16
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
-LETTER = re.compile(r"[^\W\d_]")
+NEW = {"lang_pred": "string", "score": "double"}
 
 
 @dataclass
@@ -139,12 +138,22 @@ def learn(labelled: DataFrame, rows: int = ROWS) -> Model | None:
     return fit([(r.text, r.lang) for r in sample], sorted(sizes), np.log((1 + documents) / (1 + df)) + 1.0)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a category L; numerals and digits are none."""
+    return any(map(str.isalpha, text))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs, then lang_pred and score. Predictions see only text."""
-    names, held = list(docs.columns), docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats a language
+    """All columns of docs, then lang_pred and score. Predictions see only text.
+
+    Null texts and texts without a letter are und with score 0. Columns of docs that have the names of new ones
+    are left out.
+    """
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in NEW])
+    names, held = list(rows.columns), docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats a language
 
     def of(text: str | None, m: Model | None) -> tuple[str, float]:
-        if m is None or text is None or not LETTER.search(text):
+        if m is None or text is None or not has_letter(text):
             return "und", 0.0
         total, n = np.zeros(len(m.langs)), 0
         for f in grams(text):
@@ -154,13 +163,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         return m.langs[int(p.argmax())], float(p.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, at = held.value, names.index("text")
-        for b in batches:
-            found = [of(t.as_py(), m) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
+        m, at = held.value, [c.lower() for c in names].index("text")
+        for whole in batches:
+            for b in slices(whole, at):
+                found = [of(t.as_py(), m) for t in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, *NEW])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return map_arrow(rows, run, StructType([*rows.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(doc_id: Column) -> Column:
