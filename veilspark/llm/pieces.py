@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-MARK, CALL, CUT = "▁", 1 << 20, 1 << 16  # characters in one call to the library, and in one piece of a long text
-REMEMBER = 300_000  # segments that a worker remembers; it then starts afresh
+from .common import bounded_threads, map_arrow, slices
+
+MARK, CALL, CUT = "▁", 1 << 17, 1 << 16  # characters in one call to the library, and in one piece of a long text
+REMEMBER = 4_000_000  # characters of segments that a worker remembers; it then starts afresh
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -66,6 +68,8 @@ class Spec:
     charsmap: bytes = b""
     dummy_prefix: bool = True
     squeeze: bool = True
+    escape: bool = True
+    suffix: bool = False
 
 
 def parse(data: bytes) -> Spec:
@@ -76,15 +80,15 @@ def parse(data: bytes) -> Spec:
             spec.pieces.append((p[1].decode(), struct.unpack("<f", p[2])[0] if 2 in p else 0.0, p.get(3, 1)))
         elif k == 2:
             t = dict(fields(v))
-            spec.kind, spec.byte_fallback = t.get(3, 1), bool(t.get(35, 0))
+            spec.kind, spec.byte_fallback, spec.suffix = t.get(3, 1), bool(t.get(35, 0)), bool(t.get(24, 0))
         elif k == 3:
             n = dict(fields(v))
-            spec.charsmap, spec.dummy_prefix, spec.squeeze = n.get(2, b""), bool(n.get(3, 1)), bool(n.get(4, 1))
+            spec.charsmap, spec.dummy_prefix, spec.squeeze, spec.escape = n.get(2, b""), bool(n.get(3, 1)), bool(n.get(4, 1)), bool(n.get(5, 1))
     return spec
 
 
 def merges(spec: Spec) -> list[tuple[str, str]]:
-    rank = {p: i for i, (p, _, kind) in enumerate(spec.pieces) if kind in (1, 4)}
+    rank = {p: i for i, (p, _, kind) in enumerate(spec.pieces) if kind == 1}
     score = {p: s for p, s, _ in spec.pieces}
     found = [(-score[p], rank[p], rank[p[:i]], rank[p[i:]], p[:i], p[i:]) for p in rank for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank]
     return [x[-2:] for x in sorted(found)]
@@ -92,9 +96,13 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
 
 class Pieces:
     def __init__(self, path: str):
+        bounded_threads()
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-        self.spec = spec = parse(open(path, "rb").read())
+        with open(path, "rb") as f:
+            self.spec = spec = parse(f.read())
+        if any(kind == 4 for _, _, kind in spec.pieces) or spec.suffix or not spec.escape:
+            raise ValueError("user-defined symbols, markers after words and unescaped blanks are not supported")
         unk = next((i for i, p in enumerate(spec.pieces) if p[2] == 2), None)
         if spec.kind == 2:
             model = models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges(spec), unk_token=None if unk is None else spec.pieces[unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
@@ -106,9 +114,20 @@ class Pieces:
         self.library.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
         self.library.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.charsmap = normalizers.Precompiled(spec.charsmap) if spec.charsmap else None
-        self.segment, self.known = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), {}
+        self.segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.known: dict[str, tuple[list[int], str]] = {}
+        self.held, self.bad = 0, set()  # characters of known; segments that the other library encodes otherwise
+        self.theirs = None
         self.cut = re.compile(f"(?<=[^{MARK}])(?={MARK})")
-        self.inner = any(MARK in p.lstrip(MARK) for p, _, kind in spec.pieces if kind in (1, 4))  # then text can't be cut
+        self.inner = any(MARK in p.lstrip(MARK) for p, _, kind in spec.pieces if kind == 1)  # then text can't be cut
+
+    def compare(self, path: str) -> Pieces:
+        """From now on each new segment is encoded by the sentencepiece library too, where its normaliser changes nothing."""
+        if not self.charsmap and not self.spec.squeeze and not self.inner:
+            from sentencepiece import SentencePieceProcessor
+
+            self.theirs = SentencePieceProcessor(model_file=path)
+        return self
 
     def normalise(self, text: str) -> str:
         if self.charsmap:
@@ -127,28 +146,37 @@ class Pieces:
 
     def learn(self, segments: list[str]) -> None:
         """Encodes, and decodes again, segments not met before: one multithreaded call for about CALL characters."""
-        if len(self.known) > REMEMBER:
-            self.known = {}
+        if self.held > REMEMBER:
+            self.known, self.held = {}, 0
         new = list(dict.fromkeys(x for x in segments if x not in self.known))
         sizes, begin = np.cumsum([len(x) for x in new]), 0
+        self.held += int(sizes[-1]) if new else 0
         while begin < len(new):
             end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + CALL, "right")))
             part = new[begin:end]
-            ids = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
+            ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
             self.known.update(zip(part, zip(ids, self.library.decode_batch(ids, skip_special_tokens=False), strict=True), strict=True))
+            if self.theirs:
+                begins = int(self.spec.dummy_prefix)
+                other = self.theirs.encode([x[begins:].replace(MARK, " ") for x in part], num_threads=1)
+                self.bad.update(x for x, a, b in zip(part, ids, other, strict=True) if a != b)
             begin = end
 
-    def encode_both(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """(ids of each text, what they decode to). Segments that repeat, as words do, are encoded and decoded once.
+    def encode_both(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[bool]]:
+        """(ids of each text, what they decode to, whether the sentencepiece library gives its segments the same ids).
 
-        The pre-tokenizer cuts a text into the same segments, so a text's ids are its segments' ids in a row; a
-        segment holds whole characters, so its bytes never wait for another's.
+        Segments that repeat, as words do, are encoded, decoded and compared once. The pre-tokenizer cuts a text into
+        the same segments, so a text's ids are its segments' ids in a row; a segment holds whole characters, so its
+        bytes never wait for another's.
         """
         cut = [[x for p in self.parts(t) for x in (self.segment.findall(p) if not self.inner else [p])] for t in texts]
         self.learn(list(chain.from_iterable(cut)))
-        both = [[self.known[x] for x in c] for c in cut]
-        ids = [np.fromiter(chain.from_iterable(x[0] for x in b), np.int32) for b in both]
-        return ids, [self.unmarked("".join([x[1] for x in b])) for b in both]
+        ids, back = [], []
+        for c in cut:
+            both = [self.known[x] for x in c]
+            ids.append(np.fromiter(chain.from_iterable([x[0] for x in both]), np.int32))
+            back.append(self.unmarked("".join([x[1] for x in both])))
+        return ids, back, [not self.bad or self.bad.isdisjoint(c) for c in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_both(texts)[0]
@@ -170,50 +198,76 @@ def parity(path: str, texts: list[str]) -> list[int]:
     return [i for i, (a, b) in enumerate(zip(own, theirs, strict=True)) if a.tolist() != b]
 
 
-def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, check: bool = False) -> DataFrame:
+_pieces: dict[tuple[str, bool], Pieces] = {}
+
+
+def pieces_of(path: str, check: bool) -> Pieces:
+    """This process's tokenizer; another takes the place of the one before."""
+    if (path, check) not in _pieces:
+        _pieces.clear()
+        _pieces[path, check] = Pieces(path).compare(path) if check else Pieces(path)
+    return _pieces[path, check]
+
+
+NEW = ["n_tokens", "ids_sha256", "round_trip", "parity", "ids"]
+
+
+def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, check: bool = True) -> DataFrame:
     """All columns of docs (text among them), then n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers),
-    round_trip (the ids decode to the text) and, with keep_ids, ids.
+    round_trip (the ids decode to the text), with `check` parity (the sentencepiece library gives every segment of the
+    text the same ids; each worker compares a segment when it meets it) and, with keep_ids, ids.
 
-    Null texts are empty: no ids, and round_trip holds. A text that the normaliser changes doesn't decode to
-    itself; with the 32k BPE file none is changed, but for texts with the marker character. Rows that repeat are
-    encoded each; an empty table gives an empty result.
+    Null texts are empty: no ids, and round_trip and parity hold. A text that the normaliser changes doesn't decode
+    to itself; with the 32k BPE file none is changed, but for texts with the marker character. Very long texts are
+    encoded in parts. Rows that repeat are encoded each; an empty table gives an empty result. Columns of docs that
+    have the names of new ones are left out.
     """
-    path, names = path or model_path(), list(docs.columns)
+    path = path or model_path()
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in NEW])
+    names, at = list(rows.columns), [c.lower() for c in docs.columns if c.lower() not in NEW].index("text")
+    new = [c for c in NEW if (c != "ids" or keep_ids) and (c != "parity" or check)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, at = None, names.index("text")
         for whole in batches:
-            pieces = pieces or Pieces(path)
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
+            for b in slices(whole, at):
                 texts = [t or "" for t in b.column(at).to_pylist()]
-                ids, decoded = pieces.encode_both(texts)
-                back = [a == t for a, t in zip(decoded, texts, strict=True)]
-                cols = [*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), pa.array(back, pa.bool_())]
+                ids, decoded, same = pieces_of(path, check).encode_both(texts)
+                made = {
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    "round_trip": pa.array([a == t for a, t in zip(decoded, texts, strict=True)], pa.bool_()),
+                    "parity": pa.array(same, pa.bool_()),
+                }
                 if keep_ids:
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
-                yield pa.RecordBatch.from_arrays(cols, [*names, "n_tokens", "ids_sha256", "round_trip", *["ids"] * keep_ids])
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, *[made[c] for c in new]], [*names, *new])
 
-    schema = StructType([*docs.schema.fields]).add("n_tokens", "long").add("ids_sha256", "string").add("round_trip", "boolean")
-    return docs.mapInArrow(run, schema.add("ids", ArrayType(IntegerType())) if keep_ids else schema)
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "round_trip": "boolean", "parity": "boolean", "ids": ArrayType(IntegerType())}
+    schema = StructType([*rows.schema.fields])
+    for c in new:
+        schema = schema.add(c, kinds[c])
+    return map_arrow(rows, run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of encoded (ids among them), then decoded; null ids give null."""
-    path, names = path or model_path(), list(encoded.columns)
+    """All columns of encoded (ids among them), then decoded; null ids give null. A column `decoded` is replaced."""
+    path = path or model_path()
+    rows = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded"])
+    names = list(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, at = None, names.index("ids")
-        for b in batches:
-            pieces = pieces or Pieces(path)
-            rows = b.column(at).to_pylist()
-            texts = pieces.decode([np.array(x or [], np.int32) for x in rows])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t if x is not None else None for x, t in zip(rows, texts, strict=True)], pa.string())], [*names, "decoded"])
+        at = [c.lower() for c in names].index("ids")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 100):
+                b = whole.slice(i, 100)
+                ids = b.column(at).to_pylist()
+                texts = pieces_of(path, False).decode([np.array(x or [], np.int32) for x in ids])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t if x is not None else None for x, t in zip(ids, texts, strict=True)], pa.string())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("decoded", "string"))
+    return map_arrow(rows, run, StructType([*rows.schema.fields]).add("decoded", "string"))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and round_trip of every document."""
-    return encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), keep_ids=False).drop("text")
+    """doc_id, n_tokens, ids_sha256, round_trip, parity and ids of every document."""
+    return encode(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("text")
