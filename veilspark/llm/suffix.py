@@ -41,7 +41,7 @@ from pyspark.sql.types import StructType
 
 from .common import drop_table, map_arrow, materialize, slices
 
-LENGTH, GRAM, PIECE, CROWD, BLOCKS, PART = 200, 64, 1 << 18, 512, 3000, 2000
+LENGTH, GRAM, PIECE, CROWD, BLOCKS, PART = 200, 64, 1 << 18, 512, 3000, 500
 POS = np.uint64((1 << 20) - 1)
 #: Hashes are polynomials modulo this prime, one for each of two bases.
 PRIME = (1 << 31) - 1
