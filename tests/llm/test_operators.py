@@ -60,11 +60,11 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def classes(points):
+def classes(points, bits=4):
     label = dict(enumerate(range(len(points))))
     for i in range(len(points)):
         for j in range(i):
-            if (points[i] ^ points[j]).bit_count() <= 4:
+            if (points[i] ^ points[j]).bit_count() <= bits:
                 a, b = sorted((label[i], label[j]))
                 label = {k: a if v == b else v for k, v in label.items()}
     return label
@@ -85,17 +85,40 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("shard", [1024, 40])
-def test_simhash_links_in_crowded_shards(spark, shard):
-    rng, points = random.Random(1), set()
+def clusters(seed, n=60):
+    rng, points = random.Random(seed), {0, (1 << 64) - 1}
     for _ in range(6):
         base = rng.getrandbits(64)
-        for _ in range(60):
+        for _ in range(n):
             points.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))))
-    points = list(points)
+    return sorted(points)
+
+
+@pytest.mark.parametrize("shard, crowded, bits", [(256, 1024, 4), (20, 40, 4), (1, 3, 4), (20, 1024, 1), (20, 40, 6)])
+def test_simhash_links(spark, shard, crowded, bits):
+    """Uncrowded, crowded and very crowded shards, and other radii than 4."""
+    points = clusters(1)
+    df = spark.createDataFrame([(i, simhash.signed(p)) for i, p in enumerate(points)], "node long, fp long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(df, bits, shard, crowded)).collect()}
+    assert {i: got.get(i, i) for i in range(len(points))} == classes(points, bits)
+
+
+def test_simhash_partitions_by_vantage_point_trees(spark):
+    """Shards come from the trees and stay small, and points within the radius share one in some tree."""
+    rng = random.Random(6)
+    points = clusters(2, 20) + [rng.getrandbits(64) for _ in range(3000)]
     df = spark.createDataFrame([(i, simhash.signed(p)) for i, p in enumerate(points)], "node long, fp long")
-    got = {r.node: r.component for r in simhash.components(simhash.links(df, shard=shard)).collect()}
-    assert {i: got.get(i, i) for i in range(len(points))} == classes(points)
+    trees = simhash.planted(df, shard=128)
+    assert len(trees) == 5 and all(len(t.near) > 40 and not t.crowded.any() for t in trees)
+    cells, members = defaultdict(set), Counter()
+    for r in simhash.placed(df, trees).collect():
+        cells[r.node].add((r.tree, r.cell))
+        members[r.tree, r.cell] += 1
+    assert sum(members.values()) == 5 * len(points) and max(members.values()) < 400
+    for i, p in enumerate(points):
+        for j in range(i):
+            if (p ^ points[j]).bit_count() <= 4:
+                assert cells[i] & cells[j]
 
 
 def test_licenses(spark):

@@ -1,23 +1,29 @@
 """Near-duplicates by SimHash and vantage-point trees.
 
 Fingerprints partition by Hamming distance to vantage points and branches are pruned by the triangle bound
-|d(x, v) - d(y, v)| <= d(x, y). In the whole 64-bit space distances gather at 32 +- 4, so a bound of 4 prunes
-little and most points would lie in the overlap of every boundary. The trees are therefore grown on five
-masked distances (a mask is 12 or 13 of the 64 bits, and a masked distance never exceeds the whole one): two
-fingerprints within 4 differ in none of the bits of at least one mask, so in that mask's tree the bound is 0.
-Its vantage points are the mask's unit vectors, whose distances name a shard exactly, and no boundary overlaps.
-Shards with many members branch once more on the whole distance to a vantage point, into rings BITS + 1 wide;
-there boundaries do overlap, and each ring is queried with its own members and its lower neighbour's. Rings
-still over SHARD members are dealt out as a grid of parts, each pair of parts one task's work. In a task,
-members sorted by distance to the vantage point are compared only while the triangle bound holds.
-
-Only distinct fingerprints enter the trees. A task returns its links as a star per group found (no group is
-expanded into pairs), and components come from contracting links in rounds of DataFrame joins.
+|d(x, v) - d(y, v)| <= d(x, y). In the whole 64-bit space distances gather at 32 +- 4, so with a bound of 4 a
+median split leaves one side with 0.5 and the other, which must repeat its neighbour's edge, with 0.84 of the
+points: work grows as N ** 1.85. The trees are therefore grown on masked distances, one for each of bits + 1 masks
+that share the 64 bits out: two fingerprints within `bits` differ in none of the bits of at least one mask, so in
+that mask's tree the bound is 0, and no boundary overlaps.
+
+1. A bounded sample of distinct fingerprints (SAMPLE) grows the trees on the driver: each node's vantage point is
+   the candidate whose median cut divides best, until a leaf holds about SHARD of all fingerprints.
+2. Leaves too crowded for the sample to divide go on with the mask's unit vectors as vantage points, to the end.
+3. Shards with more than CROWDED members branch once more on the whole distance to a vantage point, into rings
+   bits + 1 wide; there boundaries do overlap, and each ring is queried with its own members and its lower
+   neighbour's. Rings still over CROWDED members are dealt out as a grid of parts, each pair of parts one task's work.
+4. In a task, members sorted by distance to the vantage point are compared only while the triangle bound holds.
+
+All levels are exact; they only say which fingerprints meet. Only distinct fingerprints enter the trees. A task
+returns its links as a star per group found (no group is expanded into pairs), and components come from
+contracting links in rounds of DataFrame joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, map_arrow, materialize
 
-BITS, SHINGLE, SEED, SHARD, TREES = 4, 4, 42, 1024, 5
+BITS, SHINGLE, SEED = 4, 4, 42
+#: Members wanted in a leaf; of a shard that branches once more; fingerprints that grow the trees, and of a node that the sample divides.
+SHARD, CROWDED, SAMPLE, LEAST, CANDIDATES = 256, 1024, 1 << 14, 16, 6
 #: Any point can be the rings' vantage point; this one has 32 bits set.
 VANTAGE = 0x6A95A96A_D2B42D4B
 
@@ -59,8 +67,9 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     return map_arrow(rows, run, ", ".join(["doc_id long, fp long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]]))
 
 
-def masks(trees: int = TREES) -> list[int]:
-    bounds = [64 * i // trees for i in range(trees + 1)]
+def masks(bits: int = BITS) -> list[int]:
+    """bits + 1 masks that share the 64 bits out."""
+    bounds = [64 * i // (bits + 1) for i in range(bits + 2)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
@@ -113,19 +122,103 @@ def linked(shard: np.ndarray, side: np.ndarray, near: np.ndarray, fp: np.ndarray
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def links(points: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
-    """a, b: links (as stars, see above) between the nodes of points (node, fp; fp distinct) within `bits` bits."""
-    if bits >= TREES:
-        raise ValueError(f"at most {TREES - 1} bits")
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("cell")) for t, m in enumerate(masks())])).alias("k")
-    placed = points.withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(VANTAGE))))).select("node", "fp", "near", keys).select("node", "fp", "near", "k.*")
-    big = placed.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)  # at most TREES * 2 ** 13 rows
-    placed = placed.join(F.broadcast(big.select("tree", "cell", F.lit(True).alias("hot"))), ["tree", "cell"], "left")
+@dataclass
+class Tree:
+    """Nodes in arrays: at a node, members whose masked distance to `vantage` is at most `cut` go to `near`, others to `far`.
+
+    Leaves have -1 there. Crowded leaves branch on by all bits of the mask.
+    """
+
+    mask: int
+    vantage: np.ndarray
+    cut: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    crowded: np.ndarray
+
+    def leaf(self, fp: np.ndarray) -> np.ndarray:
+        """Node of the leaf of each fingerprint."""
+        at, todo = np.zeros(len(fp), np.int64), np.arange(len(fp))
+        while len(todo := todo[self.near[at[todo]] >= 0]):
+            node = at[todo]
+            close = np.bitwise_count((fp[todo] ^ self.vantage[node]) & np.uint64(self.mask)) <= self.cut[node]
+            at[todo] = np.where(close, self.near[node], self.far[node])
+        return at
+
+    def cell(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, bits of the mask where it is crowded, else 0)."""
+        leaf = self.leaf(fp)
+        return leaf, np.where(self.crowded[leaf], fp & np.uint64(self.mask), np.uint64(0))
+
+
+def grow(sample: np.ndarray, total: int, mask: int, shard: int = SHARD) -> Tree:
+    """A vantage-point tree on the distance within mask, for `total` fingerprints of which sample is a part."""
+    rng, m = np.random.default_rng(mask & 0xFFFF), np.uint64(mask)
+    nodes: list[list] = [[0, 0, -1, -1, False]]
+    todo = [(0, sample)]
+    while todo:
+        node, held = todo.pop()
+        size = total * len(held) / max(1, len(sample))
+        if size <= shard:
+            continue
+        best = None
+        if len(held) >= LEAST:
+            for v in rng.choice(held, CANDIDATES):
+                d = np.bitwise_count((held ^ v) & m)
+                cut = int(np.sort(d)[(len(d) - 1) // 2])
+                share = abs(0.5 - (d <= cut).mean())
+                below = abs(0.5 - (d < cut).mean())
+                cut, share = (cut, share) if share <= below else (cut - 1, below)
+                if share < 0.4 and (best is None or share < best[0]):
+                    best = (share, v, cut, d <= cut)
+        if best is None:
+            nodes[node][4] = True
+            continue
+        _, v, cut, close = best
+        nodes[node][:4] = [v, cut, len(nodes), len(nodes) + 1]
+        todo += [(len(nodes), held[close]), (len(nodes) + 1, held[~close])]
+        nodes += [[0, 0, -1, -1, False], [0, 0, -1, -1, False]]
+    v, cut, near, far, crowded = zip(*nodes, strict=True)
+    return Tree(mask, np.array(v, np.uint64), np.array(cut, np.int64), np.array(near, np.int64), np.array(far, np.int64), np.array(crowded, bool))
+
+
+def planted(points: DataFrame, bits: int = BITS, shard: int = SHARD) -> list[Tree]:
+    """The trees, grown on about SAMPLE of the fingerprints, chosen by hash (twice that at most)."""
+    total = points.count()
+    part = points.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))))
+    sample = np.array([r.fp for r in part.select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
+    return [grow(np.sort(sample), total, m, shard) for m in masks(bits)]
+
+
+def placed(points: DataFrame, trees: list[Tree]) -> DataFrame:
+    """node, fp, near (distance to VANTAGE), tree and cell (the shard there) of each point in each tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(1).to_numpy().view(np.uint64)
+            near = pa.array(np.bitwise_count(fp ^ np.uint64(VANTAGE)).astype(np.int32))
+            for t, tree in enumerate(trees):
+                leaf, bits = tree.cell(fp)
+                # a mask's bits are neighbours and 63 at most, leaves few: both fit in one number
+                low = np.uint64((tree.mask & -tree.mask).bit_length() - 1)
+                cell = ((bits >> low) << np.uint64(20)) | leaf.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), near, pa.array(np.full(len(fp), t, np.int32)), pa.array(cell.view(np.int64))], ["node", "fp", "near", "tree", "cell"])
+
+    return map_arrow(points.select(F.col("node").cast("long"), F.col("fp").cast("long")), run, "node long, fp long, near int, tree int, cell long")
+
+
+def links(points: DataFrame, bits: int = BITS, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
+    """a, b: links (as stars, see above) between the nodes of points (node, fp; fp distinct) within `bits` bits (1 to 15)."""
+    if not 1 <= bits <= 15:
+        raise ValueError("1 to 15 bits")
+    held_by = materialize(placed(points, planted(points, bits, shard)), "simhash-placed")
+    big = held_by.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded)  # crowded leaves and, for 4 bits, 5 * 2 ** 13 cells at most
+    marked = held_by.join(big.select("tree", "cell", F.lit(True).alias("hot")), ["tree", "cell"], "left")
     width = bits + 1
     rings = F.when(F.col("hot"), F.array(F.struct(F.floor(F.col("near") / width).alias("ring"), F.lit(1).alias("home")), F.struct((F.floor(F.col("near") / width) + 1).alias("ring"), F.lit(0).alias("home")))).otherwise(F.array(F.struct(F.lit(-1).cast("bigint").alias("ring"), F.lit(1).alias("home"))))
-    ringed = placed.select("node", "fp", "near", "tree", "cell", F.explode(rings).alias("r")).select("node", "fp", "near", "tree", "cell", "r.*")
-    held = ringed.where("ring >= 0").groupBy("tree", "cell", "ring").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts")).where("parts > 1")  # at most 14 for each row of big
-    ringed = ringed.join(F.broadcast(held), ["tree", "cell", "ring"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    ringed = marked.select("node", "fp", "near", "tree", "cell", F.explode(rings).alias("r")).select("node", "fp", "near", "tree", "cell", "r.*")
+    held = ringed.where("ring >= 0").groupBy("tree", "cell", "ring").agg(F.ceil(F.count(F.lit(1)) / crowded).cast("int").alias("parts")).where("parts > 1")  # at most 14 for each row of big
+    ringed = ringed.join(held, ["tree", "cell", "ring"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     to = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(own, q).alias("lo"), F.greatest(own, q).alias("hi"), F.when(own < q, 1).when(own > q, 2).otherwise(0).alias("side")))
     dealt = ringed.select("node", "fp", "near", "tree", "cell", "ring", F.explode(to).alias("g")).select(F.xxhash64("tree", "cell", "ring", "g.lo", "g.hi").alias("shard"), "g.side", "near", "fp", "node")
@@ -134,7 +227,7 @@ def links(points: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
         rest: list[np.ndarray] | None = None
 
         def work(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = linked(cols[0], cols[1], cols[2], cols[3].view(np.uint64), cols[4])
+            a, b = linked(cols[0], cols[1], cols[2], cols[3].view(np.uint64), cols[4], bits)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -151,7 +244,9 @@ def links(points: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
             yield work(rest)
 
     spread = dealt.repartition("shard").sortWithinPartitions("shard", "near")
-    return map_arrow(spread, run, "a long, b long").distinct()
+    out = materialize(map_arrow(spread, run, "a long, b long").distinct(), "simhash-links")
+    drop_table(held_by)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
     the maps, composed, give each node's component. Rounds go on until no link is left; each is written to the
     shared folder. Sums and minima are pre-aggregated, so a node with very many links is no heavy group.
     """
-    maps, edges = [], materialize(edges, "simhash-links")
+    maps, own = [], False
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")).select(F.col("a").alias("node"), "low"), "simhash-map")
@@ -169,7 +264,9 @@ def components(edges: DataFrame) -> DataFrame:
         x, y = low.select(F.col("node").alias("a"), F.col("low").alias("x")), low.select(F.col("node").alias("b"), F.col("low").alias("y"))
         new = edges.join(x, "a").join(y, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         old, edges = edges, materialize(new, "simhash-links")
-        drop_table(old)
+        if own:
+            drop_table(old)
+        own = True
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[0].withColumnRenamed("low", "component")
