@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -46,6 +47,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """materialize(), after which shuffle files that nothing refers to can go."""
+    out = materialize(df, tag)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession

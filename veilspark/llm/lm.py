@@ -17,34 +17,64 @@ from __future__ import annotations
 
 import mmap
 import tempfile
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, filesystem, give_back, map_arrow, materialize, new_dir
+from .common import drop_table, filesystem, give_back, map_arrow, new_dir, settle
+from .hashing import Prefixes, mixed, random_bases
 
-#: Bytes of text to a bucket; distinct words that a worker remembers; rows, and bigrams or trigrams, that it handles at once.
-BUCKET_BYTES, REMEMBER, ROWS, HELD = 64_000_000, 400_000, 1000, 1_000_000
+#: Bytes of text to a bucket; rows, and words, bigrams or trigrams, that a worker handles at once; bytes that it hashes at once.
+BUCKET_BYTES, ROWS, HELD, PIECE = 64_000_000, 1000, 1_000_000, 1 << 18
 #: Keys in a packed row: rows stay under half a megabyte, which the JVM's collector moves easily.
 PACKED = 40_000
 #: Smaller files are read and not mapped, as a process can hold some 65,000 maps.
 SMALL = 1 << 16
-#: A text's last token; as it holds a blank, no word equals it.
-END = b" end"
 UNKNOWN = np.int64(-1)
 #: Stands for a key with an unknown part; numbers stay below 2 ** 32 - 1, so no key equals it.
 NO_KEY = np.uint64((1 << 64) - 1)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, then the end."""
-    return [*(text or "").encode().lower().split(), END]
+#: Which bytes are blank, and bytes with A-Z lower-cased.
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Hash of a text's last token, which no word has: words' hashes come from numbers below 2 ** 62.
+END = mixed(np.array([1 << 63], np.uint64))[0]
+
+
+def tokens(texts: pa.Array, bases: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token: the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased and an end for each text; where each text begins).
+
+    Words are found and hashed from the column's bytes, PIECE of them at a time.
+    """
+    texts = texts.cast(pa.string()).fill_null("")
+    ends_at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends_at[0] : ends_at[-1]]
+    ends_at = ends_at - ends_at[0]
+    first, last = np.ones(len(data), bool), np.ones(len(data), bool)  # after a blank or at a text's begin, before a blank or at a text's end
+    word = ~BLANK[data]
+    first[1:], last[:-1] = ~word[:-1], ~word[1:]
+    inner = ends_at[(ends_at > 0) & (ends_at < len(data))]
+    first[inner] = last[inner - 1] = True
+    starts, ends = np.flatnonzero(word & first), np.flatnonzero(word & last) + 1
+    h, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        part = LOWER[data[starts[i] : ends[j - 1]]]
+        a, b = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        one, two = (Prefixes(part, base).of(a, b) for base in bases)
+        h[i:j] = mixed((one << np.uint64(31)) | two)
+        i = j
+    of = np.searchsorted(ends_at[1:], starts, "right")  # the text of each word
+    n = np.bincount(of, minlength=len(texts)) + 1
+    out = np.full(len(starts) + len(texts), END)
+    out[np.arange(len(starts)) + of] = h
+    return out, np.cumsum(n) - n
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -80,7 +110,7 @@ def save(folder: str, name: str, *arrays: np.ndarray) -> None:
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
     for k, a in enumerate(arrays):
-        tag = xxhash.xxh64_hexdigest(tempfile.gettempdir() + str(np.random.default_rng().integers(1 << 62)))
+        tag = uuid.uuid4().hex
         with store.open_output_stream(f"{root}/{name}.{k}.{tag}", compression=None) as f:
             f.write(a.tobytes())
         store.move(f"{root}/{name}.{k}.{tag}", f"{root}/{name}.{k}")
@@ -109,6 +139,12 @@ def narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.minimum(counts, 255).astype(np.uint8), big.astype(np.int64), counts[big].astype(np.uint32)
 
 
+def records(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of counts as one array with a byte for each, side by side, then places and values of what is 255 or more in each."""
+    each = [narrow(c) for c in columns]
+    return [np.stack([x[0] for x in each], axis=1), *[y for x in each for y in x[1:]]]
+
+
 @dataclass
 class Grams:
     """Keys in buckets by hash, sorted in each, with narrow columns; a key's place counts through the buckets."""
@@ -141,20 +177,35 @@ class Grams:
                 out[at] = found(self.array(self.name, b, 0, np.uint64), keys[at], self.begin[b])
         return out
 
-    def column(self, places: np.ndarray, name: str = "", k: int = 1) -> np.ndarray:
-        """Values, at the places, of the narrow column that begins with the k-th file of that name; 0 where UNKNOWN."""
-        out, name = np.zeros(len(places), np.int64), name or self.name
-        for b, at in split(np.searchsorted(self.begin, places, "right") - 1):
-            if b < 0:
-                continue
+    def column(self, places: np.ndarray) -> np.ndarray:
+        """Counts at the places; 0 where UNKNOWN."""
+        out = np.zeros(len(places), np.int64)
+        for b, at in self.where(places):
             row = places[at] - self.begin[b]
-            value = self.array(name, b, k, np.uint8)[row].astype(np.int64)
+            value = self.array(self.name, b, 1, np.uint8)[row].astype(np.int64)
             big = np.flatnonzero(value == 255)
             if len(big):
-                value[big] = self.array(name, b, k + 2, np.uint32)[np.searchsorted(self.array(name, b, k + 1, np.int64), row[big])]
+                value[big] = self.array(self.name, b, 3, np.uint32)[np.searchsorted(self.array(self.name, b, 2, np.int64), row[big])]
             out[at] = value
         return out
 
+    def records(self, places: np.ndarray, name: str, width: int) -> np.ndarray:
+        """The records() of that name at the places, a column for each; 0 where UNKNOWN."""
+        out = np.zeros((len(places), width), np.int64)
+        for b, at in self.where(places):
+            row = places[at] - self.begin[b]
+            value = self.array(name, b, 0, np.uint8).reshape(-1, width)[row].astype(np.int64)
+            for k in range(width):
+                big = np.flatnonzero(value[:, k] == 255)
+                if len(big):
+                    value[big, k] = self.array(name, b, 2 + 2 * k, np.uint32)[np.searchsorted(self.array(name, b, 1 + 2 * k, np.int64), row[big])]
+            out[at] = value
+        return out.T
+
+    def where(self, places: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each bucket with the places that lie in it, in order."""
+        return [(b, at) for b, at in split(np.searchsorted(self.begin, places, "right") - 1) if b >= 0]
+
 
 @dataclass
 class Vocabulary:
@@ -163,14 +214,14 @@ class Vocabulary:
     folder: str
     sizes: list[int]  # words in each bucket
     tokens: int  # N
+    bases: tuple[int, int]  # of the hashes
 
     def __post_init__(self):
         self.begin = np.cumsum([0, *self.sizes])
-        self.known: dict[bytes, int] = {}
         self.arrays: dict[tuple[int, int], np.ndarray] = {}
 
     def __getstate__(self):
-        return {"folder": self.folder, "sizes": self.sizes, "tokens": self.tokens}
+        return {"folder": self.folder, "sizes": self.sizes, "tokens": self.tokens, "bases": self.bases}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -184,18 +235,15 @@ class Vocabulary:
             self.arrays[bucket, k] = load(self.folder, f"words-{bucket}", k, kind)
         return self.arrays[bucket, k]
 
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        new = list({t for t in tokens if t not in self.known})
-        if new:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            out, bucket = np.full(len(new), UNKNOWN), bucket_of(h, len(self.sizes))
-            for b in np.unique(bucket):
-                at = np.flatnonzero(bucket == b)
-                out[at] = found(self.array(int(b), 0, np.uint64), h[at], self.begin[b])
-            self.known.update(zip(new, out.tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each token, UNKNOWN where the vocabulary has it not."""
+        h, at = np.unique(hashes, return_inverse=True)
+        out, bucket = np.full(len(h), UNKNOWN), bucket_of(h, len(self.sizes))
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(h) else []
+        for i, j in zip(cuts, [*cuts[1:], len(h)], strict=True):
+            b = int(bucket[i])
+            out[i:j] = found(self.array(b, 0, np.uint64), h[i:j], self.begin[b])
+        return out[at]
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.int64)
@@ -245,22 +293,24 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes
 
 
 def count_words(texts: DataFrame, buckets: int, folder: str) -> Vocabulary:
+    bases = random_bases()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
-            n = np.fromiter(seen.values(), np.int64, len(seen))
-            seen.clear()
-            order = np.argsort(h)
-            return packed(by_bucket(bucket_of(h[order], buckets), h[order], n[order]))
+            h, n = merged(held)
+            held.clear()
+            return packed(by_bucket(bucket_of(h, buckets), h, n))
 
         for b in batches:
-            for t in b.column(0):
-                seen.update(words(t.as_py()))
-                if len(seen) > REMEMBER:
+            for i in range(0, b.num_rows, ROWS):
+                held.append(np.unique(tokens(b.column(0).slice(i, ROWS), bases)[0], return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
                     yield flush()
-        if seen:
+                    size = 0
+        if held:
             yield flush()
 
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
@@ -274,20 +324,17 @@ def count_words(texts: DataFrame, buckets: int, folder: str) -> Vocabulary:
     for b in range(buckets):
         if b not in sizes:
             save(folder, f"words-{b}", np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-    return Vocabulary(folder, [sizes.get(b, 0) for b in range(buckets)], sum(r.total for r in rows))
+    return Vocabulary(folder, [sizes.get(b, 0) for b in range(buckets)], sum(r.total for r in rows), bases)
 
 
-def events(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def events(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the token before, number of the token, where each text begins); before the first token stands number V."""
-    tokens, begin = [], []
-    for t in texts:
-        begin.append(len(tokens))
-        tokens += words(t)
-    now = vocabulary.numbers(tokens)
+    hashes, begin = tokens(texts, vocabulary.bases)
+    now = vocabulary.numbers(hashes)
     before = np.empty_like(now)
     before[1:] = now[:-1]
     before[begin] = len(vocabulary)
-    return before, now, np.array(begin, np.int64)
+    return before, now, begin
 
 
 def joined(before: np.ndarray, now: np.ndarray) -> np.ndarray:
@@ -357,7 +404,7 @@ def count_grams(texts: DataFrame, name: str, buckets: int, folder: str, keys_of,
 
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
-                held.append(keys_of(b.column(0).slice(i, ROWS).to_pylist()))
+                held.append(keys_of(b.column(0).slice(i, ROWS)))
                 size += len(held[-1])
                 if size > HELD:
                     yield flush()
@@ -374,7 +421,7 @@ def count_grams(texts: DataFrame, name: str, buckets: int, folder: str, keys_of,
         return table_of(rows)
 
     parts = map_arrow(texts.select("text"), run, "bucket int, data binary")
-    return materialize(parts.groupBy("bucket").applyInArrow(reduce, STATISTICS), f"lm-{name}")
+    return settle(parts.groupBy("bucket").applyInArrow(reduce, STATISTICS), f"lm-{name}")
 
 
 def halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,7 +443,7 @@ def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, bucke
     if pairs.begin[-1] >= (1 << 32) - 1:
         raise ValueError("more bigrams than 32 bits can number")
 
-    def keys_of(rows: list[str | None]) -> np.ndarray:
+    def keys_of(rows: pa.Array) -> np.ndarray:
         before, now, begin = events(vocabulary, rows)
         keys, at = np.unique(joined(before, now), return_inverse=True)
         place = pairs.places(keys)[at]
@@ -416,19 +463,19 @@ def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, fo
         if not pairs.sizes[b]:
             return table_of([])
         n, begin = pairs.sizes[b], int(pairs.begin[b])
-        seen = [x for kind in ("one", "two", "more") for x in narrow(summed(group, kind, begin, n))]
+        seen = [summed(group, kind, begin, n) for kind in ("one", "two", "more")]
         before, now = halves(load(folder, f"pairs-{b}", 0, np.uint64))
         counts = summed(group, "after", begin, n).astype(np.int64)
         first = np.flatnonzero(before == len(vocabulary))
         counts[first] = pairs.column(first + begin)
-        save(folder, f"after-{b}", *seen, *narrow(counts))
+        save(folder, f"after-{b}", *records([*seen, counts, pairs.column(np.arange(begin, begin + n))]))
         rows = [sizes_of(b, counts), *ranked(before, now, counts, vocabulary.begin, True)]
         del before, now, counts, seen, group
         give_back()
         return table_of(rows)
 
     each = stats.sparkSession.range(len(pairs.sizes)).select(F.lit("none").alias("kind"), F.col("id").cast("int").alias("part"), F.lit(b"").alias("data"))
-    out = materialize(stats.where("kind <> 'of'").unionByName(each).groupBy("part").applyInArrow(reduce, STATISTICS), "lm-after")
+    out = settle(stats.where("kind <> 'of'").unionByName(each).groupBy("part").applyInArrow(reduce, STATISTICS), "lm-after")
     return sizes_in(out, len(pairs.sizes))[1], out
 
 
@@ -505,17 +552,20 @@ class Model:
         else:
             held = self.vocabulary.counts(np.where(contexts == v, UNKNOWN, contexts))
             if v in contexts:  # texts, so ends, are as many as begins
-                held = np.where(contexts == v, self.vocabulary.counts(self.vocabulary.numbers([END]))[0], held)
+                held = np.where(contexts == v, self.vocabulary.counts(self.vocabulary.numbers(np.array([END])))[0], held)
         gamma = np.where(held > 0, mass / np.maximum(held, 1), 1.0)[context_at]
         held = np.maximum(held, 1)[context_at]
         keys, key_at = np.unique(np.where((before < 0) | (now < 0), NO_KEY, joined(before, now)), return_inverse=True)
         place = self.pairs.places(keys)
-        occur = self.pairs.column(place)
-        n = (self.pairs.column(place, "after", 9) if self.triples else occur)[key_at]
+        if self.triples:
+            *seen, n, occur = self.pairs.records(place, "after", 5)
+        else:
+            n = self.pairs.column(place)
+        n = n[key_at]
         lower = (n - self.d_pair[np.minimum(n, 3)]) / held + gamma * lower
         if not self.triples:
             return np.log10(lower)
-        mass = sum(self.d_triple[k + 1] * self.pairs.column(place, "after", 3 * k) for k in range(3))
+        mass = sum(self.d_triple[k + 1] * x for k, x in enumerate(seen))
         context_at = np.roll(key_at, 1)  # a token's context is the bigram that ends before it; the first of a text has none
         held = occur[context_at]
         held[begin] = 0
@@ -554,7 +604,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
-                before, now, begin = events(m.vocabulary, part.column(1).to_pylist())
+                before, now, begin = events(m.vocabulary, part.column(1))
                 words, at = np.unique(now, return_inverse=True)
                 c = m.vocabulary.counts(words)[at]
                 base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
