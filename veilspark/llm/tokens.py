@@ -29,7 +29,7 @@ UNSURE = """
 """
 #: Pre-tokens in one call to the library; characters of merged pre-tokens that a worker remembers before it starts afresh,
 #: and of the longest that it remembers.
-CALL, KEEP, LONG = 2000, 4_000_000, 100
+CALL, KEEP, LONG = 2000, 2_000_000, 100
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
