@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -25,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from .common import bounded_threads, map_arrow, slices
 
 MARK, CALL, CUT = "▁", 1 << 17, 1 << 16  # characters in one call to the library, and in one piece of a long text
-REMEMBER = 4_000_000  # characters of segments that a worker remembers; it then starts afresh
+REMEMBER = 1_500_000  # characters of segments that a worker remembers; it then starts afresh
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -115,7 +116,8 @@ class Pieces:
         self.library.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.charsmap = normalizers.Precompiled(spec.charsmap) if spec.charsmap else None
         self.segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.odd: dict[str, str] = {}  # what segments that don't decode to themselves decode to
         self.held, self.bad = 0, set()  # characters of known; segments that the other library encodes otherwise
         self.theirs = None
         self.cut = re.compile(f"(?<=[^{MARK}])(?={MARK})")
@@ -147,15 +149,16 @@ class Pieces:
     def learn(self, segments: list[str]) -> None:
         """Encodes, and decodes again, segments not met before: one multithreaded call for about CALL characters."""
         if self.held > REMEMBER:
-            self.known, self.held = {}, 0
-        new = list(dict.fromkeys(x for x in segments if x not in self.known))
+            self.known, self.odd, self.held = {}, {}, 0
+        new = list(dict.fromkeys([x for x in segments if x not in self.known]))
         sizes, begin = np.cumsum([len(x) for x in new]), 0
         self.held += int(sizes[-1]) if new else 0
         while begin < len(new):
             end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + CALL, "right")))
             part = new[begin:end]
             ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            self.known.update(zip(part, zip(ids, self.library.decode_batch(ids, skip_special_tokens=False), strict=True), strict=True))
+            self.known.update((x, array("i", i).tobytes()) for x, i in zip(part, ids, strict=True))
+            self.odd.update((x, t) for x, t in zip(part, self.library.decode_batch(ids, skip_special_tokens=False), strict=True) if t != x.replace(MARK, " "))
             if self.theirs:
                 begins = int(self.spec.dummy_prefix)
                 other = self.theirs.encode([x[begins:].replace(MARK, " ") for x in part], num_threads=1)
@@ -167,16 +170,14 @@ class Pieces:
 
         Segments that repeat, as words do, are encoded, decoded and compared once. The pre-tokenizer cuts a text into
         the same segments, so a text's ids are its segments' ids in a row; a segment holds whole characters, so its
-        bytes never wait for another's.
+        bytes never wait for another's. A segment decodes to itself with blanks for markers, or is one of the odd ones.
         """
         cut = [[x for p in self.parts(t) for x in (self.segment.findall(p) if not self.inner else [p])] for t in texts]
         self.learn(list(chain.from_iterable(cut)))
-        ids, back = [], []
-        for c in cut:
-            both = [self.known[x] for x in c]
-            ids.append(np.fromiter(chain.from_iterable([x[0] for x in both]), np.int32))
-            back.append(self.unmarked("".join([x[1] for x in both])))
-        return ids, back, [not self.bad or self.bad.isdisjoint(c) for c in cut]
+        ids = [np.frombuffer(b"".join([self.known[x] for x in c]), np.int32) for c in cut]
+        strange = [bool(self.odd) and not self.odd.keys().isdisjoint(c) for c in cut]
+        back = ["".join([self.odd[x] if x in self.odd else x.replace(MARK, " ") for x in c] if o else c).replace(MARK, MARK if o else " ") for c, o in zip(cut, strange, strict=True)]
+        return ids, [self.unmarked(t) for t in back], [not self.bad or self.bad.isdisjoint(c) for c in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_both(texts)[0]
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, chec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, at):
+            for b in slices(whole, at, 1 << 19):
                 texts = [t or "" for t in b.column(at).to_pylist()]
                 ids, decoded, same = pieces_of(path, check).encode_both(texts)
                 made = {
