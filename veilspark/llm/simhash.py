@@ -297,10 +297,10 @@ def representatives(docs: DataFrame) -> DataFrame:
     The row with the smallest doc_id stays (one without doc_id only if no other is there), then that with the
     smallest text hash; of equal ones any.
     """
-    marked = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    fps = materialize(fingerprints(marked, "_th"), "simhash-fps")
-    points = materialize(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("best")), "simhash-points")
+    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    fps = materialize(fingerprints(marked, "_id", "_th"), "simhash-fps")
+    points = materialize(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_id", "_th")).alias("best")), "simhash-points")
     found = points.join(components(links(points.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp"), "fp", "left")
-    best = found.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best._th").alias("best_th"))
-    chosen = marked.join(best, F.col("_id").eqNullSafe(F.col("best_id")) & (F.col("_th") == F.col("best_th")), "left_semi")
-    return chosen.dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    best = found.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("best").alias("best")).select("best._id", "best._th")
+    # Equal rows are reduced before the shuffle, so that a text in a third of all rows is no heavy group.
+    return marked.dropDuplicates(["_id", "_th"]).join(best, ["_id", "_th"], "left_semi").select(*docs.columns)
