@@ -76,6 +76,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     key = F.struct(F.col("doc_id").alias("id"), th.alias("th"))
     bad = decontam.contaminated(rows.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id.*").distinct()
+    bad = materialize(bad, "pipeline-contaminated")  # Spark then knows its size, and broadcasts it if it is small
     return restore(rows.join(bad, rows["doc_id"].eqNullSafe(bad["id"]) & (th == bad["th"]), "left_anti"))
 
 
