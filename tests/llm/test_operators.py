@@ -122,14 +122,35 @@ def test_simhash_partitions_by_vantage_point_trees(spark):
 
 
 def test_licenses(spark):
-    def brute(i, text):
-        w = ALNUM.findall((text or "").translate(LOWER))
-        found = sorted((k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        return (i, len(w), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x for _, x in found})))
-
-    got = licenses.scan(docs(spark, ROWS))
-    assert rows(got.select(*got.columns[:6])) == sorted((brute(*r) for r in ROWS), key=str)
-    assert {r.labels for r in got.collect()} == {"", "cc-by,reserved", "gpl,gpl-3.0", "mit"}
+    whole = next(t for label, t, _ in licenses.TEMPLATES if label == "mit" and len(t) > 200)
+    cut = " ".join(whole.split()[20:])
+    some = [*ROWS, (90, "x " * 500 + whole + " y" * 500 + " MIT license"), (91, whole.replace("restriction", "regret")), (92, cut), (93, "the " * 900 + "reserved " * 5000 + "all rights reserved"), (94, "mit license " * 3), (95, "Licensed under the Apache License, Version 2.0 (the License)")]
+    texts = [ALNUM.findall((t or "").translate(LOWER)) for _, t in some]
+    known = licenses.licence_words()
+    df = Counter(x for w in texts for x in set(w) & set(known))
+    idf = {x: math.log(1 + len(some) / max(1, df[x])) for x in known}
+
+    def stands(w, phrase):
+        return [k for k in range(len(w)) if w[k : k + len(phrase)] == phrase]
+
+    def brute(i, w):
+        found = sorted((k, label) for p, label in licenses.BASE.items() for k in stands(w, p.split()))
+        own, score = {label for _, label in found}, 1.0 if found else 0.0
+        for label, text, phrase in licenses.TEMPLATES:
+            t, key = text.split(), phrase.split()
+            at = stands(t, key)[0]
+            places = {*range(at, at + len(key)), *sorted(range(len(t)), key=lambda k: (-idf[t[k]], k))[: licenses.RAREST]}
+            for k in stands(w, key):
+                share = sum(idf[t[p]] for p in places if 0 <= k - at + p < len(w) and w[k - at + p] == t[p]) / sum(idf[t[p]] for p in places)
+                if round(share, 6) >= licenses.SHARE:
+                    own.add(label)
+                    score = max(score, round(share, 6))
+        return (i, len(w), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x for _, x in found})), ",".join(sorted(own)), pytest.approx(score, abs=2e-6))
+
+    got = licenses.scan(docs(spark, some))
+    want = sorted((brute(i, w) for (i, _), w in zip(some, texts, strict=True)), key=lambda r: str(r[:-1]))
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: str(r[:-1])) == want
+    assert {"mit", "gpl,gpl-3.0", "apache-2.0"} <= {r[6] for r in want}
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
