@@ -2,14 +2,16 @@
 
 A window of a benchmark item is a set of word shingles; a document holds the window only if it holds all of
 them, so the overlap asked for equals the window's size and the prefix that must be joined is one shingle:
-the rarest in one order of all shingles. Windows that overlap mostly share it, so the index has fewer keys
+the rarest in one order of all shingles. A first pass over the documents counts how often they have each shingle
+of the benchmark; the fewer, the rarer. Windows that overlap mostly share their prefix, so the index has fewer keys
 than windows. Document shingles meet the index by hash; place and length bounds drop matches whose window
 would begin before the text or end after it; what is left is compared word by word with the window. Hashes
-only find candidates.
+only find candidates. Items join last, by the words of the windows found.
 
 While the index has at most MAX_BROADCAST rows (counted first) it is broadcast, and shingling, join and
 comparison are one pass over the documents that shuffles only what was found. Beyond that, document shingles
-are shuffled by hash to meet it, and the candidates go back to their documents to be compared.
+are shuffled by hash to meet it, which adaptive execution splits where a shingle is frequent, and the candidates
+go back to their documents to be compared.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, let, materialize
+from .common import alnum_words, drop_table, let, materialize
 
 WINDOW, SHINGLE, MAX_BROADCAST = 10, 5, 200_000
 #: The key that every document has once; it finds the index row without a window and so yields the document's word count.
@@ -50,46 +52,61 @@ def shingles(words: Column, width: int) -> Column:
     return let(words, lambda w: pair(w, w, 1)) if width == 2 else let(words, lambda w: let(pair(w, w, 1), wider))
 
 
-def index(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row per window: width (words in its prefix shingle), key (hash of that shingle), off (its place in the window).
-
-    Rarity is how many windows hold the shingle; ties go to the smaller hash, so every window that holds both
-    prefers the same one. Windows shorter than a shingle are one shingle of their own length.
-    """
+def windows_by_shingle(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """win, width (words in its shingles), off and key of each shingle: windows shorter than a shingle are one of their own length."""
     width = F.least(F.size("win"), F.lit(shingle))
     keys = F.coalesce(*[F.when(width == k, shingles(F.col("win"), k)) for k in range(1, shingle + 1)])
-    keyed = windows.withColumn("width", width).select("*", F.posexplode(keys).alias("off", "key")).where("off <= size(win) - width")
-    rarity = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held_by"))
-    best = Window.partitionBy("item_id", "win").orderBy("held_by", "key", "off")  # a partition has one window's shingles
+    return windows.withColumn("width", width).select("win", "width", F.posexplode(keys).alias("off", "key")).where("off <= size(win) - width")
+
+
+def index(keyed: DataFrame, in_documents: DataFrame) -> DataFrame:
+    """One row per window: width, key (hash of its prefix shingle), off (the shingle's place in the window), win.
+
+    The prefix is the shingle that the documents have least often (in_documents: key, n), then that which the fewest
+    windows hold; ties go to the smaller hash, so every window that holds both prefers the same one.
+    """
+    rarity = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held_by")).join(in_documents, "key", "left")
+    best = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "held_by", "key", "off")  # a partition has one window's shingles
     ranked = keyed.join(rarity, "key").withColumn("rank", F.row_number().over(best))
-    return ranked.where("rank = 1").select("width", "key", "off", "item_id", "win")
+    return ranked.where("rank = 1").select("width", "key", "off", "win")
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per row of docs (doc_id, text): rid (its number), doc_id, n_words, found (start, len and item of each occurring window)."""
-    prefix = materialize(index(item_windows(items.select("item_id", "text"), width)), "decontam-index")
-    sizes = {r.width: r.n for r in prefix.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most SHINGLE rows
+    """Per row of docs (doc_id, text): rid (its number), doc_id, n_words, found (start and len of each occurring window), hit_items."""
+    windows = materialize(item_windows(items.select("item_id", "text"), width), "decontam-windows")
+    keyed = materialize(windows_by_shingle(windows.select("win").distinct()), "decontam-shingles")
+    sizes = {r.width: r.n for r in keyed.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most SHINGLE rows
     widths, small = sorted(sizes), sum(sizes.values()) <= MAX_BROADCAST
-    posts = prefix.groupBy("key").agg(F.collect_list(F.struct("off", "item_id", "win")).alias("posts"))
-    empty = F.array(F.struct(F.lit(0).alias("off"), F.lit(None).cast("bigint").alias("item_id"), F.array().cast("array<string>").alias("win")))
-    posts = posts.unionByName(docs.sparkSession.range(1).select(F.lit(COUNT_KEY).cast("bigint").alias("key"), empty.alias("posts")))
     own = F.array(F.lit(COUNT_KEY).cast("bigint"))
     source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", alnum_words(F.coalesce("text", F.lit(""))).alias("w"))
+    if not small:
+        source = materialize(source, "decontam-words")  # read three times: rows keep their numbers
     # Never empty, so _outer adds no rows; without it Spark filters on the array first and makes it twice.
-    keyed = source.select("rid", "doc_id", "w", F.size("w").alias("n"), let(F.col("w"), lambda w: F.concat(own, *[shingles(w, k) for k in widths])).alias("keys"))
+    shingled = source.select("rid", "doc_id", "w", F.size("w").alias("n"), let(F.col("w"), lambda w: F.concat(own, *[shingles(w, k) for k in widths])).alias("keys"))
+
+    known = keyed.select("key").distinct()
+    counted = shingled.select(F.explode_outer("keys").alias("key")).join(F.broadcast(known) if small else known, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    prefix = materialize(index(keyed, counted), "decontam-index")
+    none = prefix.sparkSession.range(1).select(F.lit(0).alias("width"), F.lit(COUNT_KEY).cast("bigint").alias("key"), F.lit(0).alias("off"), F.array().cast("array<string>").alias("win"))
+    posts = prefix.unionByName(none).select("key", "off", "win")
+
     pos = F.when(F.col("p") == 0, 0).otherwise((F.col("p") - 1) % F.greatest(F.col("n"), F.lit(1)))
     if small:
-        met = keyed.select("rid", "doc_id", "w", "n", F.posexplode_outer("keys").alias("p", "key")).join(F.broadcast(posts), "key")
-        met = met.select("rid", "doc_id", "w", "n", pos.alias("pos"), F.explode("posts").alias("post"))
+        met = shingled.select("rid", "doc_id", "w", "n", F.posexplode_outer("keys").alias("p", "key")).join(F.broadcast(posts), "key")
+        met = met.select("rid", "doc_id", "w", "n", pos.alias("pos"), "off", "win")
     else:
-        far = keyed.select("rid", "n", F.posexplode_outer("keys").alias("p", "key")).join(posts, "key")
-        far = far.select("rid", pos.alias("pos"), F.explode("posts").alias("post"))
-        met = source.withColumn("n", F.size("w")).join(far, "rid")
-    start, length = F.col("pos") - F.col("post.off"), F.size("post.win")
-    fits = (start >= 0) & (start + length <= F.col("n")) & (F.slice("w", start + 1, length) == F.col("post.win"))
-    hit = F.when(length > 0, F.struct(start.alias("start"), length.alias("len"), F.col("post.item_id").alias("item")))
-    held = met.where((length == 0) | fits).select("rid", "doc_id", "n", hit.alias("hit"))
-    return held.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n").cast("long").alias("n_words"), F.collect_set("hit").alias("found"))
+        far = shingled.select("rid", "n", F.posexplode_outer("keys").alias("p", "key")).where(F.col("key") != COUNT_KEY).join(posts, "key")
+        once = source.select("rid", F.lit(0).alias("pos"), F.lit(0).alias("off"), F.array().cast("array<string>").alias("win"))
+        met = source.withColumn("n", F.size("w")).join(far.select("rid", pos.alias("pos"), "off", "win").unionByName(once), "rid")
+    start, length = F.col("pos") - F.col("off"), F.size("win")
+    fits = (start >= 0) & (start + length <= F.col("n")) & (F.slice("w", start + 1, length) == F.col("win"))
+    hit = F.when(length > 0, F.struct(start.alias("start"), length.alias("len")))
+    held = materialize(met.where((length == 0) | fits).select("rid", "doc_id", "n", hit.alias("hit"), F.when(length > 0, F.col("win")).alias("win")), "decontam-hits")
+    named = held.where("win is not null").select("rid", "win").distinct().join(windows, "win").groupBy("rid").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("hit_items"))
+    found = held.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n").cast("long").alias("n_words"), F.collect_set("hit").alias("found"))
+    for t in (keyed, prefix, *([] if small else [source])):
+        drop_table(t)
+    return found.join(named, "rid", "left").withColumn("hit_items", F.coalesce("hit_items", F.array().cast("array<string>")))
 
 
 def union_length(spans: Column) -> Column:
@@ -112,9 +129,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Data
     rows or no hits. Columns other than doc_id, item_id and text are not looked at.
     """
     found = matches(docs.select("doc_id", "text"), items, width)
-    spans = F.array_sort(F.array_distinct(F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"))))).cast(SPANS)
-    named = F.array_sort(F.array_distinct(F.transform("found", lambda c: c["item"].cast("string"))))
-    return found.select("doc_id", "n_words", spans.alias("spans"), named.alias("hit_items")).select("doc_id", "n_words", union_length(F.col("spans")).alias("n_hit"), "hit_items", "spans")
+    return found.select("doc_id", "n_words", F.array_sort("found").cast(SPANS).alias("spans"), "hit_items").select("doc_id", "n_words", union_length(F.col("spans")).alias("n_hit"), "hit_items", "spans")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
