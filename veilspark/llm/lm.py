@@ -147,18 +147,22 @@ def records(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 @dataclass
 class Grams:
-    """Keys in buckets by hash, sorted in each, with narrow columns; a key's place counts through the buckets."""
+    """Keys in buckets, sorted in each, with narrow columns; a key's place counts through the buckets.
+
+    Buckets are cut by the keys' hash or, where `lowest` is given, by their upper 32 bits.
+    """
 
     folder: str
     name: str
     sizes: list[int]  # keys in each bucket
+    lowest: np.ndarray | None = None  # of each bucket, and one more that ends the last
 
     def __post_init__(self):
         self.begin = np.cumsum([0, *self.sizes])
         self.arrays: dict[tuple, np.ndarray] = {}
 
     def __getstate__(self):
-        return {"folder": self.folder, "name": self.name, "sizes": self.sizes}
+        return {"folder": self.folder, "name": self.name, "sizes": self.sizes, "lowest": self.lowest}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -170,8 +174,14 @@ class Grams:
         return self.arrays[name, bucket, k]
 
     def places(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key (best in order), UNKNOWN where absent."""
+        """Place of each key (keys in order), UNKNOWN where absent."""
         out = np.full(len(keys), UNKNOWN)
+        if self.lowest is not None:
+            cuts = np.searchsorted(keys, self.lowest.astype(np.uint64) << np.uint64(32))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                if self.sizes[b]:
+                    out[cuts[b] : cuts[b + 1]] = found(self.array(self.name, b, 0, np.uint64), keys[cuts[b] : cuts[b + 1]], self.begin[b])
+            return out
         for b, at in split(hashed(keys, len(self.sizes))):
             if self.sizes[b]:
                 out[at] = found(self.array(self.name, b, 0, np.uint64), keys[at], self.begin[b])
@@ -190,10 +200,15 @@ class Grams:
         return out
 
     def records(self, places: np.ndarray, name: str, width: int) -> np.ndarray:
-        """The records() of that name at the places, a column for each; 0 where UNKNOWN."""
-        out = np.zeros((len(places), width), np.int64)
-        for b, at in self.where(places):
-            row = places[at] - self.begin[b]
+        """The records() of that name at the places, a column for each; 0 where UNKNOWN.
+
+        Places are those of keys, or, where buckets are cut by the upper bits, these bits.
+        """
+        out, begin = np.zeros((len(places), width), np.int64), self.begin if self.lowest is None else self.lowest
+        for b, at in split(np.searchsorted(begin, places, "right") - 1):
+            if b < 0 or not self.sizes[b]:
+                continue
+            row = places[at] - begin[b]
             value = self.array(name, b, 0, np.uint8).reshape(-1, width)[row].astype(np.int64)
             for k in range(width):
                 big = np.flatnonzero(value[:, k] == 255)
@@ -353,7 +368,7 @@ def sizes_of(bucket: int, counts: np.ndarray) -> tuple[str, int, bytes]:
     return ("of", bucket, np.array([len(counts), *((counts == k).sum() for k in (1, 2, 3, 4))], np.int64).tobytes())
 
 
-def ranked(before: np.ndarray, after: np.ndarray, counts: np.ndarray, begin: np.ndarray, total: bool = False) -> list[tuple[str, int, bytes]]:
+def ranked(before: np.ndarray, after: np.ndarray, counts: np.ndarray, begin: np.ndarray, total: bool = False, kinds: tuple[str, ...] = ("one", "two", "more", "after")) -> list[tuple[str, int, bytes]]:
     """Statistics by number, packed by the ranges that begin holds: as context, followers seen once, twice, more often
     (and, with total, the sum of their counts); as what comes after, how many different ones precede."""
     rows, cuts = [], begin[1:-1]
@@ -362,6 +377,8 @@ def ranked(before: np.ndarray, after: np.ndarray, counts: np.ndarray, begin: np.
         rows.extend((kind, b, data) for b, data in by_bucket(np.searchsorted(cuts, ids, "right"), ids.astype(np.uint64), n))
 
     for kind, which, chosen in (("one", before, counts == 1), ("two", before, counts == 2), ("more", before, counts > 2), ("after", after, counts > 0)):
+        if kind not in kinds:
+            continue
         add(kind, *np.unique(which[chosen], return_counts=True))
     if total:
         ids, at = np.unique(before, return_inverse=True)
@@ -388,8 +405,8 @@ def sizes_in(stats: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
     return sizes, occur.tolist()
 
 
-def count_grams(texts: DataFrame, name: str, buckets: int, folder: str, keys_of, statistics) -> DataFrame:
-    """Stores the keys that keys_of(texts) gives, and their counts; the rows of statistics(keys, counts) and of sizes_of."""
+def count_grams(texts: DataFrame, name: str, bucket_of, folder: str, keys_of, statistics) -> DataFrame:
+    """Stores the keys that keys_of(texts) gives, and their counts, by bucket_of(keys); the rows of statistics(bucket, keys, counts) and of sizes_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -397,7 +414,7 @@ def count_grams(texts: DataFrame, name: str, buckets: int, folder: str, keys_of,
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            rows = by_bucket(hashed(keys, buckets), keys, n)
+            rows = by_bucket(bucket_of(keys), keys, n)
             del keys, n
             give_back()
             return packed(rows)
@@ -415,7 +432,7 @@ def count_grams(texts: DataFrame, name: str, buckets: int, folder: str, keys_of,
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
         keys, counts = merged([unpack(x) for x in group.column("data").to_pylist()])
         save(folder, f"{name}-{key[0].as_py()}", keys, *narrow(counts))
-        rows = [sizes_of(key[0].as_py(), counts), *statistics(keys, counts)]
+        rows = [sizes_of(key[0].as_py(), counts), *statistics(key[0].as_py(), keys, counts)]
         del keys, counts, group
         give_back()
         return table_of(rows)
@@ -432,16 +449,22 @@ def count_bigrams(texts: DataFrame, vocabulary: Vocabulary, buckets: int, folder
     """Stores the bigrams; (they, how many occur once, twice, three and four times, parts of the statistics by word)."""
     if len(vocabulary) >= (1 << 32) - 1:
         raise ValueError("more words than 32 bits can number")
-    statistics = lambda keys, counts: ranked(*halves(keys), counts, vocabulary.begin) if order == 2 else []
-    stats = count_grams(texts, "pairs", buckets, folder, lambda rows: joined(*events(vocabulary, rows)[:2]), statistics)
+    statistics = lambda bucket, keys, counts: ranked(*halves(keys), counts, vocabulary.begin) if order == 2 else []
+    stats = count_grams(texts, "pairs", lambda keys: hashed(keys, buckets), folder, lambda rows: joined(*events(vocabulary, rows)[:2]), statistics)
     sizes, occur = sizes_in(stats, buckets)
     return Grams(folder, "pairs", sizes), occur, stats
 
 
 def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, buckets: int, folder: str) -> tuple[Grams, list[int], DataFrame]:
-    """Stores the trigrams; (they, how many occur once, twice, three and four times, parts of the statistics by bigram)."""
-    if pairs.begin[-1] >= (1 << 32) - 1:
+    """Stores the trigrams and, by their first bigram, followers seen once, twice, more often; (they, how many occur once,
+    twice, three and four times, parts of the statistics by last bigram).
+
+    Buckets are ranges of the first bigram's place, which hashes dealt out, so a bigram's followers lie in one bucket.
+    """
+    total = int(pairs.begin[-1])
+    if total >= (1 << 32) - 1:
         raise ValueError("more bigrams than 32 bits can number")
+    lowest = np.arange(buckets + 1) * total // buckets
 
     def keys_of(rows: pa.Array) -> np.ndarray:
         before, now, begin = events(vocabulary, rows)
@@ -449,28 +472,35 @@ def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, bucke
         place = pairs.places(keys)[at]
         return np.delete(joined(np.roll(place, 1), place), begin)
 
-    stats = count_grams(texts, "triples", buckets, folder, keys_of, lambda keys, counts: ranked(*halves(keys), counts, pairs.begin))
+    def statistics(bucket: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple[str, int, bytes]]:
+        left, right = halves(keys)
+        left -= lowest[bucket]
+        n = int(lowest[bucket + 1] - lowest[bucket])
+        save(folder, f"context-{bucket}", *records([np.bincount(left[chosen], minlength=n) for chosen in (counts == 1, counts == 2, counts > 2)]))
+        return ranked(left, right, counts, pairs.begin, kinds=("after",))
+
+    bucket_of = lambda keys: np.searchsorted(lowest, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
+    stats = count_grams(texts, "triples", bucket_of, folder, keys_of, statistics)
     sizes, occur = sizes_in(stats, buckets)
-    return Grams(folder, "triples", sizes), occur, stats
+    return Grams(folder, "triples", sizes, lowest), occur, stats
 
 
 def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, folder: str) -> tuple[list[int], DataFrame]:
-    """Stores, by bigram, followers seen once, twice, more often and the count at order 3; (counts of counts of the last,
-    parts of the statistics by word that come from it)."""
+    """Stores, by bigram, its counts at order 3 and in the texts; (counts of counts of the first, parts of the statistics by
+    word that come from it)."""
 
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
         b = key[0].as_py()
         if not pairs.sizes[b]:
             return table_of([])
         n, begin = pairs.sizes[b], int(pairs.begin[b])
-        seen = [summed(group, kind, begin, n) for kind in ("one", "two", "more")]
         before, now = halves(load(folder, f"pairs-{b}", 0, np.uint64))
         counts = summed(group, "after", begin, n).astype(np.int64)
         first = np.flatnonzero(before == len(vocabulary))
         counts[first] = pairs.column(first + begin)
-        save(folder, f"after-{b}", *records([*seen, counts, pairs.column(np.arange(begin, begin + n))]))
+        save(folder, f"after-{b}", *records([counts, pairs.column(np.arange(begin, begin + n))]))
         rows = [sizes_of(b, counts), *ranked(before, now, counts, vocabulary.begin, True)]
-        del before, now, counts, seen, group
+        del before, now, counts, group
         give_back()
         return table_of(rows)
 
@@ -558,7 +588,8 @@ class Model:
         keys, key_at = np.unique(np.where((before < 0) | (now < 0), NO_KEY, joined(before, now)), return_inverse=True)
         place = self.pairs.places(keys)
         if self.triples:
-            *seen, n, occur = self.pairs.records(place, "after", 5)
+            n, occur = self.pairs.records(place, "after", 2)
+            seen = self.triples.records(place, "context", 3)
         else:
             n = self.pairs.column(place)
         n = n[key_at]
@@ -589,8 +620,9 @@ def train(texts: DataFrame, order: int = 2) -> Model:
     pairs, _, stats = count_bigrams(texts, vocabulary, 4 * buckets, folder, order)
     triples, of_triples, by_pair = count_trigrams(texts, vocabulary, pairs, 8 * buckets, folder)
     of_pairs, by_word = bigram_statistics(by_pair, vocabulary, pairs, folder)
+    drop_table(by_pair)
     out = Model(vocabulary, pairs, triples, of_triples, of_pairs, *word_statistics(by_word, vocabulary, folder))
-    for used in (stats, by_pair, by_word):
+    for used in (stats, by_word):
         drop_table(used)
     return out
 
