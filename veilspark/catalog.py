@@ -1,5 +1,8 @@
 """Registered queries and their SQL."""
 
-from .plans.queries import ORACLES, QUERIES
+from .plans import cases, more, queries
+
+QUERIES = queries.QUERIES | cases.QUERIES | more.QUERIES
+ORACLES = queries.ORACLES | cases.ORACLES | more.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +14,39 @@ STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "
 BEFORE, RAISE, LEAST = 5, 0.35, 0.4
 
 
-def with_context(text: Column, spans: Column, terms: dict[str, list[str]], whole_word: bool = False) -> Column:
-    """Scores raised where a term of the span's recognizer is among the BEFORE keywords before it, or in the span's own text."""
-    if not any(terms.values()):
+#: Characters before a span that are looked at first; where they hold too few words, all are.
+NEAR = 400
+
+
+def with_context(text: Column, spans: Column, terms: dict[str, list[str]], whole_word: bool = False, given: list[str] = ()) -> Column:
+    """Scores raised where a term of the span's recognizer is among the BEFORE keywords before it, in the span's own text or among the given words.
+
+    Spans of recognizers without terms stay as they are.
+    """
+    terms = {name: sorted({w.lower() for w in words if w}) for name, words in terms.items()}
+    terms = {name: words for name, words in terms.items() if words}
+    if not terms:
         return spans
-    table = F.create_map(*[F.lit(x) for name, words in terms.items() for x in (name, [w.lower() for w in words] or [""])])
+    table = F.create_map(*[F.lit(x) for name, words in terms.items() for x in (name, words)])
+
+    def keywords(before: Column) -> Column:
+        return F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}#']+"), lambda w: (w != "") & ~w.isin(STOP))
+
+    def last(words: Column) -> Column:
+        return F.slice(words, F.greatest(F.size(words) - (BEFORE - 1), F.lit(1)), BEFORE)
 
     def one(s: Column) -> Column:
-        before = F.split(F.lower(F.substring(text, F.lit(1), s["start"])), r"[^\p{L}\p{N}#']+")
-        keywords = F.filter(before, lambda w: (w != "") & ~w.isin(STOP))
-        words = F.concat(F.slice(keywords, F.greatest(F.size(keywords) - (BEFORE - 1), F.lit(1)), BEFORE), F.array(F.lower(surface(text, s))))
-        own = F.coalesce(F.element_at(table, s["recognizer"]), F.array().cast("array<string>"))
-        test = lambda w: F.exists(own, lambda t: (t != "") & ((w == t) if whole_word else w.contains(t)))
+        close = keywords(F.substring(text, F.greatest(s["start"] - (NEAR - 1), F.lit(1)), F.least(s["start"], F.lit(NEAR))))
+        # the first of the words may be the end of one
+        before = let(close, lambda w: F.when((s["start"] <= NEAR) | (F.size(w) > BEFORE), last(w)).otherwise(last(keywords(F.substring(text, F.lit(1), s["start"])))))
+        words = F.concat(before, F.array(F.lower(surface(text, s)), *[F.lit(w.lower()) for w in given]))
         raised = F.least(F.lit(1.0), F.greatest(s["score"] + RAISE, F.lit(LEAST)))
-        return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), F.when(F.exists(words, test), raised).otherwise(s["score"]).alias("score"), s["recognizer"].alias("recognizer"))
+
+        def scored(own: Column) -> Column:
+            test = lambda w: F.exists(own, lambda t: (w == t) if whole_word else w.contains(t))
+            return F.when(own.isNotNull() & F.exists(words, test), raised).otherwise(s["score"])
+
+        return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), let(F.try_element_at(table, s["recognizer"]), scored).alias("score"), s["recognizer"].alias("recognizer"))
 
     return F.transform(spans, one)
 
@@ -48,7 +65,8 @@ def analyze(
     """Array of spans (entity_type, start, end, score, recognizer), best score first; empty for null text.
 
     threshold, if given, overrules recognizers' own thresholds. allow: texts that are no findings, compared
-    exactly or as regular expressions found within them. ad_hoc recognizers join for this call only.
+    exactly or as regular expressions found within them. ad_hoc recognizers join for this call only. context: words
+    that count as standing around every span, to be met by the recognizers' own terms.
     """
     if threshold is not None and not 0 <= threshold <= 1:
         raise ValueError("a threshold lies between 0 and 1")
@@ -59,13 +77,13 @@ def analyze(
 
     def found(t: Column) -> Column:
         spans = scan(t, use, flags)
-        spans = with_context(t, spans, {r.name: [*r.context, *context] for r in use if r.context or context})
+        spans = with_context(t, spans, {r.name: list(r.context) for r in use}, given=list(context))
         least = {r.name: threshold if threshold is not None else r.thresholds.get(r.entity, r.thresholds.get("default", 0.0)) for r in use}
         if len(set(least.values())) == 1:
             spans = F.filter(spans, lambda s: s["score"] >= next(iter(least.values())))
         else:
             table = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])
-            spans = F.filter(spans, lambda s: s["score"] >= F.coalesce(F.element_at(table, s["recognizer"]), F.lit(0.0)))
+            spans = F.filter(spans, lambda s: s["score"] >= F.coalesce(F.try_element_at(table, s["recognizer"]), F.lit(0.0)))
         terms = [a for a in allow if a]
         if terms and allow_match == "exact":
             spans = F.filter(spans, lambda s: ~surface(t, s).isin(terms))
@@ -108,6 +126,7 @@ def chunks(text: Column, size: int = 250, overlap: int = 50) -> Column:
 
 
 def sanitize(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """text with each first string replaced by its second, one pair after the other, letter by letter."""
     for old, new in pairs:
-        text = F.regexp_replace(text, re.escape(old), new)
+        text = F.replace(text, F.lit(old), F.lit(new))
     return text

@@ -162,7 +162,7 @@ MBI_L, MBI_X = "[AC-HJKMNP-RT-Y]", "[0-9AC-HJKMNP-RT-Y]"
 ZA_PHONE = ["phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "cellular", "handset", "contact number", "landline", "tel", "home number", "work number", "office number", "sms", "whatsapp"]
 PROVINCE = "(?:GP|ZN|WP|EC|NC|FS|LP|MP|NW)"
 
-CRYPTO = Recognizer("CryptoRecognizer", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5),), ("wallet", "btc", "bitcoin", "crypto"), crypto)
+CRYPTO = Recognizer("CryptoRecognizer", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5),), ("wallet", "btc", "bitcoin", "crypto"), crypto, gate="(?iU)[a-z0-9]{26}")
 
 MORE = [
     national("UsLicenseRecognizer", "US_DRIVER_LICENSE", "us", [(r"\b([A-Z][0-9]{3,6}|[A-Z][0-9]{5,9}|[A-Z][0-9]{6,8}|[A-Z][0-9]{4,8}|[A-Z][0-9]{9,11}|[A-Z]{1,2}[0-9]{5,6}|H[0-9]{8}|V[0-9]{6}|X[0-9]{8}|A-Z]{2}[0-9]{2,5}|[A-Z]{2}[0-9]{3,7}|[0-9]{2}[A-Z]{3}[0-9]{5,6}|[A-Z][0-9]{13,14}|[A-Z][0-9]{18}|[A-Z][0-9]{6}R|[A-Z][0-9]{9}|[A-Z][0-9]{1,12}|[0-9]{9}[A-Z]|[A-Z]{2}[0-9]{6}[A-Z]|[0-9]{8}[A-Z]{2}|[0-9]{3}[A-Z]{2}[0-9]{4}|[A-Z][0-9][A-Z][0-9][A-Z]|[0-9]{7,8}[A-Z])\b", 0.3), (r"\b([0-9]{6,14}|[0-9]{16})\b", 0.01)], ["driver", "license", "permit", "lic", "identification", "dls", "cdls", "lic#", "driving"], enabled=True),

@@ -39,13 +39,16 @@ def _mask(text: Column, kind: Column, masking_char: str, chars_to_mask: int, fro
 
 
 def _hash(text: Column, kind: Column, hash_type: str = "sha256", salt: str | bytes | None = None) -> Column:
-    """Digest of the text's bytes and then the salt. Without a salt each value gets random bytes of its own."""
+    """Digest of the text's bytes and then the salt. Without a salt each value gets random bytes of its own, so a run that is repeated gives others.
+
+    Salts and keys are literals of the plan, so whoever reads plans or event logs can read them.
+    """
     if hash_type not in ("sha256", "sha512"):
         raise ValueError("hash_type is sha256 or sha512")
     salt = salt.encode() if isinstance(salt, str) else salt
     if salt is not None and len(salt) < 16:
         raise ValueError("a salt has 16 bytes at least")
-    tail = F.lit(bytearray(salt)) if salt is not None else F.unhex(F.sha2(F.concat(F.rand().cast("string"), F.uuid()) if hasattr(F, "uuid") else F.rand().cast("string"), 256))
+    tail = F.lit(bytearray(salt)) if salt is not None else F.encode(F.uuid(), "UTF-8")
     return F.sha2(F.concat(F.encode(text, "UTF-8"), tail), 256 if hash_type == "sha256" else 512)
 
 
@@ -104,6 +107,8 @@ def _choose(ops: dict[str, Op], default: Op | None, text: Column, kind: Column,
 def rewrite(text: Column, spans: Column, ops: dict[str, Op] | None = None, reverse: bool = False) -> Column:
     """struct(text, items) for spans that are ready; items, last span first, have places in the new text.
 
+    A span that begins before the text, ends after it or ends before its begin raises an error.
+
     Where spans of different types overlap in part, each operator sees its full text and both results follow each other.
     """
     ops = ops or {}
@@ -124,8 +129,11 @@ def rewrite(text: Column, spans: Column, ops: dict[str, Op] | None = None, rever
 
         return F.aggregate(done, begin, step, lambda a: F.struct(F.concat(a["text"], F.substring(t, a["at"] + 1, F.greatest(F.lit(0), F.length(t) - a["at"]))).alias("text"), a["items"].alias("items")))
 
-    valid = F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] <= s["end"]))
-    return F.when(text.isNotNull(), let(text, lambda t: let(F.transform(by_place(valid), lambda s: one(t, s)), lambda done: build(t, done))))
+    def checked(t: Column, s: Column) -> Column:
+        bad = (s["start"] < 0) | (s["start"] > s["end"]) | (s["end"] > F.length(t))
+        return F.when(bad, F.raise_error(F.format_string("a span from %d to %d does not fit a text of %d characters", s["start"], s["end"], F.length(t))).cast("boolean")).otherwise(True)
+
+    return F.when(text.isNotNull(), let(text, lambda t: let(F.transform(by_place(F.filter(spans, lambda s: checked(t, s))), lambda s: one(t, s)), lambda done: build(t, done))))
 
 
 def anonymize(text: Column, spans: Column, ops: dict[str, Op] | None = None, policy: str = "merge_similar_or_contained", merge_blanks: bool = True) -> Column:

@@ -19,7 +19,8 @@ class Recognizer:
     """What finds one entity type: patterns with scores, context words, and checks on the matched text.
 
     validate: true makes the score 1, false drops the match, null keeps the pattern's score; invalidate: true
-    drops it whatever validate says. span_fn, for other kinds of recognizers, maps the text to a span array.
+    drops it whatever validate says. trim, before the checks, gives the length of the match to keep. span_fn, for
+    other kinds of recognizers, maps the text to a span array.
     """
 
     name: str
@@ -34,6 +35,7 @@ class Recognizer:
     thresholds: dict = field(default_factory=dict, hash=False)
     span_fn: Callable[[Column], Column] | None = None
     gate: str = r"\p{Nd}"  # a cheap pattern that any text with a match has
+    trim: Callable[[Column], Column] | None = None
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,22 +43,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def places(text: Column, pattern: str | Column, flags: str = FLAGS) -> Column:
+#: Stands for a match while a text is cut at its matches; texts that hold it are cut by the pattern itself, which is slower.
+MARK = "\ue000"
+
+
+def places(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     """Array of (start, end) of the non-empty matches, left to right.
 
-    Matches and what lies between them come from the same scan order, so their lengths add up to the places.
+    Matches and what lies between them come from the same scan order, so their lengths add up to the places. The
+    pattern is a literal: a task compiles it once.
     """
-    full = F.lit(flags + pattern) if isinstance(pattern, str) else pattern
-    parts = F.arrays_zip(F.split(text, full, -1).alias("gap"), F.regexp_extract_all(text, full, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(PLACES).alias("out"))
+    full = F.lit(flags + pattern)
+
+    def placed(hits: Column) -> Column:
+        gaps = F.when(F.contains(text, F.lit(MARK)), F.split(text, full, -1)).otherwise(F.split(F.regexp_replace(text, full, F.lit(MARK)), MARK, -1))
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast(PLACES).alias("out"))
 
-    def step(a: Column, e: Column) -> Column:
-        begin = a["pos"] + F.length(e["gap"])
-        end = begin + F.coalesce(F.length(e["hit"]), F.lit(0))
-        return F.struct(end.alias("pos"), F.when(end > begin, F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
+        def step(a: Column, e: Column) -> Column:
+            begin = a["pos"] + F.length(e["gap"])
+            end = begin + F.coalesce(F.length(e["hit"]), F.lit(0))
+            return F.struct(end.alias("pos"), F.when(end > begin, F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
 
-    found = F.aggregate(parts, start, step, lambda a: a["out"])
-    return F.when(F.rlike(text, full), found).otherwise(F.array().cast(PLACES))
+        found = F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda a: a["out"])
+        return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(PLACES))
+
+    return let(F.regexp_extract_all(text, full, F.lit(0)), placed)
 
 
 def surface(text: Column, span: Column) -> Column:
@@ -66,32 +77,34 @@ def surface(text: Column, span: Column) -> Column:
 def scan(text: Column, use: list[Recognizer], flags: str = FLAGS) -> Column:
     """Scored spans of all recognizers, zero scores dropped.
 
-    Patterns are a literal array that one expression walks, so a plan doesn't grow with the catalogue; gates,
-    compiled once a task, leave out the patterns that a text can't match. Checks run on what was found.
+    Gates, each tested once, leave out the patterns that a text can't match. Every pattern is a literal; checks run on
+    what it found.
     """
-    gates = sorted({r.gate for r in use})
-    rows = [F.struct(F.lit(r.entity).alias("entity_type"), F.lit(r.name).alias("recognizer"), F.lit(flags + p).alias("regex"), F.lit(float(score)).alias("score"), F.lit(gates.index(r.gate)).alias("gate")) for r in use if r.span_fn is None for p, score in r.patterns]
-
-    def walk(open_: Column) -> Column:
-        able = F.filter(F.array(*rows), lambda p: F.get(open_, p["gate"]))
-        one = lambda p: F.transform(places(text, p["regex"]), lambda s: F.struct(p["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), p["score"].alias("score"), p["recognizer"].alias("recognizer")))
-        return F.flatten(F.transform(able, one))
-
-    def checked(s: Column) -> Column:
-        def verdict(found: Column) -> Column:
-            score = s["score"]
-            for r in use:
-                mine = s["recognizer"] == r.name
-                if r.validate is not None:  # true is 1, false 0, null keeps the score
-                    score = F.when(mine, F.coalesce(r.validate(found).cast("double"), s["score"])).otherwise(score)
-                if r.invalidate is not None:
-                    score = F.when(mine & r.invalidate(found), 0.0).otherwise(score)
-            return score
-
-        score = let(surface(text, s), verdict)
-        return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), score.cast("double").alias("score"), s["recognizer"].alias("recognizer"))
-
-    parts = [F.transform(let(F.array(*[F.rlike(text, F.lit(g)) for g in gates]), walk).cast(SPAN), checked).cast(SPAN)] if rows else []
+    mine = [r for r in use if r.span_fn is None and r.patterns]
+    gates = sorted({r.gate for r in mine})
+
+    def spans(r: Recognizer, pattern: str, score: float) -> Column:
+        def checked(place: Column) -> Column:
+            def verdict(end: Column) -> Column:
+                def span(found: Column) -> Column:
+                    value = F.lit(float(score))
+                    if r.validate is not None:  # true is 1, false 0, null keeps the score
+                        value = F.coalesce(r.validate(found).cast("double"), value)
+                    if r.invalidate is not None:
+                        value = F.when(r.invalidate(found), 0.0).otherwise(value)
+                    return F.struct(F.lit(r.entity).alias("entity_type"), place["start"].alias("start"), end.alias("end"), value.cast("double").alias("score"), F.lit(r.name).alias("recognizer"))
+
+                return let(F.substring(text, place["start"] + 1, end - place["start"]), span)
+
+            return let(place["end"] if r.trim is None else place["start"] + r.trim(surface(text, place)), verdict)
+
+        return F.transform(places(text, pattern, flags), checked).cast(SPAN)
+
+    def walk(able: Column) -> Column:
+        none = F.array().cast(SPAN)
+        return F.concat(none, *[F.when(F.get(able, gates.index(r.gate)), F.concat(*[spans(r, p, score) for p, score in r.patterns])).otherwise(none) for r in mine])
+
+    parts = [let(F.array(*[F.rlike(text, F.lit(g)) for g in gates]), walk)] if mine else []
     parts += [r.span_fn(text).cast(SPAN) for r in use if r.span_fn is not None]
     return F.filter(F.concat(*parts), lambda s: s["score"] > 0)
 

@@ -9,8 +9,8 @@ from .scan import SPAN, let
 
 
 def _ordered(spans: Column, *keys) -> Column:
-    """spans sorted by the key columns that each of keys makes of a span, ascending."""
-    return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(*[k(s).alias(f"k{i}") for i, k in enumerate(keys)], s.alias("s")))), lambda x: x["s"])
+    """spans sorted by the key columns that each of keys makes of a span, ascending; equal ones as given."""
+    return F.transform(F.array_sort(F.transform(spans, lambda s, i: F.struct(*[k(s).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"), s.alias("s")))), lambda x: x["s"])
 
 
 def by_place(spans: Column) -> Column:
@@ -36,66 +36,87 @@ def without_contained(spans: Column) -> Column:
     return let(F.array_distinct(F.filter(spans, lambda s: s["score"] > 0)), lambda a: by_score(F.filter(a, lambda s: ~beaten(a, s))))
 
 
+def moved(s: Column, start: Column | None = None, end: Column | None = None, score: Column | None = None) -> Column:
+    """The span with another place or score."""
+    return F.struct(s["entity_type"].alias("entity_type"), (s["start"] if start is None else start).alias("start"), (s["end"] if end is None else end).alias("end"), (s["score"] if score is None else score).alias("score"), s["recognizer"].alias("recognizer"))
+
+
+def _without_last(a: Column) -> Column:
+    return F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+
+
 def merge_same_type(spans: Column) -> Column:
-    """Overlapping (not touching) spans of one type become one: smallest start, largest end, highest score."""
+    """Overlapping (not touching) spans of one type become one: smallest start, largest end, highest score; in the order
+    given, a merged span at the place of the last one in it."""
+    kind = f"array<struct<at:int,s:{SPAN[6:-1]}>>"
 
-    def step(out: Column, s: Column) -> Column:
+    def step(out: Column, x: Column) -> Column:
         last = F.element_at(out, -1)
-        joins = (F.size(out) > 0) & (last["entity_type"] == s["entity_type"]) & (s["start"] < last["end"])
-        one = F.struct(s["entity_type"].alias("entity_type"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.greatest(last["score"], s["score"]).alias("score"), last["recognizer"].alias("recognizer"))
-        return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(out, F.array(s)))
+        a, b = last["s"], x["s"]
+        joins = (F.size(out) > 0) & (a["entity_type"] == b["entity_type"]) & (b["start"] < a["end"]) & (a["start"] < b["end"])
+        one = F.struct(F.greatest(last["at"], x["at"]).alias("at"), moved(a, end=F.greatest(a["end"], b["end"]), score=F.greatest(a["score"], b["score"])).alias("s"))
+        return F.when(joins, F.concat(_without_last(out), F.array(one))).otherwise(F.concat(out, F.array(x)))
 
-    ordered = _ordered(spans, lambda s: s["entity_type"], lambda s: s["start"], lambda s: s["end"])
-    return by_place(F.aggregate(ordered, F.array().cast(SPAN), lambda out, s: step(out, s).cast(SPAN)))
+    numbered = F.transform(spans, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
+    ordered = _ordered(numbered, lambda x: x["s"]["entity_type"], lambda x: x["s"]["start"], lambda x: x["s"]["end"])
+    merged = F.aggregate(ordered.cast(kind), F.array().cast(kind), lambda out, x: step(out, x).cast(kind))
+    return F.transform(F.array_sort(merged), lambda x: x["s"])
 
 
 def without_covered(spans: Column) -> Column:
-    """Spans that no other, of any type, contains; of spans at the same place the highest score, then the last type."""
+    """Spans that no other, of any type, contains; of spans at the same place the highest score, then the last one given. In the order given."""
 
-    def beaten(a: Column, s: Column) -> Column:
-        def by(o: Column) -> Column:
+    def beaten(a: Column, s: Column, i: Column) -> Column:
+        def by(x: Column) -> Column:
+            o, k = x["s"], x["i"]
             wider = (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & ((o["start"] < s["start"]) | (o["end"] > s["end"]))
             same = (o["start"] == s["start"]) & (o["end"] == s["end"])
-            return wider | (same & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (o["entity_type"] > s["entity_type"]))))
+            return wider | (same & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (k > i))))
 
         return F.exists(a, by)
 
-    return let(F.array_distinct(spans), lambda a: by_place(F.filter(a, lambda s: ~beaten(a, s))))
+    numbered = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
+    return let(numbered, lambda a: F.filter(spans, lambda s, i: ~beaten(a, s, i)))
 
 
 def trim_intersections(spans: Column) -> Column:
-    """Neighbours that overlap: the one with the lower score gives way (on equal scores the later); what is left empty goes."""
+    """Neighbours that overlap: the one with the lower score gives way (on equal scores the later), after which all are
+    put in order again; what is left empty goes. By place."""
+    kind = f"struct<done:{SPAN},rest:{SPAN}>"
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        meets = (F.size(out) > 0) & (s["start"] < last["end"])
-        keep = lambda x, start, end: F.struct(x["entity_type"].alias("entity_type"), start.alias("start"), end.alias("end"), x["score"].alias("score"), x["recognizer"].alias("recognizer"))
-        rest = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
-        later, earlier = keep(s, F.least(last["end"], s["end"]), s["end"]), keep(last, last["start"], s["start"])
-        return F.when(~meets, F.concat(out, F.array(s))).when(last["score"] >= s["score"], F.concat(out, F.array(later))).otherwise(F.concat(rest, F.array(earlier, s)))
+    def step(state: Column) -> Column:
+        done, rest = state["done"], state["rest"]
+        a, b, tail = F.get(rest, 0), F.get(rest, 1), F.slice(rest, 3, F.greatest(F.size(rest) - 2, F.lit(0)))
+        apart = F.struct(F.concat(done, F.array(a)).alias("done"), F.slice(rest, 2, F.size(rest)).alias("rest")).cast(kind)
+        cut = F.when(a["score"] >= b["score"], F.concat(F.array(a, moved(b, start=a["end"])), tail)).otherwise(F.concat(F.array(moved(a, end=b["start"]), b), tail))
+        again = F.struct(done.alias("done"), by_place(cut.cast(SPAN)).alias("rest")).cast(kind)
+        return F.when(F.size(rest) < 2, state).when(a["end"] <= b["start"], apart).otherwise(again)
+
+    def swept(ordered: Column) -> Column:
+        turns = F.sequence(F.lit(1), F.size(ordered) * (F.size(ordered) + 1) + 1)
+        begin = F.struct(F.array().cast(SPAN).alias("done"), ordered.cast(SPAN).alias("rest")).cast(kind)
+        return F.aggregate(turns, begin, lambda state, _: step(state), lambda x: F.filter(F.concat(x["done"], x["rest"]), lambda s: s["start"] < s["end"]))
 
-    done = F.aggregate(by_place(spans), F.array().cast(SPAN), lambda out, s: F.filter(step(out, s).cast(SPAN), lambda x: x["start"] < x["end"]))
-    return done
+    return let(by_place(spans), swept)
 
 
 def merge_over_blanks(text: Column, spans: Column) -> Column:
-    """Neighbours of one type with only blanks between become one, with the later one's score."""
+    """Spans that follow each other, in the order given, with one type and only blanks between become one, with the later one's score."""
 
     def step(out: Column, s: Column) -> Column:
         last = F.element_at(out, -1)
-        gap = F.substring(text, last["end"] + 1, s["start"] - last["end"])
+        gap = F.substring(text, last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))
         joins = (F.size(out) > 0) & (last["entity_type"] == s["entity_type"]) & gap.rlike(r"\A +\n?\z")
-        one = F.struct(s["entity_type"].alias("entity_type"), last["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["recognizer"].alias("recognizer"))
-        return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(out, F.array(s)))
+        return F.when(joins, F.concat(_without_last(out), F.array(moved(s, start=last["start"])))).otherwise(F.concat(out, F.array(s)))
 
-    return F.aggregate(by_place(spans), F.array().cast(SPAN), lambda out, s: step(out, s).cast(SPAN))
+    return F.aggregate(spans.cast(SPAN), F.array().cast(SPAN), lambda out, s: step(out, s).cast(SPAN))
 
 
 POLICIES = ("merge_similar_or_contained", "remove_intersections")
 
 
 def resolve(text: Column, spans: Column, policy: str = POLICIES[0], merge_blanks: bool = True) -> Column:
-    """Spans ready for rewriting, by place."""
+    """Spans ready for rewriting."""
     if policy not in POLICIES:
         raise ValueError(f"unknown conflict policy {policy!r}")
     out = without_covered(merge_same_type(spans))

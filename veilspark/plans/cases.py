@@ -1,0 +1,124 @@
+"""Queries over stated texts and their expected rows, one family each; the SQL of such a query lists the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.analyze import findings
+from ..operators.recognizers import Registry
+from ..operators.rewrite import anonymize
+from ..operators.scan import SPAN
+from ..operators.spans import POLICIES
+
+Case = tuple[str, list[tuple[str, int, int, float]]]
+
+#: family: (entities, whether national recognizers join, options, texts with (entity, start, end, score) of what is found)
+DETECTION: dict[str, tuple[list[str], bool, dict, list[Case]]] = {
+    "iban_cases": (["IBAN_CODE"], False, {}, [
+        ("AL47212110090000000235698741 2 days", [("IBAN_CODE", 0, 28, 1.0)]),
+        ("IBAN GB82 WEST 1234 5698 7654 32", [("IBAN_CODE", 5, 32, 1.0)]),
+        ("pay to de89370400440532013000 now", [("IBAN_CODE", 7, 29, 0.5)]),
+        ("pay to DE89370400440532013001 now", []),
+        ("FR7630006000011234567890189 9 ABC", [("IBAN_CODE", 0, 27, 1.0)]),
+        ("DE8937040044053201300", []),
+    ]),
+    "date_cases": (["DATE_TIME"], False, {}, [
+        ("on 2024-05-06T10:20:30Z sharp", [("DATE_TIME", 3, 23, 0.8)]),
+        ("at 2021-05-21T21:07:10.123+03:30", [("DATE_TIME", 3, 32, 0.8)]),
+        ("from 5/21/2021", [("DATE_TIME", 5, 14, 0.6)]),
+        ("24.12.99 and 2024-01-31", [("DATE_TIME", 0, 8, 0.6), ("DATE_TIME", 13, 23, 0.6)]),
+        ("in 21-MAY-2021", [("DATE_TIME", 3, 14, 0.6)]),
+        ("99.99.99", []),
+    ]),
+    "card_cases": (["CREDIT_CARD"], False, {}, [
+        ("pay 4012888888881881 now", [("CREDIT_CARD", 4, 20, 1.0)]),
+        ("pay 4012-8888-8888-1881 now", [("CREDIT_CARD", 4, 23, 1.0)]),
+        ("pay 4012888888881882 now", []),
+        ("371449635398431", [("CREDIT_CARD", 0, 15, 1.0)]),
+    ]),
+    "address_cases": (["IP_ADDRESS", "MAC_ADDRESS", "URL", "EMAIL_ADDRESS"], False, {}, [
+        ("host 192.168.0.1 up", [("IP_ADDRESS", 5, 16, 0.6)]),
+        ("host 999.168.0.1 up", []),
+        ("at 2001:db8::1 now", [("IP_ADDRESS", 3, 14, 0.6)]),
+        ("nic 00:1B:44:11:3A:B7", [("MAC_ADDRESS", 4, 21, 0.6)]),
+        ("nic FF:FF:FF:FF:FF:FF", []),
+        ("https://www.example.com/a", [("URL", 0, 25, 0.6)]),
+        ("write to bob@example.org", [("EMAIL_ADDRESS", 9, 24, 1.0), ("URL", 13, 24, 0.5)]),
+    ]),
+    "german_cases": (["DE_TAX_ID", "DE_VAT_ID", "DE_HANDELSREGISTER", "DE_PASSPORT"], True, {}, [
+        ("86095742719", [("DE_TAX_ID", 0, 11, 1.0)]),
+        ("11111234566", []),
+        ("HRB 12345", [("DE_HANDELSREGISTER", 0, 9, 0.85)]),
+        ("Amtsgericht Berlin HRB 12345", [("DE_HANDELSREGISTER", 19, 28, 0.85)]),
+    ]),
+    "american_cases": (["US_SSN", "US_ITIN", "US_PASSPORT", "ABA_ROUTING_NUMBER"], True, {"threshold": 0.05}, [
+        ("my ssn is 123-45-6780", [("US_SSN", 10, 21, 0.85)]),
+        ("000-12-3456", []),
+        ("911-701234", [("US_ITIN", 0, 10, 0.05), ("US_SSN", 0, 10, 0.05)]),
+        ("911-70-1234", [("US_ITIN", 0, 11, 0.5), ("US_SSN", 0, 11, 0.5)]),
+        ("routing number 1210-0035-8", [("ABA_ROUTING_NUMBER", 15, 26, 1.0)]),
+    ]),
+    "indian_cases": (["IN_PAN", "IN_AADHAAR"], True, {"threshold": 0.01}, [
+        ("AAASA1111R", [("IN_PAN", 0, 10, 0.1)]),
+        ("ABCPD1234Z", [("IN_PAN", 0, 10, 0.5)]),
+        ("aB#1234xyz", [("IN_PAN", 0, 10, 0.01)]),
+        ("no numbers", []),
+    ]),
+    "european_cases": (["FI_PERSONAL_IDENTITY_CODE", "SE_ORGANISATIONSNUMMER", "ES_NIF", "PL_PESEL"], True, {"threshold": 0.1}, [
+        ("010594Y9032", [("FI_PERSONAL_IDENTITY_CODE", 0, 11, 1.0)]),
+        ("010594Y9033", []),
+        ("556703-7485", [("SE_ORGANISATIONSNUMMER", 0, 11, 1.0)]),
+        ("55555555-K", [("ES_NIF", 0, 10, 1.0)]),
+        ("55555555-A", []),
+        ("11111111116", [("PL_PESEL", 0, 11, 1.0)]),
+    ]),
+    "caller_context_cases": (["US_SSN", "CREDIT_CARD"], False, {"context": ["ssn"]}, [
+        ("123-45-6780", [("US_SSN", 0, 11, 0.85)]),
+        ("4012888888881881", [("CREDIT_CARD", 0, 16, 1.0)]),
+    ]),
+}
+
+
+def detection(name: str):
+    entities, national, options, cases = DETECTION[name]
+
+    def query(spark, d):
+        rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "n int, text string")
+        found = findings(rows, "text", ["n"], registry=Registry(all_of_them=national), entities=entities, **options)
+        return found.select("n", "entity_type", "start", "end", F.round("score", 6).alias("score"))
+
+    rows = [(k, *f) for k, (_, found) in enumerate(cases) for f in found]
+    values = ", ".join(f"({n}, '{e}', {a}, {b}, {s}::DOUBLE)" for n, e, a, b, s in rows)
+    return query, f'SELECT * FROM (VALUES {values}) t(n, entity_type, start, "end", score)'
+
+
+#: name of a case: (text, spans given, expected text by policy merge_similar_or_contained, and by remove_intersections)
+CONFLICTS: dict[str, tuple[str, list[tuple[str, int, int, float]], str, str]] = {
+    "apart": ("I am Ann, 32", [("NAME", 5, 8, 0.8), ("AGE", 10, 12, 0.8)], "I am <NAME>, <AGE>", "I am <NAME>, <AGE>"),
+    "same place, higher score": ("I am Ann", [("NAME", 5, 8, 0.8), ("WORD", 5, 8, 0.9)], "I am <WORD>", "I am <WORD>"),
+    "same place and score, last": ("I am Ann", [("WORD", 5, 8, 0.8), ("NAME", 5, 8, 0.8)], "I am <NAME>", "I am <NAME>"),
+    "contained": ("I am Ann Lee", [("NAME", 5, 12, 0.5), ("WORD", 9, 12, 0.9)], "I am <NAME>", "I am <NAME>"),
+    "same type overlaps": ("I am Ann Lee", [("NAME", 5, 10, 0.5), ("NAME", 8, 12, 0.9)], "I am <NAME>", "I am <NAME>"),
+    "two types overlap": ("0123456789", [("A", 0, 6, 0.8), ("B", 4, 10, 0.6)], "<A><B>", "<A><B>"),
+    "trimmed by the later": ("0123456789 x", [("A", 0, 6, 0.6), ("B", 4, 8, 0.8)], "<A><B>89 x", "<A><B>89 x"),
+    "three overlap": ("0123456789", [("A", 0, 5, 0.9), ("B", 2, 7, 0.5), ("C", 4, 9, 0.5)], "<A><B><C>9", "<A><B><C>9"),
+    "blanks between": ("Ann  Lee x", [("NAME", 0, 3, 0.8), ("NAME", 5, 8, 0.6)], "<NAME> x", "<NAME> x"),
+    "tab between": ("Ann\tLee", [("NAME", 0, 3, 0.8), ("NAME", 4, 7, 0.6)], "<NAME>\t<NAME>", "<NAME>\t<NAME>"),
+    "touching": ("AnnLee", [("NAME", 0, 3, 0.8), ("NAME", 3, 6, 0.6)], "<NAME><NAME>", "<NAME><NAME>"),
+    "none": ("nothing", [], "nothing", "nothing"),
+}
+
+
+def conflict_cases(spark, d):
+    rows = [(name, text, [(*x, "r") for x in spans]) for name, (text, spans, _, _) in CONFLICTS.items()]
+    t = spark.createDataFrame(rows, f"name string, text string, spans {SPAN}")
+    return t.select("name", *[anonymize(F.col("text"), F.col("spans"), policy=p)["text"].alias(p) for p in POLICIES])
+
+
+def literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+QUERIES = {name: detection(name)[0] for name in DETECTION} | {"conflict_cases": conflict_cases}
+ORACLES = {name: detection(name)[1] for name in DETECTION}
+ORACLES["conflict_cases"] = f"SELECT * FROM (VALUES {', '.join(f'({literal(n)}, {literal(a)}, {literal(b)})' for n, (_, _, a, b) in CONFLICTS.items())}) t(name, {', '.join(POLICIES)})"

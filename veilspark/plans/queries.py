@@ -92,9 +92,17 @@ def span_algebra(spark, d):
     return t.select("name", *[shown(c).alias(k) for k, c in made.items()])
 
 
+def _cells(spark, d):
+    return _t(spark, d, "customer").select(F.concat("c_name", F.lit("@example.com")).alias("mail"), F.format_string("10.0.%d.%d", F.col("c_custkey") % 256, F.col("c_nationkey")).alias("host"), F.col("c_mktsegment").alias("segment"))
+
+
 def table_entities(spark, d):
-    t = _t(spark, d, "customer").select(F.concat("c_name", F.lit("@example.com")).alias("mail"), F.format_string("10.0.%d.%d", F.col("c_custkey") % 256, F.col("c_nationkey")).alias("host"), F.col("c_mktsegment").alias("segment"))
-    return column_entities(t, rows=200, strategy="mixed")
+    """The entity of each column from 200 sampled rows."""
+    return column_entities(_cells(spark, d), rows=200, strategy="mixed")
+
+
+def all_table_entities(spark, d):
+    return column_entities(_cells(spark, d), strategy="mixed")
 
 
 def nested_rewrite(spark, d):
@@ -117,9 +125,13 @@ def pseudonym_list(spark, d):
     return pseudonyms(findings(_t(spark, d, "documents"), "text", ["doc_id"], entities=["EMAIL_ADDRESS", "IP_ADDRESS"]), ["doc_id"]).select("doc_id", "entity_type", "start", "end", "pseudonym")
 
 
-QUERIES = {f.__name__: f for f in (anonymize_documents, document_findings, all_countries, email_counts, email_replaced, deny_list_counts, allow_list_counts, mask_names, encrypt_round_trip, span_algebra, table_entities, nested_rewrite, windowed_findings, chunk_windows, pseudonym_list)}
+QUERIES = {f.__name__: f for f in (anonymize_documents, document_findings, all_countries, email_counts, email_replaced, deny_list_counts, allow_list_counts, mask_names, encrypt_round_trip, span_algebra, table_entities, all_table_entities, nested_rewrite, windowed_findings, chunk_windows, pseudonym_list)}
 
 _terms = "|".join(TERMS)
+_places = "list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0)"
+_blank = lambda at: f"coalesce(nullif(instr(substr(flat, CAST({at} AS BIGINT) + 1), ' '), 0) - 1 + {at}, len)"
+_end = lambda at: f"CASE WHEN {at} + 250 >= len THEN len ELSE {_blank(f'({at} + 250)')} END"
+IP_RE2 = r"\b(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
 ORACLES = {
     "email_counts": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL_RE2}')) AS BIGINT) AS n_email FROM documents",
     "email_replaced": f"SELECT doc_id, regexp_replace(text, '{EMAIL_RE2}', '<EMAIL_ADDRESS>', 'g') AS text FROM documents",
@@ -131,5 +143,23 @@ ORACLES = {
     "encrypt_round_trip": "SELECT c_custkey, 'name ' || c_name || ' end' AS text FROM customer",
     "nested_rewrite": "SELECT event_id, '<EMAIL_ADDRESS>' AS mail, event_type AS kind FROM events",
     "windowed_findings": "SELECT date_trunc('hour', ts) AS window_start, 'EMAIL_ADDRESS' AS entity_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "all_table_entities": "SELECT * FROM (VALUES ('mail', 'EMAIL_ADDRESS', 1.0::DOUBLE), ('host', 'IP_ADDRESS', 0.6::DOUBLE)) t(\"column\", entity_type, score)",
+    "chunk_windows": f"""
+        WITH RECURSIVE d AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS flat, length(text) AS len FROM conversations WHERE length(text) > 0),
+        w AS (SELECT conv_id, turn, flat, len, 0 AS n, 0::BIGINT AS start, {_end('0')} AS stop FROM d
+              UNION ALL SELECT conv_id, turn, flat, len, n + 1, nxt, {_end('nxt')} FROM (SELECT *, CASE WHEN stop >= len THEN len ELSE least({_blank('(stop - 50)')}, stop) END AS nxt FROM w) WHERE nxt < len)
+        SELECT conv_id, turn, n, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end" FROM w""",
+    "pseudonym_list": f"""
+        WITH t AS (SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, regexp_split_to_array(text, '{EMAIL_RE2}') AS g, regexp_extract_all(text, '{EMAIL_RE2}') AS h FROM documents
+                   UNION ALL SELECT doc_id, 'IP_ADDRESS', regexp_split_to_array(text, '{IP_RE2}'), regexp_extract_all(text, '{IP_RE2}') FROM documents),
+        f AS (SELECT doc_id, entity_type, h[k] AS found, {_places} AS start FROM t, unnest(range(1, len(h) + 1)) u(k)),
+        r AS (SELECT doc_id, entity_type, found, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY min(start), found) - 1 AS n FROM f GROUP BY 1, 2, 3)
+        SELECT f.doc_id, f.entity_type, CAST(start AS INT) AS start, CAST(start + length(f.found) AS INT) AS "end", '<' || f.entity_type || '_' || n || '>' AS pseudonym
+        FROM f JOIN r ON f.doc_id = r.doc_id AND f.entity_type = r.entity_type AND f.found = r.found""",
+    "span_algebra": """SELECT * FROM (VALUES
+        ('contained', 'A:2-5:0.9 A:0-10:0.5 B:2-5:0.1', 'B:2-5:0.1 A:0-10:0.9 C:1-2:0.0', 'A:0-10:0.5', 'A:0-10:0.9', 'A:0-10:0.5 A:2-5:0.4 A:2-5:0.9 B:2-5:0.1 A:0-10:0.5 C:1-2:0.0', 'A:0-10:0.9', 'A:0-10:0.9'),
+        ('overlap', 'A:3-8:0.7 B:6-12:0.6 A:0-4:0.5 A:8-9:0.2', 'A:0-8:0.7 A:8-9:0.2 B:6-12:0.6', 'A:0-4:0.5 A:3-8:0.7 B:6-12:0.6', 'A:0-8:0.7 B:8-12:0.6', 'A:0-4:0.5 A:3-8:0.7 A:8-9:0.2 B:6-12:0.6', 'A:0-8:0.7 B:6-12:0.6', 'A:0-8:0.7 B:8-12:0.6'),
+        ('equal', 'C:1-3:0.9 B:0-4:0.8 A:0-4:0.5', 'A:0-4:0.5 B:0-4:0.8 C:1-3:0.9', 'B:0-4:0.8', 'B:0-1:0.8 C:1-3:0.9', 'A:0-4:0.5 B:0-4:0.8 C:1-3:0.9', 'B:0-4:0.8', 'B:0-4:0.8')
+        ) t(name, contained, merged, covered, trimmed, blanks, merge_similar_or_contained, remove_intersections)""",
     "table_entities": "SELECT * FROM (VALUES ('mail', 'EMAIL_ADDRESS', 1.0::DOUBLE), ('host', 'IP_ADDRESS', 0.6::DOUBLE)) t(\"column\", entity_type, score)",
 }

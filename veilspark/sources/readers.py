@@ -18,7 +18,7 @@ def read_json(spark: SparkSession, path: str, encoding: str = "UTF-8", **options
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """path, line_no (from 1), line of text files under path; carriage returns before a line's end are cut."""
     options = {"recursiveFileLookup": True} | ({"pathGlobFilter": glob} if glob else {})
-    files = spark.read.options(wholetext=True, **options).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "line")
 
 
