@@ -14,4 +14,39 @@ SELECT page_id, payload_bytes,
 FROM hashed
 """
 
-ORACLES: dict[str, str] = {"op7_warc_revisits": OP7}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6 = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + 9], ' ') AS k
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(p) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS rn, doc_id, {_WORDS} AS w FROM documents),
+hits AS (
+  SELECT rn, p, n, item_id
+  FROM (SELECT rn, p, l.n, array_to_string(w[p:p + l.n - 1], ' ') AS k
+        FROM d, (SELECT DISTINCT n FROM windows) l, unnest(range(1, len(w) - l.n + 2)) t(p) WHERE len(w) >= l.n) x
+  JOIN windows USING (n, k)),
+places AS (SELECT rn, count(DISTINCT q) AS n_hit FROM hits, unnest(range(p, p + n)) t(q) GROUP BY rn),
+found AS (SELECT rn, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (rn) LEFT JOIN found USING (rn)
+"""
+#: Texts as hexadecimal digits, two for each byte; a run of removed bytes goes on while starts lie no more than 200 apart.
+OP8 = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rn, o, length(h) // 2 - 200 - o AS most, substr(h, CAST(2 * o + 1 AS BIGINT), 1400) AS part FROM d, unnest(range(0, length(h) // 2 - 199, 500)) t(o) WHERE length(h) >= 400),
+w AS (SELECT rn, o + q AS p, md5(substr(part, CAST(2 * q + 1 AS BIGINT), 400)) AS k FROM b, unnest(range(0, least(most, 499) + 1)) t(q)),
+r AS (SELECT rn, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+m AS (SELECT rn, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rn ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT rn, min(p) AS a, max(p) + 200 AS b FROM (SELECT rn, p, sum(new) OVER (PARTITION BY rn ORDER BY p) AS g FROM m) GROUP BY rn, g),
+kept AS (
+  SELECT rn, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(part, '' ORDER BY a) AS front
+  FROM (SELECT rn, a, b, substr(h, CAST(2 * coalesce(lag(b) OVER (PARTITION BY rn ORDER BY a), 0) + 1 AS BIGINT), CAST(2 * (a - coalesce(lag(b) OVER (PARTITION BY rn ORDER BY a), 0)) AS BIGINT)) AS part FROM s JOIN d USING (rn))
+  GROUP BY rn)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rn)
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc_revisits": OP7, "op8_suffix_dedup": OP8}
