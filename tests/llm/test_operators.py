@@ -48,6 +48,30 @@ def test_quality(spark):
     assert quality.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_quality_posterior_by_formula(spark):
+    """p_good and kept from votes and the rounds of expectation-maximisation written out over documents, not patterns."""
+    rng = random.Random(9)
+    made = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "#*", "OK!"], [5, 5, 5, rng.random() * 6, 1], k=rng.randint(1, 120)))) for i in range(150)]
+    df = docs(spark, [*made, (None, None), (7, made[7][1])])
+    rules = quality.votes()
+    votes = [tuple(r) for r in quality.features(df.select("doc_id", "text")).select("doc_id", *[v.alias(k) for k, v in rules.items()]).collect()]
+    good, log = [0.1 if -1 in v[1:] else 0.9 for v in votes], math.log
+    for _ in range(200):
+        n = [sum(good) + 1, len(votes) - sum(good) + 1]
+        odds = []
+        for r in range(1, len(rules) + 1):
+            share = {v: [sum(g for x, g in zip(votes, good, strict=True) if x[r] == v) + 0.5, sum(1 - g for x, g in zip(votes, good, strict=True) if x[r] == v) + 0.5] for v in (1, -1)}
+            w = {v: log(a / n[0]) - log(b / n[1]) for v, (a, b) in share.items()}
+            odds.append({1: max(0, w[1]), -1: min(0, w[-1]), 0: 0})
+        new = [1 / (1 + math.exp(-(log(n[0] / n[1]) + sum(o[v] for o, v in zip(odds, x[1:], strict=True))))) for x in votes]
+        done, good = max(abs(a - b) for a, b in zip(good, new, strict=True)) < 1e-7, new
+        if done:
+            break
+    got = sorted((str(r.doc_id), round(r.p_good, 6)) for r in quality.quality_rules(df).collect())
+    assert got == sorted((str(v[0]), round(g, 6)) for v, g in zip(votes, good, strict=True))
+    assert all(r.kept == (not r.base_failed and r.p_good >= 0.5) for r in quality.quality_rules(df).collect())
+
+
 def test_quality_fit_prefers_agreement():
     patterns = [((1, 1, 0), 90), ((-1, -1, 0), 10), ((1, -1, 1), 3)]
     prior, weights = quality.fit(patterns, 3)
@@ -250,6 +274,55 @@ def test_kneser_ney_of_order_3(spark):
     assert {r.score for r in lm.score_documents(docs(spark, [(i, "a b") for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1]), order=3).collect()} == {0.0}
 
 
+def test_language_id_has_letters():
+    assert not langid.has_letter("½ ² Ⅷ ١٢ 12 _") and langid.has_letter("12 ª") and langid.has_letter("ไ")
+
+
+def test_language_id_fit_by_formula():
+    """The weights against follow-the-regularised-leader written out for each coordinate."""
+    rng = random.Random(8)
+    words = {"en": "the of and".split(), "fr": "le la des".split(), "de": "der und ein".split()}
+    sample = [(" ".join(rng.choices(words[lang], k=6)), lang) for lang in rng.choices(list(words), k=40)]
+    langs, idf = sorted(words), 1 + np.arange(langid.DIMS) % 7 / 7
+    got = langid.fit(sample, langs, idf)
+    x = []
+    for text, lang in sample:
+        f = Counter(int(k) for g in langid.grams(text) for k in g)
+        x.append(({k: c / sum(f.values()) * idf[k] * langid.SCALE for k, c in f.items()} | {langid.DIMS: 1.0}, langs.index(lang)))
+    train = [r for i, r in enumerate(x) if i % 5 != 4]
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= langid.L1:
+            return 0.0
+        return -(z[k] - math.copysign(langid.L1, z[k])) / ((langid.BETA + math.sqrt(n[k])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(train)):
+            row, y = train[i]
+            score = [sum(v * weight((k, c)) for k, v in row.items()) for c in range(3)]
+            p = [math.exp(s - max(score)) for s in score]
+            step = {}
+            for c in range(3):
+                for k, v in row.items():
+                    step[k, c] = v * (p[c] / sum(p) - (c == y))
+            for at, g in step.items():
+                sigma = (math.sqrt(n[at] + g * g) - math.sqrt(n[at])) / langid.ALPHA
+                z[at] += g - sigma * weight(at)
+                n[at] += g * g
+    for k in {k for row, _ in x for k in row if k < langid.DIMS}:
+        for c in range(3):
+            assert got.weights[k, c] == pytest.approx(weight((k, c)) * idf[k] * langid.SCALE, rel=1e-4, abs=1e-5)
+    assert got.bias.tolist() == pytest.approx([weight((langid.DIMS, c)) for c in range(3)], rel=1e-4, abs=1e-6)
+
+
+def test_language_id_of_held_out_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predict_documents(df).where("held_out").join(df.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 200 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.98
+
+
 def test_language_id(spark):
     words = {"en": "the of and to in that was".split(), "fr": "le la des que dans pour était".split()}
     rng = random.Random(2)
@@ -378,6 +451,60 @@ def test_token_counts(spark):
     assert tokens.count_documents(docs(spark, [])).count() == 0
 
 
+def test_unsure_characters_are_all_that_differ():
+    """Every character between others, by both pattern libraries."""
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(tokens.vocabulary_path()).pre_tokenizer.pre_tokenize_str
+    own, unsure = regex.compile(public_tokenizers.PATTERN), regex.compile(tokens.unsure())
+    for c in [*range(0xD800), *range(0xE000, 0x110000, 1 if len(tokens.UNSURE) < 10 else 3)]:
+        text = f"a{chr(c)}a1{chr(c)}1 {chr(c)} !{chr(c)}"
+        assert unsure.search(text) or [m.span() for m in own.finditer(text)] == [o for _, o in cut(text)], hex(c)
+
+
+def field(number, value):
+    """A field of a protobuf message."""
+    import struct
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(path, more=(), **normaliser):
+    """A small model file, its scores given."""
+    scored = [("▁", -2.0), ("▁the", -1.5), ("▁they", -2.5), ("▁a", -2.2), ("th", -3.0), ("e", -3.1), ("y", -3.5), ("he", -2.9), ("▁t", -3.2), ("hey", -3.3), ("a", -3.4), ("b", -4.0), ("ab", -3.9), *more]
+    kinds = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)], *[(p, s, 1) for p, s in scored]]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in kinds)
+    data += field(2, field(3, 1) + field(35, 1) + field(4, len(kinds))) + field(3, field(3, 1) + field(4, 0) + field(5, 1))
+    path.write_bytes(data)
+    return str(path)
+
+
+def test_unigram_model(tmp_path):
+    path = unigram_model(tmp_path / "u.model")
+    texts = ["", "the they a", "they", "thea b", "ab", "  the", "x the é", "theythey", "b a  a"]
+    assert pieces.Pieces(path).spec.kind == 1 and pieces.parity(path, texts) == []
+    made = pieces.Pieces(path).compare(path)
+    ids, back, same = made.encode_both(texts)
+    assert back == texts and all(same) and made.decode(ids) == texts
+
+
+def test_unsupported_models(tmp_path):
+    path = tmp_path / "m.model"
+    for data in (field(1, field(1, b"x") + field(3, 4)) + field(2, field(3, 1)), field(2, field(3, 1) + field(24, 1)), field(2, field(3, 1)) + field(3, field(5, 0)), field(2, field(3, 3))):
+        path.write_bytes(data)
+        with pytest.raises(ValueError):
+            pieces.Pieces(str(path))
+
+
 def test_sentencepiece(spark, monkeypatch):
     texts = [t or "" for t in TEXTS] + ODD + ["▁ a▁b ▁▁ c"]
     assert pieces.parity(pieces.model_path(), texts) == []

@@ -36,8 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/veilspark/{spark.sparkContext.applicationId}"
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/veilspark/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application's operators keep in the shared folder. Results are read from there: write them first."""
+    delete(spark, own_dir(spark))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -59,8 +73,7 @@ def drop_table(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, f)
 
 
 #: Most rows and bytes in an Arrow batch that goes to a worker: memory is bounded however long the texts are.

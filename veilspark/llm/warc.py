@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, map_arrow, materialize, new_dir
+from .common import filesystem, map_arrow, materialize, new_dir, slices
 
 NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,9 +89,10 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         name, n, date = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
         with store.open_output_stream(f"{name}.part", compression=None) as out:
             while b is not None:
-                for r in b.to_pylist():
-                    out.write(gzip.compress(record(r, date), 6, mtime=0))
-                    n += 1
+                for part in slices(b, 6):
+                    for r in part.to_pylist():
+                        out.write(gzip.compress(record(r, date), 6, mtime=0))
+                        n += 1
                 b = next(batches, None)
         store.move(f"{name}.part", name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["path", "records"])
