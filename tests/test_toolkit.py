@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import duckdb
@@ -10,8 +11,9 @@ from veilspark.operators import boxes
 from veilspark.operators.analyze import analyze, chunks, findings, sanitize
 from veilspark.operators.nested import field_findings
 from veilspark.operators.recognizers import Registry
-from veilspark.operators.rewrite import Op, anonymize, rewrite
+from veilspark.operators.rewrite import Op, add_operator, anonymize, remove_operator, rewrite
 from veilspark.operators.scan import SPAN, deny_list
+from veilspark.operators.structured import column_entities
 from veilspark.sources import readers
 from veilspark.streaming.streams import anonymize_stream, windowed_counts
 
@@ -192,6 +194,33 @@ def test_matching_boxes(spark):
     assert sorted((tuple(r.f), tuple(r.t)) for r in got) == want
 
 
+def test_strategies(spark):
+    """A column's entity by count, by best score, and mixed; ties go to the first by name."""
+    low, high = deny_list("Low", "LOW", ["ann", "bob"], 0.4), deny_list("High", "HIGH", ["eve"], 0.9)
+    df = spark.createDataFrame([("ann", "eve", "x"), ("bob", "ann", "y"), ("eve", None, "z")], "a string, b string, c string")
+    got = lambda **k: {r.column: (r.entity_type, round(r.score, 6)) for r in column_entities(df, entities=["LOW", "HIGH"], ad_hoc=[low, high], **k).collect()}
+    assert got() == {"a": ("LOW", 0.666667), "b": ("HIGH", 0.5)}
+    assert got(strategy="highest_confidence") == {"a": ("HIGH", 0.9), "b": ("HIGH", 0.9)}
+    assert got(strategy="mixed", mixed_threshold=0.95) == {"a": ("LOW", 0.666667), "b": ("HIGH", 0.5)}
+    assert got(strategy="mixed") == got(strategy="highest_confidence")
+
+
+def test_operators(spark):
+    text = spark.createDataFrame([("call bob now", [("NAME", 5, 8, 0.5, "r")])], f"text string, spans {SPAN}")
+    done = lambda op: text.select(rewrite(F.col("text"), F.col("spans"), {"NAME": op})["text"].alias("t")).first().t
+    assert done(Op("keep")) == "call bob now" and done(Op("redact")) == "call  now" and done(Op("replace", {"new_value": "X"})) == "call X now"
+    assert done(Op("custom", {"fn": F.upper})) == "call BOB now"
+    salt = "0123456789abcdef"
+    assert done(Op("hash", {"salt": salt, "hash_type": "sha512"})) == "call " + hashlib.sha512(b"bob" + salt.encode()).hexdigest() + " now"
+    assert re.fullmatch("call [0-9a-f]{64} now", done(Op("hash"))) and done(Op("hash")) != done(Op("hash"))
+    add_operator("twice", lambda text, kind: F.concat(text, text))
+    assert done(Op("twice")) == "call bobbob now"
+    remove_operator("twice")
+    for bad in (lambda: done(Op("twice")), lambda: remove_operator("twice"), lambda: done(Op("hash", {"salt": "short"})), lambda: done(Op("mask", {"masking_char": "**", "chars_to_mask": 1, "from_end": True})), lambda: done(Op("encrypt", {"key": "short"}))):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_streams(spark, tmp_path):
     """A stream of files gives what the table gives."""
     t = spark.createDataFrame([(f"u{i}@example.com", f"2024-01-01 0{i % 3}:00:00") for i in range(9)], "text string, ts string").select("text", F.col("ts").cast("timestamp").alias("ts"))

@@ -17,7 +17,7 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def sampled(df: DataFrame, rows: int | None, seed: int = 123) -> DataFrame:
-    """`rows` rows chosen by a hash of their content (all if None), the same ones on every run."""
+    """`rows` rows chosen by a hash of their content (all if None), the same ones on every run; each task keeps that many at most."""
     if not rows:
         return df
     return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(rows)
@@ -30,15 +30,14 @@ def column_entities(df: DataFrame, rows: int | None = None, strategy: str = "mos
     if not 0 <= mixed_threshold <= 1:
         raise ValueError("a threshold lies between 0 and 1")
     cells = sampled(df, rows).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])).alias("c")).select("c.*")
-    spans = cells.select("column", F.explode(analyze(F.col("value"), **options)).alias("s")).groupBy("column", "s.entity_type").agg(F.count(F.lit(1)).alias("n"), F.max("s.score").alias("top"))
-    at_top = cells.select("column", F.explode(analyze(F.col("value"), **options)).alias("s")).groupBy("column", "s.entity_type", "s.score").agg(F.count(F.lit(1)).alias("n_top"))
-    spans = spans.join(at_top.withColumnRenamed("score", "top"), ["column", "entity_type", "top"])
+    by_score = cells.select("column", F.explode(analyze(F.col("value"), **options)).alias("s")).groupBy("column", "s.entity_type", "s.score").agg(F.count(F.lit(1)).alias("n"))
+    spans = by_score.groupBy("column", "entity_type").agg(F.sum("n").alias("n"), F.max("score").alias("top"), F.max_by("n", "score").alias("n_top"))
     common = F.min(F.struct((-F.col("n")).alias("a"), F.col("entity_type").alias("entity_type"))).alias("common")
     best = F.min(F.struct((-F.col("top")).alias("a"), (-F.col("n_top")).alias("b"), F.col("entity_type").alias("entity_type"))).alias("best")
     per = spans.groupBy("column").agg(common, best, F.sum("n").alias("total"))
     by_count = F.struct(F.col("common.entity_type").alias("entity_type"), (-F.col("common.a") / F.col("total")).alias("score"))
-    by_score = F.struct(F.col("best.entity_type").alias("entity_type"), (-F.col("best.a")).alias("score"))
-    chosen = {"most_common": by_count, "highest_confidence": by_score, "mixed": F.when(-F.col("best.a") > mixed_threshold, by_score).otherwise(by_count)}[strategy]
+    by_top = F.struct(F.col("best.entity_type").alias("entity_type"), (-F.col("best.a")).alias("score"))
+    chosen = {"most_common": by_count, "highest_confidence": by_top, "mixed": F.when(-F.col("best.a") > mixed_threshold, by_top).otherwise(by_count)}[strategy]
     return per.select("column", chosen.alias("c")).select("column", "c.*")
 
 
