@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,28 @@ STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "
 BEFORE, RAISE, LEAST = 5, 0.35, 0.4
 
 
+#: What may lie between the words of a phrase, and the last BEFORE tokens of a text.
+GAP, TOKENS = r"(?:\s+|\s*[-/]\s*)", rf"((?:(?:\w[\w'’]*|[^\w\s])\s*){{0,{BEFORE}}})$"
+
+
+def phrase_pattern(terms: list[str], whole_word: bool = False) -> str | None:
+    """A pattern of the terms of several words, each beginning at a word's begin; None if there are none."""
+    cut = [[w for w in re.split(r"[\s\-/]+", t.lower().replace("’", "'")) if w] for t in terms]
+    joined = [GAP.join(re.escape(w).replace("'", "['’]") for w in words) for words in cut if len(words) > 1]
+    return rf"(?iU)(?<!\w)(?:{'|'.join(joined)})" + (r"(?!\w)" if whole_word else "") if joined else None
+
+
 #: Characters before a span that are looked at first; where they hold too few words, all are.
 NEAR = 400
 
 
 def with_context(text: Column, spans: Column, terms: dict[str, list[str]], whole_word: bool = False, given: list[str] = ()) -> Column:
-    """Scores raised where a term of the span's recognizer is among the BEFORE keywords before it, in the span's own text or among the given words.
+    """Scores raised where a term of the span's recognizer is among the BEFORE keywords before it, in the span's own text or among the given words,
+    or, if it has several words, stands in the BEFORE tokens before the span.
 
     Spans of recognizers without terms stay as they are.
     """
+    patterns = {name: p for name, words in terms.items() if (p := phrase_pattern(list(words), whole_word))}
     terms = {name: sorted({w.lower() for w in words if w}) for name, words in terms.items()}
     terms = {name: words for name, words in terms.items() if words}
     if not terms:
@@ -42,9 +57,14 @@ def with_context(text: Column, spans: Column, terms: dict[str, list[str]], whole
         words = F.concat(before, F.array(F.lower(surface(text, s)), *[F.lit(w.lower()) for w in given]))
         raised = F.least(F.lit(1.0), F.greatest(s["score"] + RAISE, F.lit(LEAST)))
 
+        window = F.regexp_extract(F.substring(text, F.greatest(s["start"] - (NEAR - 1), F.lit(1)), F.least(s["start"], F.lit(NEAR))), "(?U)" + TOKENS, 1)
+        phrase = F.lit(False)
+        for name, p in patterns.items():
+            phrase = F.when(s["recognizer"] == name, F.rlike(window, F.lit(p))).otherwise(phrase)
+
         def scored(own: Column) -> Column:
             test = lambda w: F.exists(own, lambda t: (w == t) if whole_word else w.contains(t))
-            return F.when(own.isNotNull() & F.exists(words, test), raised).otherwise(s["score"])
+            return F.when(own.isNotNull() & (F.exists(words, test) | phrase), raised).otherwise(s["score"])
 
         return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), let(F.try_element_at(table, s["recognizer"]), scored).alias("score"), s["recognizer"].alias("recognizer"))
 
@@ -94,6 +114,23 @@ def analyze(
     return F.when(text.isNotNull(), let(text, found)).otherwise(F.array().cast(SPAN))
 
 
+def explanations(df: DataFrame, column: str, keys: list[str], registry: Registry | None = None, entities: list[str] | None = None, context: list[str] = (), flags: str = FLAGS) -> DataFrame:
+    """Why each span has its score: keys, entity_type, start, end, recognizer, pattern, original_score, valid (true, false or null, if
+    no check spoke), validated_score, score (with context). Spans that a check dropped are there too, with score 0."""
+    use = (registry or Registry()).chosen(entities)
+
+    def of(t: Column) -> Column:
+        def joined(found: Column) -> Column:
+            plain = F.transform(found, lambda x: F.struct(*[x[k].alias(k) for k in ("entity_type", "start", "end", "score", "recognizer")])).cast(SPAN)
+            raised = with_context(t, plain, {r.name: list(r.context) for r in use}, given=list(context))
+            return F.zip_with(found, raised, lambda x, y: F.struct(x.alias("x"), F.when(x["score"] > 0, y["score"]).otherwise(0.0).alias("score")))
+
+        return let(scan(t, use, flags, explained=True), joined)
+
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.explode(let(F.col(column), of)).alias("e"))
+    return rows.select(*keys, "e.x.entity_type", "e.x.start", "e.x.end", "e.x.recognizer", "e.x.pattern", "e.x.original_score", "e.x.valid", F.col("e.x.score").alias("validated_score"), "e.score")
+
+
 def findings(df: DataFrame, column: str, keys: list[str], **options) -> DataFrame:
     """One row a span: keys, entity_type, start, end, score, recognizer, found (the text of the span)."""
     rows = df.select(*keys, F.col(column).alias("_text"), analyze(F.col(column), **options).alias("_spans"))

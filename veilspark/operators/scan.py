@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<entity_type:string,start:int,end:int,score:double,recognizer:string>>"
+EXPLAINED = SPAN[:-2] + ",pattern:string,original_score:double,valid:boolean>>"
 PLACES = "array<struct<start:int,end:int>>"
 FLAGS = "(?imsU)"  # case-insensitive, ^ and $ at lines, dot matches all, Unicode classes
 
@@ -74,14 +75,14 @@ def surface(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
 
 
-def scan(text: Column, use: list[Recognizer], flags: str = FLAGS) -> Column:
-    """Scored spans of all recognizers, zero scores dropped.
+def scan(text: Column, use: list[Recognizer], flags: str = FLAGS, explained: bool = False) -> Column:
+    """Scored spans of all recognizers, zero scores dropped; explained ones are EXPLAINED, and all of them.
 
     Gates, each tested once, leave out the patterns that a text can't match. Every pattern is a literal; checks run on
     what it found.
     """
     mine = [r for r in use if r.span_fn is None and r.patterns]
-    gates = sorted({r.gate for r in mine})
+    gates, kind = sorted({r.gate for r in mine}), EXPLAINED if explained else SPAN
 
     def spans(r: Recognizer, pattern: str, score: float) -> Column:
         def checked(place: Column) -> Column:
@@ -92,19 +93,26 @@ def scan(text: Column, use: list[Recognizer], flags: str = FLAGS) -> Column:
                         value = F.coalesce(r.validate(found).cast("double"), value)
                     if r.invalidate is not None:
                         value = F.when(r.invalidate(found), 0.0).otherwise(value)
-                    return F.struct(F.lit(r.entity).alias("entity_type"), place["start"].alias("start"), end.alias("end"), value.cast("double").alias("score"), F.lit(r.name).alias("recognizer"))
+                    more = []
+                    if explained:
+                        valid = F.lit(None).cast("boolean") if r.validate is None else r.validate(found)
+                        valid = valid if r.invalidate is None else F.when(r.invalidate(found), False).otherwise(valid)
+                        more = [F.lit(pattern).alias("pattern"), F.lit(float(score)).alias("original_score"), valid.alias("valid")]
+                    return F.struct(F.lit(r.entity).alias("entity_type"), place["start"].alias("start"), end.alias("end"), value.cast("double").alias("score"), F.lit(r.name).alias("recognizer"), *more)
 
                 return let(F.substring(text, place["start"] + 1, end - place["start"]), span)
 
             return let(place["end"] if r.trim is None else place["start"] + r.trim(surface(text, place)), verdict)
 
-        return F.transform(places(text, pattern, flags), checked).cast(SPAN)
+        return F.transform(places(text, pattern, flags), checked).cast(kind)
 
     def walk(able: Column) -> Column:
-        none = F.array().cast(SPAN)
+        none = F.array().cast(kind)
         return F.concat(none, *[F.when(F.get(able, gates.index(r.gate)), F.concat(*[spans(r, p, score) for p, score in r.patterns])).otherwise(none) for r in mine])
 
     parts = [let(F.array(*[F.rlike(text, F.lit(g)) for g in gates]), walk)] if mine else []
+    if explained:
+        return F.concat(F.array().cast(kind), *parts)
     parts += [r.span_fn(text).cast(SPAN) for r in use if r.span_fn is not None]
     return F.filter(F.concat(*parts), lambda s: s["score"] > 0)
 

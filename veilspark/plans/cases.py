@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.analyze import findings
+from ..operators.analyze import explanations, findings
 from ..operators.recognizers import Registry
 from ..operators.rewrite import anonymize
 from ..operators.scan import SPAN
@@ -72,6 +72,14 @@ DETECTION: dict[str, tuple[list[str], bool, dict, list[Case]]] = {
         ("55555555-A", []),
         ("11111111116", [("PL_PESEL", 0, 11, 1.0)]),
     ]),
+    "phrase_cases": (["UK_PASSPORT", "CA_SIN", "AU_ABN"], True, {"threshold": 0.01}, [
+        ("travel document AB1234567", [("UK_PASSPORT", 16, 25, 0.45)]),
+        ("Travel-document no. AB1234567", [("UK_PASSPORT", 20, 29, 0.45)]),
+        ("travel the document AB1234567", [("UK_PASSPORT", 20, 29, 0.1)]),
+        ("travel document of the man who left AB1234567", [("UK_PASSPORT", 36, 45, 0.1)]),
+        ("numéro d’assurance sociale: 130-692-544", [("CA_SIN", 28, 39, 0.85)]),
+        ("51 824 753 556 is an Australian business number", [("AU_ABN", 0, 14, 1.0)]),
+    ]),
     "caller_context_cases": (["US_SSN", "CREDIT_CARD"], False, {"context": ["ssn"]}, [
         ("123-45-6780", [("US_SSN", 0, 11, 0.85)]),
         ("4012888888881881", [("CREDIT_CARD", 0, 16, 1.0)]),
@@ -115,10 +123,27 @@ def conflict_cases(spark, d):
     return t.select("name", *[anonymize(F.col("text"), F.col("spans"), policy=p)["text"].alias(p) for p in POLICIES])
 
 
+#: (text, entities, recognizer, start, original score, valid, validated score, score) of each place that a pattern matches
+WHY = [
+    ("card 4012888888881881", "CREDIT_CARD", "CreditCardRecognizer", 5, 0.3, True, 1.0, 1.0),
+    ("num 4012888888881882", "CREDIT_CARD", "CreditCardRecognizer", 4, 0.3, False, 0.0, 0.0),
+    ("ip 10.0.0.1", "IP_ADDRESS", "IpRecognizer", 3, 0.6, None, 0.6, 0.95),
+    ("mail bob@example.org", "EMAIL_ADDRESS", "EmailRecognizer", 5, 0.5, True, 1.0, 1.0),
+]
+
+
+def explanation_cases(spark, d):
+    t = spark.createDataFrame([(k, x[0]) for k, x in enumerate(WHY)], "n int, text string")
+    got = explanations(t, "text", ["n"], entities=["CREDIT_CARD", "IP_ADDRESS", "EMAIL_ADDRESS"])
+    rounded = [F.round(c, 6).alias(c) for c in ("original_score", "validated_score", "score")]
+    return got.select("n", "entity_type", "recognizer", "start", F.coalesce(F.col("valid").cast("string"), F.lit("unknown")).alias("valid"), *rounded).distinct()
+
+
 def literal(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-QUERIES = {name: detection(name)[0] for name in DETECTION} | {"conflict_cases": conflict_cases}
+QUERIES = {name: detection(name)[0] for name in DETECTION} | {"conflict_cases": conflict_cases, "explanation_cases": explanation_cases}
 ORACLES = {name: detection(name)[1] for name in DETECTION}
 ORACLES["conflict_cases"] = f"SELECT * FROM (VALUES {', '.join(f'({literal(n)}, {literal(a)}, {literal(b)})' for n, (_, _, a, b) in CONFLICTS.items())}) t(name, {', '.join(POLICIES)})"
+ORACLES["explanation_cases"] = f"""SELECT * FROM (VALUES {', '.join(f"({n}, '{e}', '{r}', {a}, '{'unknown' if v is None else str(v).lower()}', {o}::DOUBLE, {w}::DOUBLE, {s}::DOUBLE)" for n, (_, e, r, a, o, v, w, s) in enumerate(WHY))}) t(n, entity_type, recognizer, start, valid, original_score, validated_score, score)"""
