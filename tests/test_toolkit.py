@@ -1,4 +1,5 @@
 import hashlib
+import json
 import re
 
 import duckdb
@@ -11,7 +12,7 @@ from veilspark.operators import boxes
 from veilspark.operators.analyze import analyze, chunks, findings, sanitize
 from veilspark.operators.nested import field_findings
 from veilspark.operators.recognizers import Registry
-from veilspark.operators.rewrite import Op, add_operator, anonymize, remove_operator, rewrite
+from veilspark.operators.rewrite import Op, add_operator, anonymize, deanonymize_list, operators, ops_from, remove_operator, rewrite
 from veilspark.operators.scan import SPAN, deny_list
 from veilspark.operators.structured import column_entities
 from veilspark.sources import readers
@@ -221,6 +222,36 @@ def test_operators(spark):
             bad()
 
 
+def test_ignored_paths(spark, tmp_path):
+    fits = lambda path, *patterns: spark.range(1).select(readers.ignored(F.lit(path), list(patterns)).alias("x")).first().x
+    assert fits("a/b.log", "*.log") and fits("b.log", "*.log") and not fits("a/b.txt", "*.log")
+    assert fits("build/x/y", "build/") and not fits("build", "build/") and fits("a/build/x", "build")
+    assert fits("doc/a", "/doc/*") and not fits("x/doc/a", "/doc/*") and fits("x/doc/a", "**/doc/*") and fits("a/b/c/z", "a/**/z")
+    assert not fits("keep.log", "*.log", "!keep.log") and fits("a1", "a?") and fits("a1", "a[0-9]") and not fits("ab", "a[0-9]")
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.log").write_text("one")
+    (tmp_path / "x" / "a.txt").write_text("two")
+    assert [r.line for r in readers.read_lines(spark, str(tmp_path), ignore=["*.log"]).collect()] == ["two"]
+    assert [r.line for r in readers.read_lines(spark, str(tmp_path), ignore=["/x/*.txt"]).collect()] == ["one"]
+
+
+def test_settings(spark, tmp_path):
+    entries = [{"name": "Zip", "supported_entity": "ZIP", "patterns": [{"name": "zip", "regex": r"\b\d{5}\b", "score": 0.2}], "context": ["zip"], "score_thresholds": {"ZIP": 0.3}}, {"name": "Titles", "supported_entity": "TITLE", "deny_list": ["Mr.", "Mrs."], "supported_language": "en"}]
+    (tmp_path / "r.json").write_text(json.dumps({"recognizers": entries}))
+    reg = Registry().load_file(str(tmp_path / "r.json"))
+    assert {"ZIP", "TITLE"} <= set(reg.entities()) and {"Zip", "Titles"} <= set(reg.names()) and "us" in reg.countries()
+    assert [s[:3] for s in spans(spark, "Mr. X, zip 12345", registry=reg, entities=["ZIP", "TITLE"])] == [("TITLE", 0, 3), ("ZIP", 11, 16)]
+    assert spans(spark, "code 12345", registry=reg, entities=["ZIP"]) == []
+    with pytest.raises(ValueError):
+        Registry().load([{**entries[0], "supported_language": "English"}])
+    ops = ops_from({"NAME": {"type": "encrypt", "key": "a key of 16 byte"}})
+    df = spark.createDataFrame([(["a bob", "none"], [[("NAME", 2, 5, 0.5, "r")], []])], f"texts array<string>, spans array<{SPAN}>")
+    hidden = df.select(F.zip_with("texts", "spans", lambda t, s: rewrite(t, s, ops)).alias("h")).select(F.transform("h", lambda x: x["text"]).alias("texts"), F.array(F.col("h")[0]["items"], F.lit(None)).alias("items"))
+    back = hidden.select("texts", deanonymize_list(F.col("texts"), F.col("items"), ops_from({"NAME": {"type": "decrypt", "key": "a key of 16 byte"}})).alias("b")).first()
+    assert back.texts[0] != "a bob" and [x.text for x in back.b] == ["a bob", "none"]
+    assert "mask" in operators() and "decrypt" in operators(reverse=True)
+
+
 def test_streams(spark, tmp_path):
     """A stream of files gives what the table gives."""
     t = spark.createDataFrame([(f"u{i}@example.com", f"2024-01-01 0{i % 3}:00:00") for i in range(9)], "text string, ts string").select("text", F.col("ts").cast("timestamp").alias("ts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
 from dataclasses import replace
@@ -236,13 +237,34 @@ class Registry:
     def load(self, entries: list[dict]) -> Registry:
         """Recognizers from plain dicts: name, supported_entity, patterns ({name, regex, score}) or deny_list, context."""
         for e in entries:
-            common = {"context": tuple(e.get("context", ())), "thresholds": dict(e.get("score_thresholds", {}))}
+            languages = e.get("supported_languages") or [e.get("supported_language", "en")]
+            if bad := [x for x in languages if not re.fullmatch("[a-z]{2,3}", x)]:
+                raise ValueError(f"no language code: {bad[0]!r}")
+            common = {"context": tuple(e.get("context", ())), "thresholds": dict(e.get("score_thresholds", {})), "languages": tuple(languages), "country": e.get("country_code")}
             if e.get("deny_list"):
                 self.add(deny_list(e["name"], e["supported_entity"], e["deny_list"], e.get("deny_list_score", 1.0), **common))
             else:
-                self.add(R(e["name"], e["supported_entity"], tuple((p["regex"], float(p["score"])) for p in e["patterns"]), **common))
+                self.add(R(e["name"], e["supported_entity"], tuple((p["regex"], float(p["score"])) for p in e["patterns"]), gate="", **common))
         return self
 
+    def load_file(self, path: str) -> Registry:
+        """load() of the entries of a settings file on the driver, under `recognizers` or alone; YAML needs its library."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if path.endswith(".json"):
+            held = json.loads(text)
+        else:
+            import yaml
+
+            held = yaml.safe_load(text)
+        return self.load(held["recognizers"] if isinstance(held, dict) else held)
+
+    def names(self) -> list[str]:
+        return sorted({r.name for r in self.recognizers})
+
+    def countries(self) -> list[str]:
+        return sorted({r.country for r in self.recognizers if r.country})
+
     def entities(self) -> list[str]:
         return sorted({r.entity for r in self.recognizers})
 

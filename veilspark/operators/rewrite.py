@@ -31,8 +31,10 @@ def _redact(text: Column, kind: Column) -> Column:
 
 
 def _mask(text: Column, kind: Column, masking_char: str, chars_to_mask: int, from_end: bool) -> Column:
-    if len(masking_char) > 1:
+    if not isinstance(masking_char, str) or len(masking_char) > 1:
         raise ValueError("masking_char is one character")
+    if isinstance(chars_to_mask, bool) or not isinstance(chars_to_mask, int) or not isinstance(from_end, bool):
+        raise ValueError("chars_to_mask is a whole number and from_end true or false")
     n = F.least(F.length(text), F.lit(max(0, int(chars_to_mask))))
     rest, mask = F.length(text) - n, F.repeat(F.lit(masking_char), n)
     return F.concat(F.substring(text, F.lit(1), rest), mask) if from_end else F.concat(mask, F.substring(text, n + 1, rest))
@@ -145,3 +147,17 @@ def deanonymize(text: Column, items: Column, ops: dict[str, Op]) -> Column:
     """struct(text, items) with the reverse operators applied where items say that something was changed."""
     spans = F.transform(items, lambda i: F.struct(i["entity_type"].alias("entity_type"), i["start"].alias("start"), i["end"].alias("end"), i["score"].alias("score"), F.lit("").alias("recognizer")))
     return rewrite(text, spans, ops, reverse=True)
+
+
+def deanonymize_list(texts: Column, items: Column, ops: dict[str, Op]) -> Column:
+    """deanonymize() of each text of an array with the items at its place; a text without items stays."""
+    return F.zip_with(texts, items, lambda t, i: F.when(i.isNull(), F.struct(t.alias("text"), F.array().cast(ITEM).alias("items"))).otherwise(deanonymize(t, i, ops)))
+
+
+def operators(reverse: bool = False) -> list[str]:
+    return sorted(REVERSE if reverse else OPERATORS)
+
+
+def ops_from(entries: dict[str, dict]) -> dict[str, Op]:
+    """Operators from plain dicts: entity type to {"type": name, parameters}."""
+    return {kind: Op(e["type"], {k: v for k, v in e.items() if k != "type"}) for kind, e in entries.items()}
