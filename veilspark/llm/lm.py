@@ -149,7 +149,8 @@ def records(columns: list[np.ndarray]) -> list[np.ndarray]:
 class Grams:
     """Keys in buckets, sorted in each, with narrow columns; a key's place counts through the buckets.
 
-    Buckets are cut by the keys' hash or, where `lowest` is given, by their upper 32 bits.
+    Buckets are cut by the keys' hash or, where `lowest` is given, by their upper 32 bits; then, instead of the keys, where
+    each upper half begins and the lower halves are stored.
     """
 
     folder: str
@@ -180,7 +181,8 @@ class Grams:
             cuts = np.searchsorted(keys, self.lowest.astype(np.uint64) << np.uint64(32))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 if self.sizes[b]:
-                    out[cuts[b] : cuts[b + 1]] = found(self.array(self.name, b, 0, np.uint64), keys[cuts[b] : cuts[b + 1]], self.begin[b])
+                    upper, lower = halves(keys[cuts[b] : cuts[b + 1]])
+                    out[cuts[b] : cuts[b + 1]] = within(self.array(self.name, b, 0, np.uint32), self.array(self.name, b, 1, np.uint32), upper - self.lowest[b], lower, self.begin[b])
             return out
         for b, at in split(hashed(keys, len(self.sizes))):
             if self.sizes[b]:
@@ -189,13 +191,13 @@ class Grams:
 
     def column(self, places: np.ndarray) -> np.ndarray:
         """Counts at the places; 0 where UNKNOWN."""
-        out = np.zeros(len(places), np.int64)
+        out, k = np.zeros(len(places), np.int64), 1 if self.lowest is None else 2
         for b, at in self.where(places):
             row = places[at] - self.begin[b]
-            value = self.array(self.name, b, 1, np.uint8)[row].astype(np.int64)
+            value = self.array(self.name, b, k, np.uint8)[row].astype(np.int64)
             big = np.flatnonzero(value == 255)
             if len(big):
-                value[big] = self.array(self.name, b, 3, np.uint32)[np.searchsorted(self.array(self.name, b, 2, np.int64), row[big])]
+                value[big] = self.array(self.name, b, k + 2, np.uint32)[np.searchsorted(self.array(self.name, b, k + 1, np.int64), row[big])]
             out[at] = value
         return out
 
@@ -295,6 +297,21 @@ def found(keys: np.ndarray, wanted: np.ndarray, begin: int = 0) -> np.ndarray:
     return np.where(keys[at] == wanted, at + begin, UNKNOWN)
 
 
+def within(begins: np.ndarray, lower: np.ndarray, group: np.ndarray, wanted: np.ndarray, begin: int = 0) -> np.ndarray:
+    """Places of wanted among the sorted numbers of its group (those from begins[group] to the next group's), plus begin; UNKNOWN where absent."""
+    low, end = begins[group].astype(np.int64), begins[group + 1].astype(np.int64)
+    high, todo = end.copy(), np.flatnonzero(low < end)
+    while len(todo):
+        mid = (low[todo] + high[todo]) >> 1
+        less = lower[mid] < wanted[todo]
+        low[todo[less]] = mid[less] + 1
+        high[todo[~less]] = mid[~less]
+        todo = todo[low[todo] < high[todo]]
+    hit = low < end
+    hit[hit] = lower[low[hit]] == wanted[hit]
+    return np.where(hit, low + begin, UNKNOWN)
+
+
 def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
@@ -395,18 +412,18 @@ def summed(group: pa.Table, kind: str, begin: int, n: int) -> np.ndarray:
     return out
 
 
-def sizes_in(stats: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+def sizes_in(stats: DataFrame, buckets: int, kind: str = "of") -> tuple[list[int], list[int]]:
     """(Keys in each bucket, how many keys occur once, twice, three and four times.)"""
     sizes, occur = [0] * buckets, np.zeros(4, np.int64)
-    for r in stats.where("kind = 'of'").select("part", "data").collect():  # a row for each bucket
+    for r in stats.where(F.col("kind") == kind).select("part", "data").collect():  # a row for each bucket
         n, *of = np.frombuffer(r.data, np.int64)
         sizes[r.part] = int(n)
         occur += of
     return sizes, occur.tolist()
 
 
-def count_grams(texts: DataFrame, name: str, bucket_of, folder: str, keys_of, statistics) -> DataFrame:
-    """Stores the keys that keys_of(texts) gives, and their counts, by bucket_of(keys); the rows of statistics(bucket, keys, counts) and of sizes_of."""
+def count_grams(texts: DataFrame, name: str, bucket_of, folder: str, keys_of, statistics, form=lambda bucket, keys: [keys]) -> DataFrame:
+    """Stores the keys that keys_of(texts) gives, as the arrays form(bucket, keys), and their counts, by bucket_of(keys), when the rows that it returns are read: those of statistics(bucket, keys, counts) and of sizes_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -431,14 +448,14 @@ def count_grams(texts: DataFrame, name: str, bucket_of, folder: str, keys_of, st
 
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
         keys, counts = merged([unpack(x) for x in group.column("data").to_pylist()])
-        save(folder, f"{name}-{key[0].as_py()}", keys, *narrow(counts))
+        save(folder, f"{name}-{key[0].as_py()}", *form(key[0].as_py(), keys), *narrow(counts))
         rows = [sizes_of(key[0].as_py(), counts), *statistics(key[0].as_py(), keys, counts)]
         del keys, counts, group
         give_back()
         return table_of(rows)
 
     parts = map_arrow(texts.select("text"), run, "bucket int, data binary")
-    return settle(parts.groupBy("bucket").applyInArrow(reduce, STATISTICS), f"lm-{name}")
+    return parts.groupBy("bucket").applyInArrow(reduce, STATISTICS)
 
 
 def halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,14 +467,14 @@ def count_bigrams(texts: DataFrame, vocabulary: Vocabulary, buckets: int, folder
     if len(vocabulary) >= (1 << 32) - 1:
         raise ValueError("more words than 32 bits can number")
     statistics = lambda bucket, keys, counts: ranked(*halves(keys), counts, vocabulary.begin) if order == 2 else []
-    stats = count_grams(texts, "pairs", lambda keys: hashed(keys, buckets), folder, lambda rows: joined(*events(vocabulary, rows)[:2]), statistics)
+    stats = settle(count_grams(texts, "pairs", lambda keys: hashed(keys, buckets), folder, lambda rows: joined(*events(vocabulary, rows)[:2]), statistics), "lm-pairs")
     sizes, occur = sizes_in(stats, buckets)
     return Grams(folder, "pairs", sizes), occur, stats
 
 
-def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, buckets: int, folder: str) -> tuple[Grams, list[int], DataFrame]:
-    """Stores the trigrams and, by their first bigram, followers seen once, twice, more often; (they, how many occur once,
-    twice, three and four times, parts of the statistics by last bigram).
+def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, buckets: int, folder: str) -> tuple[np.ndarray, DataFrame]:
+    """Stores, when the rows that it returns are read, the trigrams and, by their first bigram, followers seen once, twice, more
+    often; (the lowest place of a first bigram in each bucket, parts of the statistics by last bigram).
 
     Buckets are ranges of the first bigram's place, which hashes dealt out, so a bigram's followers lie in one bucket.
     """
@@ -480,17 +497,23 @@ def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, bucke
         return ranked(left, right, counts, pairs.begin, kinds=("after",))
 
     bucket_of = lambda keys: np.searchsorted(lowest, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
-    stats = count_grams(texts, "triples", bucket_of, folder, keys_of, statistics)
-    sizes, occur = sizes_in(stats, buckets)
-    return Grams(folder, "triples", sizes, lowest), occur, stats
+
+    def form(bucket: int, keys: np.ndarray) -> list[np.ndarray]:
+        left, right = halves(keys)
+        return [np.searchsorted(left, np.arange(lowest[bucket], lowest[bucket + 1] + 1)).astype(np.uint32), right.astype(np.uint32)]
+
+    return lowest, count_grams(texts, "triples", bucket_of, folder, keys_of, statistics, form)
 
 
-def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, folder: str) -> tuple[list[int], DataFrame]:
-    """Stores, by bigram, its counts at order 3 and in the texts; (counts of counts of the first, parts of the statistics by
-    word that come from it)."""
+def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, folder: str) -> DataFrame:
+    """Stores, by bigram, its counts at order 3 and in the texts; parts of the statistics by word that come from it, sizes_of
+    the counts at order 3, and sizes_of the trigrams under the kind 'triples'. Nothing of stats is kept: its tasks hand on
+    to the shuffle what they count."""
 
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
         b = key[0].as_py()
+        if b < 0:
+            return group.set_column(0, "kind", pa.array(["triples"] * len(group), pa.string())).select(["kind", "part", "data"])
         if not pairs.sizes[b]:
             return table_of([])
         n, begin = pairs.sizes[b], int(pairs.begin[b])
@@ -505,8 +528,8 @@ def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, fo
         return table_of(rows)
 
     each = stats.sparkSession.range(len(pairs.sizes)).select(F.lit("none").alias("kind"), F.col("id").cast("int").alias("part"), F.lit(b"").alias("data"))
-    out = settle(stats.where("kind <> 'of'").unionByName(each).groupBy("part").applyInArrow(reduce, STATISTICS), "lm-after")
-    return sizes_in(out, len(pairs.sizes))[1], out
+    parts = stats.unionByName(each).groupBy(F.when(F.col("kind") == "of", -1).otherwise(F.col("part")).alias("to"))
+    return settle(parts.applyInArrow(reduce, STATISTICS), "lm-after")
 
 
 def word_statistics(stats: DataFrame, vocabulary: Vocabulary, folder: str) -> tuple[list[int], int]:
@@ -521,7 +544,7 @@ def word_statistics(stats: DataFrame, vocabulary: Vocabulary, folder: str) -> tu
         save(folder, f"stats-{part}", *out)
         return pa.table({"part": pa.array([part], pa.int32()), "of": pa.array([np.array([(out[3] == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()]), "total": [int(out[3].sum())], "more": [int((out[3] > 2).sum())]})
 
-    rows = stats.where("kind <> 'of'").groupBy("part").applyInArrow(reduce, "part int, of binary, total long, more long").collect()  # a row for each bucket
+    rows = stats.where("kind not in ('of', 'triples')").groupBy("part").applyInArrow(reduce, "part int, of binary, total long, more long").collect()  # a row for each bucket
     have = {r.part for r in rows}
     for b in range(len(vocabulary.sizes)):
         if b not in have:
@@ -618,12 +641,13 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         pairs, of_pairs, stats = count_bigrams(texts, vocabulary, buckets, folder, order)
         return Model(vocabulary, pairs, None, [0] * 4, of_pairs, *word_statistics(stats, vocabulary, folder))
     pairs, _, stats = count_bigrams(texts, vocabulary, 4 * buckets, folder, order)
-    triples, of_triples, by_pair = count_trigrams(texts, vocabulary, pairs, 8 * buckets, folder)
-    of_pairs, by_word = bigram_statistics(by_pair, vocabulary, pairs, folder)
-    drop_table(by_pair)
-    out = Model(vocabulary, pairs, triples, of_triples, of_pairs, *word_statistics(by_word, vocabulary, folder))
-    for used in (stats, by_word):
-        drop_table(used)
+    drop_table(stats)
+    lowest, by_pair = count_trigrams(texts, vocabulary, pairs, 8 * buckets, folder)
+    by_word = bigram_statistics(by_pair, vocabulary, pairs, folder)
+    sizes, of_triples = sizes_in(by_word, 8 * buckets, "triples")
+    of_pairs = sizes_in(by_word, len(pairs.sizes))[1]
+    out = Model(vocabulary, pairs, Grams(folder, "triples", sizes, lowest), of_triples, of_pairs, *word_statistics(by_word, vocabulary, folder))
+    drop_table(by_word)
     return out
 
 
