@@ -48,7 +48,7 @@ def kr_brn(t: Column) -> Column:
 
 
 # Kinds of entity and check letters of Singapore's entity numbers.
-UEN_KINDS = ["CC", "CD", "CH", "CL", "CM", "CP", "CS", "CX", "DP", "FB", "FC", "FM", "FN", "GA", "GB", "GS", "HC", "HS", "LL", "LP", "MB", "MC", "MD", "MH", "MM", "MQ", "NB", "NR", "PA", "PB", "PF", "RF", "RP", "SM", "SS", "TC", "TU", "VH", "XL"]
+UEN_KINDS = ["LP", "LL", "FC", "PF", "RF", "MQ", "MM", "NB", "CC", "CS", "MB", "FM", "GS", "DP", "CP", "NR", "CM", "CD", "MD", "HS", "VH", "CH", "MH", "CL", "XL", "CX", "HC", "RP", "TU", "TC", "FB", "FN", "PA", "PB", "SS", "MC", "SM", "GA", "GB"]
 UEN_LETTERS = "ABCDEFGHJKLMNPQRSTUVWX0123456789"
 
 
@@ -158,7 +158,7 @@ def dea(t: Column) -> Column:
 # may be 20 blanks apart at most, as look-behinds here have bounds.
 LABEL = r"(?:\s{0,20}(?:#|no\.?|number|id)\s{0,20}:?\s{0,20}|\s{0,20}:\s{0,20}|\s{1,20})"
 EIN = r"(?:0[1-6]|1[0-6]|2[0-7]|3[0-9]|4[0-8]|5[0-9]|6[0-8]|7[1-7]|8[0-8]|9[0-5]|9[89])"
-MBI_L, MBI_X = "[AC-HJKMNP-RT-Y]", "[0-9AC-HJKMNP-RT-Y]"
+MBI_L, MBI_X = "[ACDEFGHJKMNPQRTUVWXY]", "[0-9ACDEFGHJKMNPQRTUVWXY]"
 ZA_PHONE = ["phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "cellular", "handset", "contact number", "landline", "tel", "home number", "work number", "office number", "sms", "whatsapp"]
 PROVINCE = "(?:GP|ZN|WP|EC|NC|FS|LP|MP|NW)"
 
@@ -167,7 +167,7 @@ CRYPTO = Recognizer("CryptoRecognizer", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9
 MORE = [
     national("UsLicenseRecognizer", "US_DRIVER_LICENSE", "us", [(r"\b([A-Z][0-9]{3,6}|[A-Z][0-9]{5,9}|[A-Z][0-9]{6,8}|[A-Z][0-9]{4,8}|[A-Z][0-9]{9,11}|[A-Z]{1,2}[0-9]{5,6}|H[0-9]{8}|V[0-9]{6}|X[0-9]{8}|A-Z]{2}[0-9]{2,5}|[A-Z]{2}[0-9]{3,7}|[0-9]{2}[A-Z]{3}[0-9]{5,6}|[A-Z][0-9]{13,14}|[A-Z][0-9]{18}|[A-Z][0-9]{6}R|[A-Z][0-9]{9}|[A-Z][0-9]{1,12}|[0-9]{9}[A-Z]|[A-Z]{2}[0-9]{6}[A-Z]|[0-9]{8}[A-Z]{2}|[0-9]{3}[A-Z]{2}[0-9]{4}|[A-Z][0-9][A-Z][0-9][A-Z]|[0-9]{7,8}[A-Z])\b", 0.3), (r"\b([0-9]{6,14}|[0-9]{16})\b", 0.01)], ["driver", "license", "permit", "lic", "identification", "dls", "cdls", "lic#", "driving"], enabled=True),
     national("MedicalLicenseRecognizer", "MEDICAL_LICENSE", "us", [(r"[abcdefghjklmprstuxABCDEFGHJKLMPRSTUX]{1}[a-zA-Z]{1}\d{7}|[abcdefghjklmprstuxABCDEFGHJKLMPRSTUX]{1}9\d{7}", 0.4)], ["medical", "certificate", "DEA"], dea, enabled=True),
-    national("UsMbiRecognizer", "US_MBI", "us", [(rf"\b[1-9]{MBI_L}{MBI_X}[0-9]{MBI_L}{MBI_X}[0-9]{MBI_L}{MBI_L}[0-9][0-9]\b", 0.3), (rf"\b[1-9]{MBI_L}{MBI_X}[0-9]-{MBI_L}{MBI_X}[0-9]-{MBI_L}{MBI_L}[0-9][0-9]\b", 0.5)], ["medicare", "mbi", "beneficiary", "cms", "medicaid", "hic", "hicn"]),
+    national("UsMbiRecognizer", "US_MBI", "us", [(rf"\b[0-9]{MBI_L}{MBI_X}[0-9]{MBI_L}{MBI_X}[0-9]{MBI_L}{MBI_L}[0-9][0-9]\b", 0.3), (rf"\b[0-9]{MBI_L}{MBI_X}[0-9]-{MBI_L}{MBI_X}[0-9]-{MBI_L}{MBI_L}[0-9][0-9]\b", 0.5)], ["medicare", "mbi", "beneficiary", "cms", "medicaid", "hic", "hicn"]),
     national("UsHealthInsuranceMemberIdRecognizer", "US_HEALTH_INSURANCE_MEMBER_ID", "us", [(r"\b(?=[A-Z0-9-]{6,20}\b)(?=[A-Z0-9-]*[A-Z])(?=[A-Z0-9-]*\d)[A-Z]{1,5}-?[A-Z0-9]{5,14}\b", 0.1)], ["member", "subscriber", "insurance", "policy"]),
     national("UsPriorAuthorizationNumberRecognizer", "US_PRIOR_AUTHORIZATION_NUMBER", "us", [(rf"(?<=\b(?:prior\s{{1,20}}authorization|prior\s{{1,20}}auth|preauthorization|pre-auth|authorization){LABEL})(?:PA-?)?\d{{6,12}}\b", 0.35), (r"\bPA-?\d{6,12}\b", 0.1)], ["authorization", "auth", "preauthorization", "approval"]),
     national("UsClaimNumberRecognizer", "US_CLAIM_NUMBER", "us", [(rf"(?<=\b(?:claim|medical\s{{1,20}}claim|healthcare\s{{1,20}}claim){LABEL})(?:CLM-?)?\d{{6,15}}\b", 0.35), (r"\bCLM-?\d{6,15}\b", 0.1)], ["claim", "billing"]),

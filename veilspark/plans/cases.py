@@ -72,6 +72,41 @@ DETECTION: dict[str, tuple[list[str], bool, dict, list[Case]]] = {
         ("55555555-A", []),
         ("11111111116", [("PL_PESEL", 0, 11, 1.0)]),
     ]),
+    "british_cases": (["UK_NHS", "UK_NINO", "UK_POSTCODE"], True, {"threshold": 0.01}, [
+        ("401-023-2137", [("UK_NHS", 0, 12, 1.0)]),
+        ("401-023-2138", []),
+        ("AB 12 34 56 C", [("UK_NINO", 0, 13, 0.5)]),
+        ("BG 12 34 56 C", []),
+    ]),
+    "australian_cases": (["AU_ABN", "AU_ACN", "AU_TFN", "AU_MEDICARE"], True, {"threshold": 0.01}, [
+        ("51 824 753 556", [("AU_ABN", 0, 14, 1.0)]),
+        ("52 824 753 556", []),
+        ("000 000 019", [("AU_ACN", 0, 11, 1.0), ("AU_TFN", 0, 11, 1.0)]),
+        ("876 543 210", [("AU_TFN", 0, 11, 1.0)]),
+        ("2123 45670 1", [("AU_MEDICARE", 0, 12, 1.0)]),
+        ("2123 45671 1", []),
+    ]),
+    "asian_cases": (["TH_TNIN", "SG_NRIC_FIN", "SG_UEN", "KR_BRN", "PH_UMID"], True, {"threshold": 0.01}, [
+        ("1123456789014", [("TH_TNIN", 0, 13, 1.0)]),
+        ("1123456789015", []),
+        ("G1122144L", [("SG_NRIC_FIN", 0, 9, 0.5)]),
+        ("53125226D", [("SG_UEN", 0, 9, 1.0)]),
+        ("124-81-00998", [("KR_BRN", 0, 12, 1.0)]),
+        ("1234-1234567-1", [("PH_UMID", 0, 14, 0.5)]),
+    ]),
+    "other_cases": (["ES_NIE", "TR_NATIONAL_ID", "ZA_ID_NUMBER", "CA_SIN", "IT_FISCAL_CODE", "CRYPTO", "US_MBI"], True, {"threshold": 0.01}, [
+        ("Z8078221M", [("ES_NIE", 0, 9, 1.0)]),
+        ("Z8078221A", []),
+        ("10000000146", [("TR_NATIONAL_ID", 0, 11, 1.0)]),
+        ("10000000145", []),
+        ("8001015009087", [("ZA_ID_NUMBER", 0, 13, 1.0)]),
+        ("130-692-544", [("CA_SIN", 0, 11, 0.5)]),
+        ("130-692-545", []),
+        ("RSSMRA80A01H501U", [("IT_FISCAL_CODE", 0, 16, 1.0)]),
+        ("1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", [("CRYPTO", 0, 34, 1.0)]),
+        ("1EG4-TE5-MK73", [("US_MBI", 0, 13, 0.5)]),
+        ("1SG4-TE5-MK73", []),
+    ]),
     "phrase_cases": (["UK_PASSPORT", "CA_SIN", "AU_ABN"], True, {"threshold": 0.01}, [
         ("travel document AB1234567", [("UK_PASSPORT", 16, 25, 0.45)]),
         ("Travel-document no. AB1234567", [("UK_PASSPORT", 20, 29, 0.45)]),
