@@ -31,7 +31,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** k and base ** -k modulo PRIME for k below n."""
     if base not in _powers or len(_powers[base][0]) < n:
-        if len(_powers) > 8:
+        if base not in _powers and len(_powers) > 1:  # those of another run
             _powers.clear()
         made = []
         for b in (base, pow(base, -1, PRIME)):
