@@ -149,8 +149,8 @@ def records(columns: list[np.ndarray]) -> list[np.ndarray]:
 class Grams:
     """Keys in buckets, sorted in each, with narrow columns; a key's place counts through the buckets.
 
-    Buckets are cut by the keys' hash or, where `lowest` is given, by their upper 32 bits; then, instead of the keys, where
-    each upper half begins and the lower halves are stored.
+    Buckets are cut by the keys' hash or, where `lowest` is given, by their upper 32 bits; then only the lower halves of keys
+    are stored, and the records of the upper half's context say how many there are.
     """
 
     folder: str
@@ -182,7 +182,7 @@ class Grams:
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 if self.sizes[b]:
                     upper, lower = halves(keys[cuts[b] : cuts[b + 1]])
-                    out[cuts[b] : cuts[b + 1]] = within(self.array(self.name, b, 0, np.uint32), self.array(self.name, b, 1, np.uint32), upper - self.lowest[b], lower, self.begin[b])
+                    out[cuts[b] : cuts[b + 1]] = within(self.begins(b), self.array(self.name, b, 0, np.uint32), upper - self.lowest[b], lower, self.begin[b])
             return out
         for b, at in split(hashed(keys, len(self.sizes))):
             if self.sizes[b]:
@@ -191,16 +191,24 @@ class Grams:
 
     def column(self, places: np.ndarray) -> np.ndarray:
         """Counts at the places; 0 where UNKNOWN."""
-        out, k = np.zeros(len(places), np.int64), 1 if self.lowest is None else 2
+        out = np.zeros(len(places), np.int64)
         for b, at in self.where(places):
             row = places[at] - self.begin[b]
-            value = self.array(self.name, b, k, np.uint8)[row].astype(np.int64)
+            value = self.array(self.name, b, 1, np.uint8)[row].astype(np.int64)
             big = np.flatnonzero(value == 255)
             if len(big):
-                value[big] = self.array(self.name, b, k + 2, np.uint32)[np.searchsorted(self.array(self.name, b, k + 1, np.int64), row[big])]
+                value[big] = self.array(self.name, b, 3, np.uint32)[np.searchsorted(self.array(self.name, b, 2, np.int64), row[big])]
             out[at] = value
         return out
 
+    def begins(self, bucket: int) -> np.ndarray:
+        """Where the keys of each upper half begin in the bucket, from the followers that its context has once, twice, more often."""
+        held = self.array("context", bucket, 0, np.uint8).reshape(-1, 3)
+        n = held[:, 0].astype(np.int64) + held[:, 1] + held[:, 2]
+        for k in range(3):
+            n[self.array("context", bucket, 1 + 2 * k, np.int64)] += self.array("context", bucket, 2 + 2 * k, np.uint32).astype(np.int64) - 255
+        return np.concatenate([[0], np.cumsum(n)])
+
     def records(self, places: np.ndarray, name: str, width: int) -> np.ndarray:
         """The records() of that name at the places, a column for each; 0 where UNKNOWN.
 
@@ -422,8 +430,8 @@ def sizes_in(stats: DataFrame, buckets: int, kind: str = "of") -> tuple[list[int
     return sizes, occur.tolist()
 
 
-def count_grams(texts: DataFrame, name: str, bucket_of, folder: str, keys_of, statistics, form=lambda bucket, keys: [keys]) -> DataFrame:
-    """Stores the keys that keys_of(texts) gives, as the arrays form(bucket, keys), and their counts, by bucket_of(keys), when the rows that it returns are read: those of statistics(bucket, keys, counts) and of sizes_of."""
+def count_grams(texts: DataFrame, name: str, bucket_of, folder: str, keys_of, statistics, form=lambda keys: keys) -> DataFrame:
+    """Stores the keys that keys_of(texts) gives, as form(keys), and their counts, by bucket_of(keys), when the rows that it returns are read: those of statistics(bucket, keys, counts) and of sizes_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -448,7 +456,7 @@ def count_grams(texts: DataFrame, name: str, bucket_of, folder: str, keys_of, st
 
     def reduce(key: tuple, group: pa.Table) -> pa.Table:
         keys, counts = merged([unpack(x) for x in group.column("data").to_pylist()])
-        save(folder, f"{name}-{key[0].as_py()}", *form(key[0].as_py(), keys), *narrow(counts))
+        save(folder, f"{name}-{key[0].as_py()}", form(keys), *narrow(counts))
         rows = [sizes_of(key[0].as_py(), counts), *statistics(key[0].as_py(), keys, counts)]
         del keys, counts, group
         give_back()
@@ -498,15 +506,11 @@ def count_trigrams(texts: DataFrame, vocabulary: Vocabulary, pairs: Grams, bucke
 
     bucket_of = lambda keys: np.searchsorted(lowest, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
 
-    def form(bucket: int, keys: np.ndarray) -> list[np.ndarray]:
-        left, right = halves(keys)
-        return [np.searchsorted(left, np.arange(lowest[bucket], lowest[bucket + 1] + 1)).astype(np.uint32), right.astype(np.uint32)]
-
-    return lowest, count_grams(texts, "triples", bucket_of, folder, keys_of, statistics, form)
+    return lowest, count_grams(texts, "triples", bucket_of, folder, keys_of, statistics, lambda keys: halves(keys)[1].astype(np.uint32))
 
 
 def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, folder: str) -> DataFrame:
-    """Stores, by bigram, its counts at order 3 and in the texts; parts of the statistics by word that come from it, sizes_of
+    """Stores, by bigram, its count at order 3; parts of the statistics by word that come from it, sizes_of
     the counts at order 3, and sizes_of the trigrams under the kind 'triples'. Nothing of stats is kept: its tasks hand on
     to the shuffle what they count."""
 
@@ -521,7 +525,7 @@ def bigram_statistics(stats: DataFrame, vocabulary: Vocabulary, pairs: Grams, fo
         counts = summed(group, "after", begin, n).astype(np.int64)
         first = np.flatnonzero(before == len(vocabulary))
         counts[first] = pairs.column(first + begin)
-        save(folder, f"after-{b}", *records([counts, pairs.column(np.arange(begin, begin + n))]))
+        save(folder, f"after-{b}", *records([counts]))
         rows = [sizes_of(b, counts), *ranked(before, now, counts, vocabulary.begin, True)]
         del before, now, counts, group
         give_back()
@@ -611,7 +615,7 @@ class Model:
         keys, key_at = np.unique(np.where((before < 0) | (now < 0), NO_KEY, joined(before, now)), return_inverse=True)
         place = self.pairs.places(keys)
         if self.triples:
-            n, occur = self.pairs.records(place, "after", 2)
+            n, occur = self.pairs.records(place, "after", 1)[0], self.pairs.column(place)
             seen = self.triples.records(place, "context", 3)
         else:
             n = self.pairs.column(place)
