@@ -31,6 +31,8 @@ from .hashing import Prefixes, mixed, random_bases
 
 #: Bytes of text to a bucket; rows, and words, bigrams or trigrams, that a worker handles at once; bytes that it hashes at once.
 BUCKET_BYTES, ROWS, HELD, PIECE = 64_000_000, 1000, 1_000_000, 1 << 18
+#: Bigrams for which one sum of followers is kept.
+BLOCK = 16
 #: Keys in a packed row: rows stay under half a megabyte, which the JVM's collector moves easily.
 PACKED = 40_000
 #: Smaller files are read and not mapped, as a process can hold some 65,000 maps.
@@ -182,7 +184,7 @@ class Grams:
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 if self.sizes[b]:
                     upper, lower = halves(keys[cuts[b] : cuts[b + 1]])
-                    out[cuts[b] : cuts[b + 1]] = within(self.begins(b), self.array(self.name, b, 0, np.uint32), upper - self.lowest[b], lower, self.begin[b])
+                    out[cuts[b] : cuts[b + 1]] = within(*self.ranges(b, upper - self.lowest[b]), self.array(self.name, b, 0, np.uint32), lower, self.begin[b])
             return out
         for b, at in split(hashed(keys, len(self.sizes))):
             if self.sizes[b]:
@@ -201,13 +203,28 @@ class Grams:
             out[at] = value
         return out
 
-    def begins(self, bucket: int) -> np.ndarray:
-        """Where the keys of each upper half begin in the bucket, from the followers that its context has once, twice, more often."""
-        held = self.array("context", bucket, 0, np.uint8).reshape(-1, 3)
-        n = held[:, 0].astype(np.int64) + held[:, 1] + held[:, 2]
-        for k in range(3):
-            n[self.array("context", bucket, 1 + 2 * k, np.int64)] += self.array("context", bucket, 2 + 2 * k, np.uint32).astype(np.int64) - 255
-        return np.concatenate([[0], np.cumsum(n)])
+    def ranges(self, bucket: int, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(Begin, end) of the keys of each upper half in the bucket, from the followers that its context has once, twice, more often.
+
+        Sums up to every BLOCK-th upper half are made once and kept; from there on the few that remain are added.
+        """
+        held = self.array("context", bucket, 0, np.uint8)
+        if ("begins", bucket, 0) not in self.arrays:
+            big = np.concatenate([self.array("context", bucket, 1 + 2 * k, np.int64) for k in range(3)])
+            more = np.concatenate([self.array("context", bucket, 2 + 2 * k, np.uint32).astype(np.int64) - 255 for k in range(3)])
+            order = np.argsort(big, kind="stable")
+            starts = np.arange(0, len(held), 3 * BLOCK)
+            sums = np.add.reduceat(held, starts, dtype=np.int64) if len(held) else np.zeros(0, np.int64)
+            self.arrays["begins", bucket, 0] = np.concatenate([[0], np.cumsum(sums)[:-1]])
+            self.arrays["begins", bucket, 1] = big[order]
+            self.arrays["begins", bucket, 2] = np.concatenate([[0], np.cumsum(more[order])])
+        sums, big, more = (self.arrays["begins", bucket, k] for k in range(3))
+        block = upper // BLOCK
+        at = 3 * BLOCK * block[:, None] + np.arange(3 * BLOCK)
+        near = np.where(at < 3 * upper[:, None], held[np.minimum(at, len(held) - 1)], 0).sum(axis=1, dtype=np.int64)
+        begin = sums[block] + near + more[np.searchsorted(big, upper)]
+        own = held.reshape(-1, 3)[upper].sum(axis=1, dtype=np.int64)
+        return begin, begin + own + more[np.searchsorted(big, upper, "right")] - more[np.searchsorted(big, upper)]
 
     def records(self, places: np.ndarray, name: str, width: int) -> np.ndarray:
         """The records() of that name at the places, a column for each; 0 where UNKNOWN.
@@ -305,9 +322,9 @@ def found(keys: np.ndarray, wanted: np.ndarray, begin: int = 0) -> np.ndarray:
     return np.where(keys[at] == wanted, at + begin, UNKNOWN)
 
 
-def within(begins: np.ndarray, lower: np.ndarray, group: np.ndarray, wanted: np.ndarray, begin: int = 0) -> np.ndarray:
-    """Places of wanted among the sorted numbers of its group (those from begins[group] to the next group's), plus begin; UNKNOWN where absent."""
-    low, end = begins[group].astype(np.int64), begins[group + 1].astype(np.int64)
+def within(low: np.ndarray, end: np.ndarray, lower: np.ndarray, wanted: np.ndarray, begin: int = 0) -> np.ndarray:
+    """Places of wanted among the numbers from low to end - 1, which are sorted, plus begin; UNKNOWN where absent."""
+    low = low.copy()
     high, todo = end.copy(), np.flatnonzero(low < end)
     while len(todo):
         mid = (low[todo] + high[todo]) >> 1
