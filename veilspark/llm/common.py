@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,8 +65,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """materialize(), after which shuffle files that nothing refers to can go."""
     out = materialize(df, tag)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds what the second one does
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)  # Spark deletes the files of what is freed in a thread of its own
     return out
 
 
