@@ -49,4 +49,28 @@ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT)
 FROM d LEFT JOIN kept USING (rn)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc_revisits": OP7, "op8_suffix_dedup": OP8}
+def _rounds(k: int = 40, rounds: int = 5) -> str:
+    """The rounds of op12 one after the other: a<r> has each vector's centroid, c<r> the centroids; inner products of whole numbers are exact."""
+    d = "CAST(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS BIGINT)"
+    assigned = f"SELECT rn, min({d} * 64 + k) // 64 AS distance, min({d} * 64 + k) % 64 AS k FROM v, c{{r}} GROUP BY rn"
+    parts = [
+        """WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({assigned.format(r=r)})")
+        means = f"SELECT k, i, floor(sum(x[i]) / count(*)) AS mean FROM v JOIN a{r} USING (rn), unnest(range(1, 65)) t(i) GROUP BY k, i"
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, old.c) AS c FROM c{r} old LEFT JOIN (SELECT k, list(mean ORDER BY i) AS c FROM ({means}) GROUP BY k) m USING (k))")
+    parts.append(f"a AS MATERIALIZED ({assigned.format(r=rounds)})")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256
+FROM a JOIN v USING (rn) JOIN c{rounds} USING (k)
+"""
+
+
+OP12 = _rounds()
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc_revisits": OP7, "op8_suffix_dedup": OP8, "op12_kmeans": OP12}
