@@ -73,4 +73,18 @@ FROM a JOIN v USING (rn) JOIN c{rounds} USING (k)
 
 OP12 = _rounds()
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc_revisits": OP7, "op8_suffix_dedup": OP8, "op12_kmeans": OP12}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, {_TERMS} AS w FROM documents),
+q AS MATERIALIZED (SELECT it, item_id, t, count(*) AS times FROM (SELECT row_number() OVER () AS it, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT rn, t, count(*) AS tf FROM (SELECT rn, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY rn, t),
+x AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY t, n),
+p AS (
+  SELECT it, item_id, rn, CAST(sum(times * weight * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * len(w) * n // total)))) AS BIGINT) AS score
+  FROM q JOIN x USING (t) JOIN f USING (t) JOIN d USING (rn), s GROUP BY it, item_id, rn)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, row_number() OVER (PARTITION BY it ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM p JOIN d USING (rn) WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc_revisits": OP7, "op8_suffix_dedup": OP8, "op12_kmeans": OP12, "op13_lexical_search": OP13}

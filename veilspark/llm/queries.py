@@ -77,10 +77,16 @@ def op12_kmeans(spark, sf_dir):
     return digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_vptree, op3_license_scan, op4_kneser_ney, op5_language_id, op6_decontamination, op7_warc_revisits, op8_suffix_dedup, op9_sentencepiece, op10_token_counts, op11_bpe_transducer, op12_kmeans, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_vptree, op3_license_scan, op4_kneser_ney, op5_language_id, op6_decontamination, op7_warc_revisits, op8_suffix_dedup, op9_sentencepiece, op10_token_counts, op11_bpe_transducer, op12_kmeans, op13_lexical_search, pipeline)}
