@@ -2,7 +2,7 @@
 
 Document frequencies are counted over every training document. Weights are fitted with
 follow-the-regularised-leader under elastic-net penalties, on a bounded sample of labelled rows (ROWS for each
-language, about; the bound on what the driver holds). A part of the sample that takes no part in fitting sets
+language; the bound on what the driver holds). A part of the sample that takes no part in fitting sets
 the temperature by which probabilities are calibrated. Prediction reads whole texts in one pass, Arrow batch by
 batch; a text's score is a sum over its n-grams, so memory doesn't grow with its length.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -128,13 +128,17 @@ def fit(sample: list[tuple[str, str]], langs: list[str], idf: np.ndarray) -> Mod
 def learn(labelled: DataFrame, rows: int = ROWS) -> Model | None:
     """A model from the rows of labelled (doc_id, text, lang) that have both a text and a lang; None if there are none."""
     train = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    # equal rows have one draw, so each text with a doc_id of its own counts once, and all of them have the same chance
+    train = train.withColumn("draw", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit("langid")))
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}  # one row a language
     if not sizes:
         return None
     documents, df = document_frequencies(train)
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("langid")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    rate: Column = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))]), F.col("lang"))
-    sample = train.withColumn("draw", draw).where(F.col("draw") < rate).orderBy("draw", "doc_id", "text").limit(2 * rows * len(sizes)).collect()
+    rate: Column = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 3 * rows / n))]), F.col("lang"))
+    # about 3 * rows of each language, or all that it has; of these the smallest draws
+    some = train.where(F.shiftrightunsigned("draw", 34).cast("double") / (1 << 30) < rate).dropDuplicates(["lang", "draw"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    sample = some.withColumn("place", place).where(F.col("place") <= rows).orderBy("draw", "lang").collect()
     return fit([(r.text, r.lang) for r in sample], sorted(sizes), np.log((1 + documents) / (1 + df)) + 1.0)
 
 

@@ -119,16 +119,15 @@ class Pieces:
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.odd: dict[str, str] = {}  # what segments that don't decode to themselves decode to
         self.held, self.bad = 0, set()  # characters of known; segments that the other library encodes otherwise
-        self.theirs = None
+        self.theirs, self.whole = None, False
         self.cut = re.compile(f"(?<=[^{MARK}])(?={MARK})")
         self.inner = any(MARK in p.lstrip(MARK) for p, _, kind in spec.pieces if kind == 1)  # then text can't be cut
 
     def compare(self, path: str) -> Pieces:
-        """From now on each new segment is encoded by the sentencepiece library too, where its normaliser changes nothing."""
-        if not self.charsmap and not self.spec.squeeze and not self.inner:
-            from sentencepiece import SentencePieceProcessor
+        """From now on the sentencepiece library encodes too: each new segment, or, where normalising may change what lies around it, whole texts."""
+        from sentencepiece import SentencePieceProcessor
 
-            self.theirs = SentencePieceProcessor(model_file=path)
+        self.theirs, self.whole = SentencePieceProcessor(model_file=path), bool(self.charsmap or self.spec.squeeze or self.inner)
         return self
 
     def normalise(self, text: str) -> str:
@@ -159,7 +158,7 @@ class Pieces:
             ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
             self.known.update((x, array("i", i).tobytes()) for x, i in zip(part, ids, strict=True))
             self.odd.update((x, t) for x, t in zip(part, self.library.decode_batch(ids, skip_special_tokens=False), strict=True) if t != x.replace(MARK, " "))
-            if self.theirs:
+            if self.theirs and not self.whole:
                 begins = int(self.spec.dummy_prefix)
                 other = self.theirs.encode([x[begins:].replace(MARK, " ") for x in part], num_threads=1)
                 self.bad.update(x for x, a, b in zip(part, ids, other, strict=True) if a != b)
@@ -177,7 +176,11 @@ class Pieces:
         ids = [np.frombuffer(b"".join([self.known[x] for x in c]), np.int32) for c in cut]
         strange = [bool(self.odd) and not self.odd.keys().isdisjoint(c) for c in cut]
         back = ["".join([self.odd[x] if x in self.odd else x.replace(MARK, " ") for x in c] if o else c).replace(MARK, MARK if o else " ") for c, o in zip(cut, strange, strict=True)]
-        return ids, [self.unmarked(t) for t in back], [not self.bad or self.bad.isdisjoint(c) for c in cut]
+        if self.theirs and self.whole:
+            same = [a.tolist() == b for a, b in zip(ids, self.theirs.encode(texts, num_threads=1), strict=True)]
+        else:
+            same = [not self.bad or self.bad.isdisjoint(c) for c in cut]
+        return ids, [self.unmarked(t) for t in back], same
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_both(texts)[0]
@@ -216,7 +219,8 @@ NEW = ["n_tokens", "ids_sha256", "round_trip", "parity", "ids"]
 def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True, check: bool = True) -> DataFrame:
     """All columns of docs (text among them), then n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers),
     round_trip (the ids decode to the text), with `check` parity (the sentencepiece library gives every segment of the
-    text the same ids; each worker compares a segment when it meets it) and, with keep_ids, ids.
+    text the same ids; each worker compares a segment when it meets it. With a normaliser, or markers inside of pieces, whole
+    texts are compared) and, with keep_ids, ids.
 
     Null texts are empty: no ids, and round_trip and parity hold. A text that the normaliser changes doesn't decode
     to itself; with the 32k BPE file none is changed, but for texts with the marker character. Very long texts are
