@@ -7,17 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .compiled import compiled
 from .recognizers import Registry
-from .scan import FLAGS, SPAN, Recognizer, let, scan, surface
+from .scan import FLAGS, SPAN, Recognizer, cut, let, pages, scan
 from .spans import without_contained
+from .words import INDEX, TOKEN, around, count_before, keywords, part, tokens
 
-# Words that are no keywords, so neither help nor count in the window before a span.
-STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "he", "her", "his", "i", "in", "is", "it", "its", "me", "my", "of", "on", "or", "our", "she", "that", "the", "their", "this", "to", "was", "we", "were", "will", "with", "you", "your"]
-BEFORE, RAISE, LEAST = 5, 0.35, 0.4
-
-
-#: What may lie between the words of a phrase, and the last BEFORE tokens of a text.
-GAP, TOKENS = r"(?:\s+|\s*[-/]\s*)", rf"((?:(?:\w[\w'’]*|[^\w\s])\s*){{0,{BEFORE}}})$"
+#: Keywords before and after a span that are its context; what a score gains by it, and has then at least.
+BEFORE, AFTER, RAISE, LEAST = 5, 0, 0.35, 0.4
+#: What may lie between the words of a phrase.
+GAP = r"(?:\s+|\s*[-/]\s*)"
 
 
 def phrase_pattern(terms: list[str], whole_word: bool = False) -> str | None:
@@ -27,48 +26,69 @@ def phrase_pattern(terms: list[str], whole_word: bool = False) -> str | None:
     return rf"(?iU)(?<!\w)(?:{'|'.join(joined)})" + (r"(?!\w)" if whole_word else "") if joined else None
 
 
-#: Characters before a span that are looked at first; where they hold too few words, all are.
-NEAR = 400
+def with_context(text: Column, spans: Column, terms: dict[str, list[str]], whole_word: bool = False, given: list[str] = (), before: int = BEFORE, after: int = AFTER) -> Column:
+    """Scores raised where a term of the span's recognizer is in one of the `before` keywords before it, the `after` ones behind it, the word
+    in which it begins, its own text or the given words, or, if it has several words, stands in the `before` tokens before the span or
+    the `after` ones behind it.
 
+    Spans of recognizers without terms stay as they are. The text's words are looked up in one index, which only texts
+    with a span that can gain have.
+    """
+    held = tuple(sorted((name, tuple(sorted({w for w in words if w}))) for name, words in terms.items()))
+    return _raised(text, spans, terms=held, whole_word=whole_word, given=tuple(given), before=before, after=after) if any(words for _, words in held) else spans
 
-def with_context(text: Column, spans: Column, terms: dict[str, list[str]], whole_word: bool = False, given: list[str] = ()) -> Column:
-    """Scores raised where a term of the span's recognizer is among the BEFORE keywords before it, in the span's own text or among the given words,
-    or, if it has several words, stands in the BEFORE tokens before the span.
 
-    Spans of recognizers without terms stay as they are.
-    """
+@compiled(("text", "spans"))
+def _raised(text: Column, spans: Column, terms: tuple, whole_word: bool, given: tuple, before: int, after: int) -> Column:
+    terms = dict(terms)
     patterns = {name: p for name, words in terms.items() if (p := phrase_pattern(list(words), whole_word))}
     terms = {name: sorted({w.lower() for w in words if w}) for name, words in terms.items()}
     terms = {name: words for name, words in terms.items() if words}
-    if not terms:
-        return spans
     table = F.create_map(*[F.lit(x) for name, words in terms.items() for x in (name, words)])
-
-    def keywords(before: Column) -> Column:
-        return F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}#']+"), lambda w: (w != "") & ~w.isin(STOP))
-
-    def last(words: Column) -> Column:
-        return F.slice(words, F.greatest(F.size(words) - (BEFORE - 1), F.lit(1)), BEFORE)
-
-    def one(s: Column) -> Column:
-        close = keywords(F.substring(text, F.greatest(s["start"] - (NEAR - 1), F.lit(1)), F.least(s["start"], F.lit(NEAR))))
-        # the first of the words may be the end of one
-        before = let(close, lambda w: F.when((s["start"] <= NEAR) | (F.size(w) > BEFORE), last(w)).otherwise(last(keywords(F.substring(text, F.lit(1), s["start"])))))
-        words = F.concat(before, F.array(F.lower(surface(text, s)), *[F.lit(w.lower()) for w in given]))
-        raised = F.least(F.lit(1.0), F.greatest(s["score"] + RAISE, F.lit(LEAST)))
-
-        window = F.regexp_extract(F.substring(text, F.greatest(s["start"] - (NEAR - 1), F.lit(1)), F.least(s["start"], F.lit(NEAR))), "(?U)" + TOKENS, 1)
-        phrase = F.lit(False)
+    gains = lambda s: (s["score"] < 1) & s["recognizer"].isin(list(terms))
+    phrased = lambda s: (s["score"] < 1) & s["recognizer"].isin(list(patterns))
+
+    def raised(all_: Column, words: Column, every: Column, paged: Column) -> Column:
+        def window(s: Column) -> Column:
+            """The tokens before the span, and those behind it after a line's end, which no phrase crosses."""
+
+            def of(k: Column) -> Column:
+                front = cut(paged, F.coalesce(F.get(part(every, k - before, F.lit(before)), 0)["start"], s["start"]), s["start"])
+                if not after:
+                    return front
+                last = F.element_at(F.concat(F.array(s["end"]), part(every, count_before(every, s["end"]), F.lit(after))["end"]), -1)
+                return F.concat(front, F.lit(" \u2029. "), cut(paged, s["end"], last))
+
+            return let(count_before(every, s["start"]), of)
+
+        def one(s: Column) -> Column:
+            def scored(own: Column) -> Column:
+                near = F.concat(around(words, s, before, after), F.array(F.lower(cut(paged, s["start"], s["end"])), *[F.lit(w.lower()) for w in given]))
+                test = lambda w: F.exists(own, lambda t: (w == t) if whole_word else w.contains(t))
+                met = F.exists(near, test)
+                if patterns:
+                    met = met | F.when(phrased(s), let(window(s), lambda w: found_phrase(s, w))).otherwise(False)
+                return F.when(met, F.least(F.lit(1.0), F.greatest(s["score"] + RAISE, F.lit(LEAST)))).otherwise(s["score"])
+
+            score = F.when(gains(s), let(F.try_element_at(table, s["recognizer"]), scored)).otherwise(s["score"])
+            return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"), s["recognizer"].alias("recognizer"))
+
+        return F.transform(all_, one)
+
+    def found_phrase(s: Column, w: Column) -> Column:
+        found = F.lit(False)
         for name, p in patterns.items():
-            phrase = F.when(s["recognizer"] == name, F.rlike(window, F.lit(p))).otherwise(phrase)
-
-        def scored(own: Column) -> Column:
-            test = lambda w: F.exists(own, lambda t: (w == t) if whole_word else w.contains(t))
-            return F.when(own.isNotNull() & (F.exists(words, test) | phrase), raised).otherwise(s["score"])
+            found = F.when(s["recognizer"] == name, F.rlike(w, F.lit(p))).otherwise(found)
+        return found
 
-        return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), let(F.try_element_at(table, s["recognizer"]), scored).alias("score"), s["recognizer"].alias("recognizer"))
+    def of(all_: Column) -> Column:
+        none = F.array().cast(INDEX)
+        words = F.when(F.exists(all_, gains), keywords(text)).otherwise(none)
+        every = F.when(F.exists(all_, phrased), tokens(text, TOKEN)).otherwise(none) if patterns else none
+        paged = F.when(F.exists(all_, gains), pages(text)).otherwise(F.array().cast("array<string>"))
+        return let(F.struct(words.alias("words"), every.alias("every"), paged.alias("paged")), lambda i: raised(all_, i["words"], i["every"], i["paged"]))
 
-    return F.transform(spans, one)
+    return let(spans, of)
 
 
 def analyze(
@@ -81,12 +101,15 @@ def analyze(
     allow_match: str = "exact",
     ad_hoc: list[Recognizer] = (),
     flags: str = FLAGS,
+    before: int = BEFORE,
+    after: int = AFTER,
 ) -> Column:
     """Array of spans (entity_type, start, end, score, recognizer), best score first; empty for null text.
 
     threshold, if given, overrules recognizers' own thresholds. allow: texts that are no findings, compared
     exactly or as regular expressions found within them. ad_hoc recognizers join for this call only. context: words
-    that count as standing around every span, to be met by the recognizers' own terms.
+    that count as standing around every span, to be met by the recognizers' own terms. before, after: keywords around a
+    span that are its context.
     """
     if threshold is not None and not 0 <= threshold <= 1:
         raise ValueError("a threshold lies between 0 and 1")
@@ -97,7 +120,7 @@ def analyze(
 
     def found(t: Column) -> Column:
         spans = scan(t, use, flags)
-        spans = with_context(t, spans, {r.name: list(r.context) for r in use}, given=list(context))
+        spans = with_context(t, spans, {r.name: list(r.context) for r in use}, given=list(context), before=before, after=after)
         least = {r.name: threshold if threshold is not None else r.thresholds.get(r.entity, r.thresholds.get("default", 0.0)) for r in use}
         if len(set(least.values())) == 1:
             spans = F.filter(spans, lambda s: s["score"] >= next(iter(least.values())))
@@ -105,10 +128,9 @@ def analyze(
             table = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])
             spans = F.filter(spans, lambda s: s["score"] >= F.coalesce(F.try_element_at(table, s["recognizer"]), F.lit(0.0)))
         terms = [a for a in allow if a]
-        if terms and allow_match == "exact":
-            spans = F.filter(spans, lambda s: ~surface(t, s).isin(terms))
-        elif terms:
-            spans = F.filter(spans, lambda s: ~surface(t, s).rlike(flags + "|".join(f"(?:{a})" for a in terms)))
+        if terms:
+            allowed = (lambda x: x.isin(terms)) if allow_match == "exact" else (lambda x: x.rlike(flags + "|".join(f"(?:{a})" for a in terms)))
+            spans = let(spans, lambda all_: let(F.when(F.size(all_) > 0, pages(t)).otherwise(F.array().cast("array<string>")), lambda paged: F.filter(all_, lambda s: ~allowed(cut(paged, s["start"], s["end"])))))
         return without_contained(spans)
 
     return F.when(text.isNotNull(), let(text, found)).otherwise(F.array().cast(SPAN))
@@ -133,8 +155,13 @@ def explanations(df: DataFrame, column: str, keys: list[str], registry: Registry
 
 def findings(df: DataFrame, column: str, keys: list[str], **options) -> DataFrame:
     """One row a span: keys, entity_type, start, end, score, recognizer, found (the text of the span)."""
-    rows = df.select(*keys, F.col(column).alias("_text"), analyze(F.col(column), **options).alias("_spans"))
-    return rows.select(*keys, "_text", F.explode_outer("_spans").alias("s")).where("s is not null").select(*keys, "s.*", surface(F.col("_text"), F.col("s")).alias("found"))
+
+    def with_text(t: Column, spans: Column) -> Column:
+        one = lambda paged, s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["recognizer"].alias("recognizer"), cut(paged, s["start"], s["end"]).alias("found"))
+        return let(F.when(F.size(spans) > 0, pages(t)).otherwise(F.array().cast("array<string>")), lambda paged: F.transform(spans, lambda s: one(paged, s)))
+
+    rows = df.select(*keys, let(F.col(column), lambda t: let(analyze(t, **options), lambda s: with_text(t, s))).alias("_spans"))
+    return rows.select(*keys, F.explode_outer("_spans").alias("s")).where("s is not null").select(*keys, "s.*")
 
 
 def chunks(text: Column, size: int = 250, overlap: int = 50) -> Column:

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scan import let, surface
+from .compiled import compiled
+from .scan import cut, let, pages, sweep
 from .spans import by_place, resolve
 
 ITEM = "array<struct<start:int,end:int,entity_type:string,text:string,operator:string,score:double>>"
@@ -106,36 +107,58 @@ def _choose(ops: dict[str, Op], default: Op | None, text: Column, kind: Column,
     return value, name
 
 
+@compiled(("text", "paged", "done"))
+def _built(t: Column, paged: Column, done: Column) -> Column:
+    """struct(text, items) of spans with their new texts, in order."""
+
+    def step(a: Column, x: Column) -> Column:  # place in the old text, and length of the new one
+        def made(begin: Column) -> Column:
+            end = begin + F.length(x["new"])
+            item = F.struct(begin.alias("start"), end.alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["op"].alias("operator"), x["score"].alias("score"))
+            kept = cut(paged, a["at"], F.greatest(a["at"], x["start"]))
+            return F.struct(F.struct(F.greatest(a["at"], x["end"]).alias("at"), end.alias("n")).alias("state"), F.struct(F.concat(kept, x["new"]).alias("text"), item.alias("item")).alias("value"))
+
+        return let(a["n"] + F.greatest(F.lit(0), x["start"] - a["at"]), made)
+
+    def joined(r: Column) -> Column:
+        text = F.concat(F.array_join(F.transform(r["out"], lambda x: x["text"]), ""), cut(paged, r["state"]["at"], F.length(t)))
+        return F.struct(text.alias("text"), F.reverse(F.transform(r["out"], lambda x: x["item"])).cast(ITEM).alias("items"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+    return let(sweep(done, begin, step, f"struct<text:string,item:{ITEM[6:-1]}>"), joined)
+
+
+@compiled(("text", "spans"))
+def _checked(t: Column, spans: Column) -> Column:
+    """The spans by place; one that doesn't fit the text raises an error."""
+
+    def fits(s: Column, n: Column) -> Column:
+        bad = (s["start"] < 0) | (s["start"] > s["end"]) | (s["end"] > n)
+        return F.when(bad, F.raise_error(F.format_string("a span from %d to %d does not fit a text of %d characters", s["start"], s["end"], n)).cast("boolean")).otherwise(True)
+
+    return by_place(let(F.length(t), lambda n: F.filter(spans, lambda s: fits(s, n))))
+
+
 def rewrite(text: Column, spans: Column, ops: dict[str, Op] | None = None, reverse: bool = False) -> Column:
     """struct(text, items) for spans that are ready; items, last span first, have places in the new text.
 
     A span that begins before the text, ends after it or ends before its begin raises an error.
 
     Where spans of different types overlap in part, each operator sees its full text and both results follow each other.
+    One sweep over the spans in order gathers what is kept and what is new, which are joined once.
     """
     ops = ops or {}
     default = ops.get("DEFAULT") or (None if reverse else Op("replace"))
 
-    def one(t: Column, s: Column) -> Column:
-        value, name = _choose(ops, default, surface(t, s), s["entity_type"], reverse)
+    def one(paged: Column, s: Column) -> Column:
+        value, name = _choose(ops, default, cut(paged, s["start"], s["end"]), s["entity_type"], reverse)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"), value.alias("new"), name.alias("op"))
 
-    def build(t: Column, done: Column) -> Column:
-        begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(ITEM).alias("items"))
-
-        def step(a: Column, x: Column) -> Column:
-            kept = F.substring(t, a["at"] + 1, F.greatest(F.lit(0), x["start"] - a["at"]))
-            head = F.concat(a["text"], kept)
-            item = F.struct(F.length(head).alias("start"), (F.length(head) + F.length(x["new"])).alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["op"].alias("operator"), x["score"].alias("score"))
-            return F.struct(F.concat(head, x["new"]).alias("text"), F.greatest(a["at"], x["end"]).alias("at"), F.concat(F.array(item), a["items"]).cast(ITEM).alias("items"))
-
-        return F.aggregate(done, begin, step, lambda a: F.struct(F.concat(a["text"], F.substring(t, a["at"] + 1, F.greatest(F.lit(0), F.length(t) - a["at"]))).alias("text"), a["items"].alias("items")))
-
-    def checked(t: Column, s: Column) -> Column:
-        bad = (s["start"] < 0) | (s["start"] > s["end"]) | (s["end"] > F.length(t))
-        return F.when(bad, F.raise_error(F.format_string("a span from %d to %d does not fit a text of %d characters", s["start"], s["end"], F.length(t))).cast("boolean")).otherwise(True)
+    def of(t: Column, ready: Column) -> Column:
+        unchanged = F.struct(t.alias("text"), F.array().cast(ITEM).alias("items"))
+        return F.when(F.size(ready) == 0, unchanged).otherwise(let(pages(t), lambda paged: let(F.transform(ready, lambda s: one(paged, s)), lambda done: _built(t, paged, done))))
 
-    return F.when(text.isNotNull(), let(text, lambda t: let(F.transform(by_place(F.filter(spans, lambda s: checked(t, s))), lambda s: one(t, s)), lambda done: build(t, done))))
+    return F.when(text.isNotNull(), let(text, lambda t: let(_checked(t, spans), lambda ready: of(t, ready))))
 
 
 def anonymize(text: Column, spans: Column, ops: dict[str, Op] | None = None, policy: str = "merge_similar_or_contained", merge_blanks: bool = True) -> Column:

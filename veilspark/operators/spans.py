@@ -1,11 +1,19 @@
-"""Set algebra over one text's spans, as array expressions; span arrays have the type scan.SPAN."""
+"""Set algebra over one text's spans, as array expressions; span arrays have the type scan.SPAN.
+
+Each works by a sort and one sweep, so that its time is that of a sort unless spans lie in heaps over each other.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scan import SPAN, let
+from .compiled import compiled
+from .scan import SPAN, cut, let, pages, sweep
+
+ONE = SPAN[6:-1]
 
 
 def _ordered(spans: Column, *keys) -> Column:
@@ -13,6 +21,7 @@ def _ordered(spans: Column, *keys) -> Column:
     return F.transform(F.array_sort(F.transform(spans, lambda s, i: F.struct(*[k(s).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"), s.alias("s")))), lambda x: x["s"])
 
 
+@compiled(("spans",))
 def by_place(spans: Column) -> Column:
     return _ordered(spans, lambda s: s["start"], lambda s: s["end"])
 
@@ -22,18 +31,31 @@ def by_score(spans: Column) -> Column:
     return _ordered(spans, lambda s: -s["score"], lambda s: s["start"], lambda s: s["start"] - s["end"], lambda s: s["entity_type"])
 
 
+def _there(values: Column) -> Column:
+    return F.filter(values, lambda x: x.isNotNull())
+
+
+def _stepped(state: Column, value: Column) -> Column:
+    return F.struct(state.alias("state"), value.alias("value"))
+
+
+def _numbered(spans: Column) -> Column:
+    return F.transform(spans, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
+
+
+@compiled(("spans",))
 def without_contained(spans: Column) -> Column:
     """Spans that no other of their type contains with at least their score; of equal ones the first by recognizer; no zero scores."""
+    ordered = _ordered(F.filter(spans, lambda s: s["score"] > 0), lambda s: s["entity_type"], lambda s: s["start"], lambda s: -s["end"], lambda s: -s["score"], lambda s: s["recognizer"])
 
-    def beaten(all_: Column, s: Column) -> Column:
-        def by(o: Column) -> Column:
-            holds = (o["entity_type"] == s["entity_type"]) & (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["score"] >= s["score"])
-            same = (o["start"] == s["start"]) & (o["end"] == s["end"]) & (o["score"] == s["score"])
-            return holds & (~same | (o["recognizer"] < s["recognizer"]))
+    def step(active: Column, s: Column) -> Column:  # those kept that reach this far
+        def judged(near: Column) -> Column:
+            beaten = F.exists(near, lambda a: (a["end"] >= s["end"]) & (a["score"] >= s["score"]))
+            return let(beaten, lambda b: _stepped(F.when(b, near).otherwise(F.concat(near, F.array(s))), F.when(~b, s)))
 
-        return F.exists(all_, by)
+        return let(F.filter(active, lambda a: (a["end"] >= s["start"]) & (a["entity_type"] == s["entity_type"])), judged)
 
-    return let(F.array_distinct(F.filter(spans, lambda s: s["score"] > 0)), lambda a: by_score(F.filter(a, lambda s: ~beaten(a, s))))
+    return by_score(_there(sweep(ordered, F.array().cast(SPAN), step, ONE)["out"]))
 
 
 def moved(s: Column, start: Column | None = None, end: Column | None = None, score: Column | None = None) -> Column:
@@ -41,85 +63,117 @@ def moved(s: Column, start: Column | None = None, end: Column | None = None, sco
     return F.struct(s["entity_type"].alias("entity_type"), (s["start"] if start is None else start).alias("start"), (s["end"] if end is None else end).alias("end"), (s["score"] if score is None else score).alias("score"), s["recognizer"].alias("recognizer"))
 
 
-def _without_last(a: Column) -> Column:
-    return F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+def _joined(items: Column, kind: str, joins: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column]) -> Column:
+    """Items with each that joins the one before it, itself joined maybe, made one with that."""
+
+    def step(last: Column, x: Column) -> Column:
+        both = last.isNotNull() & joins(last, x)
+        return let(F.coalesce(both, F.lit(False)), lambda b: _stepped(F.when(b, joined(last, x)).otherwise(x), F.when(~b, last)))
+
+    return let(sweep(items, F.lit(None).cast(kind), step, kind), lambda r: _there(F.concat(r["out"], F.array(r["state"]))))
 
 
+@compiled(("spans",))
 def merge_same_type(spans: Column) -> Column:
     """Overlapping (not touching) spans of one type become one: smallest start, largest end, highest score; in the order
     given, a merged span at the place of the last one in it."""
-    kind = f"array<struct<at:int,s:{SPAN[6:-1]}>>"
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
+    def joins(last: Column, x: Column) -> Column:
         a, b = last["s"], x["s"]
-        joins = (F.size(out) > 0) & (a["entity_type"] == b["entity_type"]) & (b["start"] < a["end"]) & (a["start"] < b["end"])
-        one = F.struct(F.greatest(last["at"], x["at"]).alias("at"), moved(a, end=F.greatest(a["end"], b["end"]), score=F.greatest(a["score"], b["score"])).alias("s"))
-        return F.when(joins, F.concat(_without_last(out), F.array(one))).otherwise(F.concat(out, F.array(x)))
+        return (a["entity_type"] == b["entity_type"]) & (b["start"] < a["end"]) & (a["start"] < b["end"])
 
-    numbered = F.transform(spans, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
-    ordered = _ordered(numbered, lambda x: x["s"]["entity_type"], lambda x: x["s"]["start"], lambda x: x["s"]["end"])
-    merged = F.aggregate(ordered.cast(kind), F.array().cast(kind), lambda out, x: step(out, x).cast(kind))
-    return F.transform(F.array_sort(merged), lambda x: x["s"])
+    def joined(last: Column, x: Column) -> Column:
+        a, b = last["s"], x["s"]
+        return F.struct(F.greatest(last["at"], x["at"]).alias("at"), moved(a, end=F.greatest(a["end"], b["end"]), score=F.greatest(a["score"], b["score"])).alias("s"))
+
+    ordered = _ordered(_numbered(spans), lambda x: x["s"]["entity_type"], lambda x: x["s"]["start"], lambda x: x["s"]["end"])
+    return F.transform(F.array_sort(_joined(ordered, f"struct<at:int,s:{ONE}>", joins, joined)), lambda x: x["s"])
 
 
+@compiled(("spans",))
 def without_covered(spans: Column) -> Column:
     """Spans that no other, of any type, contains; of spans at the same place the highest score, then the last one given. In the order given."""
+    ordered = _ordered(_numbered(spans), lambda x: x["s"]["start"], lambda x: -x["s"]["end"], lambda x: -x["s"]["score"], lambda x: -x["at"])
+
+    def step(seen: Column, x: Column) -> Column:  # greatest end of what lies at other places before, and the place just met
+        s = x["s"]
+        same = (s["start"] == seen["start"]) & (s["end"] == seen["end"])
 
-    def beaten(a: Column, s: Column, i: Column) -> Column:
-        def by(x: Column) -> Column:
-            o, k = x["s"], x["i"]
-            wider = (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & ((o["start"] < s["start"]) | (o["end"] > s["end"]))
-            same = (o["start"] == s["start"]) & (o["end"] == s["end"])
-            return wider | (same & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (k > i))))
+        def judged(most: Column) -> Column:
+            keep = ~F.coalesce(same, F.lit(False)) & F.coalesce(most < s["end"], F.lit(True))
+            return _stepped(F.struct(most.alias("most"), s["start"].alias("start"), s["end"].alias("end")), F.when(keep, x))
 
-        return F.exists(a, by)
+        return let(F.when(same, seen["most"]).otherwise(F.greatest(seen["most"], seen["end"])), judged)
 
-    numbered = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    return let(numbered, lambda a: F.filter(spans, lambda s, i: ~beaten(a, s, i)))
+    first = F.struct(*[F.lit(None).cast("int").alias(c) for c in ("most", "start", "end")])
+    return F.transform(F.array_sort(_there(sweep(ordered, first, step, f"struct<at:int,s:{ONE}>")["out"])), lambda x: x["s"])
 
 
+@compiled(("spans",))
 def trim_intersections(spans: Column) -> Column:
     """Neighbours that overlap: the one with the lower score gives way (on equal scores the later), after which all are
-    put in order again; what is left empty goes. By place."""
-    kind = f"struct<done:{SPAN},rest:{SPAN}>"
+    put in order again; what is left empty goes. By place.
 
-    def step(state: Column) -> Column:
-        done, rest = state["done"], state["rest"]
-        a, b, tail = F.get(rest, 0), F.get(rest, 1), F.slice(rest, 3, F.greatest(F.size(rest) - 2, F.lit(0)))
-        apart = F.struct(F.concat(done, F.array(a)).alias("done"), F.slice(rest, 2, F.size(rest)).alias("rest")).cast(kind)
-        cut = F.when(a["score"] >= b["score"], F.concat(F.array(a, moved(b, start=a["end"])), tail)).otherwise(F.concat(F.array(moved(a, end=b["start"]), b), tail))
-        again = F.struct(done.alias("done"), by_place(cut.cast(SPAN)).alias("rest")).cast(kind)
-        return F.when(F.size(rest) < 2, state).when(a["end"] <= b["start"], apart).otherwise(again)
+    A sweep by place keeps the spans that later ones may still meet, in order; what begins before the next one is settled.
+    """
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+
+    def settle(held: Column, until: Column) -> Column:
+        """struct(out, held): spans that are done and those that must wait for what lies at `until` (null: nothing comes)."""
+
+        def turn(a: Column) -> Column:
+            x, y, tail = F.get(a["held"], 0), F.get(a["held"], 1), F.slice(a["held"], 3, F.greatest(F.size(a["held"]) - 2, F.lit(0)))
+            apart = F.struct(F.concat(a["out"], F.array(x)).alias("out"), F.slice(a["held"], 2, F.greatest(F.size(a["held"]) - 1, F.lit(0))).alias("held"))
+            back = lambda m: F.concat(F.array(x), F.filter(tail, lambda t: place(t) < place(m)), F.array(m), F.filter(tail, lambda t: place(t) >= place(m)))
+            cut_ = F.when(x["score"] >= y["score"], let(moved(y, start=x["end"]), back)).otherwise(F.concat(F.array(moved(x, end=y["start"]), y), tail))
+            waits = (F.size(a["held"]) < 2) | F.coalesce(place(y) > until, F.lit(False))
+            return F.when(waits, a).when(x["end"] <= y["start"], apart).otherwise(F.struct(a["out"].alias("out"), cut_.alias("held")))
+
+        turns = F.sequence(F.lit(0), F.floor(F.size(held) * (F.size(held) + 1) / 2).cast("int"))  # one cut for two spans at most
+        return F.aggregate(turns, F.struct(F.array().cast(SPAN).alias("out"), held.alias("held")), lambda a, _: turn(a))
+
+    def step(held: Column, x: Column) -> Column:
+        s = x["s"]
+        more = F.concat(F.filter(held, lambda h: place(h) <= place(s)), F.array(s), F.filter(held, lambda h: place(h) > place(s)))
+        slow = let(let(more, lambda m: settle(m, x["until"])), lambda r: _stepped(r["held"], r["out"]))
+        apart = F.coalesce(F.get(held, 0)["end"] <= s["start"], F.lit(True)) & (F.size(held) < 2)
+        return F.when(apart, _stepped(F.array(s), held)).otherwise(slow)
 
     def swept(ordered: Column) -> Column:
-        turns = F.sequence(F.lit(1), F.size(ordered) * (F.size(ordered) + 1) + 1)
-        begin = F.struct(F.array().cast(SPAN).alias("done"), ordered.cast(SPAN).alias("rest")).cast(kind)
-        return F.aggregate(turns, begin, lambda state, _: step(state), lambda x: F.filter(F.concat(x["done"], x["rest"]), lambda s: s["start"] < s["end"]))
+        items = F.transform(ordered, lambda s, i: F.struct(s.alias("s"), F.when(i + 1 < F.size(ordered), place(F.get(ordered, i + 1))).alias("until")))
+        done = sweep(items, F.array().cast(SPAN), step, SPAN)
+        return let(done, lambda r: F.filter(F.concat(F.flatten(r["out"]), r["state"]), lambda s: s["start"] < s["end"]))
 
-    return let(by_place(spans), swept)
+    return let(by_place(spans.cast(SPAN)), swept)
 
 
+@compiled(("text", "spans"))
 def merge_over_blanks(text: Column, spans: Column) -> Column:
     """Spans that follow each other, in the order given, with one type and only blanks between become one, with the later one's score."""
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        gap = F.substring(text, last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))
-        joins = (F.size(out) > 0) & (last["entity_type"] == s["entity_type"]) & gap.rlike(r"\A +\n?\z")
-        return F.when(joins, F.concat(_without_last(out), F.array(moved(s, start=last["start"])))).otherwise(F.concat(out, F.array(s)))
+    def of(paged: Column) -> Column:
+        def joins(last: Column, s: Column) -> Column:
+            near = (last["entity_type"] == s["entity_type"]) & (s["start"] > last["end"])
+            return F.when(near, cut(paged, last["end"], s["start"]).rlike(r"\A +\n?\z")).otherwise(False)
 
-    return F.aggregate(spans.cast(SPAN), F.array().cast(SPAN), lambda out, s: step(out, s).cast(SPAN))
+        return _joined(spans.cast(SPAN), ONE, joins, lambda last, s: moved(s, start=last["start"]))
+
+    return let(F.when(F.size(spans) > 1, pages(text)).otherwise(F.array().cast("array<string>")), of)
 
 
 POLICIES = ("merge_similar_or_contained", "remove_intersections")
 
 
+@compiled(("text", "spans"))
+def _resolved(text: Column, spans: Column, policy: str, merge_blanks: bool) -> Column:
+    out = without_covered(merge_same_type(spans))
+    if policy == POLICIES[1]:
+        out = trim_intersections(out)
+    return let(out, lambda o: merge_over_blanks(text, o)) if merge_blanks else out
+
+
 def resolve(text: Column, spans: Column, policy: str = POLICIES[0], merge_blanks: bool = True) -> Column:
     """Spans ready for rewriting."""
     if policy not in POLICIES:
         raise ValueError(f"unknown conflict policy {policy!r}")
-    out = without_covered(merge_same_type(spans))
-    if policy == POLICIES[1]:
-        out = trim_intersections(out)
-    return merge_over_blanks(text, out) if merge_blanks else out
+    return _resolved(text, spans, policy=policy, merge_blanks=merge_blanks)
