@@ -30,11 +30,15 @@ def deep() -> None:
         spark.conf.set("spark.sql.analyzer.maxIterations", ROUNDS)
 
 
+def given(value: Column, body: str) -> Column:
+    """What a lambda, as SQL text, makes of a value."""
+    deep()
+    return F.call_function("aggregate", F.array().cast("array<int>"), value, F.expr("(a, x) -> a"), F.expr(body))
+
+
 def applied(text: str, /, **values: Column) -> Column:
     """What the SQL text, in which values have their names in a struct `v`, gives for them."""
-    deep()
-    given = F.array(F.struct(*[c.alias(k) for k, c in values.items()]))
-    return F.element_at(F.call_function("transform", given, F.expr(f"v -> {text}")), 1)
+    return given(F.struct(*[c.alias(k) for k, c in values.items()]), f"v -> {text}")
 
 
 def compiled(names: tuple[str, ...]) -> Callable:

@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .compiled import deep, literal, sql
+from .compiled import given, literal, sql
 
 SPAN = "array<struct<entity_type:string,start:int,end:int,score:double,recognizer:string>>"
 EXPLAINED = SPAN[:-2] + ",pattern:string,original_score:double,valid:boolean>>"
@@ -43,8 +43,11 @@ class Recognizer:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """body(value) with value evaluated once a row.
+
+    An aggregate over nothing, of which body is the finish: unlike a transform of one element it copies no result.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 #: Elements of a block of sweep(), and characters of a page (a power of two).
@@ -189,7 +192,7 @@ def _scan_sql(use: tuple[Recognizer, ...], flags: str, explained: bool) -> str:
     found = ", ".join(f"CASE WHEN get(g.able, {gates.index(r.gate)}) THEN {_recognizer_sql(r, flags)} ELSE {none} END" for r in use)
     seen = f"struct(array({', '.join(f'rlike(t, {literal(g)})' for g in gates)}) AS able, contains(t, {literal(MARK)}) AS marked)"
     spans = f"CAST(flatten(transform(concat({none}, {found}), x -> {sql(_spans(F.col('x'), explained))})) AS {kind})"
-    return f"t -> element_at(transform(array({seen}), g -> {spans}), 1)"
+    return f"t -> aggregate(CAST(array() AS ARRAY<INT>), {seen}, (g, w) -> g, g -> {spans})"
 
 
 def scan(text: Column, use: list[Recognizer], flags: str = FLAGS, explained: bool = False) -> Column:
@@ -200,8 +203,7 @@ def scan(text: Column, use: list[Recognizer], flags: str = FLAGS, explained: boo
     text for each choice of recognizers.
     """
     mine, kind = tuple(r for r in use if r.span_fn is None and r.patterns), EXPLAINED if explained else SPAN
-    deep()
-    parts = [F.element_at(F.call_function("transform", F.array(text), F.expr(_scan_sql(mine, flags, explained))), 1)] if mine else []
+    parts = [given(text, _scan_sql(mine, flags, explained))] if mine else []
     if explained:
         return F.concat(F.array().cast(kind), *parts)
     parts += [r.span_fn(text).cast(SPAN) for r in use if r.span_fn is not None]
