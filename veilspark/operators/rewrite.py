@@ -112,20 +112,18 @@ def _built(t: Column, paged: Column, done: Column) -> Column:
     """struct(text, items) of spans with their new texts, in order."""
 
     def step(a: Column, x: Column) -> Column:  # place in the old text, and length of the new one
-        def made(begin: Column) -> Column:
-            end = begin + F.length(x["new"])
-            item = F.struct(begin.alias("start"), end.alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["op"].alias("operator"), x["score"].alias("score"))
-            kept = cut(paged, a["at"], F.greatest(a["at"], x["start"]))
-            return F.struct(F.struct(F.greatest(a["at"], x["end"]).alias("at"), end.alias("n")).alias("state"), F.struct(F.concat(kept, x["new"]).alias("text"), item.alias("item")).alias("value"))
-
-        return let(a["n"] + F.greatest(F.lit(0), x["start"] - a["at"]), made)
+        begin = a["n"] + F.greatest(F.lit(0), x["start"] - a["at"])
+        return F.struct(F.struct(F.greatest(a["at"], x["end"]).alias("at"), (begin + F.length(x["new"])).alias("n")).alias("state"), F.struct(a["at"].alias("at"), begin.alias("begin")).alias("value"))
 
     def joined(r: Column) -> Column:
-        text = F.concat(F.array_join(F.transform(r["out"], lambda x: x["text"]), ""), cut(paged, r["state"]["at"], F.length(t)))
-        return F.struct(text.alias("text"), F.reverse(F.transform(r["out"], lambda x: x["item"])).cast(ITEM).alias("items"))
+        def item(x: Column, p: Column) -> Column:
+            return F.struct(p["begin"].alias("start"), (p["begin"] + F.length(x["new"])).alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["op"].alias("operator"), x["score"].alias("score"))
+
+        parts = F.zip_with(done, r["out"], lambda x, p: F.concat(cut(paged, p["at"], F.greatest(p["at"], x["start"])), x["new"]))
+        text = F.concat(F.array_join(parts, ""), cut(paged, r["state"]["at"], F.length(t)))
+        return F.struct(text.alias("text"), F.reverse(F.zip_with(done, r["out"], item)).cast(ITEM).alias("items"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
-    return let(sweep(done, begin, step, f"struct<text:string,item:{ITEM[6:-1]}>"), joined)
+    return let(sweep(done, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step, "struct<at:int,begin:int>"), joined)
 
 
 @compiled(("text", "spans"))

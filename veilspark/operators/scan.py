@@ -57,8 +57,9 @@ BLOCK, PAGE = 256, 1024
 def sweep(items: Column, begin: Column, step: Callable[[Column, Column], Column], out: str) -> Column:
     """struct(state, out): goes once over items; step(state, item) is struct(state, value), and out has the values in order.
 
-    Values gather in blocks and blocks in the whole, as an array is copied when it grows: that is 256 elements for each
-    item and one for each block, so time is in proportion to the items for all but enormous arrays.
+    Values gather in blocks and blocks in the whole, as each step copies what has gathered: that is up to 256 values for each
+    item, and all for each block, so time is in proportion to the items for all but enormous arrays. Values should be
+    numbers, with which the caller finds the rest.
     """
 
     def one(a: Column, x: Column) -> Column:

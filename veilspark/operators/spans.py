@@ -43,6 +43,11 @@ def _numbered(spans: Column) -> Column:
     return F.transform(spans, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
 
 
+def _kept(ordered: Column, begin: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The items for which a sweep's value is true."""
+    return let(ordered, lambda o: _there(F.zip_with(o, sweep(o, begin, step, "boolean")["out"], lambda x, keep: F.when(keep, x))))
+
+
 @compiled(("spans",))
 def without_contained(spans: Column) -> Column:
     """Spans that no other of their type contains with at least their score; of equal ones the first by recognizer; no zero scores."""
@@ -51,11 +56,11 @@ def without_contained(spans: Column) -> Column:
     def step(active: Column, s: Column) -> Column:  # those kept that reach this far
         def judged(near: Column) -> Column:
             beaten = F.exists(near, lambda a: (a["end"] >= s["end"]) & (a["score"] >= s["score"]))
-            return let(beaten, lambda b: _stepped(F.when(b, near).otherwise(F.concat(near, F.array(s))), F.when(~b, s)))
+            return let(beaten, lambda b: _stepped(F.when(b, near).otherwise(F.concat(near, F.array(s))), ~b))
 
         return let(F.filter(active, lambda a: (a["end"] >= s["start"]) & (a["entity_type"] == s["entity_type"])), judged)
 
-    return by_score(_there(sweep(ordered, F.array().cast(SPAN), step, ONE)["out"]))
+    return by_score(_kept(ordered, F.array().cast(SPAN), step))
 
 
 def moved(s: Column, start: Column | None = None, end: Column | None = None, score: Column | None = None) -> Column:
@@ -63,14 +68,13 @@ def moved(s: Column, start: Column | None = None, end: Column | None = None, sco
     return F.struct(s["entity_type"].alias("entity_type"), (s["start"] if start is None else start).alias("start"), (s["end"] if end is None else end).alias("end"), (s["score"] if score is None else score).alias("score"), s["recognizer"].alias("recognizer"))
 
 
-def _joined(items: Column, kind: str, joins: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column]) -> Column:
-    """Items with each that joins the one before it, itself joined maybe, made one with that."""
+def _groups(found: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """made(place of the first item, the sweep's value at the last one, which is there too) of each run of items that have one `first`."""
 
-    def step(last: Column, x: Column) -> Column:
-        both = last.isNotNull() & joins(last, x)
-        return let(F.coalesce(both, F.lit(False)), lambda b: _stepped(F.when(b, joined(last, x)).otherwise(x), F.when(~b, last)))
+    def last(r: Column, i: Column) -> Column:
+        return F.when(F.coalesce(F.get(found, i + 1)["first"] != r["first"], F.lit(True)), made(r, i))
 
-    return let(sweep(items, F.lit(None).cast(kind), step, kind), lambda r: _there(F.concat(r["out"], F.array(r["state"]))))
+    return _there(F.transform(found, last))
 
 
 @compiled(("spans",))
@@ -78,16 +82,26 @@ def merge_same_type(spans: Column) -> Column:
     """Overlapping (not touching) spans of one type become one: smallest start, largest end, highest score; in the order
     given, a merged span at the place of the last one in it."""
 
-    def joins(last: Column, x: Column) -> Column:
-        a, b = last["s"], x["s"]
-        return (a["entity_type"] == b["entity_type"]) & (b["start"] < a["end"]) & (a["start"] < b["end"])
+    def step(a: Column, x: Column) -> Column:
+        s = x["s"]["s"]
+        joins = F.coalesce((a["type"] == s["entity_type"]) & (s["start"] < a["end"]) & (a["start"] < s["end"]), F.lit(False))
+
+        def of(j: Column) -> Column:
+            grown = lambda old, new: F.when(j, F.greatest(old, new)).otherwise(new)
+            first, at, end, score = F.when(j, a["first"]).otherwise(x["i"]), grown(a["at"], x["s"]["at"]), grown(a["end"], s["end"]), grown(a["score"], s["score"])
+            state = F.struct(s["entity_type"].alias("type"), F.when(j, a["start"]).otherwise(s["start"]).alias("start"), first.alias("first"), at.alias("at"), end.alias("end"), score.alias("score"))
+            return _stepped(state, F.struct(first.alias("first"), at.alias("at"), end.alias("end"), score.alias("score")))
 
-    def joined(last: Column, x: Column) -> Column:
-        a, b = last["s"], x["s"]
-        return F.struct(F.greatest(last["at"], x["at"]).alias("at"), moved(a, end=F.greatest(a["end"], b["end"]), score=F.greatest(a["score"], b["score"])).alias("s"))
+        return let(joins, of)
+
+    def swept(ordered: Column) -> Column:
+        begin = F.lit(None).cast("struct<type:string,start:int,first:int,at:int,end:int,score:double>")
+        items = F.transform(ordered, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+        made = lambda r, _: F.struct(r["at"].alias("at"), moved(F.get(ordered, r["first"])["s"], end=r["end"], score=r["score"]).alias("s"))
+        return let(sweep(items, begin, step, "struct<first:int,at:int,end:int,score:double>")["out"], lambda found: _groups(found, made))
 
-    ordered = _ordered(_numbered(spans), lambda x: x["s"]["entity_type"], lambda x: x["s"]["start"], lambda x: x["s"]["end"])
-    return F.transform(F.array_sort(_joined(ordered, f"struct<at:int,s:{ONE}>", joins, joined)), lambda x: x["s"])
+    ordered = _ordered(_numbered(spans.cast(SPAN)), lambda x: x["s"]["entity_type"], lambda x: x["s"]["start"], lambda x: x["s"]["end"])
+    return F.transform(F.array_sort(let(ordered, swept)), lambda x: x["s"])
 
 
 @compiled(("spans",))
@@ -101,12 +115,12 @@ def without_covered(spans: Column) -> Column:
 
         def judged(most: Column) -> Column:
             keep = ~F.coalesce(same, F.lit(False)) & F.coalesce(most < s["end"], F.lit(True))
-            return _stepped(F.struct(most.alias("most"), s["start"].alias("start"), s["end"].alias("end")), F.when(keep, x))
+            return _stepped(F.struct(most.alias("most"), s["start"].alias("start"), s["end"].alias("end")), keep)
 
         return let(F.when(same, seen["most"]).otherwise(F.greatest(seen["most"], seen["end"])), judged)
 
     first = F.struct(*[F.lit(None).cast("int").alias(c) for c in ("most", "start", "end")])
-    return F.transform(F.array_sort(_there(sweep(ordered, first, step, f"struct<at:int,s:{ONE}>")["out"])), lambda x: x["s"])
+    return F.transform(F.array_sort(_kept(ordered, first, step)), lambda x: x["s"])
 
 
 @compiled(("spans",))
@@ -116,6 +130,8 @@ def trim_intersections(spans: Column) -> Column:
 
     A sweep by place keeps the spans that later ones may still meet, in order; what begins before the next one is settled.
     """
+    kind = "array<struct<start:int,end:int,score:double,i:int>>"
+    with_place = lambda s, start=None, end=None: F.struct((s["start"] if start is None else start).alias("start"), (s["end"] if end is None else end).alias("end"), s["score"].alias("score"), s["i"].alias("i"))
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
 
     def settle(held: Column, until: Column) -> Column:
@@ -125,12 +141,12 @@ def trim_intersections(spans: Column) -> Column:
             x, y, tail = F.get(a["held"], 0), F.get(a["held"], 1), F.slice(a["held"], 3, F.greatest(F.size(a["held"]) - 2, F.lit(0)))
             apart = F.struct(F.concat(a["out"], F.array(x)).alias("out"), F.slice(a["held"], 2, F.greatest(F.size(a["held"]) - 1, F.lit(0))).alias("held"))
             back = lambda m: F.concat(F.array(x), F.filter(tail, lambda t: place(t) < place(m)), F.array(m), F.filter(tail, lambda t: place(t) >= place(m)))
-            cut_ = F.when(x["score"] >= y["score"], let(moved(y, start=x["end"]), back)).otherwise(F.concat(F.array(moved(x, end=y["start"]), y), tail))
+            cut_ = F.when(x["score"] >= y["score"], let(with_place(y, start=x["end"]), back)).otherwise(F.concat(F.array(with_place(x, end=y["start"]), y), tail))
             waits = (F.size(a["held"]) < 2) | F.coalesce(place(y) > until, F.lit(False))
             return F.when(waits, a).when(x["end"] <= y["start"], apart).otherwise(F.struct(a["out"].alias("out"), cut_.alias("held")))
 
         turns = F.sequence(F.lit(0), F.floor(F.size(held) * (F.size(held) + 1) / 2).cast("int"))  # one cut for two spans at most
-        return F.aggregate(turns, F.struct(F.array().cast(SPAN).alias("out"), held.alias("held")), lambda a, _: turn(a))
+        return F.aggregate(turns, F.struct(F.array().cast(kind).alias("out"), held.alias("held")), lambda a, _: turn(a))
 
     def step(held: Column, x: Column) -> Column:
         s = x["s"]
@@ -140,9 +156,10 @@ def trim_intersections(spans: Column) -> Column:
         return F.when(apart, _stepped(F.array(s), held)).otherwise(slow)
 
     def swept(ordered: Column) -> Column:
-        items = F.transform(ordered, lambda s, i: F.struct(s.alias("s"), F.when(i + 1 < F.size(ordered), place(F.get(ordered, i + 1))).alias("until")))
-        done = sweep(items, F.array().cast(SPAN), step, SPAN)
-        return let(done, lambda r: F.filter(F.concat(F.flatten(r["out"]), r["state"]), lambda s: s["start"] < s["end"]))
+        number = lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), i.alias("i"))
+        items = F.transform(ordered, lambda s, i: F.struct(number(s, i).alias("s"), F.when(i + 1 < F.size(ordered), place(F.get(ordered, i + 1))).alias("until")))
+        left = let(sweep(items, F.array().cast(kind), step, kind), lambda r: F.filter(F.concat(F.flatten(r["out"]), r["state"]), lambda s: s["start"] < s["end"]))
+        return F.transform(left, lambda s: moved(F.get(ordered, s["i"]), s["start"], s["end"]))
 
     return let(by_place(spans.cast(SPAN)), swept)
 
@@ -151,14 +168,18 @@ def trim_intersections(spans: Column) -> Column:
 def merge_over_blanks(text: Column, spans: Column) -> Column:
     """Spans that follow each other, in the order given, with one type and only blanks between become one, with the later one's score."""
 
-    def of(paged: Column) -> Column:
-        def joins(last: Column, s: Column) -> Column:
-            near = (last["entity_type"] == s["entity_type"]) & (s["start"] > last["end"])
-            return F.when(near, cut(paged, last["end"], s["start"]).rlike(r"\A +\n?\z")).otherwise(False)
+    def of(paged: Column, all_: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            s = x["s"]
+            near = (a["type"] == s["entity_type"]) & (s["start"] > a["end"])
+            joins = F.when(near, cut(paged, a["end"], s["start"]).rlike(r"\A +\n?\z")).otherwise(False)
+            return let(F.when(joins, a["first"]).otherwise(x["i"]), lambda first: _stepped(F.struct(s["entity_type"].alias("type"), s["end"].alias("end"), first.alias("first")), F.struct(first.alias("first"))))
 
-        return _joined(spans.cast(SPAN), ONE, joins, lambda last, s: moved(s, start=last["start"]))
+        items = F.transform(all_, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+        made = lambda r, i: moved(F.get(all_, i), start=F.get(all_, r["first"])["start"])
+        return let(sweep(items, F.lit(None).cast("struct<type:string,end:int,first:int>"), step, "struct<first:int>")["out"], lambda found: _groups(found, made))
 
-    return let(F.when(F.size(spans) > 1, pages(text)).otherwise(F.array().cast("array<string>")), of)
+    return let(spans.cast(SPAN), lambda all_: let(F.when(F.size(all_) > 1, pages(text)).otherwise(F.array().cast("array<string>")), lambda paged: of(paged, all_)))
 
 
 POLICIES = ("merge_similar_or_contained", "remove_intersections")
