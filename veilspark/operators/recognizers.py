@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import checksums as C
-from .countries import CRYPTO, MORE, kr_resident, national, za_id
+from .countries import CRYPTO, MORE, kr_resident, national, surely, za_id
 from .scan import Recognizer, deny_list
 from .suffixes import SUFFIXES
 
@@ -131,8 +131,19 @@ def aadhaar(t: Column) -> Column:
 
 
 def npi(t: Column) -> Column:
+    """Luhn of the number after the prefix of health identifiers."""
+    return C.luhn(F.concat(F.lit("80840"), C.only(t)))
+
+
+def npi_bad(t: Column) -> Column:
+    """Nothing but one digit before the last."""
     d = C.only(t)
-    return ~((d != F.repeat(F.substring(d, 1, 1), 10)) & C.luhn(F.concat(F.lit("80840"), d)))
+    return F.substring(d, 1, 9) == F.repeat(F.substring(d, 1, 1), 9)
+
+
+def german_vat(t: Column) -> Column:
+    """True, or null: the check digit is only convention, so a wrong one says nothing."""
+    return F.when(C.iso7064_11_10(t), True)
 
 
 def finnish(t: Column) -> Column:
@@ -174,7 +185,7 @@ NATIONAL = [
     national("UsPassportRecognizer", "US_PASSPORT", "us", [(r"(\b[0-9]{9}\b)", 0.05), (r"(\b[A-Z][0-9]{8}\b)", 0.1)], ["us", "united", "states", "passport", "passport#", "travel", "document"], enabled=True),
     national("UsBankRecognizer", "US_BANK_NUMBER", "us", [(r"\b[0-9]{8,17}\b", 0.05)], ["check", "account", "account#", "acct", "bank", "save", "debit"], enabled=True),
     national("AbaRoutingRecognizer", "ABA_ROUTING_NUMBER", "us", [(r"\b[0123678]\d{8}\b", 0.05), (r"\b[0123678]\d{3}-\d{4}-\d\b", 0.3)], ["aba", "routing", "abarouting", "association", "bankrouting"], aba),
-    national("UsNpiRecognizer", "US_NPI", "us", [(r"\b[12]\d{9}\b", 0.1), (r"\b[12]\d{3}[ -]\d{3}[ -]\d{3}\b", 0.4)], ["npi", "national provider", "provider", "npi number", "provider id", "provider identifier", "taxonomy"], None, npi),
+    national("UsNpiRecognizer", "US_NPI", "us", [(r"\b[12]\d{9}\b", 0.1), (r"\b[12]\d{3}[ -]\d{3}[ -]\d{3}\b", 0.4)], ["npi", "national provider", "provider", "npi number", "provider id", "provider identifier", "taxonomy"], npi, npi_bad),
     national("NhsRecognizer", "UK_NHS", "uk", [(r"\b([0-9]{3})[- ]?([0-9]{3})[- ]?([0-9]{4})\b", 0.5)], ["national health service", "nhs", "health services authority", "health authority"], nhs, enabled=True),
     national("UkNinoRecognizer", "UK_NINO", "uk", [(r"\b(?!bg|gb|nk|kn|nt|tn|zz|BG|GB|NK|KN|NT|TN|ZZ)([a-ceghj-pr-tw-zA-CEGHJ-PR-TW-Z]{1}[a-ceghj-npr-tw-zA-CEGHJ-NPR-TW-Z]{1}) ?([0-9]{2}) ?([0-9]{2}) ?([0-9]{2}) ?([a-dA-D]{1})\b", 0.5)], ["national insurance", "ni number", "nino"]),
     national("UkPassportRecognizer", "UK_PASSPORT", "uk", [(r"\b[A-Z]{2}\d{7}\b", 0.1)], ["passport", "passport number", "travel document", "uk passport", "british passport", "her majesty", "his majesty", "hm passport", "hmpo"]),
@@ -188,7 +199,7 @@ NATIONAL = [
     national("DePassportRecognizer", "DE_PASSPORT", "de", [(r"\b[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7}[0-9]\b", 0.4)], ["reisepass", "pass", "passnummer", "reisepassnummer", "passport", "passport number", "pass-nr", "dokumentennummer", "bundesrepublik deutschland", "ausweisdokument", "mrz"], C.icao, languages=("de",)),
     national("DeTaxIdRecognizer", "DE_TAX_ID", "de", [(r"\b[1-9]\d{10}\b", 0.5)], ["steueridentifikationsnummer", "steuer-id", "steuerid", "steuerliche identifikationsnummer", "steuerliche identifikation", "persönliche identifikationsnummer", "steueridentifikation", "idnr", "steuer-idnr", "steuernummer", "bzst"], german_tax_id, languages=("de",)),
     national("DeHandelsregisterRecognizer", "DE_HANDELSREGISTER", "de", [(r"\bHR[AB]\s*\d{1,6}\b", 0.5)], ["handelsregister", "handelsregisternummer", "amtsgericht", "registergericht", "hra", "hrb", "hr-nummer", "registerauszug", "handelsregistereintrag", "firma", "gesellschaft", "gmbh", "ag", "ug", "kg", "ohg", "einzelkaufmann", "einzelkauffrau", "handelsregisterblattnummer"], languages=("de",)),
-    national("DeVatIdRecognizer", "DE_VAT_ID", "de", [(r"\bDE\d{9}\b", 0.5), (r"\bDE[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}\b", 0.4)], ["umsatzsteuer-identifikationsnummer", "umsatzsteuer identifikationsnummer", "ust-idnr", "ust-id", "ustidnr", "umsatzsteuer-id", "mehrwertsteuer", "vat", "vat-id", "vat id", "steueridentifikation", "bzst", "bundeszentralamt für steuern", "finanzamt", "invoice", "rechnung"], C.iso7064_11_10, languages=("de",)),
+    national("DeVatIdRecognizer", "DE_VAT_ID", "de", [(r"\bDE\d{9}\b", 0.5), (r"\bDE[\s.\-]?\d{3}[\s.\-]?\d{3}[\s.\-]?\d{3}\b", 0.4)], ["umsatzsteuer-identifikationsnummer", "umsatzsteuer identifikationsnummer", "ust-idnr", "ust-id", "ustidnr", "umsatzsteuer-id", "mehrwertsteuer", "vat", "vat-id", "vat id", "steueridentifikation", "bzst", "bundeszentralamt für steuern", "finanzamt", "invoice", "rechnung"], german_vat, languages=("de",)),
     national("InAadhaarRecognizer", "IN_AADHAAR", "in", [(r"\b[0-9]{12}\b", 0.01), (r"\b[0-9]{4}[- :][0-9]{4}[- :][0-9]{4}\b", 0.01)], ["aadhaar", "uidai"], aadhaar),
     national("InPanRecognizer", "IN_PAN", "in", [(r"\b([A-Za-z]{3}[AaBbCcFfGgHhJjLlPpTt]{1}[A-Za-z]{1}[0-9]{4}[A-Za-z]{1})\b", 0.5), (r"\b([A-Za-z]{5}[0-9]{4}[A-Za-z]{1})\b", 0.1), (r"\b(?=[\w@#$%^?~-]{10}\b)((?=.*?[a-zA-Z])(?=.*?[0-9]{4})[\w@#$%^?~-]{10})\b", 0.01)], ["permanent account number", "pan"]),
     national("InPassportRecognizer", "IN_PASSPORT", "in", [(r"\b[A-Z][1-9]\d\s?\d{4}[1-9]\b", 0.1)], ["passport", "indian passport", "passport number"]),
@@ -206,7 +217,7 @@ NATIONAL = [
     national("ThTninRecognizer", "TH_TNIN", "th", [(r"\b[1-9](?:[134][0-9]|2[0-7]|5[0-8]|[67][01234567]|[89][0123456])\d{10}\b", 0.5)], ["Thai National ID", "Thai ID Number", "TNIN", "เลขประจำตัวประชาชน", "เลขบัตรประชาชน", "รหัสปชช"], thai, languages=("th",)),
     national("TrNationalIdRecognizer", "TR_NATIONAL_ID", "tr", [(r"\b[1-9][0-9]{10}\b", 0.3)], ["tc kimlik", "kimlik no", "kimlik numarası", "tckn", "tc no", "nüfus cüzdanı", "national id", "turkish id", "türk kimlik"], tckn, languages=("tr",)),
     national("ZaIdNumberRecognizer", "ZA_ID_NUMBER", "za", [(r"\b\d{10}[0-2][89]\d\b", 0.2)], ["id", "identity", "identity number", "id number", "south african id", "rsa id", "smart id", "national id"], za_id),
-    national("ZaPassportRecognizer", "ZA_PASSPORT", "za", [(r"\b[ADMT]\d{8}\b", 0.2)], ["passport", "passport number", "travel document", "dha", "south african passport", "rsa passport"]),
+    national("ZaPassportRecognizer", "ZA_PASSPORT", "za", [(r"\b[ADMT]\d{8}\b", 0.2)], ["passport", "passport number", "travel document", "dha", "south african passport", "rsa passport"], surely),
     *MORE,
 ]
 

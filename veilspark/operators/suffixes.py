@@ -1,5 +1,6 @@
 """Domain suffixes of the URL patterns; where several fit, the first one counts, so their order matters."""
 
+# The suffixes, in the order in which they count.
 SUFFIXES = """
 com edu gov int mil net onl org pro red tel uno xxx academy accountant accountants actor adult africa agency airforce apartments app archi army art
 asia associates attorney auction audio auto autos baby band bar bargains beer berlin best bet bid bike bio black blackfriday blog blue boats bond boo
