@@ -1,14 +1,16 @@
-"""Queries over stated texts and their expected rows, one family each; the SQL of such a query lists the rows."""
+"""Cases over stated texts and their expected rows, one family each; the SQL of a family lists its rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.analyze import explanations, findings
-from ..operators.recognizers import Registry
-from ..operators.rewrite import anonymize
-from ..operators.scan import SPAN
-from ..operators.spans import POLICIES
+from veilspark.operators.analyze import explanations, findings
+from veilspark.operators.recognizers import Registry
+from veilspark.operators.rewrite import anonymize
+from veilspark.operators.scan import SPAN
+from veilspark.operators import boxes
+from veilspark.operators.chunked import KEPT, unite
+from veilspark.operators.spans import POLICIES, merge_over_blanks, merge_same_type, resolve, trim_intersections, without_contained, without_covered
 
 Case = tuple[str, list[tuple[str, int, int, float]]]
 
@@ -182,3 +184,68 @@ QUERIES = {name: detection(name)[0] for name in DETECTION} | {"conflict_cases":
 ORACLES = {name: detection(name)[1] for name in DETECTION}
 ORACLES["conflict_cases"] = f"SELECT * FROM (VALUES {', '.join(f'({literal(n)}, {literal(a)}, {literal(b)})' for n, (_, _, a, b) in CONFLICTS.items())}) t(name, {', '.join(POLICIES)})"
 ORACLES["explanation_cases"] = f"""SELECT * FROM (VALUES {', '.join(f"({n}, '{e}', '{r}', {a}, '{'unknown' if v is None else str(v).lower()}', {o}::DOUBLE, {w}::DOUBLE, {s}::DOUBLE)" for n, (_, e, r, a, o, v, w, s) in enumerate(WHY))}) t(n, entity_type, recognizer, start, valid, original_score, validated_score, score)"""
+
+
+SPANS = {
+    "contained": [("A", 0, 10, 0.5), ("A", 2, 5, 0.4), ("A", 2, 5, 0.9), ("B", 2, 5, 0.1), ("A", 0, 10, 0.5), ("C", 1, 2, 0.0)],
+    "overlap": [("A", 0, 4, 0.5), ("A", 3, 8, 0.7), ("A", 8, 9, 0.2), ("B", 6, 12, 0.6)],
+    "equal": [("A", 0, 4, 0.5), ("B", 0, 4, 0.8), ("C", 1, 3, 0.9)],
+}
+TEXT = "ab cd ef gh ij kl"
+
+
+def span_algebra(spark, d):
+    rows = [(k, TEXT, [(*s, "r") for s in v]) for k, v in SPANS.items()]
+    t = spark.createDataFrame(rows, f"name string, text string, spans {SPAN}")
+    made = {
+        "contained": without_contained(F.col("spans")), "merged": merge_same_type(F.col("spans")), "covered": without_covered(F.col("spans")),
+        "trimmed": trim_intersections(merge_same_type(F.col("spans"))), "blanks": merge_over_blanks(F.col("text"), F.col("spans")), **{p: resolve(F.col("text"), F.col("spans"), p) for p in POLICIES},
+    }
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.format_string("%s:%d-%d:%.1f", s["entity_type"], s["start"], s["end"], s["score"])), " ")
+    return t.select("name", *[shown(c).alias(k) for k, c in made.items()])
+
+
+#: (entity, start, end, score, cut by an inner edge in front, behind)
+FOLDS = {
+    "best score": ([("A", 0, 10, 0.5, False, False), ("A", 2, 10, 0.8, False, False)], "A:2-10"),
+    "half is not more than half": ([("A", 0, 10, 0.9, False, False), ("A", 5, 15, 0.8, False, False)], "A:0-10 A:5-15"),
+    "cut behind": ([("A", 0, 10, 0.9, False, True), ("A", 0, 14, 0.8, False, False)], "A:0-14"),
+    "cut in front": ([("A", 5, 10, 0.9, True, False), ("A", 2, 10, 0.8, False, False)], "A:2-10"),
+    "not cut": ([("A", 0, 10, 0.9, False, False), ("A", 0, 14, 0.8, False, False)], "A:0-10"),
+    "other type": ([("A", 0, 10, 0.9, False, True), ("B", 0, 14, 0.8, False, False)], "A:0-10 B:0-14"),
+    "both cut": ([("A", 0, 10, 0.9, False, True), ("A", 0, 14, 0.8, False, True)], "A:0-10"),
+}
+
+
+def chunk_unions(spark, d):
+    rows = [(name, [((e, a, b, s, "r"), x, y) for e, a, b, s, x, y in found]) for name, (found, _) in FOLDS.items()]
+    t = spark.createDataFrame(rows, f"name string, found {KEPT}")
+    return t.select("name", F.array_join(F.transform(unite(F.col("found")), lambda s: F.format_string("%s:%d-%d", s["entity_type"], s["start"], s["end"])), " ").alias("united"))
+
+
+def box_cases(spark, d):
+    kind = "array<struct<left:int,top:int,width:int,height:int,score:double,label:string>>"
+    rows = [(1, [(0, 0, 10, 10, 0.5, "a"), (3, 4, 12, 9, 0.9, "b"), (40, 0, 10, 10, 0.2, "c")]), (2, [(0, 0, 10, 10, 0.5, "a"), (5, 5, 10, 10, 0.5, "b"), (6, 0, 10, 10, 0.5, "c")]), (3, [])]
+    t = spark.createDataFrame(rows, f"image int, boxes {kind}")
+    return t.select("image", F.array_join(F.transform(boxes.without_duplicates(F.col("boxes")), lambda b: b["label"]), "").alias("kept"))
+
+
+def box_shapes(spark, d):
+    t = spark.createDataFrame([(1, [(1.0, 2.0), (5.0, 1.0), (6.0, 7.0)], 2.0, 10)], "n int, points array<struct<x:double,y:double>>, factor double, padding int")
+    p = boxes.from_polygon(F.col("points"))
+    r = boxes.rescaled(F.struct(F.lit(30).alias("left"), F.lit(50).alias("top"), F.lit(21).alias("width"), F.lit(8).alias("height")), 2.0, 10)
+    shown = lambda b: F.concat_ws(" ", *[b[s].cast("int") for s in boxes.SIDES])
+    return t.select("n", shown(p).alias("box"), shown(r).alias("rescaled"), F.array_join(boxes.spellings(F.array(F.lit("ann LEE"))), "|").alias("spellings"))
+
+
+QUERIES |= {f.__name__: f for f in (span_algebra, chunk_unions, box_cases, box_shapes)}
+ORACLES |= {
+    "span_algebra": """SELECT * FROM (VALUES
+        ('contained', 'A:2-5:0.9 A:0-10:0.5 B:2-5:0.1', 'B:2-5:0.1 A:0-10:0.9 C:1-2:0.0', 'A:0-10:0.5', 'A:0-10:0.9', 'A:0-10:0.5 A:2-5:0.4 A:2-5:0.9 B:2-5:0.1 A:0-10:0.5 C:1-2:0.0', 'A:0-10:0.9', 'A:0-10:0.9'),
+        ('overlap', 'A:3-8:0.7 B:6-12:0.6 A:0-4:0.5 A:8-9:0.2', 'A:0-8:0.7 A:8-9:0.2 B:6-12:0.6', 'A:0-4:0.5 A:3-8:0.7 B:6-12:0.6', 'A:0-8:0.7 B:8-12:0.6', 'A:0-4:0.5 A:3-8:0.7 A:8-9:0.2 B:6-12:0.6', 'A:0-8:0.7 B:6-12:0.6', 'A:0-8:0.7 B:8-12:0.6'),
+        ('equal', 'C:1-3:0.9 B:0-4:0.8 A:0-4:0.5', 'A:0-4:0.5 B:0-4:0.8 C:1-3:0.9', 'B:0-4:0.8', 'B:0-1:0.8 C:1-3:0.9', 'A:0-4:0.5 B:0-4:0.8 C:1-3:0.9', 'B:0-4:0.8', 'B:0-4:0.8')
+        ) t(name, contained, merged, covered, trimmed, blanks, merge_similar_or_contained, remove_intersections)""",
+    "chunk_unions": f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {chr(39)}{w}{chr(39)})' for n, (_, w) in FOLDS.items())}) t(name, united)",
+    "box_cases": "SELECT * FROM (VALUES (1, 'bc'), (2, 'c'), (3, '')) t(image, kept)",
+    "box_shapes": "SELECT 1 AS n, '1 1 5 6' AS box, '10 20 10 4' AS rescaled, 'ANN LEE|Ann Lee|ann LEE|ann lee' AS spellings",
+}

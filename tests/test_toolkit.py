@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests import cases
 from veilspark import catalog
 from veilspark.functions import checksums as C
 from veilspark.operators import boxes
@@ -109,20 +110,20 @@ def test_chunks_by_brute_force(spark):
 
 
 def test_span_algebra(spark):
-    rows = {r.name: r for r in catalog.QUERIES["span_algebra"](spark, DATA).collect()}
+    rows = {r.name: r for r in cases.QUERIES["span_algebra"](spark, DATA).collect()}
     assert rows["contained"].contained == "A:2-5:0.9 A:0-10:0.5 B:2-5:0.1"
     assert rows["overlap"].merged == "A:0-8:0.7 A:8-9:0.2 B:6-12:0.6"
     assert rows["overlap"].remove_intersections == "A:0-8:0.7 B:8-12:0.6"
     assert rows["equal"].covered == "B:0-4:0.8"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES | cases.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "customer", "events", "conversations", "lineitem"):
+    for t in ("documents", "customer", "events", "conversations", "lineitem", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    want = con.execute(catalog.ORACLES[name]).fetchdf()
-    got = catalog.QUERIES[name](spark, DATA).toPandas()
+    want = con.execute((catalog.ORACLES | cases.ORACLES)[name]).fetchdf()
+    got = (catalog.QUERIES | cases.QUERIES)[name](spark, DATA).toPandas()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     key = lambda df: sorted(map(str, df[cols].astype(str).itertuples(index=False)))

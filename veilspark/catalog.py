@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from .plans import cases, more, queries
+from .plans import more, queries, wider
 
-QUERIES = queries.QUERIES | cases.QUERIES | more.QUERIES
-ORACLES = queries.ORACLES | cases.ORACLES | more.ORACLES
+QUERIES = queries.QUERIES | more.QUERIES | wider.QUERIES
+ORACLES = queries.ORACLES | more.ORACLES | wider.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boxes, external, nested
-from ..operators.chunked import KEPT, analyze_chunks, token_chunks, unite
+from ..operators.chunked import analyze_chunks, token_chunks
 from ..operators.scan import SPAN
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -26,24 +26,6 @@ def token_windows(spark, d):
     return t.select("conv_id", "turn", F.posexplode(token_chunks(F.col("text"), 30, 10, r"[^ \n]+")).alias("n", "w")).select("conv_id", "turn", "n", "w.start", "w.end")
 
 
-#: (entity, start, end, score, cut by an inner edge in front, behind)
-FOLDS = {
-    "best score": ([("A", 0, 10, 0.5, False, False), ("A", 2, 10, 0.8, False, False)], "A:2-10"),
-    "half is not more than half": ([("A", 0, 10, 0.9, False, False), ("A", 5, 15, 0.8, False, False)], "A:0-10 A:5-15"),
-    "cut behind": ([("A", 0, 10, 0.9, False, True), ("A", 0, 14, 0.8, False, False)], "A:0-14"),
-    "cut in front": ([("A", 5, 10, 0.9, True, False), ("A", 2, 10, 0.8, False, False)], "A:2-10"),
-    "not cut": ([("A", 0, 10, 0.9, False, False), ("A", 0, 14, 0.8, False, False)], "A:0-10"),
-    "other type": ([("A", 0, 10, 0.9, False, True), ("B", 0, 14, 0.8, False, False)], "A:0-10 B:0-14"),
-    "both cut": ([("A", 0, 10, 0.9, False, True), ("A", 0, 14, 0.8, False, True)], "A:0-10"),
-}
-
-
-def chunk_unions(spark, d):
-    rows = [(name, [((e, a, b, s, "r"), x, y) for e, a, b, s, x, y in found]) for name, (found, _) in FOLDS.items()]
-    t = spark.createDataFrame(rows, f"name string, found {KEPT}")
-    return t.select("name", F.array_join(F.transform(unite(F.col("found")), lambda s: F.format_string("%s:%d-%d", s["entity_type"], s["start"], s["end"])), " ").alias("united"))
-
-
 def external_findings(spark, d):
     """Findings of another service, one for each event: labels by event type, without the ignored ones."""
     kind = F.col("event_type")
@@ -76,13 +58,6 @@ def box_matches(spark, d):
     return boxes.rates(t, truth).select("image", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-def box_cases(spark, d):
-    kind = "array<struct<left:int,top:int,width:int,height:int,score:double,label:string>>"
-    rows = [(1, [(0, 0, 10, 10, 0.5, "a"), (3, 4, 12, 9, 0.9, "b"), (40, 0, 10, 10, 0.2, "c")]), (2, [(0, 0, 10, 10, 0.5, "a"), (5, 5, 10, 10, 0.5, "b"), (6, 0, 10, 10, 0.5, "c")]), (3, [])]
-    t = spark.createDataFrame(rows, f"image int, boxes {kind}")
-    return t.select("image", F.array_join(F.transform(boxes.without_duplicates(F.col("boxes")), lambda b: b["label"]), "").alias("kept"))
-
-
 def box_words(spark, d):
     """Words of the first turns, as if read from images, that the span of the first word covers."""
     t = _t(spark, d, "conversations").where("turn = 0 and length(text) > 0")
@@ -93,15 +68,7 @@ def box_words(spark, d):
     return t.select("conv_id", F.explode(found).alias("f")).select("conv_id", "f.entity_type", F.col("f.word.text").alias("word"))
 
 
-def box_shapes(spark, d):
-    t = spark.createDataFrame([(1, [(1.0, 2.0), (5.0, 1.0), (6.0, 7.0)], 2.0, 10)], "n int, points array<struct<x:double,y:double>>, factor double, padding int")
-    p = boxes.from_polygon(F.col("points"))
-    r = boxes.rescaled(F.struct(F.lit(30).alias("left"), F.lit(50).alias("top"), F.lit(21).alias("width"), F.lit(8).alias("height")), 2.0, 10)
-    shown = lambda b: F.concat_ws(" ", *[b[s].cast("int") for s in boxes.SIDES])
-    return t.select("n", shown(p).alias("box"), shown(r).alias("rescaled"), F.array_join(boxes.spellings(F.array(F.lit("ann LEE"))), "|").alias("spellings"))
-
-
-QUERIES = {f.__name__: f for f in (chunked_email_counts, token_windows, chunk_unions, external_findings, nested_findings, nested_entities, entity_score_lists, box_matches, box_cases, box_words, box_shapes)}
+QUERIES = {f.__name__: f for f in (chunked_email_counts, token_windows, external_findings, nested_findings, nested_entities, entity_score_lists, box_matches, box_words)}
 ORACLES = {
     "chunked_email_counts": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n_email FROM documents",
     "token_windows": r"""
@@ -109,7 +76,6 @@ ORACLES = {
         p AS (SELECT conv_id, turn, len(h) AS m, list_transform(range(1, len(h) + 1), lambda k: list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0)) AS s, h FROM w WHERE len(h) > 0)
         SELECT conv_id, turn, CAST(n AS INT) AS n, CAST(s[n * 20 + 1] AS INT) AS start, CAST(s[least(n * 20 + 30, m)] + length(h[least(n * 20 + 30, m)]) AS INT) AS "end"
         FROM p, unnest(range(0, CAST(greatest(ceil((m - 30) / 20.0), 0) AS BIGINT) + 1)) u(n)""",
-    "chunk_unions": f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {chr(39)}{w}{chr(39)})' for n, (_, w) in FOLDS.items())}) t(name, united)",
     "external_findings": """SELECT event_id, CASE WHEN upper(event_type) IN ('CLICK', 'VIEW') THEN upper(event_type) ELSE 'GENERIC_PII_ENTITY' END AS entity_type,
         CASE WHEN upper(event_type) NOT IN ('CLICK', 'VIEW') THEN upper(event_type) END AS original
         FROM events WHERE user_id % 7 <> 0 AND lower(event_type) <> 'purchase' AND value % 1 >= 0.25""",
@@ -122,7 +88,5 @@ ORACLES = {
         m AS (SELECT f.image, count(DISTINCT f.rn) AS tf, count(DISTINCT t.rn) AS tt FROM f JOIN t ON f.image = t.image AND abs(f.x - t.x) <= 50 AND abs(f.y - t.y) <= 50 GROUP BY 1),
         n AS (SELECT image, count(*) AS n, count(*) FILTER (line % 2 = 1) AS m FROM f GROUP BY 1)
         SELECT n.image, round(coalesce(tf, 0) / n.n, 9) AS precision, round(CASE WHEN n.m > 0 THEN coalesce(tt, 0) / n.m ELSE 0 END, 9) AS recall FROM n LEFT JOIN m ON n.image = m.image""",
-    "box_cases": "SELECT * FROM (VALUES (1, 'bc'), (2, 'c'), (3, '')) t(image, kept)",
     "box_words": """SELECT conv_id, 'FIRST' AS entity_type, list_filter(string_split(text, ' '), lambda w: trim(w) <> '')[1] AS word FROM conversations WHERE turn = 0 AND length(text) > 0 AND len(list_filter(string_split(text, ' '), lambda w: trim(w) <> '')) > 0""",
-    "box_shapes": "SELECT 1 AS n, '1 1 5 6' AS box, '10 20 10 4' AS rescaled, 'ANN LEE|Ann Lee|ann LEE|ann lee' AS spellings",
 }

@@ -9,7 +9,6 @@ from ..operators.analyze import analyze, chunks, findings
 from ..operators.recognizers import Registry
 from ..operators.rewrite import Op, anonymize, deanonymize, rewrite
 from ..operators.scan import SPAN, deny_list
-from ..operators.spans import POLICIES, merge_over_blanks, merge_same_type, resolve, trim_intersections, without_contained, without_covered
 from ..operators.structured import anonymize_columns, anonymize_paths, column_entities, pseudonyms
 from ..streaming.streams import windowed_counts
 
@@ -73,25 +72,6 @@ def encrypt_round_trip(spark, d):
     return hidden.select("c_custkey", deanonymize(F.col("h.text"), F.col("h.items"), {"NAME": Op("decrypt", {"key": KEY})})["text"].alias("text"))
 
 
-SPANS = {
-    "contained": [("A", 0, 10, 0.5), ("A", 2, 5, 0.4), ("A", 2, 5, 0.9), ("B", 2, 5, 0.1), ("A", 0, 10, 0.5), ("C", 1, 2, 0.0)],
-    "overlap": [("A", 0, 4, 0.5), ("A", 3, 8, 0.7), ("A", 8, 9, 0.2), ("B", 6, 12, 0.6)],
-    "equal": [("A", 0, 4, 0.5), ("B", 0, 4, 0.8), ("C", 1, 3, 0.9)],
-}
-TEXT = "ab cd ef gh ij kl"
-
-
-def span_algebra(spark, d):
-    rows = [(k, TEXT, [(*s, "r") for s in v]) for k, v in SPANS.items()]
-    t = spark.createDataFrame(rows, f"name string, text string, spans {SPAN}")
-    made = {
-        "contained": without_contained(F.col("spans")), "merged": merge_same_type(F.col("spans")), "covered": without_covered(F.col("spans")),
-        "trimmed": trim_intersections(merge_same_type(F.col("spans"))), "blanks": merge_over_blanks(F.col("text"), F.col("spans")), **{p: resolve(F.col("text"), F.col("spans"), p) for p in POLICIES},
-    }
-    shown = lambda c: F.array_join(F.transform(c, lambda s: F.format_string("%s:%d-%d:%.1f", s["entity_type"], s["start"], s["end"], s["score"])), " ")
-    return t.select("name", *[shown(c).alias(k) for k, c in made.items()])
-
-
 def _cells(spark, d):
     return _t(spark, d, "customer").select(F.concat("c_name", F.lit("@example.com")).alias("mail"), F.format_string("10.0.%d.%d", F.col("c_custkey") % 256, F.col("c_nationkey")).alias("host"), F.col("c_mktsegment").alias("segment"))
 
@@ -125,7 +105,7 @@ def pseudonym_list(spark, d):
     return pseudonyms(findings(_t(spark, d, "documents"), "text", ["doc_id"], entities=["EMAIL_ADDRESS", "IP_ADDRESS"]), ["doc_id"]).select("doc_id", "entity_type", "start", "end", "pseudonym")
 
 
-QUERIES = {f.__name__: f for f in (anonymize_documents, document_findings, all_countries, email_counts, email_replaced, deny_list_counts, allow_list_counts, mask_names, encrypt_round_trip, span_algebra, table_entities, all_table_entities, nested_rewrite, windowed_findings, chunk_windows, pseudonym_list)}
+QUERIES = {f.__name__: f for f in (anonymize_documents, document_findings, all_countries, email_counts, email_replaced, deny_list_counts, allow_list_counts, mask_names, encrypt_round_trip, table_entities, all_table_entities, nested_rewrite, windowed_findings, chunk_windows, pseudonym_list)}
 
 _terms = "|".join(TERMS)
 _places = "list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0)"
@@ -156,10 +136,5 @@ ORACLES = {
         r AS (SELECT doc_id, entity_type, found, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY min(start), found) - 1 AS n FROM f GROUP BY 1, 2, 3)
         SELECT f.doc_id, f.entity_type, CAST(start AS INT) AS start, CAST(start + length(f.found) AS INT) AS "end", '<' || f.entity_type || '_' || n || '>' AS pseudonym
         FROM f JOIN r ON f.doc_id = r.doc_id AND f.entity_type = r.entity_type AND f.found = r.found""",
-    "span_algebra": """SELECT * FROM (VALUES
-        ('contained', 'A:2-5:0.9 A:0-10:0.5 B:2-5:0.1', 'B:2-5:0.1 A:0-10:0.9 C:1-2:0.0', 'A:0-10:0.5', 'A:0-10:0.9', 'A:0-10:0.5 A:2-5:0.4 A:2-5:0.9 B:2-5:0.1 A:0-10:0.5 C:1-2:0.0', 'A:0-10:0.9', 'A:0-10:0.9'),
-        ('overlap', 'A:3-8:0.7 B:6-12:0.6 A:0-4:0.5 A:8-9:0.2', 'A:0-8:0.7 A:8-9:0.2 B:6-12:0.6', 'A:0-4:0.5 A:3-8:0.7 B:6-12:0.6', 'A:0-8:0.7 B:8-12:0.6', 'A:0-4:0.5 A:3-8:0.7 A:8-9:0.2 B:6-12:0.6', 'A:0-8:0.7 B:6-12:0.6', 'A:0-8:0.7 B:8-12:0.6'),
-        ('equal', 'C:1-3:0.9 B:0-4:0.8 A:0-4:0.5', 'A:0-4:0.5 B:0-4:0.8 C:1-3:0.9', 'B:0-4:0.8', 'B:0-1:0.8 C:1-3:0.9', 'A:0-4:0.5 B:0-4:0.8 C:1-3:0.9', 'B:0-4:0.8', 'B:0-4:0.8')
-        ) t(name, contained, merged, covered, trimmed, blanks, merge_similar_or_contained, remove_intersections)""",
     "table_entities": "SELECT * FROM (VALUES ('mail', 'EMAIL_ADDRESS', 1.0::DOUBLE), ('host', 'IP_ADDRESS', 0.6::DOUBLE)) t(\"column\", entity_type, score)",
 }
