@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums as C
 from .countries import CRYPTO, MORE, kr_resident, national, surely, za_id
+from .phones import phone_recognizer
 from .scan import Recognizer, deny_list
 from .suffixes import SUFFIXES
 
@@ -173,7 +174,7 @@ GENERIC = [
         (rf"(?<![\w:])::{PREFIX6}(?![\w:])", 0.1),
     ), ("ip", "ipv4", "ipv6"), None, ip_bad, gate=r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}|:[0-9A-Fa-f]*:"),
     R("MacAddressRecognizer", "MAC_ADDRESS", ((r"\b[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}\b", 0.6), (r"\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\b", 0.6)), ("mac", "mac address", "hardware address", "physical address", "ethernet"), None, mac, gate=r"[0-9A-Fa-f]{2}[:.-][0-9A-Fa-f]{2}"),
-    R("PhoneRecognizer", "PHONE_NUMBER", ((r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w)", 0.4),), ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"), gate=r"\p{Nd}{3}"),
+    phone_recognizer(),
     R("UrlRecognizer", "URL", (("(?:https?://)" + URL, 0.6), (URL, 0.5), (r"[\"'](https?://" + URL + r")[\"']", 0.6), (r"[\"'](" + URL + r")[\"']", 0.5)), ("url", "website", "link"), gate=r"(?i)[a-z0-9.-]\.[a-z]"),
     R("UuidRecognizer", "UUID", ((r"\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\b", 0.5),), ("uuid", "guid", "unique identifier"), None, uuid_bad, gate=r"[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}"),
 ]
