@@ -59,13 +59,13 @@ def box_matches(spark, d):
 
 
 def box_words(spark, d):
-    """Words of the first turns, as if read from images, that the span of the first word covers."""
-    t = _t(spark, d, "conversations").where("turn = 0 and length(text) > 0")
+    """Words of all turns, as if read from images, that the span of the first word covers."""
+    t = _t(spark, d, "conversations").where("length(text) > 0")
     words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), F.lit(90.0).alias("conf"), (i * 10).alias("left")))
-    t = t.select("conv_id", boxes.read_words(words, 50).alias("words")).where("size(words) > 0").withColumn("joined", boxes.joined_words(F.col("words")))
+    t = t.select("conv_id", "turn", boxes.read_words(words, 50).alias("words")).where("size(words) > 0").withColumn("joined", boxes.joined_words(F.col("words")))
     span = F.array(F.struct(F.lit("FIRST").alias("entity_type"), F.lit(0).alias("start"), F.length(F.col("words")[0]["text"]).alias("end"), F.lit(0.5).alias("score"), F.lit("r").alias("recognizer"))).cast(SPAN)
     found = boxes.covered_words(F.col("words"), F.col("joined.places"), F.col("joined.text"), span)
-    return t.select("conv_id", F.explode(found).alias("f")).select("conv_id", "f.entity_type", F.col("f.word.text").alias("word"))
+    return t.select("conv_id", "turn", F.explode(found).alias("f")).select("conv_id", "turn", "f.entity_type", F.col("f.word.text").alias("word"))
 
 
 QUERIES = {f.__name__: f for f in (chunked_email_counts, token_windows, external_findings, nested_findings, nested_entities, entity_score_lists, box_matches, box_words)}
@@ -88,5 +88,5 @@ ORACLES = {
         m AS (SELECT f.image, count(DISTINCT f.rn) AS tf, count(DISTINCT t.rn) AS tt FROM f JOIN t ON f.image = t.image AND abs(f.x - t.x) <= 50 AND abs(f.y - t.y) <= 50 GROUP BY 1),
         n AS (SELECT image, count(*) AS n, count(*) FILTER (line % 2 = 1) AS m FROM f GROUP BY 1)
         SELECT n.image, round(coalesce(tf, 0) / n.n, 9) AS precision, round(CASE WHEN n.m > 0 THEN coalesce(tt, 0) / n.m ELSE 0 END, 9) AS recall FROM n LEFT JOIN m ON n.image = m.image""",
-    "box_words": """SELECT conv_id, 'FIRST' AS entity_type, list_filter(string_split(text, ' '), lambda w: trim(w) <> '')[1] AS word FROM conversations WHERE turn = 0 AND length(text) > 0 AND len(list_filter(string_split(text, ' '), lambda w: trim(w) <> '')) > 0""",
+    "box_words": """SELECT conv_id, turn, 'FIRST' AS entity_type, list_filter(string_split(text, ' '), lambda w: trim(w) <> '')[1] AS word FROM conversations WHERE length(text) > 0 AND len(list_filter(string_split(text, ' '), lambda w: trim(w) <> '')) > 0""",
 }

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import lists
+from ..operators import json_paths, lists
 from ..operators.provider import provided
 from ..operators.scan import PAGE, Recognizer, hits, let, places
 from ..operators.words import around, tokens
@@ -84,9 +84,26 @@ def page_cuts(spark, d):
     return t.select("doc_id", F.size("p").alias("n_pages"), F.sha2(cut(F.col("p"), F.lit(1), F.length("text") - 1), 256).alias("inner_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (term_table_counts, pair_table_counts, provider_findings, session_names, session_restored, words_around, page_cuts)}
+def json_numbers(spark, d):
+    """Two-digit values found in the properties of events, whatever fields they have."""
+    two = Recognizer("TwoDigits", "TWO_DIGITS", ((r"\b[0-9]{2}\b", 0.5),))
+    return json_paths.json_findings(_t(spark, d, "events"), "props", ["event_id"], entities=["TWO_DIGITS"], ad_hoc=[two]).select("event_id", "path", "entity_type", "start", "end")
+
+
+def json_masked(spark, d):
+    """The properties of events with the value of `k` replaced by its length in a nested object of another shape for each type."""
+    shaped = F.when(F.col("event_type") == "click", F.concat(F.lit('{"in": ['), F.col("props"), F.lit("]}"))).otherwise(F.col("props"))
+    hide = lambda v: F.concat(F.lit("#"), F.length(v).cast("string"))
+    return _t(spark, d, "events").select("event_id", json_paths.replaced(shaped, {"$.k": hide, "$.in[*].k": hide}).alias("props"))
+
+
+QUERIES = {f.__name__: f for f in (json_numbers, json_masked, term_table_counts, pair_table_counts, provider_findings, session_names, session_restored, words_around, page_cuts)}
 _START = "coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0)"
 ORACLES = {
+    "json_numbers": """SELECT event_id, '$.k' AS path, 'TWO_DIGITS' AS entity_type, 0 AS start, 2 AS "end" FROM events WHERE length(json_extract_string(props, '$.k')) = 2""",
+    "json_masked": """
+        SELECT event_id, CASE WHEN event_type = 'click' THEN '{"in":[' || p || ']}' ELSE p END AS props
+        FROM (SELECT event_id, event_type, '{"k":"#' || length(json_extract_string(props, '$.k')) || '"}' AS p FROM events)""",
     "term_table_counts": rf"""
         WITH t AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS w FROM benchmark) WHERE length(w) >= 5),
         d AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{WORD}'))) AS term FROM documents)
