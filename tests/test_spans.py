@@ -11,7 +11,7 @@ from veilspark.operators import words as W
 from veilspark.operators.analyze import analyze, findings
 from veilspark.operators.recognizers import Registry
 from veilspark.operators.rewrite import anonymize
-from veilspark.operators.scan import SPAN, cut, deny_list, pages, places
+from veilspark.operators.scan import SPAN, Recognizer, cut, deny_list, pages, places
 
 
 def contained(spans):
@@ -145,3 +145,14 @@ def test_places_with_marks(spark):
     text = "ab12 34 5"
     got = spark.createDataFrame([(text,)], "t string").select(places(F.col("t"), r"\d+").alias("p")).first().p
     assert [tuple(p) for p in got] == [(3, 5), (6, 8), (10, 11)]
+
+
+def test_hooks_come_before_context(spark):
+    def hook(text, span, spans):
+        return F.when(F.exists(spans, lambda o: o["entity_type"] == "CITY"), 0.7).otherwise(span["score"])
+
+    zips = Recognizer("Zip", "ZIP", ((r"\b\d{5}\b", 0.2),), context=("zip",), enhance=hook)
+    city = deny_list("City", "CITY", ["Paris"], 0.9)
+    of = lambda t: {(s.entity_type, s.start): round(s.score, 6) for s in spark.createDataFrame([(t,)], "t string").select(analyze(F.col("t"), entities=["ZIP", "CITY"], ad_hoc=[zips, city]).alias("s")).first().s}
+    assert of("zip 75001 in Paris") == {("ZIP", 4): 0.7, ("CITY", 13): 0.9}  # raised by the hook, so not by the word
+    assert of("zip 75001") == {("ZIP", 4): 0.55} and of("code 75001") == {("ZIP", 5): 0.2} and of("none") == {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .compiled import compiled
 from .recognizers import Registry
 from .scan import FLAGS, SPAN, Recognizer, cut, let, pages, scan
-from .spans import without_contained
+from .spans import moved, without_contained
 from .words import INDEX, TOKEN, around, count_before, keywords, part, tokens
 
 #: Keywords before and after a span that are its context; what a score gains by it, and has then at least.
@@ -91,6 +92,26 @@ def _raised(text: Column, spans: Column, terms: tuple, whole_word: bool, given:
     return let(spans, of)
 
 
+def with_hooks(text: Column, spans: Column, use: list[Recognizer], rest: Callable[[Column], Column]) -> Column:
+    """Spans with the scores that their recognizers' own hooks give them; the others as `rest` (which keeps their order) makes them."""
+    hooked = [r for r in use if r.enhance is not None]
+    if not hooked:
+        return rest(spans)
+
+    def own(s: Column, all_: Column) -> Column:
+        score = s["score"]
+        for r in hooked:
+            score = F.when(s["recognizer"] == r.name, r.enhance(text, s, all_)).otherwise(score)
+        return score
+
+    def both(all_: Column) -> Column:
+        scores = F.transform(all_, lambda s: F.least(F.greatest(own(s, all_), F.lit(0).cast("double")), F.lit(1).cast("double")))
+        others = F.zip_with(rest(all_), scores, lambda s, x: F.struct(s.alias("s"), x.alias("x")))
+        return F.zip_with(others, all_, lambda o, s: F.when(o["x"] == s["score"], o["s"]).otherwise(moved(s, score=o["x"])))
+
+    return let(spans, both)
+
+
 def analyze(
     text: Column,
     registry: Registry | None = None,
@@ -120,7 +141,7 @@ def analyze(
 
     def found(t: Column) -> Column:
         spans = scan(t, use, flags)
-        spans = with_context(t, spans, {r.name: list(r.context) for r in use}, given=list(context), before=before, after=after)
+        spans = with_hooks(t, spans, use, lambda spans: with_context(t, spans, {r.name: list(r.context) for r in use}, given=list(context), before=before, after=after))
         least = {r.name: threshold if threshold is not None else r.thresholds.get(r.entity, r.thresholds.get("default", 0.0)) for r in use}
         if len(set(least.values())) == 1:
             spans = F.filter(spans, lambda s: s["score"] >= next(iter(least.values())))

@@ -24,7 +24,8 @@ class Recognizer:
 
     validate: true makes the score 1, false drops the match, null keeps the pattern's score; invalidate: true
     drops it whatever validate says. trim, before the checks, gives the length of the match to keep. span_fn, for
-    other kinds of recognizers, maps the text to a span array.
+    other kinds of recognizers, maps the text to a span array. enhance, of the text, one of the recognizer's spans and the
+    spans of all, gives the span's score; where it changes it, context words don't count any more.
     """
 
     name: str
@@ -40,6 +41,7 @@ class Recognizer:
     span_fn: Callable[[Column], Column] | None = None
     gate: str = r"\p{Nd}"  # a cheap pattern that any text with a match has
     trim: Callable[[Column], Column] | None = None
+    enhance: Callable[[Column, Column, Column], Column] | None = None
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

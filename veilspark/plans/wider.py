@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import json_paths, lists
+from ..operators.analyze import analyze
 from ..operators.provider import provided
 from ..operators.scan import PAGE, Recognizer, hits, let, places
 from ..operators.words import around, tokens
@@ -97,9 +98,22 @@ def json_masked(spark, d):
     return _t(spark, d, "events").select("event_id", json_paths.replaced(shaped, {"$.k": hide, "$.in[*].k": hide}).alias("props"))
 
 
-QUERIES = {f.__name__: f for f in (json_numbers, json_masked, term_table_counts, pair_table_counts, provider_findings, session_names, session_restored, words_around, page_cuts)}
+def raised_by_others(spark, d):
+    """Names in each document, raised where the recognizer's hook sees an e-mail address among all spans."""
+
+    def hook(text, span, spans):
+        return F.when(F.exists(spans, lambda o: o["entity_type"] == "EMAIL_ADDRESS"), 0.9).otherwise(span["score"])
+
+    names = Recognizer("Names", "NAME", (("[A-Z][a-z]+", 0.3),), gate="[A-Z]", enhance=hook)
+    found = analyze(F.col("text"), entities=["NAME", "EMAIL_ADDRESS"], ad_hoc=[names], flags="(?U)")
+    return _t(spark, d, "documents").select("doc_id", F.filter(found, lambda s: s["entity_type"] == "NAME").alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.filter("s", lambda s: s["score"] > 0.8)).cast("long").alias("n_raised"))
+
+
+QUERIES = {f.__name__: f for f in (raised_by_others, json_numbers, json_masked, term_table_counts, pair_table_counts, provider_findings, session_names, session_restored, words_around, page_cuts)}
 _START = "coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0)"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 ORACLES = {
+    "raised_by_others": f"SELECT doc_id, n, CASE WHEN mail THEN n ELSE 0 END AS n_raised FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS BIGINT) AS n, regexp_matches(text, '{EMAIL}') AS mail FROM documents)",
     "json_numbers": """SELECT event_id, '$.k' AS path, 'TWO_DIGITS' AS entity_type, 0 AS start, 2 AS "end" FROM events WHERE length(json_extract_string(props, '$.k')) = 2""",
     "json_masked": """
         SELECT event_id, CASE WHEN event_type = 'click' THEN '{"in":[' || p || ']}' ELSE p END AS props
