@@ -157,6 +157,12 @@ def analyze(
     return F.when(text.isNotNull(), let(text, found)).otherwise(F.array().cast(SPAN))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly: short values take little room in files, so that few tasks would read, and then analyze, all of them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def explanations(df: DataFrame, column: str, keys: list[str], registry: Registry | None = None, entities: list[str] | None = None, context: list[str] = (), flags: str = FLAGS) -> DataFrame:
     """Why each span has its score: keys, entity_type, start, end, recognizer, pattern, original_score, valid (true, false or null, if
     no check spoke), validated_score, score (with context). Spans that a check dropped are there too, with score 0."""

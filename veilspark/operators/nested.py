@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .analyze import analyze
+from .analyze import analyze, spread
 from .scan import SPAN
 
 SIMPLE = (T.StringType, T.IntegralType, T.BooleanType, T.FractionalType)
@@ -57,7 +57,7 @@ def field_findings(df: DataFrame, keys: list[str], skip: list[str] = (), context
     rows = [row(*f) for f in fields(T.StructType([f for f in df.schema.fields if f.name not in keys]), None, (), list(skip))]
     kind = f"array<struct<path:string,element:int,spans:{SPAN}>>"
     every = F.concat(*[F.coalesce(r.cast(kind), F.array().cast(kind)) for r in rows])
-    return df.select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
+    return spread(df).select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
 
 
 def field_entities(df: DataFrame, keys: list[str], **options) -> DataFrame:
