@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .analyze import analyze
+from .analyze import analyze, spread
 from .rewrite import Op, applied
 
 STRATEGIES = ("most_common", "highest_confidence", "mixed")
@@ -24,13 +24,17 @@ def sampled(df: DataFrame, rows: int | None, seed: int = 123) -> DataFrame:
 
 
 def column_entities(df: DataFrame, rows: int | None = None, strategy: str = "most_common", mixed_threshold: float = 0.5, **options) -> DataFrame:
-    """column, entity_type, score of each column in which anything is found; ties go to the first type by name."""
+    """column, entity_type, score of each column in which anything is found; ties go to the first type by name.
+
+    Values that repeat in a column are analyzed once and counted.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     if not 0 <= mixed_threshold <= 1:
         raise ValueError("a threshold lies between 0 and 1")
     cells = sampled(df, rows).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])).alias("c")).select("c.*")
-    by_score = cells.select("column", F.explode(analyze(F.col("value"), **options)).alias("s")).groupBy("column", "s.entity_type", "s.score").agg(F.count(F.lit(1)).alias("n"))
+    values = spread(cells.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("times")))
+    by_score = values.select("column", "times", F.explode(analyze(F.col("value"), **options)).alias("s")).groupBy("column", "s.entity_type", "s.score").agg(F.sum("times").alias("n"))
     spans = by_score.groupBy("column", "entity_type").agg(F.sum("n").alias("n"), F.max("score").alias("top"), F.max_by("n", "score").alias("n_top"))
     common = F.min(F.struct((-F.col("n")).alias("a"), F.col("entity_type").alias("entity_type"))).alias("common")
     best = F.min(F.struct((-F.col("top")).alias("a"), (-F.col("n_top")).alias("b"), F.col("entity_type").alias("entity_type"))).alias("best")
