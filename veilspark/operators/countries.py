@@ -162,18 +162,19 @@ MBI_L, MBI_X = "[ACDEFGHJKMNPQRTUVWXY]", "[0-9ACDEFGHJKMNPQRTUVWXY]"
 ZA_PHONE = ["phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "cellular", "handset", "contact number", "landline", "tel", "home number", "work number", "office number", "sms", "whatsapp"]
 PROVINCE = "(?:GP|ZN|WP|EC|NC|FS|LP|MP|NW)"
 
-CRYPTO = Recognizer("CryptoRecognizer", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5),), ("wallet", "btc", "bitcoin", "crypto"), crypto, gate="(?iU)[a-z0-9]{26}")
+CRYPTO = Recognizer("CryptoRecognizer", "CRYPTO", ((r"(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5),), ("wallet", "btc", "bitcoin", "crypto"), crypto, gate="[a-zA-Z0-9\u0130\u0131\u017f\u212a]{26}")
 
+#: Lookbehinds of many words are tried only where the number follows, which lookaheads before them tell at once.
 MORE = [
     national("UsLicenseRecognizer", "US_DRIVER_LICENSE", "us", [(r"\b([A-Z][0-9]{3,6}|[A-Z][0-9]{5,9}|[A-Z][0-9]{6,8}|[A-Z][0-9]{4,8}|[A-Z][0-9]{9,11}|[A-Z]{1,2}[0-9]{5,6}|H[0-9]{8}|V[0-9]{6}|X[0-9]{8}|A-Z]{2}[0-9]{2,5}|[A-Z]{2}[0-9]{3,7}|[0-9]{2}[A-Z]{3}[0-9]{5,6}|[A-Z][0-9]{13,14}|[A-Z][0-9]{18}|[A-Z][0-9]{6}R|[A-Z][0-9]{9}|[A-Z][0-9]{1,12}|[0-9]{9}[A-Z]|[A-Z]{2}[0-9]{6}[A-Z]|[0-9]{8}[A-Z]{2}|[0-9]{3}[A-Z]{2}[0-9]{4}|[A-Z][0-9][A-Z][0-9][A-Z]|[0-9]{7,8}[A-Z])\b", 0.3), (r"\b([0-9]{6,14}|[0-9]{16})\b", 0.01)], ["driver", "license", "permit", "lic", "identification", "dls", "cdls", "lic#", "driving"], enabled=True),
     national("MedicalLicenseRecognizer", "MEDICAL_LICENSE", "us", [(r"[abcdefghjklmprstuxABCDEFGHJKLMPRSTUX]{1}[a-zA-Z]{1}\d{7}|[abcdefghjklmprstuxABCDEFGHJKLMPRSTUX]{1}9\d{7}", 0.4)], ["medical", "certificate", "DEA"], dea, enabled=True),
     national("UsMbiRecognizer", "US_MBI", "us", [(rf"\b[0-9]{MBI_L}{MBI_X}[0-9]{MBI_L}{MBI_X}[0-9]{MBI_L}{MBI_L}[0-9][0-9]\b", 0.3), (rf"\b[0-9]{MBI_L}{MBI_X}[0-9]-{MBI_L}{MBI_X}[0-9]-{MBI_L}{MBI_L}[0-9][0-9]\b", 0.5)], ["medicare", "mbi", "beneficiary", "cms", "medicaid", "hic", "hicn"]),
     national("UsHealthInsuranceMemberIdRecognizer", "US_HEALTH_INSURANCE_MEMBER_ID", "us", [(r"\b(?=[A-Z0-9-]{6,20}\b)(?=[A-Z0-9-]*[A-Z])(?=[A-Z0-9-]*\d)[A-Z]{1,5}-?[A-Z0-9]{5,14}\b", 0.1)], ["member", "subscriber", "insurance", "policy"]),
-    national("UsPriorAuthorizationNumberRecognizer", "US_PRIOR_AUTHORIZATION_NUMBER", "us", [(rf"(?<=\b(?:prior\s{{1,20}}authorization|prior\s{{1,20}}auth|preauthorization|pre-auth|authorization){LABEL})(?:PA-?)?\d{{6,12}}\b", 0.35), (r"\bPA-?\d{6,12}\b", 0.1)], ["authorization", "auth", "preauthorization", "approval"]),
-    national("UsClaimNumberRecognizer", "US_CLAIM_NUMBER", "us", [(rf"(?<=\b(?:claim|medical\s{{1,20}}claim|healthcare\s{{1,20}}claim){LABEL})(?:CLM-?)?\d{{6,15}}\b", 0.35), (r"\bCLM-?\d{6,15}\b", 0.1)], ["claim", "billing"]),
-    national("UsPrescriptionNumberRecognizer", "US_PRESCRIPTION_NUMBER", "us", [(rf"(?<=\brx{LABEL})(?:RX-?)?\d{{6,12}}\b", 0.6), (rf"(?<=\bprescription{LABEL})(?:RX-?)?\d{{6,12}}\b", 0.35), (r"\bRX-?\d{6,12}\b", 0.1)], ["prescription", "pharmacy", "medication"]),
-    national("UsReferralNumberRecognizer", "US_REFERRAL_NUMBER", "us", [(rf"(?<=\b(?:referral|infusion\s{{1,20}}referral){LABEL})(?:(?:REF|INF)-?)?\d{{6,12}}\b", 0.35), (r"\b(?:REF|INF)-?\d{6,12}\b", 0.1)], ["referral", "infusion", "specialty", "referring"]),
-    national("UsProviderTaxIdRecognizer", "US_PROVIDER_TAX_ID", "us", [(rf"(?<=\b(?:(?:(?:billing|rendering|healthcare)\s{{1,20}}provider|provider\s{{1,20}}organization|provider)\s{{1,20}}(?:tax\s{{0,20}}(?:id|number|identification\s{{1,20}}number)|tin|ein)|billing\s{{1,20}}provider){LABEL}){EIN}-\d{{7}}\b", 0.35), (rf"\b{EIN}-\d{{7}}\b", 0.1)], ["tax", "tin", "ein", "billing"]),
+    national("UsPriorAuthorizationNumberRecognizer", "US_PRIOR_AUTHORIZATION_NUMBER", "us", [(rf"(?=(?:PA-?)?\d{{6}})(?<=\b(?:prior\s{{1,20}}authorization|prior\s{{1,20}}auth|preauthorization|pre-auth|authorization){LABEL})(?:PA-?)?\d{{6,12}}\b", 0.35), (r"\bPA-?\d{6,12}\b", 0.1)], ["authorization", "auth", "preauthorization", "approval"]),
+    national("UsClaimNumberRecognizer", "US_CLAIM_NUMBER", "us", [(rf"(?=(?:CLM-?)?\d{{6}})(?<=\b(?:claim|medical\s{{1,20}}claim|healthcare\s{{1,20}}claim){LABEL})(?:CLM-?)?\d{{6,15}}\b", 0.35), (r"\bCLM-?\d{6,15}\b", 0.1)], ["claim", "billing"]),
+    national("UsPrescriptionNumberRecognizer", "US_PRESCRIPTION_NUMBER", "us", [(rf"(?=(?:RX-?)?\d{{6}})(?<=\brx{LABEL})(?:RX-?)?\d{{6,12}}\b", 0.6), (rf"(?=(?:RX-?)?\d{{6}})(?<=\bprescription{LABEL})(?:RX-?)?\d{{6,12}}\b", 0.35), (r"\bRX-?\d{6,12}\b", 0.1)], ["prescription", "pharmacy", "medication"]),
+    national("UsReferralNumberRecognizer", "US_REFERRAL_NUMBER", "us", [(rf"(?=(?:(?:REF|INF)-?)?\d{{6}})(?<=\b(?:referral|infusion\s{{1,20}}referral){LABEL})(?:(?:REF|INF)-?)?\d{{6,12}}\b", 0.35), (r"\b(?:REF|INF)-?\d{6,12}\b", 0.1)], ["referral", "infusion", "specialty", "referring"]),
+    national("UsProviderTaxIdRecognizer", "US_PROVIDER_TAX_ID", "us", [(rf"(?={EIN}-\d{{7}})(?<=\b(?:(?:(?:billing|rendering|healthcare)\s{{1,20}}provider|provider\s{{1,20}}organization|provider)\s{{1,20}}(?:tax\s{{0,20}}(?:id|number|identification\s{{1,20}}number)|tin|ein)|billing\s{{1,20}}provider){LABEL}){EIN}-\d{{7}}\b", 0.35), (rf"\b{EIN}-\d{{7}}\b", 0.1)], ["tax", "tin", "ein", "billing"]),
     national("UkDrivingLicenceRecognizer", "UK_DRIVING_LICENCE", "uk", [(r"\b[A-Z9]{5}[0-9](?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9][A-Z9]{2}[A-Z0-9][A-Z]{2}\b", 0.5)], ["driving licence", "driving license", "driver's licence", "driver's license", "dvla", "dl number", "licence number", "license number"], uk_driving),
     national("UkPostcodeRecognizer", "UK_POSTCODE", "uk", [(r"\b(GIR\s?0AA|[A-PR-UWYZ][0-9][ABCDEFGHJKPSTUW]?\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][0-9]{2}\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][A-HK-Y][0-9][ABEHMNPRVWXY]?\s?[0-9][ABD-HJLNP-UW-Z]{2}|[A-PR-UWYZ][A-HK-Y][0-9]{2}\s?[0-9][ABD-HJLNP-UW-Z]{2})\b", 0.1)], ["postcode", "post code", "postal code", "zip", "address", "delivery", "mailing", "shipping", "correspondence"]),
     national("UkVehicleRegistrationRecognizer", "UK_VEHICLE_REGISTRATION", "uk", [(r"\b[A-HJ-PR-Y][A-HJ-PR-Y](?:0[1-9]|[1-7][0-9])[- ]?[A-HJ-PR-Z]{3}\b", 0.3), (r"\b[A-HJ-NPR-TV-Y]\d{1,3}[- ]?[A-HJ-PR-Y][A-HJ-PR-Z]{2}\b", 0.2), (r"\b[A-HJ-PR-Z]{3}[- ]?\d{1,3}[- ]?[A-HJ-NPR-TV-Y]\b", 0.15)], ["vehicle", "registration", "number plate", "licence plate", "license plate", "reg", "vrn", "dvla", "v5c", "logbook", "mot", "car", "insured vehicle"], uk_vehicle),

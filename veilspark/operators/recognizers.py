@@ -163,7 +163,7 @@ GENERIC = [
         (rf"\b({MONTH_}-{DAY_}-\d{{4}})\b", 0.6), (rf"\b({DAY_}-{MONTH_}-\d{{4}})\b", 0.6), (rf"\b(\d{{4}}-{MONTH_}-{DAY_})\b", 0.6),
         (rf"\b({DAY_}\.{MONTH_}\.(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({DAY_}-{MONTH}-(\d{{4}}|\d{{2}}))\b", 0.6), (rf"\b({MONTH}-(\d{{4}}|\d{{2}}))\b", 0.6),
         (rf"\b({DAY_}-{MONTH})\b", 0.6), (rf"\b({MONTH_}/\d{{4}})\b", 0.2), (rf"\b({MONTH_}/\d{{2}})\b", 0.1),
-    ), ("date", "birthday"), gate=r"(?i)\p{Nd}[/-]\p{Nd}|\p{Nd}\.\p{Nd}{1,2}\.|" + MONTH + r"-\p{Nd}|\p{Nd}-" + MONTH),
+    ), ("date", "birthday"), gate=r"(?i)[-/.](?:(?<=\p{Nd}[-/])\p{Nd}|(?<=\p{Nd}\.)\p{Nd}{1,2}\.|(?<=" + MONTH + r"-)\p{Nd}|(?<=\p{Nd}-)" + MONTH + ")"),
     R("EmailRecognizer", "EMAIL_ADDRESS", ((r"\b((([!#$%&'*+\-/=?^_`{|}~\w])|([!#$%&'*+\-/=?^_`{|}~\w][!#$%&'*+\-/=?^_`{|}~\.\w]{0,}[!#$%&'*+\-/=?^_`{|}~\w]))[@]\w+(?:-+\w+)*(?:\.\w+(?:-+\w+)*)+)\b", 0.5),), ("email",), email_domain, gate="@"),
     R("IbanRecognizer", "IBAN_CODE", ((IBAN, 0.5),), ("iban", "bank", "transaction"), iban, gate=r"[A-Za-z]{2}[0-9]{2}", trim=iban_end),
     R("IpRecognizer", "IP_ADDRESS", (
@@ -223,7 +223,7 @@ NATIONAL = [
 ]
 
 #: Runs of digits that every match of these recognizers has: fewer texts pass than with the usual gate.
-RUNS = {"UsSsnRecognizer": 3, "UsItinRecognizer": 3, "UsPassportRecognizer": 8, "UsBankRecognizer": 8, "NhsRecognizer": 3, "AbaRoutingRecognizer": 4, "AuAcnRecognizer": 3, "AuTfnRecognizer": 3, "InPanRecognizer": 4, "InAadhaarRecognizer": 4, "PlPeselRecognizer": 11, "UkPassportRecognizer": 7}
+RUNS = {"UsSsnRecognizer": 3, "UsItinRecognizer": 3, "UsPassportRecognizer": 8, "UsBankRecognizer": 8, "NhsRecognizer": 3, "AbaRoutingRecognizer": 4, "AuAcnRecognizer": 3, "AuTfnRecognizer": 3, "InPanRecognizer": 4, "InAadhaarRecognizer": 4, "PlPeselRecognizer": 11, "UkPassportRecognizer": 7, "UsPriorAuthorizationNumberRecognizer": 6, "UsClaimNumberRecognizer": 6, "UsPrescriptionNumberRecognizer": 6, "UsReferralNumberRecognizer": 6, "UsProviderTaxIdRecognizer": 7}
 NATIONAL = [replace(r, gate=rf"\p{{Nd}}{{{RUNS[r.name]}}}") if r.name in RUNS else r for r in NATIONAL]
 
 
