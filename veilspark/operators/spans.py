@@ -43,6 +43,13 @@ def _numbered(spans: Column) -> Column:
     return F.transform(spans, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
 
 
+def _apart(spans: Column) -> Column:
+    """Whether no span is empty and no two overlap: nothing is left to resolve by a sweep then, as is so in most texts."""
+    sorted_ = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    clear = lambda o, x, i: (x["start"] < x["end"]) & F.coalesce(x["end"] <= F.get(o, i + 1)["start"], F.lit(True))
+    return let(sorted_, lambda o: F.forall(F.transform(o, lambda x, i: clear(o, x, i)), lambda fine: fine))
+
+
 def _kept(ordered: Column, begin: Column, step: Callable[[Column, Column], Column]) -> Column:
     """The items for which a sweep's value is true."""
     return let(ordered, lambda o: _there(F.zip_with(o, sweep(o, begin, step, "boolean")["out"], lambda x, keep: F.when(keep, x))))
@@ -51,7 +58,7 @@ def _kept(ordered: Column, begin: Column, step: Callable[[Column, Column], Colum
 @compiled(("spans",))
 def without_contained(spans: Column) -> Column:
     """Spans that no other of their type contains with at least their score; of equal ones the first by recognizer; no zero scores."""
-    ordered = _ordered(F.filter(spans, lambda s: s["score"] > 0), lambda s: s["entity_type"], lambda s: s["start"], lambda s: -s["end"], lambda s: -s["score"], lambda s: s["recognizer"])
+    ordered = lambda all_: _ordered(all_, lambda s: s["entity_type"], lambda s: s["start"], lambda s: -s["end"], lambda s: -s["score"], lambda s: s["recognizer"])
 
     def step(active: Column, s: Column) -> Column:  # those kept that reach this far
         def judged(near: Column) -> Column:
@@ -60,7 +67,9 @@ def without_contained(spans: Column) -> Column:
 
         return let(F.filter(active, lambda a: (a["end"] >= s["start"]) & (a["entity_type"] == s["entity_type"])), judged)
 
-    return by_score(_kept(ordered, F.array().cast(SPAN), step))
+    there = F.filter(spans, lambda s: s["score"] > 0)
+    swept = lambda all_: by_score(_kept(ordered(all_), F.array().cast(SPAN), step))
+    return let(there, lambda all_: F.when(F.size(all_) == 0, all_).when(_apart(all_), by_score(all_)).otherwise(swept(all_)))
 
 
 def moved(s: Column, start: Column | None = None, end: Column | None = None, score: Column | None = None) -> Column:
@@ -177,7 +186,9 @@ def merge_over_blanks(text: Column, spans: Column) -> Column:
 
         items = F.transform(all_, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
         made = lambda r, i: moved(F.get(all_, i), start=F.get(all_, r["first"])["start"])
-        return let(sweep(items, F.lit(None).cast("struct<type:string,end:int,first:int>"), step, "struct<first:int>")["out"], lambda found: _groups(found, made))
+        swept = let(sweep(items, F.lit(None).cast("struct<type:string,end:int,first:int>"), step, "struct<first:int>")["out"], lambda found: _groups(found, made))
+        pairs = F.filter(F.transform(all_, lambda s, i: F.struct(s["end"].alias("from"), F.when(F.get(all_, i + 1)["entity_type"] == s["entity_type"], F.get(all_, i + 1)["start"]).alias("to"))), lambda p: p["to"] > p["from"])
+        return F.when(F.exists(pairs, lambda p: cut(paged, p["from"], p["from"] + 1) == " "), swept).otherwise(all_)
 
     return let(spans.cast(SPAN), lambda all_: let(F.when(F.size(all_) > 1, pages(text)).otherwise(F.array().cast("array<string>")), lambda paged: of(paged, all_)))
 
@@ -187,9 +198,10 @@ POLICIES = ("merge_similar_or_contained", "remove_intersections")
 
 @compiled(("text", "spans"))
 def _resolved(text: Column, spans: Column, policy: str, merge_blanks: bool) -> Column:
-    out = without_covered(merge_same_type(spans))
+    plain, out = spans.cast(SPAN), without_covered(merge_same_type(spans))
     if policy == POLICIES[1]:
-        out = trim_intersections(out)
+        plain, out = by_place(plain), trim_intersections(out)
+    out = F.when(_apart(spans), plain).otherwise(out)
     return let(out, lambda o: merge_over_blanks(text, o)) if merge_blanks else out
 
 
