@@ -19,6 +19,8 @@ from .words import tokens
 
 #: Most terms, and most characters of them, that go to every task.
 TERMS, CHARACTERS = 20_000, 1_000_000
+#: Most words of a list of terms, and most characters of the terms that hold them, that its joins broadcast.
+WORDS, HELD = 500_000, 20_000_000
 WORD = r"\w+"
 FOUND = "array<struct<term:string,start:int,end:int>>"
 
@@ -67,19 +69,22 @@ def by_automaton(df: DataFrame, column: str, keys: list[str], terms: list[str])
 def by_rare_word(df: DataFrame, column: str, keys: list[str], terms: DataFrame) -> DataFrame:
     """keys, term, start, end of what any number of terms match; keys tell rows apart.
 
-    Words of the texts are shuffled only if a term has them as its rarest; then a text's candidates are gathered, which
-    its length bounds, and compared in place.
+    The words of texts are counted without their places, and shuffled only if a term has them as its rarest; then a text's candidates are gathered, which
+    its length bounds, and compared in place. Lists whose words are counted few meet the texts' words where these are.
     """
-    words = df.select(*keys, F.explode(tokens(F.col(column), WORD)).alias("w")).select(*keys, F.col("w.word").alias("word"), F.col("w.start").alias("at"))
+    words = df.select(*keys, F.explode_outer(tokens(F.col(column), WORD)).alias("w")).where("w is not null").select(*keys, F.col("w.word").alias("word"), F.col("w.start").alias("at"))
     parts = terms.select("term", F.explode(tokens(F.col("term"), WORD)).alias("w")).select("term", F.col("w.word").alias("word"), F.col("w.start").alias("off"))
-    often = words.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    size = parts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("size")).first()
+    near = F.broadcast if size.n <= WORDS and (size["size"] or 0) <= HELD else lambda side: side
+    plain = df.select(F.explode(F.transform(F.regexp_extract_all(F.col(column), F.lit("(?U)" + WORD), F.lit(0)), F.lower)).alias("word"))
+    often = plain.join(near(parts.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy("n", "off"))
     rare = parts.join(often, "word").withColumn("rank", rank).where("rank = 1")  # a term with a word that no text has matches none
     many = parts.groupBy("term").agg(F.count_distinct("word").alias("of"))
     there = parts.join(often, "word").groupBy("term").agg(F.count_distinct("word").alias("has"))
     whole = many.join(there, "term").where("of = has").select("term")
     anchors = rare.join(whole, "term", "left_semi").select("word", "term", "off")
-    met = words.join(anchors, "word").select(*keys, F.struct("term", (F.col("at") - F.col("off")).alias("start")).alias("c"))
+    met = words.join(near(anchors), "word").select(*keys, F.struct("term", (F.col("at") - F.col("off")).alias("start")).alias("c"))
     gathered = met.groupBy(*keys).agg(F.collect_list("c").alias("_candidates"))
     same = None
     for k in keys:
@@ -95,8 +100,8 @@ def by_rare_word(df: DataFrame, column: str, keys: list[str], terms: DataFrame)
 
         return let(pages(text), lambda p: let(F.length(text), lambda n: F.filter(found, lambda c: F.when((c["start"] >= 0) & (c["start"] + F.length(c["term"]) <= n), stands(p, n, c)).otherwise(False))))
 
-    found = rows.select(*[F.col(f"t.{k}").alias(k) for k in keys], F.explode(kept(F.col("_text"), F.col("_candidates"))).alias("c"))
-    return found.select(*keys, "c.term", "c.start", (F.col("c.start") + F.length("c.term")).alias("end"))
+    found = rows.select(*[F.col(f"t.{k}").alias(k) for k in keys], F.explode_outer(kept(F.col("_text"), F.col("_candidates"))).alias("c"))  # explode() would make them twice, to leave out empty ones
+    return found.where("c is not null").select(*keys, "c.term", "c.start", (F.col("c.start") + F.length("c.term")).alias("end"))
 
 
 def list_findings(df: DataFrame, column: str, keys: list[str], terms: DataFrame, entity: str, score: float = 1.0, few: int = TERMS) -> DataFrame:
