@@ -99,6 +99,15 @@ def test_what_is_still_met_is_not_forgotten(monkeypatch):
     assert not any("often" in x or "qqz" in x for x in own.library.taken[first:])
 
 
+def test_long_segments_are_not_kept(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBER", 3000)
+    monkeypatch.setattr(pieces, "CUT", 100)
+    own = pieces.Pieces(pieces.model_path())
+    for text in ("short " + "x" * 5000, "next one", "short"):
+        assert own.encode_both([text])[1] == [text]
+    assert max(map(len, [*own.known, *own.before])) <= 100 and "▁short" in own.before
+
+
 def test_models_that_are_not_joined(tmp_path):
     own = pieces.Pieces(unigram_model(tmp_path / "u.model"))
     assert not own.joins and own.encode_both(["the they a", "a  b "])[1] == ["the they a", "a  b "]

@@ -164,7 +164,7 @@ class Pieces:
     def learn(self, segments: list[str]) -> None:
         """Encodes, and decodes again, segments not met before: one call for about CALL characters."""
         if self.held > REMEMBER:
-            self.before, self.known, self.held = self.known, {}, 0
+            self.before, self.known, self.held = {x: i for x, i in self.known.items() if len(x) <= CUT}, {}, 0  # whole texts without blanks go
             self.odd, self.bad = {x: t for x, t in self.odd.items() if x in self.before}, self.bad & self.before.keys()
         new = list(dict.fromkeys([x for x in segments if x not in self.known]))
         self.held += sum(map(len, new))
