@@ -29,7 +29,7 @@ from .common import bounded_threads, map_arrow, slices
 
 MARK, CALL, CUT = "▁", 1 << 17, 1 << 16  # characters in one call to the library, and in one piece of a long text
 JOINED = 512  # characters of new segments in one string
-REMEMBER = 3_000_000  # characters of segments after which a worker forgets those that it has not met since the last time
+REMEMBER = 1_500_000  # characters of segments after which a worker forgets those that it has not met since the last time
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
