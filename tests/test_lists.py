@@ -34,6 +34,36 @@ def test_terms_of_a_table(spark, few):
     assert none.count() == 0
 
 
+LISTS = [["a", "b c", "B  c, d", "𐐀 a", "c++", "é-a b", "οδος", "οδοσ'a b", "a" * 12 + " b", "d e f g h i", "d e f"], ["- a", "(a) b", "..b", "b", "a b c"], ["a b", "b a", "a-b"], ["a", "é"], []]
+
+
+@pytest.mark.parametrize("words", [500_000, 0])
+@pytest.mark.parametrize("size", [5, 64, 256])
+def test_terms_at_the_borders_of_pieces(spark, monkeypatch, size, words):
+    """Broadcast or shuffled, with terms of one word and of more, that begin with other characters than words' and that are too long for pieces."""
+    monkeypatch.setattr(lists, "PIECE", size)
+    monkeypatch.setattr(lists, "SHORT", 10)
+    monkeypatch.setattr(lists, "WORDS", words)
+    rng = random.Random(size)
+    some = ["a", "b", "B", "c", "A", "é", "𐐀", " ", " ", " ", "-", "- ", ", ", "++", "(", ") ", "..", "\n", "d e f g h i", "ΟΔΟΣ", "ΟΔΟΣ'A", "a" * 12 + " ", ""]
+    rows = [(k, "".join(rng.choice(some) for _ in range(rng.choice([1, 2, 7, 60, 500])))) for k in range(40)]
+    rows += [(100, None), (101, ""), (102, "a"), (None, "a b a b"), (103, "a" * size + " b " + "a" * (size - 1) + " b c"), (104, "x" * 700 + " a b"), (105, " " * (size - 1) + "a b")]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(3)
+    for terms in LISTS:
+        got = lists.list_findings(df, "text", ["k"], spark.createDataFrame([(t,) for t in terms], "term string"), "X", few=0)
+        assert sorted(((r.k, r.term, r.start, r.end) for r in got.collect()), key=str) == brute(rows, terms)
+
+
+def test_texts_and_candidates_are_not_shuffled(spark):
+    """Of a list that is broadcast only findings leave their tasks; the candidates of frequent words, and the texts, once took many times the input's room."""
+    df = spark.createDataFrame([(1, "a b a c a d " * 50), (2, "A B")], "k int, text string")
+    terms = spark.createDataFrame([(f"a {w}",) for w in ("b", "x", "y", "z")], "term string")
+    got = lists.list_findings(df, "text", ["k"], terms, "X", few=0).groupBy("k").count()
+    assert sorted(map(tuple, got.collect())) == [(1, 50), (2, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(k#") == 1 and "partial_count" in plan and "collect_list" not in plan and "SortMergeJoin" not in plan
+
+
 def test_terms_without_a_word(spark):
     df = spark.createDataFrame([(1, "a")], "k int, text string")
     with pytest.raises(Exception, match="no word"):

@@ -1,7 +1,8 @@
 """Deny and allow lists that are tables: terms of any number, found where they stand between characters that are of no word.
 
-Terms that are counted few go to every task as one automaton. Others are met by a shuffle: of each term one word, the
-one that the fewest rows have, is joined with the words of the texts, and where both meet the whole term is compared.
+Terms that are counted few go to every task as one automaton. Others are joined by their first two words with the places of
+the texts where a term may begin, and compared there and then. Of terms of more than SHORT characters one word, the one that
+the fewest rows have, is joined with the words of the texts, and where both meet the whole term is compared.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from .words import tokens
 TERMS, CHARACTERS = 20_000, 1_000_000
 #: Most words of a list of terms, and most characters of the terms that hold them, that its joins broadcast.
 WORDS, HELD = 500_000, 20_000_000
+#: Most characters of a term that is looked for in pieces of texts, and characters from one piece to the next.
+SHORT, PIECE = 128, 256
+#: Bits of the map of a longer list's first words, which keeps other places off the shuffle (8 MB).
+BITS = 1 << 26
 WORD = r"\w+"
 FOUND = "array<struct<term:string,start:int,end:int>>"
 
@@ -66,6 +71,49 @@ def by_automaton(df: DataFrame, column: str, keys: list[str], terms: list[str])
     return rows.mapInArrow(run, f"{kind}, term string, start int, end int")
 
 
+def by_first_words(df: DataFrame, column: str, keys: list[str], terms: DataFrame) -> DataFrame:
+    """keys, term, start, end of what any number of terms of at most SHORT characters match.
+
+    Texts are cut into pieces, each with one character before it and, behind it, as many as the longest term has and one more. At each
+    place of a piece where a term may begin, the first two words (for terms of one word, the first) are looked up by a hash among
+    those of the terms; where they are one's, the rest of the piece is compared with the whole terms. So lists whose words are counted
+    few find all where the texts are; for longer ones the places are shuffled whose hash is in a map of all terms.
+    """
+    unicode = lambda pattern: F.lit("(?sU)" + pattern)
+    n = F.regexp_count("term", unicode(WORD))
+    size = terms.agg(F.sum(n).alias("n"), F.sum(n * F.length("term")).alias("size"), F.max(F.length("term")).alias("longest"), F.min(n).alias("least"), F.max(n).alias("most"), F.max(F.col("term").rlike(r"(?U)^\W")).alias("leads")).first()
+    longest, one, two = size.longest or 0, (size.least or 1) == 1, (size.most or 1) > 1
+    place = r"(?:\w++\W?|\W)" if size.leads else r"\w++\W*+"  # from one place where a term may begin to the next
+    words = (r"\W*+" if size.leads else "") + r"\w++" + (r"(?:\W++\w++)?+" if one and two else r"\W++\w++" if two else "")
+
+    def mark(head: Column, of: int) -> Column:  # the lower case of a sigma depends on what follows
+        return F.xxhash64(F.lit(of), F.replace(F.lower(head), F.lit("ς"), F.lit("σ")))
+
+    first = lambda c: F.regexp_extract(c, r"(?U)^\W*+\w++", 0)
+    marks = [mark(first("_head") if two else F.col("_head"), 1)] * one + [mark(F.col("_head"), 2)] * two
+    parts = F.regexp_extract_all(F.concat(F.lit(" "), F.col(column)), F.lit(f"(?s)(?=(.{{1,{PIECE + longest + 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    pieces = df.select(*keys, F.posexplode_outer(parts).alias("_k", "_piece")).where("_piece is not null")
+    heads = pieces.select(*keys, "_k", "_piece", F.posexplode_outer(F.regexp_extract_all("_piece", unicode(f"(?=({words})){place}"), F.lit(1))).alias("_i", "_head")).where("_head is not null")
+    heads = heads.select(*keys, "_k", "_piece", "_i", F.explode_outer(F.array_distinct(F.array(*marks))).alias("_mark") if one and two else marks[0].alias("_mark"))
+
+    held = terms.select("term", F.length("term").alias("_size"), F.when(n == 1, mark(first("term"), 1)).otherwise(mark(F.regexp_extract("term", r"(?U)^\W*+\w++\W++\w++", 0), 2)).alias("_mark"))
+    near = (size.n or 0) <= WORDS and (size["size"] or 0) <= HELD
+    if near:
+        there = heads.join(F.broadcast(held.select("_mark").distinct()), "_mark", "left_semi")
+    else:
+        bit = F.pmod("_mark", F.lit(BITS)) + 1
+        maps = held.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_map"))
+        at = F.bitmap_bit_position(bit).cast("int")
+        byte = F.conv(F.hex(F.substring("_map", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+        there = heads.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("_bucket")).where(F.getbit(byte, at.bitwiseAND(7)) == 1)
+    rest = F.array_join(F.slice(F.regexp_extract_all("_piece", unicode(place), F.lit(0)), F.col("_i") + 1, F.length("_piece")), "")
+    begun = there.select(*keys, "_mark", "_k", F.length("_piece").alias("_n"), F.explode_outer(F.array(rest)).alias("_rest")).withColumn("_at", F.col("_n") - F.length("_rest")).where(F.col("_at").between(1, PIECE))
+    begun = begun.select(*keys, "_mark", (F.col("_k") * PIECE + F.col("_at") - 1).alias("start"), F.substring("_rest", 1, longest + 1).alias("_rest"))
+    same = F.lower(F.substring("_rest", F.lit(1), F.col("_size"))) == F.col("term")
+    apart = ~F.substring("_rest", F.col("_size") + 1, F.lit(1)).rlike(r"(?U)\w")
+    return begun.join(F.broadcast(held) if near else held, "_mark").where(same & apart).select(*keys, "term", "start", (F.col("start") + F.col("_size")).alias("end"))
+
+
 def by_rare_word(df: DataFrame, column: str, keys: list[str], terms: DataFrame) -> DataFrame:
     """keys, term, start, end of what any number of terms match; keys tell rows apart.
 
@@ -111,11 +159,13 @@ def list_findings(df: DataFrame, column: str, keys: list[str], terms: DataFrame,
     keys must tell the rows of df apart. Null and empty texts and terms match nothing; terms that repeat count once.
     """
     ready = listed(terms)
-    size = ready.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("size")).first()
+    size = ready.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("size"), F.max(F.length("term")).alias("longest")).first()
     if size.n <= few and (size["size"] or 0) <= CHARACTERS:
         found = by_automaton(df, column, keys, [r.term for r in ready.collect()])
     else:
-        found = by_rare_word(df, column, keys, ready)
+        found = by_first_words(df, column, keys, ready.where(F.length("term") <= SHORT))
+        if (size.longest or 0) > SHORT:
+            found = found.unionByName(by_rare_word(df, column, keys, ready.where(F.length("term") > SHORT)))
     return found.select(*keys, F.lit(entity).alias("entity_type"), "start", "end", F.lit(float(score)).alias("score"), "term")
 
 
