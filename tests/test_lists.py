@@ -34,7 +34,7 @@ def test_terms_of_a_table(spark, few):
     assert none.count() == 0
 
 
-LISTS = [["a", "b c", "B  c, d", "𐐀 a", "c++", "é-a b", "οδος", "οδοσ'a b", "a" * 12 + " b", "d e f g h i", "d e f"], ["- a", "(a) b", "..b", "b", "a b c"], ["a b", "b a", "a-b"], ["a", "é"], []]
+LISTS = [["a", "b c", "B  c, d", "𐐀 a", "c++", "é-a b", "οδος", "οδοσ'a b", "a" * 12 + " b", "d e f g h i", "d e f", "d οδοσ'a b c", "abc οδοσ'ab c", "d e f g h j"], ["- a", "(a) b", "..b", "b", "a b c"], ["a b", "b a", "a-b"], ["a", "é"], []]
 
 
 @pytest.mark.parametrize("words", [500_000, 0])
@@ -47,7 +47,7 @@ def test_terms_at_the_borders_of_pieces(spark, monkeypatch, size, words):
     rng = random.Random(size)
     some = ["a", "b", "B", "c", "A", "é", "𐐀", " ", " ", " ", "-", "- ", ", ", "++", "(", ") ", "..", "\n", "d e f g h i", "ΟΔΟΣ", "ΟΔΟΣ'A", "a" * 12 + " ", ""]
     rows = [(k, "".join(rng.choice(some) for _ in range(rng.choice([1, 2, 7, 60, 500])))) for k in range(40)]
-    rows += [(100, None), (101, ""), (102, "a"), (None, "a b a b"), (103, "a" * size + " b " + "a" * (size - 1) + " b c"), (104, "x" * 700 + " a b"), (105, " " * (size - 1) + "a b")]
+    rows += [(100, None), (101, ""), (102, "a"), (None, "a b a b"), (103, "a" * size + " b " + "a" * (size - 1) + " b c"), (104, "x" * 700 + " a b"), (105, " " * (size - 1) + "a b"), (106, "d ΟΔΟΣ'A b c, abc ΟΔΟΣ'Ab c")]
     df = spark.createDataFrame(rows, "k int, text string").repartition(3)
     for terms in LISTS:
         got = lists.list_findings(df, "text", ["k"], spark.createDataFrame([(t,) for t in terms], "term string"), "X", few=0)
@@ -64,6 +64,16 @@ def test_texts_and_candidates_are_not_shuffled(spark):
     assert plan.count("Exchange hashpartitioning(k#") == 1 and "partial_count" in plan and "collect_list" not in plan and "SortMergeJoin" not in plan
 
 
+def test_long_terms_are_looked_for_by_their_beginnings(spark):
+    """Words of the texts were shuffled for terms of more than SHORT characters, if their list was not broadcast."""
+    long = "one two three " * 12 + "end"
+    df = spark.createDataFrame([(1, "x " + long.upper() + " one"), (2, long + "s"), (3, "one two three")], "k int, text string")
+    got = lists.list_findings(df, "text", ["k"], spark.createDataFrame([(long,), ("One two",)], "term string"), "X", few=0)
+    assert sorted((r.k, r.start, r.end) for r in got.collect() if r.term == long) == [(1, 2, 2 + len(long))]
+    assert sum(r.term == "one two" for r in got.collect()) == 12 + 12 + 1
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_terms_without_a_word(spark):
     df = spark.createDataFrame([(1, "a")], "k int, text string")
     with pytest.raises(Exception, match="no word"):

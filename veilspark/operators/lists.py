@@ -1,8 +1,9 @@
 """Deny and allow lists that are tables: terms of any number, found where they stand between characters that are of no word.
 
 Terms that are counted few go to every task as one automaton. Others are joined by their first two words with the places of
-the texts where a term may begin, and compared there and then. Of terms of more than SHORT characters one word, the one that
-the fewest rows have, is joined with the words of the texts, and where both meet the whole term is compared.
+the texts where a term may begin, and compared there and then; terms of more than SHORT characters are compared with the whole
+texts where their beginnings were found. If a term's first word alone is as long, one of its words, the one that the fewest rows
+have, is joined with the words of the texts, and where both meet the whole term is compared.
 """
 
 from __future__ import annotations
@@ -114,6 +115,27 @@ def by_first_words(df: DataFrame, column: str, keys: list[str], terms: DataFrame
     return begun.join(F.broadcast(held) if near else held, "_mark").where(same & apart).select(*keys, "term", "start", (F.col("start") + F.col("_size")).alias("end"))
 
 
+def compared(df: DataFrame, column: str, keys: list[str], met: DataFrame) -> DataFrame:
+    """keys, term, start, end of those candidates (column `c` of met: term, start) that are whole terms: gathered and compared with the texts."""
+    gathered = met.groupBy(*keys).agg(F.collect_list("c").alias("_candidates"))
+    same = None
+    for k in keys:
+        this = F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}"))
+        same = this if same is None else same & this
+    rows = df.select(*keys, F.col(column).alias("_text")).alias("t").join(gathered.alias("g"), same)
+
+    def kept(text: Column, found: Column) -> Column:
+        def stands(paged: Column, n: Column, c: Column) -> Column:
+            end = c["start"] + F.length(c["term"])
+            one = lambda at: F.when((at >= 0) & (at < n), cut(paged, at, at + 1)).otherwise("").rlike(r"(?U)\w")
+            return (c["start"] >= 0) & (end <= n) & (F.lower(cut(paged, c["start"], end)) == c["term"]) & ~one(c["start"] - 1) & ~one(end)
+
+        return let(pages(text), lambda p: let(F.length(text), lambda n: F.filter(found, lambda c: F.when((c["start"] >= 0) & (c["start"] + F.length(c["term"]) <= n), stands(p, n, c)).otherwise(False))))
+
+    found = rows.select(*[F.col(f"t.{k}").alias(k) for k in keys], F.explode_outer(kept(F.col("_text"), F.col("_candidates"))).alias("c"))  # explode() would make them twice, to leave out empty ones
+    return found.where("c is not null").select(*keys, "c.term", "c.start", (F.col("c.start") + F.length("c.term")).alias("end"))
+
+
 def by_rare_word(df: DataFrame, column: str, keys: list[str], terms: DataFrame) -> DataFrame:
     """keys, term, start, end of what any number of terms match; keys tell rows apart.
 
@@ -133,23 +155,20 @@ def by_rare_word(df: DataFrame, column: str, keys: list[str], terms: DataFrame)
     whole = many.join(there, "term").where("of = has").select("term")
     anchors = rare.join(whole, "term", "left_semi").select("word", "term", "off")
     met = words.join(near(anchors), "word").select(*keys, F.struct("term", (F.col("at") - F.col("off")).alias("start")).alias("c"))
-    gathered = met.groupBy(*keys).agg(F.collect_list("c").alias("_candidates"))
-    same = None
-    for k in keys:
-        this = F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}"))
-        same = this if same is None else same & this
-    rows = df.select(*keys, F.col(column).alias("_text")).alias("t").join(gathered.alias("g"), same)
+    return compared(df, column, keys, met)
 
-    def kept(text: Column, found: Column) -> Column:
-        def stands(paged: Column, n: Column, c: Column) -> Column:
-            end = c["start"] + F.length(c["term"])
-            one = lambda at: F.when((at >= 0) & (at < n), cut(paged, at, at + 1)).otherwise("").rlike(r"(?U)\w")
-            return (c["start"] >= 0) & (end <= n) & (F.lower(cut(paged, c["start"], end)) == c["term"]) & ~one(c["start"] - 1) & ~one(end)
 
-        return let(pages(text), lambda p: let(F.length(text), lambda n: F.filter(found, lambda c: F.when((c["start"] >= 0) & (c["start"] + F.length(c["term"]) <= n), stands(p, n, c)).otherwise(False))))
-
-    found = rows.select(*[F.col(f"t.{k}").alias(k) for k in keys], F.explode_outer(kept(F.col("_text"), F.col("_candidates"))).alias("c"))  # explode() would make them twice, to leave out empty ones
-    return found.where("c is not null").select(*keys, "c.term", "c.start", (F.col("c.start") + F.length("c.term")).alias("end"))
+def by_beginning(df: DataFrame, column: str, keys: list[str], terms: DataFrame) -> DataFrame:
+    """keys, term, start, end of what terms of any length match: those of more than SHORT characters are looked for by as many of their
+    first words as fit, and compared whole where these are found; if the first one doesn't fit, by their rarest word."""
+    head = F.when(F.length("term") <= SHORT, F.col("term")).otherwise(F.regexp_extract("term", rf"(?sU)^.{{0,{SHORT - 1}}}[\w&&[^σς]](?!\w)", 0))  # a sigma's lower case depends on what follows
+    heads = terms.select("term", head.alias("_head"))
+    places = by_first_words(df, column, keys, heads.where("_head <> ''").select(F.col("_head").alias("term")).distinct())
+    met = places.select(*keys, F.col("term").alias("_head"), "start").join(heads, "_head")
+    whole = compared(df, column, keys, met.where(F.length("term") > SHORT).select(*keys, F.struct("term", "start").alias("c")))
+    found = met.where(F.length("term") <= SHORT).select(*keys, "term", "start", (F.col("start") + F.length("term")).alias("end")).unionByName(whole)
+    rest = heads.where("_head = ''").select("term")
+    return found if rest.isEmpty() else found.unionByName(by_rare_word(df, column, keys, rest))
 
 
 def list_findings(df: DataFrame, column: str, keys: list[str], terms: DataFrame, entity: str, score: float = 1.0, few: int = TERMS) -> DataFrame:
@@ -163,9 +182,7 @@ def list_findings(df: DataFrame, column: str, keys: list[str], terms: DataFrame,
     if size.n <= few and (size["size"] or 0) <= CHARACTERS:
         found = by_automaton(df, column, keys, [r.term for r in ready.collect()])
     else:
-        found = by_first_words(df, column, keys, ready.where(F.length("term") <= SHORT))
-        if (size.longest or 0) > SHORT:
-            found = found.unionByName(by_rare_word(df, column, keys, ready.where(F.length("term") > SHORT)))
+        found = by_beginning(df, column, keys, ready) if (size.longest or 0) > SHORT else by_first_words(df, column, keys, ready)
     return found.select(*keys, F.lit(entity).alias("entity_type"), "start", "end", F.lit(float(score)).alias("score"), "term")
 
 
